@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, exactdedup, tokencount
+from tabulith.llm import bpe, exactdedup, htmltext, pii, tokencount
 from tabulith.llm.common import table
 
 
@@ -23,7 +23,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key comes from the session, as it would in production."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.tabulith.pii.key", "example key"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op6_token_counts, op7_exact_dedup)
+    f.__name__: f for f in (op3_bpe, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op10_html_text)
 }
 ORACLE_SQL = {"op7_exact_dedup": exactdedup.ORACLE_SQL}
