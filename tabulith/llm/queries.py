@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, exactdedup, htmltext, pii, tokencount
+from tabulith.llm import bpe, exactdedup, htmltext, pii, tokencount, toxicity
 from tabulith.llm.common import table
 
 
@@ -28,11 +28,15 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.tabulith.pii.key", "example key"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op10_html_text)
+    f.__name__: f for f in (op3_bpe, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
 }
 ORACLE_SQL = {"op7_exact_dedup": exactdedup.ORACLE_SQL}
