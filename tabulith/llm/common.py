@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Groups that hold at least one row in so many are "hot"; there can be no more
 #: hot groups than this, which is what makes a table of them safe to broadcast.
@@ -47,11 +48,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, row_id:
     total = groups.agg(F.sum(size)).first()[0] or 0
     least = max(1, -(-total // HOT_SHARE))
     values = [c for c in groups.columns if c != key]
-    is_hot = F.col(size) * F.lit(1) >= F.lit(least)
+    is_hot = F.col(size) >= F.lit(least)
     hot = groups.where(is_hot).select(F.col(key), F.struct(*values).alias("_hot"))
     cold = groups.where(~is_hot).select(F.col(key).alias("_key"), F.lit(False).alias("_gone"), F.struct(*values).alias("_cold"))
     marked = rows.join(F.broadcast(hot), key, "left").withColumn("_found", F.col("_hot").isNotNull())
-    spread = marked.withColumn("_key", F.when(F.col("_found"), F.unhex(F.hex(F.xxhash64(row_id)))).otherwise(F.col(key)))
+    elsewhere = F.xxhash64(row_id)
+    if rows.schema[key].dataType == T.BinaryType():
+        elsewhere = F.unhex(F.hex(elsewhere))
+    spread = marked.withColumn("_key", F.when(F.col("_found"), elsewhere.cast(rows.schema[key].dataType)).otherwise(F.col(key)))
     joined = spread.withColumn("_gone", F.col("_found")).join(cold, ["_key", "_gone"], "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.where(both.isNotNull()).select(*rows.columns, *[both[v].alias(v) for v in values])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, exactdedup, htmltext, pii, tokencount, toxicity
+from tabulith.llm import bpe, exactdedup, htmltext, minhash, pii, tokencount, toxicity
 from tabulith.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,6 +41,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
+    f.__name__: f for f in (op3_bpe, op4_minhash, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
 }
 ORACLE_SQL = {"op7_exact_dedup": exactdedup.ORACLE_SQL}
