@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, exactdedup, htmltext, minhash, pii, tokencount, toxicity
+from tabulith.llm import bpe, exactdedup, htmltext, linededup, minhash, pii, tokencount, toxicity
 from tabulith.llm.common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -41,6 +45,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op4_minhash, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
+    f.__name__: f for f in (op2_line_dedup, op3_bpe, op4_minhash, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
+}
+ORACLE_SQL = {
+    "op2_line_dedup": linededup.ORACLE_SQL,
+    "op7_exact_dedup": exactdedup.ORACLE_SQL,
 }
-ORACLE_SQL = {"op7_exact_dedup": exactdedup.ORACLE_SQL}
