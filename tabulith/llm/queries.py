@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, exactdedup, htmltext, linededup, minhash, pii, tokencount, toxicity
+from tabulith.llm import bitsearch, bpe, exactdedup, htmltext, linededup, minhash, mixing, pii, tokencount, toxicity
 from tabulith.llm.common import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = bitsearch.sign_codes(table(spark, sf_dir, "embeddings"))
+    return bitsearch.search(codes, codes.where("id % 100 = 0"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -23,6 +28,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,9 +54,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_bpe, op4_minhash, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
+    f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_bpe, op4_minhash, op5_mixing, op6_token_counts, op7_exact_dedup, op8_pseudonyms, op9_toxicity, op10_html_text)
 }
 ORACLE_SQL = {
+    "op1_topk_search": bitsearch.ORACLE_SQL,
     "op2_line_dedup": linededup.ORACLE_SQL,
     "op7_exact_dedup": exactdedup.ORACLE_SQL,
 }
