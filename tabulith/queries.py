@@ -1,25 +1,6 @@
-"""The registered queries of the engine's own operators, with their SQL twins."""
+"""All registered queries of the engine's own operators."""
 
-from __future__ import annotations
+from tabulith.plans import cells, evaluation, filters, fragments, linking, models, references, scalars, search, sources, streams  # noqa: F401
+from tabulith.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Adds a query, and its SQL where SQL can express it."""
-
-    def add(query: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"two queries are called {name}")
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
