@@ -101,7 +101,7 @@ class CuckooFilter:
 
 def _key(line: Column) -> Column:
     """The 128-bit digest of a line's key; null for an empty key."""
-    key = F.translate(F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), _UPPER, _LOWER)
+    key = F.translate(F.btrim(line, F.lit(_WHITE)), _UPPER, _LOWER)
     return F.when(key != "", F.unhex(F.md5(key)))
 
 
