@@ -3,9 +3,9 @@
 Sampled splitters range-partition the normalised texts; within each range an
 external sort places equal texts side by side and an aggregation that compares
 each row's whole text with its neighbour's closes one group after another. The
-splitters are drawn over (text, salt), so the copies of a very frequent text
-spread over several ranges; their partial groups meet again by the text's
-SHA-256, as rows of a few dozen bytes.
+splitters are drawn over (first characters, hash, salt): samples stay small, and the
+copies of a very frequent text spread over several ranges; their partial groups
+meet again by the text's SHA-256, as rows of a few dozen bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tabulith.llm.common import cut, join_groups, text_of
 
 #: Parts into which a text's copies are spread before they are sorted.
 SALTS = 32
+#: Characters of a text by which it is ranged and sorted first; all of them are compared.
+HEAD = 32
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -37,8 +39,10 @@ def group_copies(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
         F.struct((-F.length(text_of())).alias("minus_points"), F.col("doc_id").alias("doc_id")).alias("keep"),
     )
-    ranged = rows.repartitionByRange("norm", "salt")
-    runs = ranged.groupBy("norm", "salt").agg(F.min("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    # equal texts have equal heads and hashes, so a range holds all of a text's copies of one salt
+    rows = rows.select("*", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"))
+    ranged = rows.repartitionByRange("head", "hash", "salt")
+    runs = ranged.groupBy("head", "hash", "salt", "norm").agg(F.min("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
     return (
         runs.groupBy(F.unhex(F.sha2("norm", 256)).alias("text_key"))
         .agg(F.min("keep").alias("keep"), F.sum("n").alias("group_size"))
