@@ -118,11 +118,11 @@ def threshold_intervals(proposals: DataFrame, info: DataFrame | None = None) ->
     value = F.col("direction") * F.col("parsed")
     rows = with_directions(proposals, info).withColumn("_ignored", ignored).withColumn("_value", value)
     lone = F.when(F.col("_ignored") | F.col("parsed").isNull(), F.col("cell_ext_id"))
-    group = W.partitionBy("task", "dataset", "metric", F.split("cell_ext_id", "/")[0], lone)
+    rows = rows.withColumn("_paper", F.split("cell_ext_id", "/")[0]).withColumn("_lone", lone)
     # everything before a value in falling order, its equals left out: the frame of strictly better ones
-    values = group.orderBy(F.desc("_value"))
-    upto = F.max("confidence").over(values.rangeBetween(W.unboundedPreceding, -1e-12))
-    equal_first = F.first(F.struct("cell_ext_id", "confidence")).over(W.partitionBy("task", "dataset", "metric", F.split("cell_ext_id", "/")[0], lone, "_value").orderBy("cell_ext_id"))
+    frame = "PARTITION BY task, dataset, metric, _paper, _lone ORDER BY _value DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-12D PRECEDING"
+    upto = F.expr(f"max(confidence) OVER ({frame})")
+    equal_first = F.first(F.struct("cell_ext_id", "confidence")).over(W.partitionBy("task", "dataset", "metric", "_paper", "_lone", "_value").orderBy("cell_ext_id"))
     found = rows.withColumn("_better", upto).withColumn("_first", equal_first)
     equal = F.when(F.col("_first.cell_ext_id") != F.col("cell_ext_id"), F.col("_first.confidence"))
     low = F.when(F.col("_ignored"), 1.0).when(F.col("parsed").isNull(), 0.0).otherwise(F.coalesce("_better", equal, F.lit(0.0)))
