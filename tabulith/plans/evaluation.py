@@ -15,18 +15,19 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as leaderboard results: what was predicted, and gold."""
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey",
+        F.col("o_totalprice").alias("price"),
         F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("v1")).alias("paper"),
         F.col("o_orderpriority").alias("task"),
         F.col("o_orderstatus").alias("dataset"),
         F.concat(F.lit("m"), (F.col("o_orderkey") % 2).cast("string")).alias("metric"),
         F.floor(F.col("o_totalprice") / 1000).cast("string").alias("score"),
     )
-    return rows.where("o_orderkey % 4 <> 0").drop("o_orderkey"), rows.where("o_orderkey % 3 <> 0").drop("o_orderkey")
+    return rows.where("price > 50000").drop("o_orderkey", "price"), rows.where("price < 250000").drop("o_orderkey", "price")
 
 
 _RESULTS = """r AS (SELECT o_orderkey AS k, 'p' || o_custkey AS paper, o_orderpriority AS task, o_orderstatus AS dataset,
- 'm' || (o_orderkey % 2) AS metric, floor(o_totalprice / 1000)::BIGINT::VARCHAR AS score FROM orders),
-p AS (SELECT * FROM r WHERE k % 4 <> 0), g AS (SELECT * FROM r WHERE k % 3 <> 0)"""
+ 'm' || (o_orderkey % 2) AS metric, floor(o_totalprice / 1000)::BIGINT::VARCHAR AS score, o_totalprice AS price FROM orders),
+p AS (SELECT * FROM r WHERE price > 50000), g AS (SELECT * FROM r WHERE price < 250000)"""
 
 
 def _axis_sql(axis: str, columns: list[str]) -> str:
@@ -225,12 +226,12 @@ def ag20_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.lower(F.split_part("c_name", F.lit("#"), F.lit(1))).alias("surname")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("ag21_best_experiment", """SELECT user_id AS experiment, round(value, 6) AS accuracy, event_type AS setting FROM events ORDER BY round(value, 6) DESC, event_id LIMIT 1""")
+@register("ag21_best_experiment", """SELECT user_id AS experiment, round(value, 6) AS accuracy, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS setting FROM events ORDER BY round(value, 6) DESC, event_id LIMIT 1""")
 def ag21_best_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG21: the best of runs whose tables have different columns."""
+    """AG21: the best of all runs, where the tables of some kinds of runs lack a column."""
     runs = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("experiment"), F.round("value", 6).alias("accuracy"), F.col("event_type").alias("setting"))
-    early, late = runs.where("event_id % 2 = 0"), runs.where("event_id % 2 = 1").drop("setting").join(runs.select("event_id", "setting"), "event_id")
-    both = early.unionByName(late.drop("setting").withColumn("setting", F.lit(None).cast("string")).join(runs.select("event_id", F.col("setting").alias("s")), "event_id").withColumn("setting", F.col("s")).drop("s"), allowMissingColumns=True)
+    some = F.col("setting").isin("click", "view")
+    both = runs.where(some).unionByName(runs.where(~some).drop("setting"), allowMissingColumns=True)
     return both.agg(F.max_by(F.struct("experiment", "accuracy", "setting"), F.struct("accuracy", -F.col("event_id"))).alias("b")).select("b.*")
 
 
@@ -252,7 +253,7 @@ def ag24_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("j2_three_way_sql", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, c.c_name,
- (SELECT min(o2.o_orderkey) FROM orders o2 WHERE o2.o_custkey = o.o_custkey AND o2.o_orderstatus = 'F') AS model
+ coalesce((SELECT min(o2.o_orderkey) FROM orders o2 WHERE o2.o_custkey = o.o_custkey AND o2.o_orderstatus = 'F'), -1) AS model
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_quantity > 45""")
 def j2_three_way_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tables, and for each row the first of related rows (an aggregate joined, no subquery per row)."""
@@ -261,7 +262,7 @@ def j2_three_way_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     met = lines.join(orders.drop("o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
-    return met.join(first, "o_custkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c_name", "model")
+    return met.join(first, "o_custkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c_name", F.coalesce("model", F.lit(-1)).alias("model"))
 
 
 @register("j3_annotation_lookup", """SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS owner FROM orders LEFT JOIN customer a ON a.c_custkey = o_orderkey LEFT JOIN customer b ON b.c_custkey = o_custkey""")
@@ -275,21 +276,21 @@ def j3_annotation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("j5_texts_tables", """SELECT coalesce(d.doc_id, l.doc_id) AS paper_id, coalesce(d.lang, '') AS lang, coalesce(l.quality, -1) AS quality
-FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT * FROM labels WHERE doc_id % 2 = 0) l ON d.doc_id = l.doc_id""")
+FROM (SELECT * FROM documents WHERE n_chars > 300) d FULL JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id""")
 def j5_texts_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers with texts, tables or both."""
-    texts = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang")
-    tables = table(spark, sf_dir, "labels").where("doc_id % 2 = 0").select("doc_id", "quality")
+    texts = table(spark, sf_dir, "documents").where("n_chars > 300").select("doc_id", "lang")
+    tables = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", "quality")
     return texts.join(tables, "doc_id", "full").select(F.col("doc_id").alias("paper_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@register("j8_gold_by_cell", """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag_gold FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag_pred FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY ALL)
+@register("j8_gold_by_cell", """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag_gold FROM lineitem WHERE l_quantity > 10 GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag_pred FROM lineitem WHERE l_discount < 0.08 GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, flag_gold, flag_pred, flag_gold IS NOT DISTINCT FROM flag_pred AS equal FROM g FULL JOIN p USING (l_orderkey, l_linenumber)""")
 def j8_gold_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold and predicted records of a cell side by side."""
     lines, cell = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
-    gold = lines.where("l_suppkey % 2 = 0").groupBy(*cell).agg(F.min("l_returnflag").alias("flag_gold"))
-    found = lines.where("l_partkey % 3 <> 0").groupBy(*cell).agg(F.max("l_returnflag").alias("flag_pred"))
+    gold = lines.where("l_quantity > 10").groupBy(*cell).agg(F.min("l_returnflag").alias("flag_gold"))
+    found = lines.where("l_discount < 0.08D").groupBy(*cell).agg(F.max("l_returnflag").alias("flag_pred"))
     return gold.join(found, cell, "full").withColumn("equal", F.col("flag_gold").eqNullSafe(F.col("flag_pred")))
 
 

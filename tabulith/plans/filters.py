@@ -165,9 +165,9 @@ def pf12_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("label % 3 <> 2").select("vec_id", F.when(F.col("label") % 3 == 0, "leaderboard").otherwise("ablation").alias("type"))
 
 
-@register("pf13_errors", "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT DISTINCT FROM toxic ORDER BY doc_id LIMIT 100")
+@register("pf13_errors", "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT DISTINCT FROM toxic")
 def pf13_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where(F.col("quality").eqNullSafe(F.col("toxic"))).orderBy("doc_id").limit(100).select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "labels").where(F.col("quality").eqNullSafe(F.col("toxic"))).select("doc_id", "quality", "toxic")
 
 
 @register("pf14_folds", "SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM documents")
@@ -202,9 +202,9 @@ def se1_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("b")), allowMissingColumns=True)
 
 
-@register("se2_key_union", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels")
+@register("se2_key_union", "SELECT doc_id FROM documents WHERE lang <> 'de' UNION SELECT doc_id FROM labels")
 def se2_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id").union(table(spark, sf_dir, "labels").select("doc_id")).distinct()
+    return table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id").union(table(spark, sf_dir, "labels").select("doc_id")).distinct()
 
 
 _BAGS = "w AS (SELECT lang, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents), b AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL)"

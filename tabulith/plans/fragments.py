@@ -1 +1,113 @@
-"""Queries."""
+"""Queries of the document parser: sections, fragments, pages, tables in pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tabulith.operators import cells as cell_ops
+from tabulith.registry import register, table
+from tabulith.sources import html as h
+
+FIXTURE = (
+    '<figure class="ltx_table" id="S4.T1"><figcaption class="ltx_caption">Table 1: Results.</figcaption><table class="ltx_tabular"><tr class="ltx_tr">'
+    '<td class="ltx_td ltx_align_left ltx_border_tt">Model</td><td class="ltx_td ltx_border_tt" colspan="2">SQuAD</td></tr><tr class="ltx_tr">'
+    '<td class="ltx_td">Ours <a href="#bib.bib7">7</a></td><td class="ltx_td ltx_font_bold">93.1%</td><td class="ltx_td">1,234</td></tr></table></figure>'
+)
+SECTIONS = (
+    '<article><h1>T</h1><section id="S1"><h2>Intro</h2><div class="ltx_para">A</div><div class="ltx_para">B <a href="#S4.T1">1</a></div></section>'
+    '<section id="S2"><h2>Empty</h2></section></article>'
+)
+
+
+@register("w5_sections", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+s AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
+SELECT doc_id, section::BIGINT AS section, count(*) AS lines, string_agg(line, ' ' ORDER BY pos) AS text FROM s GROUP BY doc_id, section""")
+def w5_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5, TX7: short lines are headers; a running sum of them numbers the sections."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    section = F.sum(F.when(F.length("line") < 60, 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("pos"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
+    return lines.withColumn("section", section).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("text"))
+
+
+@register("tx13_page_fragments")
+def tx13_page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX1 to TX7, TX13: title and fragments of every page."""
+    return h.fragments(table(spark, sf_dir, "pages"), "page_id")
+
+
+@register("tx13_titles", """SELECT page_id, count(*) AS n FROM pages GROUP BY page_id""")
+def tx13_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with an article gives at least one fragment; pages without sections exactly one."""
+    return h.fragments(table(spark, sf_dir, "pages"), "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("tx13_sections", "SELECT * FROM (VALUES (1000, 'xxanchor-S1 Intro', 'A'), (1001, 'xxanchor-S1 Intro', 'B xxref-S4T1'), (2000, 'xxanchor-S2 Empty', '')) AS g(\"order\", header, text)")
+def tx13_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden fragments of a paper of two sections."""
+    return h.fragments(spark.createDataFrame([("p", SECTIONS)], "paper_id string, html string")).select("order", "header", "text")
+
+
+@register("tx14_toc", "SELECT * FROM (VALUES (1000, 'xxanchor-S1 Intro'), (2000, 'xxanchor-S2 Empty')) AS g(\"order\", header)")
+def tx14_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX14: a header at each change."""
+    rows = h.fragments(spark.createDataFrame([("p", SECTIONS)], "paper_id string, html string"))
+    before = F.lag("header").over(W.partitionBy("paper_id").orderBy("order"))
+    return rows.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("header"))).select("order", "header")
+
+
+@register("tx15_fragment_frame", "SELECT doc_id, substr(text, 1, 20) AS header, length(text) AS n FROM documents")
+def tx15_fragment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX15: header, text and length of fragments."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("header"), F.length("text").cast("long").alias("n"))
+
+
+@register("tx19_sentences", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE trim(s) <> '' GROUP BY doc_id")
+def tx19_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX19: the sentences of a language-model corpus."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("s")).where("trim(s) <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("tb1_html_tables", """SELECT * FROM (VALUES (0,0,'Model','Model','','border-tt align-left'),(0,1,'SQuAD','SQuAD','','border-tt span-cb'),(0,2,'SQuAD','SQuAD','','border-tt span-ce'),
+(1,0,'Ours <ref id=''bib-bib7''>7</ref>','Ours 7','bibbib7',''),(1,1,'<bold>93.1%</bold>','93.1%','',''),(1,2,'1,234','1,234','','')) AS g("row", col, raw_value, value, refs, layout)""")
+def tb1_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TB1 to TB20: the golden cells of a table with a span, a reference and a style."""
+    raw = h.cells(spark.createDataFrame([("p", FIXTURE)], "paper_id string, html string"))
+    built = cell_ops.build(raw, ["paper_id"])
+    return built.select("row", "col", "raw_value", "value", F.array_join("refs", ",").alias("refs"), "layout")
+
+
+@register("tb1_pages", "SELECT page_id, 0::BIGINT AS cells FROM pages")
+def tb1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table cells of every page of the corpus (they hold none)."""
+    pages = table(spark, sf_dir, "pages")
+    found = h.cells(pages, "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("cells"))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("cells", F.lit(0)).alias("cells"))
+
+
+@register("sc9_page_links", "SELECT page_id, len(regexp_extract_all(html, '<a '))::BIGINT AS links FROM pages")
+def sc9_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return h.page_links(table(spark, sf_dir, "pages"))
+
+
+@register("j9_mention_join", """WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\b(th[a-z]+)\\b', 1)) AS ref FROM documents)
+SELECT l_orderkey AS table_id, count(*) AS mentions FROM (SELECT DISTINCT l_orderkey, CASE l_linenumber WHEN 1 THEN 'the' WHEN 2 THEN 'that' WHEN 3 THEN 'this' ELSE 'none' END AS ref FROM lineitem) JOIN m USING (ref) GROUP BY l_orderkey""")
+def j9_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that mention a table, by an equi-join on the mention."""
+    mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\b(th[a-z]+)\\b"), F.lit(1)))).alias("ref"))
+    line = F.col("l_linenumber")
+    ref = F.when(line == 1, "the").when(line == 2, "that").when(line == 3, "this").otherwise("none")
+    tables = table(spark, sf_dir, "lineitem").select("l_orderkey", ref.alias("ref")).distinct()
+    counted = mentions.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+    return tables.join(counted, "ref").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.sum("n").alias("mentions"))
+
+
+@register("j11_section_lookup", """SELECT b.item_id, count(*) AS sections FROM (SELECT item_id, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS ref FROM benchmark) b JOIN documents d ON contains(d.text, b.ref) GROUP BY b.item_id""")
+def j11_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments that contain a table's reference (a substring join; references are few)."""
+    words = F.split("text", " ")
+    refs = table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", words[0], words[1]).alias("ref"))
+    docs = table(spark, sf_dir, "documents").select("text")
+    return docs.join(F.broadcast(refs), docs.text.contains(F.col("ref"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("sections"))
