@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.llm.bpe import chunks
@@ -26,6 +25,12 @@ from tabulith.llm.shingles import cells, mix, similarity
 #: Bands and coordinates in a band: two texts of similarity 0.8 share a bucket with probability 0.9998.
 BANDS, ROWS = 22, 5
 SIMILAR = 0.8
+#: Members of a bucket that are compared with all its others in the second round.
+CENTRES = 8
+#: Characters of text whose shingles a worker holds while it compares.
+HELD = 4_000_000
+#: Texts to be compared are found by a broadcast of up to so many identifiers (16 bytes each), else by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Characters of text whose signatures are made at once.
 CHUNK = 1_000_000
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -91,75 +96,87 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, print binary, weight long, bands array<long>")
 
 
-def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (low, high) with sim, the similarity of the whole texts of both."""
+class _Cells:
+    """The cells of the texts compared last, up to HELD characters of text."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, np.ndarray] = {}
+        self.size = 0
+
+    def __call__(self, key: int, batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+        if key not in self.known:
+            text = batch.column(column)[i].as_py() or ""
+            self.size += len(text)
+            if self.size > HELD:
+                self.known.clear()
+                self.size = len(text)
+            self.known[key] = cells([text])[0]
+        return self.known[key]
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Those of ``pairs`` (low, high) whose whole texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        held = _Cells()
         for batch in batches:
             low, high = batch.column("low").to_pylist(), batch.column("high").to_pylist()
-            made = []
-            for i, key in enumerate(low):
-                if key not in known:
-                    known.clear()  # rows come sorted by it: one text is held at a time
-                    known[key] = cells([batch.column("low_text")[i].as_py()])[0]
-                made.append(similarity(known[key], cells([batch.column("high_text")[i].as_py()])[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(made, pa.float64())], ["low", "high", "sim"])
-
-    need = pairs.select(F.col("high").alias("id")).union(pairs.select(F.col("low").alias("id"))).distinct()
-    own = cut(texts.join(need, "id", "left_semi"))
-    with_high = pairs.join(own.select(F.col("id").alias("high"), F.col("text").alias("high_text")), "high")
-    sizes = cut(pairs.groupBy("low").agg(F.count(F.lit(1)).alias("n")).join(own.withColumnRenamed("id", "low"), "low"))
-    both = join_groups(with_high, sizes, "low", "n", F.col("high"))
-    return both.select("low", "high", F.col("text").alias("low_text"), "high_text").sortWithinPartitions("low").mapInArrow(run, "low long, high long, sim double")
-
-
-def links(members: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """All links (low, high) of similar texts that share a bucket, or paths of links in place of one.
-
-    ``members`` are (bucket, id, weight); ``texts`` are (id, text). In each round the first
-    members of a bucket, twice as many as in the round before, are compared with all its
-    others and leave it. So do the members that are similar to the first of them, unless
-    by the triangle inequality of Jaccard distances they might still be linked to one that
-    isn't. No pair of a bucket goes unseen but those whose link such a path stands for.
+            hit = [similarity(held(a, batch, "low_text", i), held(b, batch, "high_text", i)) >= similar for i, (a, b) in enumerate(zip(low, high))]
+            yield pa.RecordBatch.from_arrays([batch.column("low").filter(pa.array(hit)), batch.column("high").filter(pa.array(hit))], ["low", "high"])
+
+    pairs = cut(pairs)
+    need = pairs.select(F.explode(F.array("low", "high")).alias("id")).distinct()
+    if pairs.count() <= BROADCAST_IDS:
+        need = F.broadcast(need)
+    own = texts.join(need, "id", "left_semi")
+    # a text that very many are compared with is a skewed key, which adaptive execution splits
+    both = pairs.join(own.select(F.col("id").alias("high"), F.col("text").alias("high_text")), "high")
+    both = both.join(own.select(F.col("id").alias("low"), F.col("text").alias("low_text")), "low")
+    return cut(both.select("low", "high", "low_text", "high_text").mapInArrow(run, "low long, high long"))
+
+
+def classes(members: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """id and class_id of every text that is linked to another.
+
+    ``members`` are (bucket, id, weight); ``texts`` are (id, text). A class is a connected
+    component of the links between similar texts that share a bucket. Three rounds find
+    them all without comparing the members of a class among themselves: each bucket's
+    first member with its others; then CENTRES of its members with those of other classes;
+    at last every member outside its bucket's largest class with all members of other
+    classes. After that no pair of a bucket is left that is neither of one class nor
+    compared. Texts whose weights alone forbid the similarity are never compared.
+
+    A bucket of many members is a skewed key of these joins, which adaptive execution splits.
     """
-    found: list[DataFrame] = []
-    first = 1
-    while True:
-        sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"))
-        if sizes.isEmpty():
-            break
-        mine = cut(join_groups(members, sizes, "bucket", "n", F.col("id")))
-        if first == 1:
-            centres = mine.where("id = lead").select("bucket", F.struct("id", "weight").alias("centre"), "n")
+    near = F.least("weight", "weight2") >= F.lit(similar - 1e-9) * F.greatest("weight", "weight2")
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        ends = met.where("id <> id2").where(near)
+        return ends.select(F.least("id", "id2").alias("low"), F.greatest("id", "id2").alias("high")).distinct()
+
+    shared = members.groupBy("bucket").agg(F.min(F.struct("id", "weight")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = shared.select("bucket", F.col("c.id").alias("id2"), F.col("c.weight").alias("weight2"))
+    crowd = cut(members.join(shared, "bucket"))
+    links = _similar_pairs(pairs_of(crowd), texts, similar)
+    labels = components(links)
+    for last in (False, True):
+        placed = crowd.select("bucket", "id", "weight").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        mixed = placed.groupBy("bucket").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("bucket")
+        crowd = cut(placed.join(mixed, "bucket"))
+        other = crowd.select("bucket", F.col("id").alias("id2"), F.col("weight").alias("weight2"), F.col("class_id").alias("class2"))
+        if last:
+            sizes = crowd.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
+            largest = sizes.groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("largest"))
+            chosen = other.join(largest, "bucket").where("class2 <> largest").drop("largest")
         else:
-            nth = F.row_number().over(W.partitionBy("bucket").orderBy("id"))
-            centres = mine.withColumn("nth", nth).where(F.col("nth") <= first).select("bucket", F.struct("id", "weight").alias("centre"), "n")
-        listed = centres.groupBy("bucket").agg(F.sort_array(F.collect_list("centre")).alias("centres"), F.first("n").alias("n"))
-        met = join_groups(mine.select("bucket", "id", "weight", "lead"), listed.withColumnRenamed("n", "size"), "bucket", "size", F.col("id"))
-        met = met.withColumn("is_centre", F.exists("centres", lambda c: c["id"] == F.col("id")))
-        pairs = met.select("id", "weight", "lead", F.explode("centres").alias("c")).where("id > c.id")
-        near = F.least("weight", "c.weight") >= F.lit(similar - 1e-9) * F.greatest("weight", "c.weight")
-        # a pair that isn't compared for its weights alone is known not to be similar
-        compared = cut(_similarities(pairs.where(near).select(F.col("c.id").alias("low"), F.col("id").alias("high")).distinct(), texts))
-        found.append(compared.where(F.col("sim") >= similar).select("low", "high"))
-        rest = met.where(~F.col("is_centre")).select("bucket", "id", "weight", F.col("centres")[0].alias("c"))
-        bound = F.least("weight", "c.weight") / F.greatest("weight", "c.weight")
-        known = compared.select(F.col("low").alias("_low"), F.col("high").alias("id"), "sim")
-        judged = rest.withColumn("_low", F.col("c.id")).join(known, ["_low", "id"], "left").select(
-            "bucket", "id", "weight", F.coalesce("sim", bound).alias("most"))
-        judged = cut(judged)
-        outside = judged.where(F.col("most") < similar).groupBy("bucket").agg(F.max("most").alias("reach"), F.count(F.lit(1)).alias("n_outside"))
-        everyone = judged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_all"))
-        totals = cut(everyone.join(outside, "bucket"))
-        again = join_groups(judged, totals, "bucket", "n_all", F.col("id"))
-        members = again.where((F.col("most") < similar) | (F.col("most") <= F.col("reach") + F.lit(1 - similar + 1e-9))).select("bucket", "id", "weight")
-        first *= 2
-    spark = texts.sparkSession
-    out = spark.createDataFrame([], "low long, high long")
-    for part in found:
-        out = out.union(part)
-    return out.distinct()
+            part = F.pmod(F.xxhash64("id2"), F.lit(CENTRES))
+            firsts = [F.min(F.when(part == j, F.struct("id2", "weight2", "class2"))) for j in range(CENTRES)]
+            found = other.groupBy("bucket").agg(F.array_compact(F.array(*firsts)).alias("c"))
+            chosen = found.select("bucket", F.inline("c"))
+        met = crowd.join(chosen, "bucket").where("class_id <> class2")
+        links = links.unionByName(_similar_pairs(pairs_of(met), texts, similar))
+        labels = components(links)
+    return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,14 +188,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("low", "high").where("low <> high").distinct())
     before = None
     while True:
-        both = now.select(F.col("low").alias("a"), F.col("high").alias("b")).union(now.select(F.col("high").alias("a"), F.col("low").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")))
-        large = join_groups(both.where("b > a"), least, "a", "n", F.col("b")).select(F.col("m").alias("low"), F.col("b").alias("high"))
-        large = cut(large.where("low <> high").distinct())
-        up = cut(large.groupBy("high").agg(F.min("low").alias("m"), F.count(F.lit(1)).alias("n")))
-        joined = join_groups(large, up, "high", "n", F.col("low"))
-        small = joined.select(F.col("m").alias("low"), F.col("low").alias("high")).union(up.select(F.col("m").alias("low"), "high"))
-        now = cut(small.where("low <> high").distinct())
+        # both steps join a node's links to its one row: skewed keys, which adaptive execution splits
+        both = now.union(now.select("high", "low")).toDF("a", "b")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("m").alias("low"), F.col("b").alias("high")).where("low <> high").distinct())
+        up = large.groupBy("high").agg(F.min("low").alias("m"))
+        small = large.join(up, "high").select(F.explode(F.array(F.struct(F.col("m").alias("low"), F.col("low").alias("high")), F.struct(F.col("m").alias("low"), "high"))).alias("e"))
+        now = cut(small.select("e.low", "e.high").where("low <> high").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -201,9 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = cut(sketches.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
     members = texts.select(F.explode("bands").alias("bucket"), "id", "weight")
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-    edges = links(members, whole)
-    classes = components(edges)
-    named = texts.join(classes, "id", "left").select("print", "id", "n", F.coalesce("class_id", "id").alias("class_id"))
+    named = texts.join(classes(members, whole), "id", "left").select("print", "id", "n", F.coalesce("class_id", "id").alias("class_id"))
     placed = cut(join_groups(sketches.select("doc_id", "print"), named, "print", "n", F.col("doc_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     sized = join_groups(placed, sizes, "class_id", "class_size", F.col("doc_id"))
