@@ -1 +1,168 @@
-"""Queries."""
+"""Queries of taxonomy linking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulith.operators import linking as k
+from tabulith.registry import register, table
+
+_PAIRS = "SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM benchmark)"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of benchmark items as names to be found."""
+    words = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
+    return table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", words[0], words[1]).alias("name")).distinct()
+
+
+@register("lk1_evidence_names", """WITH n AS (SELECT DISTINCT p_type AS name FROM part), f AS (SELECT name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS whole FROM n),
+w AS (SELECT name, whole, list_filter(string_split(whole, ' '), lambda x: x NOT IN ('a','an','and','for','in','of','on','the','to','with','by','using') AND x <> '') AS words FROM f)
+SELECT DISTINCT name, unnest([whole] || CASE WHEN len(words) > 1 THEN words ELSE [] END || ['test']) AS evidence FROM w""")
+def lk1_evidence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK1: the evidences of names (part types as datasets)."""
+    return k.evidence_names(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct(), "dataset")
+
+
+@register("lk2_abbreviations", "SELECT * FROM (VALUES ('MT on BLEU', 'machine translation'), ('MT on BLEU', 'mt on bleu'), ('MT on BLEU', 'mt'), ('MT on BLEU', 'bleu'), ('parsing', 'parsing')) AS g(name, evidence)")
+def lk2_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK2: expansions of abbreviations in names."""
+    names = spark.createDataFrame([("MT on BLEU",), ("parsing",)], "name string")
+    short = spark.createDataFrame([("mt", "machine translation"), ("nli", "natural language inference")], "short string, long string")
+    return k.evidence_names(names, "metric", short)
+
+
+@register("lk4_find_names", f"""WITH n AS ({_PAIRS}), c AS (SELECT replace(name, ' ', '') AS key, max(name) AS name FROM n GROUP BY 1),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS l FROM documents),
+r AS (SELECT doc_id, array_to_string(l[i:i + m - 1], '') AS key FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(l))
+SELECT doc_id AS text_id, name, count(*) AS n FROM r JOIN c USING (key) GROUP BY ALL""")
+def lk4_find_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK4: names in every document, whatever their spaces."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return k.find_names(texts, _names(spark, sf_dir))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as mentions: (query, context, evidence, n)."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("query"), (F.col("event_id") % 5).cast("int").alias("context"), F.col("event_type").alias("evidence"))
+    return rows.groupBy("query", "context", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COUNTS = "c AS (SELECT user_id % 40 AS query, (event_id % 5)::INTEGER AS context, event_type AS evidence, count(*) AS n FROM events GROUP BY ALL)"
+_NAMES = [("buy", "click"), ("buy", "purchase"), ("join", "signup"), ("join", "click"), ("look", "view"), ("fail", "error")]
+_NAMES_SQL = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}')" for n, x in _NAMES) + ") AS v(name, evidence))"
+_P = """o AS (SELECT name, evidence, 1.0 / count(*) OVER (PARTITION BY evidence) AS p FROM e), p AS (SELECT name, evidence, p / sum(p) OVER (PARTITION BY name) AS p FROM o)"""
+
+
+def _evidences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_NAMES, "name string, evidence string")
+
+
+@register("lk7_likelihoods", f"WITH {_NAMES_SQL}, {_P} SELECT name, evidence, round(p, 9) AS p FROM p")
+def lk7_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK7: the probability of an evidence given a name."""
+    return k.likelihoods(_evidences(spark)).select("name", "evidence", F.round("p", 9).alias("p"))
+
+
+_NOISE = "CASE context WHEN 0 THEN 0.99 WHEN 3 THEN 0.25 WHEN 4 THEN 0.01 ELSE 1.0 END"
+_AXIS = f"""{_COUNTS}, {_NAMES_SQL}, {_P}, m AS (SELECT DISTINCT name FROM e),
+s AS (SELECT query, m.name, sum(least(n, 3) * ln({_NOISE}::DOUBLE * 0.01::DOUBLE + (1::DOUBLE - {_NOISE}::DOUBLE) * coalesce(p.p, 0)::DOUBLE)) AS logp FROM c CROSS JOIN m LEFT JOIN p ON p.name = m.name AND p.evidence = c.evidence GROUP BY ALL)"""
+
+
+def _axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidences = _evidences(spark)
+    noise = F.array(*map(F.lit, k.NOISE["dataset"]))[F.col("context")]
+    return k.axis_scores(_counts(spark, sf_dir), evidences, k.likelihoods(evidences), noise, 0.01, 3)
+
+
+@register("lk8_axis_loglik", f"WITH {_AXIS} SELECT query, name, round(logp, 6) AS logp FROM s")
+def lk8_axis_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK8: log-likelihoods of names, over five contexts with their noises."""
+    return _axis(spark, sf_dir).select("query", "name", F.round("logp", 6).alias("logp"))
+
+
+@register("lk10_softmax", f"WITH {_AXIS}, x AS (SELECT *, exp(logp - max(logp) OVER (PARTITION BY query)) AS e FROM s) SELECT query, name, round(e / sum(e) OVER (PARTITION BY query), 6) AS confidence FROM x")
+def lk10_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK10: confidences on one axis."""
+    return k.softmax_by_query(_axis(spark, sf_dir), ["name"]).select("query", "name", F.round("confidence", 6).alias("confidence"))
+
+
+_TAXONOMY = [("buy", "join", "look"), ("buy", "look", "fail"), ("join", "buy", "look"), ("look", "fail", "buy")]
+_TAX_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in _TAXONOMY) + ") AS v(task, dataset, metric))"
+
+
+@register("lk11_topk", f"""WITH {_AXIS}, {_TAX_SQL}, j AS (SELECT a.query, task, dataset, metric, a.logp + b.logp + c2.logp AS lp FROM t JOIN s a ON a.name = task JOIN s b ON b.name = dataset AND b.query = a.query JOIN s c2 ON c2.name = metric AND c2.query = a.query),
+x AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY query)) AS e FROM j), y AS (SELECT query, task, dataset, metric, e / sum(e) OVER (PARTITION BY query) AS confidence, 0 AS lone FROM x),
+b AS (SELECT query, arg_max(name, (round(logp, 9), name)) AS name FROM s GROUP BY query), z AS (SELECT * FROM y UNION ALL SELECT query, name, name, name, 0.79, 1 FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(confidence, 9) DESC, lone, task, dataset, metric)::INTEGER AS rank FROM z)
+SELECT query, rank, task, dataset, metric, round(confidence, 6) AS confidence FROM r WHERE rank <= 3""")
+def lk11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK9 to LK11, TK1: the three best taxonomy rows of every query, the independent one among them."""
+    scores = _axis(spark, sf_dir)
+    taxonomy = spark.createDataFrame(_TAXONOMY, "task string, dataset string, metric string")
+    found = k.link({a: scores for a in k.AXES}, taxonomy, 3)
+    return found.select("query", "rank", *k.AXES, F.round("confidence", 6).alias("confidence"))
+
+
+@register("lk5_contexts")
+def lk5_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK5, LK6: mentions in every document by axis, datasets less the rest."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    names = _names(spark, sf_dir).select(F.col("name").alias("evidence"))
+    single = names.select(F.split("evidence", " ")[0].alias("evidence"))
+    return k.context_counts(texts, {"task": single, "dataset": names.union(single), "metric": names})
+
+
+@register("lk12_cell_proposals")
+def lk12_cell_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK12: numeric cells of a small table with what stands before them."""
+    from tabulith.plans.flagship import SAMPLE_CELLS
+
+    cells = spark.createDataFrame(SAMPLE_CELLS, "paper_id string, table_name string, row int, col int, value string, tag string")
+    rows = k.cell_proposals(cells, ["paper_id", "table_name"])
+    return rows.select("row", "col", "value", F.transform("model_values", lambda v: v["value"]).alias("models"), F.transform("dataset_values", lambda v: v["value"]).alias("datasets"))
+
+
+@register("f28_complements", "SELECT * FROM (VALUES ('t', 'd', 'Accuracy', 'Accuracy'), ('t', 'd', 'Error', 'Accuracy'), ('t', 'd', 'F1', 'F1')) AS g(task, dataset, metric, true_metric)")
+def f28_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a taxonomy with complements of its metrics."""
+    taxonomy = spark.createDataFrame([("t", "d", "Accuracy"), ("t", "d", "F1")], "task string, dataset string, metric string")
+    return k.complement_metrics(taxonomy, spark.createDataFrame([("accuracy", "Error")], "metric string, complement string"))
+
+
+@register("lk15_acronyms", "SELECT * FROM (VALUES (1::BIGINT, 'NMT', 'neural machine translation'), (2, 'QA', 'question answering')) AS g(text_id, short, long)")
+def lk15_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame([(1, "We use neural machine translation (NMT) here (XY)."), (2, "on question answering (QA)")], "text_id long, text string")
+    return k.acronyms(texts)
+
+
+@register("f29_dictionary", "SELECT DISTINCT p_brand AS name, lower(split_part(p_type, ' ', 1)) AS evidence FROM part WHERE lower(split_part(p_type, ' ', 1)) NOT IN ('a', 'the')")
+def f29_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a manual dictionary as a table, stop words left out."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("evidence"))
+    return rows.where(~F.col("evidence").isin("a", "the")).distinct()
+
+
+@register("lk3_index_keys", f"SELECT replace(name, ' ', '') AS key, max(name) AS name FROM ({_PAIRS}) GROUP BY 1")
+def lk3_index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LK3: names by their form without spaces; one name a key."""
+    return _names(spark, sf_dir).groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("key")).agg(F.max("name").alias("name"))
+
+
+@register("ud8_flagship")
+def ud8_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD8: cells of a paper to the results that its leaderboards keep."""
+    from tabulith.plans.flagship import sample_results
+
+    return sample_results(spark)
+
+
+@register("ud6_explanations", "SELECT * FROM (VALUES ('p1/table_01/1.1', NULL), ('p1/table_01/2.1', 'replaced by p1/table_01/1.1')) AS g(cell_ext_id, reason)")
+def ud6_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD6: why a cell is no result."""
+    from tabulith.plans.flagship import sample_explained
+
+    return sample_explained(spark).select("cell_ext_id", "reason")
+
+

@@ -1 +1,69 @@
-"""Queries."""
+"""Queries of bibliographies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulith.functions import text as t
+from tabulith.operators import references as r
+from tabulith.registry import register, table
+
+_FRAGMENTS = [("p", 1, "Intro", "a"), ("p", 2, "xxanchor-bib X", "old"), ("p", 3, "Appendix", "b"), ("p", 4, "xxanchor-bib R", "xxanchor-bib1 A. Title one. "), ("p", 5, "xxanchor-bib R", "xxanchor-bib xxanchor-bib2 B. Title two"), ("p", 6, "Notes", "c")]
+
+
+def _bibliography(spark: SparkSession) -> DataFrame:
+    return r.bibliography(spark.createDataFrame(_FRAGMENTS, "paper_id string, `order` int, header string, text string"))
+
+
+@register("w8_bibliography", "SELECT * FROM (VALUES ('p', 0, 'xxanchor-bib xxanchor-bib2 B. Title two'), ('p', 1, 'xxanchor-bib1 A. Title one. ')) AS g(paper_id, nth, text)")
+def w8_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bibliography(spark)
+
+
+@register("f20_refs", "SELECT * FROM (VALUES ('p', 0, 'bib2', 'B. Title two'), ('p', 1, 'bib1', 'A. Title one.')) AS g(paper_id, nth, ref_id, ref_str)")
+def f20_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.reference_lines(_bibliography(spark))
+
+
+@register("rf3_merge_refs", """WITH k AS (SELECT array_to_string(string_split_regex(lower(regexp_replace(p_type, '[^a-zA-Z0-9 ]', ' ', 'g')), ' +'), '-') AS uid, * FROM part)
+SELECT uid, arg_max(p_type, p_partkey) AS title, arg_max(p_brand, p_partkey) AS authors, list_sort(list_distinct(list(p_brand))) AS orig_refs FROM k GROUP BY uid""")
+def rf3_merge_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RF3: parts as references of the same title."""
+    part = table(spark, sf_dir, "part")
+    title = F.regexp_replace("p_type", "[^a-zA-Z0-9 ]", " ")
+    rows = part.select(F.col("p_partkey").alias("seen"), title.alias("title"), F.col("p_brand").alias("authors"), F.lit(None).cast("string").alias("idno"), F.lit(None).cast("string").alias("arxiv_id"), F.col("p_brand").alias("orig_ref"))
+    return r.merge_references(rows).select("uid", "title", "authors", "orig_refs")
+
+
+_LOOK = ["J. Doe. A deep study of nets in vision. 2015", "nothing known"]
+
+
+@register("rf4_lookup", "SELECT 'J. Doe. A deep study of nets in vision. 2015' AS ref_str, 'deep-study-of-nets' AS uid")
+def rf4_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RF4: a known title within a reference string."""
+    known = spark.createDataFrame([("deep-study-of-nets",), ("deep-study-of",), ("other-title-here",)], "uid string")
+    return r.lookup(spark.createDataFrame([(x,) for x in _LOOK], "ref_str string"), known)
+
+
+_TEI = '<biblStruct><analytic><title level="a">On things</title><author><persName><forename>A</forename><surname>Doe</surname></persName></author><idno type="arXiv">1602.01234</idno></analytic><monogr><imprint><date when="2016"/></imprint></monogr></biblStruct>'
+
+
+@register("rf2_tei", "SELECT 'b1' AS ref_id, 'On things' AS title, ['Doe'] AS surnames, '2016' AS date, '1602.01234' AS arxiv_id")
+def rf2_tei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.parse_tei(spark.createDataFrame([("b1", _TEI)], "ref_id string, tei string"))
+
+
+@register("f16_shortened", "SELECT * FROM (VALUES (0, 'J. Doe. A title.   , 2016'), (1, 'https://arxiv.org/abs:1701.00001')) AS g(id, ref)")
+def f16_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: references without an identifier that words lead to; addresses stay whole."""
+    rows = spark.createDataFrame([(0, "J. Doe. A title. arXiv:1602.01234v1, 2016"), (1, "https://arxiv.org/abs:1701.00001")], "id int, s string")
+    return rows.select("id", F.regexp_replace(t.without_arxiv_id(F.col("s")), "\\. +, ", ".   , ").alias("ref"))
+
+
+@register("f18_artefacts", "SELECT * FROM (VALUES (0, 'a  b'), (1, ' title'), (2, '[1] Smith paper')) AS g(id, value)")
+def f18_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what typesetting and venues leave in references."""
+    rows = spark.createDataFrame([(0, "a \\BBA b"), (1, "NIPS 2014. title"), (2, "[AB12] Smith paper")], "id int, s string")
+    value = F.when(F.col("id") == 0, t.strip_latex_artefacts(F.col("s"))).when(F.col("id") == 1, F.concat(F.lit(" "), t.strip_conferences(F.col("s")))).otherwise(t.strip_anchor(F.col("s")))
+    return rows.select("id", value.alias("value"))
