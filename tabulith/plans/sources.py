@@ -1 +1,190 @@
-"""Queries."""
+"""Queries of sources and sinks: what is written is read again and compared."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import json
+import tarfile
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulith import schemas
+from tabulith.registry import register, table
+from tabulith.sources import archives, readers, sinks
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: beside the checkpoints, else a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    name = tempfile.mkdtemp(prefix="tabulith-") if base is None else f"{base}/{tempfile.mktemp(prefix='tabulith-', dir='').lstrip('/')}"
+    return name
+
+
+def _local(files: dict[str, str | bytes]) -> str:
+    """Small files for a reader, in a local folder (these queries are about formats, not about size)."""
+    root = Path(tempfile.mkdtemp(prefix="tabulith-"))
+    for name, content in files.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content if isinstance(content, bytes) else content.encode())
+    return str(root)
+
+
+@register("sc1_csv_cells", "SELECT * FROM (VALUES (0, 0, 'a'), (0, 1, 'b,\"c\"'), (1, 0, ''), (1, 1, '2')) AS g(row, col, value)")
+def sc1_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _local({"p/table_01.csv": 'a,"b,""c"""\n,2\n', "p/empty.csv": ""})
+    return readers.read_csv_cells(spark, path).select("row", "col", "value")
+
+
+@register("sc2_papers_csv", "SELECT '1602.01234' AS arxiv_id, 10::BIGINT AS archive_size, 'ab' AS sha256, 'A, title' AS title, 'success' AS status, 3 AS sections, 2 AS tables")
+def sc2_papers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_papers_csv(spark, _local({"papers.csv": 'arxiv_id,archive_size,sha256,title,status,sections,tables\n1602.01234,10,ab,"A, title",success,3,2\n'}))
+
+
+_ANNOTATED = [{"arxiv_id": "1", "sha256": "x", "fold": "img", "tables": [{"index": 0, "leaderboard": True, "ablation": False, "dataset_text": "d", "segmentation": [["", "model-best"]], "records": [{"task": "t", "dataset": "d", "metric": "m", "value": "9", "model": "o", "row": 0, "column": 1}]}]}, {"arxiv_id": "2", "sha256": "y", "fold": "test", "tables": []}]
+
+
+@register("sc3_annotations", "SELECT '1' AS arxiv_id, 0 AS table_index, 't' AS task, 'd' AS dataset, 'm' AS metric, '9' AS value, 'o' AS model, 0 AS row, 1 AS \"column\"")
+def sc3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC3: records of annotated tables; papers without tables have none."""
+    return readers.annotation_records(readers.read_annotations(spark, _local({"a.json": json.dumps(_ANNOTATED)})))
+
+
+_DUMP = {"data": {"allPapers": {"edges": [{"node": {"arxivId": "1602.01234v2", "goldTags": "g", "tableSet": {"edges": [{"node": {"name": "t1", "datasetText": "d", "notes": "", "goldTags": "leaderboard", "matrixGoldTags": [["a"]], "cellsSotaRecords": "{}", "parser": "latexml"}}]}}}]}}}
+
+
+@register("sc4_graphql_dump", "SELECT * FROM (VALUES ('1602.01234v2', '1602.01234v2', 1::BIGINT), ('1602.01234', '1602.01234v2', 1)) AS g(key, arxiv_id, tables)")
+def sc4_graphql_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC4, SC6: a compressed dump under its exact and its version-less key."""
+    path = _local({"dump.json.gz": gzip.compress(json.dumps(_DUMP).encode())})
+    return readers.annotations_by_key(readers.read_graphql_dump(spark, path)).select("key", "arxiv_id", F.size("tables").cast("long").alias("tables"))
+
+
+@register("sc7_texts", "SELECT '1602.01234' AS paper_id, 'T' AS title, 2::BIGINT AS fragments")
+def sc7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = {"title": "T", "authors": "A", "abstract": "", "fragments": [{"paper_id": "x", "order": 1000, "header": "h", "text": "a"}, {"paper_id": "x", "order": 1001, "header": "h", "text": "b"}]}
+    return readers.read_texts(spark, _local({"papers/1602.01234/text.json": json.dumps(doc)})).select("paper_id", "title", F.size("fragments").cast("long").alias("fragments"))
+
+
+@register("sc8_tables", "SELECT * FROM (VALUES ('1602.1', 'table_01', 'C', 0, 0, 'x', 'border-t'), ('1602.1', 'table_01', 'C', 0, 1, 'y', '')) AS g(paper_id, table_name, caption, row, col, raw_value, layout)")
+def sc8_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = [{"filename": "table_01.csv", "layout": "layout_01.csv", "caption": "C", "figure_id": "S1.T1"}]
+    path = _local({"1602.1/metadata.json": json.dumps(meta), "1602.1/table_01.csv": "x,y\n", "1602.1/layout_01.csv": "border-t,\n"})
+    return readers.read_tables(spark, path).drop("figure_id")
+
+
+@register("sc12_proposals", "SELECT * FROM (VALUES ('p/t/1.1', '', 0.5::DOUBLE, NULL::DOUBLE), ('p/t/2.1', 'm', 0.9, 3.0)) AS g(cell_ext_id, model, confidence, parsed)")
+def sc12_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC12, SK6: proposals written and read again: only numbers may be null."""
+    rows = [("p/t/1.1", "d", "m", "t", "{x}", "-", "", "", 0.5, None, "", ""), ("p/t/2.1", "d", "m", "t", "{x}", "3", "m", "", 0.9, 3.0, "", "")]
+    path = _folder(spark)
+    sinks.save_csv(spark.createDataFrame(rows, schemas.PROPOSALS), path)
+    return readers.read_proposals(spark, path).select("cell_ext_id", "model", "confidence", "parsed")
+
+
+@register("sc16_archives", "SELECT * FROM (VALUES ('1602.00001', 'success', 'main.tex'), ('1602.00002v1', 'success', 'a.tex'), ('1602.00003', 'no-tex', NULL), ('1602.00004', 'withdrawn', NULL)) AS g(paper_id, status, name)")
+def sc16_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC16, TX18: archives of every kind, and the identifiers in their names."""
+    data = io.BytesIO()
+    with tarfile.open(fileobj=data, mode="w:gz") as tar:
+        content = b"\\documentclass{article}"
+        info = tarfile.TarInfo("src/a.tex")
+        info.size = len(content)
+        tar.addfile(info, io.BytesIO(content))
+    path = _local({"1602.00001.gz": gzip.compress(b"\\documentclass{x}"), "1602.00002v1.tar.gz": data.getvalue(), "1602.00003.pdf": b"%PDF-1.4" + b"x" * 200, "1602.00004.gz": gzip.compress(b"%auto-ignore")})
+    return archives.read_archives(spark, path).select("paper_id", "status", "name")
+
+
+@register("sc17_temp_paper", "SELECT 1::BIGINT AS n, 36::BIGINT AS width")
+def sc17_temp_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.temp_paper(spark, "<p>x</p>").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("paper_id")).cast("long").alias("width"))
+
+
+@register("sc18_glue", "SELECT '7' AS guid, 'a' AS text_a, 'b' AS text_b, 'entailment' AS label")
+def sc18_glue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = "index\tx\n" + "\t".join(["7", *"1234567", "a", "b", "c", "entailment"]) + "\n"
+    return readers.read_glue(spark, _local({"dev.tsv": lines}))
+
+
+@register("sc20_surnames", "SELECT * FROM (VALUES ('doe'), ('roe')) AS g(surname)")
+def sc20_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_surnames(spark, _local({"names.json": '{"doe": 3, "roe": 1}'}))
+
+
+@register("sc11_json_cache", "SELECT 'p' AS paper, 2 AS n")
+def sc11_json_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_json_cache(spark, _local({"c.json": '[{"paper": "p", "n": 2}]'}), "paper string, n int")
+
+
+@register("sk1_save_tables", "SELECT (o_orderkey % 4)::INTEGER AS paper_id, count(*) AS cells FROM orders GROUP BY 1")
+def sk1_save_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK1: cells written by paper and read again."""
+    cells = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("paper_id"), F.lit("table_01").alias("table_name"), F.col("o_orderkey").alias("row"), F.lit(0).alias("col"), F.col("o_orderstatus").alias("value"))
+    path = _folder(spark)
+    sinks.save_tables(cells, path)
+    return spark.read.parquet(path).groupBy("paper_id").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@register("sk2_save_text", "SELECT count(*) AS papers FROM pages")
+def sk2_save_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK2: fragments of all pages as one document for each paper (partitioned coarsely)."""
+    from tabulith.sources.html import fragments
+
+    rows = fragments(table(spark, sf_dir, "pages"), "page_id")
+    by_page = rows.groupBy("page_id").agg(F.first("title", True).alias("title"), F.sort_array(F.collect_list(F.struct("order", "header", "text"))).alias("fragments"))
+    path = _folder(spark)
+    sinks.save_json(by_page, path)
+    return spark.read.schema("page_id long, title string").json(path).agg(F.count(F.lit(1)).alias("papers"))
+
+
+@register("sk3_upsert_delete", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY c_nationkey")
+def sk3_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK3: one paper written again, another deleted; the others stay."""
+    rows, path = table(spark, sf_dir, "customer"), _folder(spark)
+    sinks.upsert(rows.select("c_custkey", "c_nationkey"), path, "c_nationkey")
+    sinks.upsert(rows.where("c_nationkey = 5").select("c_custkey", "c_nationkey"), path, "c_nationkey")
+    left = sinks.delete(spark.read.parquet(path), spark.createDataFrame([(3,)], "c_nationkey int"), "c_nationkey")
+    return left.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sk5_sharded", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def sk5_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK5: shards read together."""
+    path = _folder(spark)
+    sinks.save_sharded(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), path, 4, "o_custkey")
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sk7_experiments", "SELECT * FROM (VALUES ('nbsvm', 1, 0.8::DOUBLE), ('nbsvm', 2, 0.9)) AS g(name, n_grams, accuracy)")
+def sk7_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK7, SC14: experiments saved and loaded with their results."""
+    from tabulith.operators.experiments import Experiment, experiments_grid, load_experiments, save_experiments
+
+    path = _folder(spark)
+    runs = experiments_grid(Experiment(), n_grams=[1, 2])
+    save_experiments(spark, list(zip(runs, [{"accuracy": 0.8}, {"accuracy": 0.9}])), path)
+    return load_experiments(spark, path).select("name", "n_grams", F.col("results")["accuracy"].alias("accuracy"))
+
+
+@register("sk11_legend", "SELECT count(*) AS n FROM (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12)) AS v(x)")
+def sk11_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK11: the legend of cell tags."""
+    return tag_legend(spark).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_legend(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("", "other"), ("model-best", "the paper's best model"), ("model-paper", "a model of the paper"), ("model-ensemble", "an ensemble of the paper"), ("model-competing", "a model of another paper"), ("model-params", "settings of a model"),
+        ("dataset", "a data set"), ("dataset-sub", "a part of a data set"), ("dataset-task", "a task"), ("dataset-metric", "a metric"), ("table-meta", "what describes cells"), ("trash", "broken content"),
+    ]
+    return spark.createDataFrame(rows, "tag string, description string")
+
+
+@register("sk10_sections", "SELECT doc_id, 1 AS found FROM documents WHERE contains(lower(substr(text, 1, 60)), 'the')")
+def sk10_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK10: fragments whose header has a name in it."""
+    return table(spark, sf_dir, "documents").where(F.lower(F.substring("text", 1, 60)).contains("the")).select("doc_id", F.lit(1).alias("found"))
