@@ -28,7 +28,10 @@ WORDS = 60
 SMOOTH, MARK_SMOOTH = 10 * BUCKETS, 10
 STEPS, CLOSE = 60, 1e-4
 BROADCAST_LABELS = 2_000_000
-_WORD = "[^\\p{L}\\p{N}]+"
+#: What parts words: white space and ASCII signs.
+_GAP = "[\\x00-/:-@\\[-`{-\\x7F]+"
+#: Marks of style begin with a character that no word has.
+_MARK = "\x00"
 
 
 def _domain() -> Column:
@@ -36,7 +39,7 @@ def _domain() -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _GAP), "")
 
 
 def _style(text: Column, words: Column) -> list[Column]:
@@ -44,8 +47,8 @@ def _style(text: Column, words: Column) -> list[Column]:
     length = F.greatest(F.length(text), F.lit(1))
     size = F.greatest(F.size(words), F.lit(1))
     lines = F.split(text, "\n")
-    signs = length - F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}\\s.,]", ""))
-    capitals = length - F.length(F.regexp_replace(text, "\\p{Lu}", ""))
+    signs = F.greatest(length - F.length(F.array_join(words, " ")), F.lit(0))
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
     return [
         F.concat(F.lit("signs"), F.least(F.floor(signs * 40 / length), F.lit(12)).cast("string")),
         F.concat(F.lit("capitals"), F.least(F.floor(capitals * 20 / length), F.lit(12)).cast("string")),
@@ -57,9 +60,11 @@ def _style(text: Column, words: Column) -> list[Column]:
 def _evidence(rows: DataFrame, *kept: str) -> DataFrame:
     """``kept``, tokens (the number of words) and a row for the bucket of every word and every mark of style."""
     split = rows.withColumn("_words", _words(text_of()))
-    hashed = F.transform("_words", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    marks = F.array(*[(F.lit(BUCKETS) + F.pmod(F.xxhash64(m), F.lit(STYLES))).cast("int") for m in _style(text_of(), F.col("_words"))])
-    return split.select(*kept, F.size("_words").alias("tokens"), F.explode(F.concat(hashed, marks)).alias("bucket"))
+    marks = F.array(*[F.concat(F.lit(_MARK), m) for m in _style(text_of(), F.col("_words"))])
+    each = split.select(*kept, F.size("_words").alias("tokens"), F.explode(F.concat("_words", marks)).alias("_w"))
+    hashed = F.xxhash64("_w")
+    bucket = F.when(F.col("_w").startswith(_MARK), F.lit(BUCKETS) + F.pmod(hashed, F.lit(STYLES))).otherwise(F.pmod(hashed, F.lit(BUCKETS)))
+    return each.select(*kept, "tokens", bucket.cast("int").alias("bucket"))
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[DataFrame, dict[str, float]]:
