@@ -162,7 +162,8 @@ def proposal_rows(proposals: DataFrame, links: DataFrame, metric_info: DataFrame
     rows = proposals.select("cell_ext_id", F.col("value").alias("raw_value"), model.alias("model"), kind.alias("struct_model_type"), data.alias("struct_dataset"))
     info = metric_info.select(F.col("metric").alias("true_metric"), "range")
     met = rows.join(links, "cell_ext_id").join(info, "true_metric", "left")
-    parsed = convert_metric(F.col("raw_value"), F.coalesce("range", F.lit("")), F.col("metric") != F.col("true_metric")).cast("double")
+    met = met.withColumn("_range", F.coalesce("range", F.lit(""))).withColumn("_flip", F.col("metric") != F.col("true_metric"))
+    parsed = convert_metric(F.col("raw_value"), F.col("_range"), F.col("_flip")).cast("double")
     form = F.when(F.col("raw_value").contains("%"), "{x}%").otherwise("{x}")
     return met.select("cell_ext_id", "task", "dataset", F.col("true_metric").alias("metric"), form.alias("format"), "raw_value", "model", F.col("struct_model_type").alias("model_type"), "confidence", parsed.alias("parsed"), "struct_model_type", "struct_dataset")
 
