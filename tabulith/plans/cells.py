@@ -101,7 +101,8 @@ def tb28_match_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.match_tables(rows, rows.withColumn("table_name", F.concat(F.lit("new"), "table_name")))
 
 
-@register("tb29_match_captions")
+@register("tb29_match_captions", """WITH k AS (SELECT p_partkey % 50 AS paper_id, p_partkey, regexp_replace(lower(p_name), '[\\s!-/:-@\\[-`{-~]+', '', 'g') AS key FROM part)
+SELECT paper_id, 'new' || min(p_partkey) AS table_name, min(p_partkey)::VARCHAR AS old_name FROM k WHERE length(key) >= 10 GROUP BY paper_id, key HAVING count(*) = 1""")
 def tb29_match_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB29: tables matched by unique captions."""
     rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("paper_id"), F.col("p_partkey").cast("string").alias("table_name"), F.concat(F.lit("Table 1: "), "p_name").alias("caption"))

@@ -114,7 +114,7 @@ def lk5_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.context_counts(texts, {"task": single, "dataset": names.union(single), "metric": names})
 
 
-@register("lk12_cell_proposals")
+@register("lk12_cell_proposals", "SELECT * FROM (VALUES (1, 1, '93.1%', ['Ours'], ['SQuAD']), (2, 1, '91%', ['Ours small'], ['SQuAD'])) AS g(row, col, value, models, datasets)")
 def lk12_cell_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LK12: numeric cells of a small table with what stands before them."""
     from tabulith.plans.flagship import SAMPLE_CELLS
@@ -150,7 +150,7 @@ def lk3_index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("key")).agg(F.max("name").alias("name"))
 
 
-@register("ud8_flagship")
+@register("ud8_flagship", "SELECT 'SQuAD' AS dataset, 'F1' AS metric, 'Question Answering' AS task, 'Ours' AS model, 93.1::DOUBLE AS score")
 def ud8_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD8: cells of a paper to the results that its leaderboards keep."""
     from tabulith.plans.flagship import sample_results

@@ -120,7 +120,7 @@ def f12_metric_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PM = ["91.2 ± 0.3", "12%", "3.5 ±1.2 %", "a 4 b 5%"]
 
 
-@register("f13_plus_minus")
+@register("f13_plus_minus", "SELECT * FROM (VALUES (0, [91.2::DOUBLE]), (1, [0.12::DOUBLE]), (2, [3.5::DOUBLE]), (3, [4::DOUBLE, 0.05::DOUBLE])) AS g(id, value)")
 def f13_plus_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, "s", _PM).select("id", v.plus_minus_values(F.col("s")).alias("value"))
 

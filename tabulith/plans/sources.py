@@ -7,6 +7,7 @@ import io
 import json
 import tarfile
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,8 @@ from tabulith.sources import archives, readers, sinks
 
 def _folder(spark: SparkSession) -> str:
     """A new folder where all executors can write: beside the checkpoints, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    name = tempfile.mkdtemp(prefix="tabulith-") if base is None else f"{base}/{tempfile.mktemp(prefix='tabulith-', dir='').lstrip('/')}"
-    return name
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base}/tabulith-{uuid.uuid4().hex}"
 
 
 def _local(files: dict[str, str | bytes]) -> str:

@@ -176,3 +176,50 @@ def test_text_edges(spark):
     row = spark.createDataFrame([("Müller’s (x)–test",)], "s string")
     assert row.select(t.norm_dataset_ws(F.col("s"))).first()[0] == "muller s (x) test"
     assert row.select(t.limit_context(F.lit("a b c <b>x</b> d e f"), 2)).first()[0] == "b c <b>x</b> d e"
+
+
+def test_phrases_are_brute_force(spark):
+    random.seed(9)
+    words = "abcd"
+    texts = [(i, " ".join(random.choice(words) for _ in range(12))) for i in range(30)]
+    asked = [(q, " ".join(random.choice(words) for _ in range(3))) for q in range(6)]
+    got = {(r["query_id"], r["frag_id"]): r["score"] for r in search.phrase_matches(spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(texts, "frag_id int, text string"), 1).collect()}
+    want = {}
+    df = {w: sum(t.split().count(w) for _, t in texts) for w in words}
+    for q, phrase in asked:
+        parts = phrase.split()
+        lead = min(range(len(parts)), key=lambda i: (df[parts[i]], i))
+        for f, text in texts:
+            tokens = text.split()
+            score = 0
+            for pos in (i for i, w in enumerate(tokens) if w == parts[lead]):
+                start, cost = pos - lead, 0
+                for i, w in enumerate(parts):
+                    near = [d for d in (0, 1) for at in (start + i + d, start + i - d) if 0 <= at < len(tokens) and tokens[at] == w]
+                    cost += min(near, default=2)
+                score += cost <= 1
+            if score:
+                want[q, f] = score
+    assert got == want
+
+
+def test_match_tables(spark):
+    cell = lambda name, values, tag: [("p", name, i, 0, v, tag) for i, v in enumerate(values)]
+    old = spark.createDataFrame(cell("a", ["x", "y", "z"], "t") + cell("b", ["k", "l", "m"], "u"), "paper_id string, table_name string, row int, col int, value string, tag string")
+    new = spark.createDataFrame([r[:5] for r in cell("n1", ["k", "l", "q"], "") + cell("n2", ["new", "words", "only"], "")], "paper_id string, table_name string, row int, col int, value string")
+    assert [(r["table_name"], r["old_name"], r["hits"]) for r in cells.match_tables(old, new).collect()] == [("n1", "b", 2)]
+
+
+def test_contexts_subtract(spark):
+    texts = spark.createDataFrame([(1, "parsing with f1 on squad squad"), (2, "f1 f1 score")], "text_id int, text string")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "evidence string")
+    got = {(r["text_id"], r["axis"], r["evidence"]): r["n"] for r in linking.context_counts(texts, {"task": names("parsing"), "dataset": names("squad", "f1"), "metric": names("f1", "f1 score")}).collect()}
+    assert got == {(1, "task", "parsing"): 1, (1, "metric", "f1"): 1, (1, "dataset", "squad"): 2, (2, "metric", "f1"): 2, (2, "metric", "f1score"): 1}
+
+
+def test_shingles_and_evidence(spark):
+    assert spark.range(1).select(t.shingles(t.taxonomy_words(F.lit("WikiQA's Set2")), 1, 2)).first()[0] == ["wiki", "qa", "set", "2", "wiki qa", "qa set", "set 2"]
+    frags = spark.createDataFrame([(1, "p", "h", "the big model wins"), (2, "q", "h", "a big model"), (3, "p", "h", "see xxref bib7 here")], "frag_id int, paper_id string, header string, text string")
+    asked = spark.createDataFrame([("p/t/0/0", "p", "big model", ""), ("p/t/0/1", "p", "12", ""), ("p/t/0/2", "p", "unseen words", "bib7")], "ext_id string, paper_id string, cell_content string, cell_reference string")
+    got = sorted((r["ext_id"], r["this_paper"], r["frag_id"] or 0) for r in search.evidences(asked, frags).collect())
+    assert got == [("p/t/0/0", False, 2), ("p/t/0/0", True, 1), ("p/t/0/1", True, 0), ("p/t/0/2", True, 3)]
