@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def strings(column: pa.Array, at_once: int = 200) -> Iterator[str]:
+    """The texts of an Arrow column one by one, nulls as empty; few of them exist at a time."""
+    for start in range(0, len(column), at_once):
+        for text in column.slice(start, at_once).to_pylist():
+            yield text or ""
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column, null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

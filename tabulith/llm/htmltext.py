@@ -16,6 +16,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabulith.llm.common import strings
+
 #: Lines in a window, and the characters that a window must hold where text surges
 #: (less where no window of the page has as many).
 WINDOW, SURGE = 3, 86
@@ -227,7 +229,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column("html").to_pylist()]
+            texts = [main_text(h) for h in strings(batch.column("html"))]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import cut, join_groups, text_of
+from tabulith.llm.common import cut, join_groups, strings, text_of
 
 #: Documents that must have a key for its lines to go.
 MIN_DOCS = 10
@@ -171,8 +171,8 @@ def _candidates(docs: DataFrame, filters: DataFrame) -> DataFrame:
         tables = {s: CuckooFilter.from_bytes(f) for s, f in shipped.value.items()}
         for batch in batches:
             rows, keys = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                own = {line.strip(_WHITE).translate(_FOLD) for line in (text or "").split("\n")}
+            for i, text in enumerate(strings(batch.column("text"))):
+                own = {line.strip(_WHITE).translate(_FOLD) for line in text.split("\n")}
                 own.discard("")
                 rows += [i] * len(own)
                 keys += [hashlib.md5(k.encode()).digest() for k in own]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.bpe import chunks
-from tabulith.llm.common import cut, join_groups
+from tabulith.llm.common import cut, join_groups, strings
 from tabulith.llm.shingles import cells, mix, similarity
 
 #: Bands and coordinates in a band: two texts of similarity 0.8 share a bucket with probability 0.9998.
@@ -29,8 +29,8 @@ SIMILAR = 0.8
 CENTRES = 8
 #: Characters of text whose shingles a worker holds while it compares.
 HELD = 4_000_000
-#: Texts to be compared are found by a broadcast of up to so many identifiers (16 bytes each), else by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Texts of up to so many pairs are found by a broadcast of their identifiers (16 MB at most), else by a shuffle.
+BROADCAST_IDS = 500_000
 #: Characters of text whose signatures are made at once.
 CHUNK = 1_000_000
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -73,7 +73,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in chunks([t or "" for t in batch.column("text").to_pylist()], CHUNK):
+            for texts in chunks(strings(batch.column("text")), CHUNK):
                 shingle, starts = cells(texts)
                 weight = np.diff(starts)
                 some = weight > 0

@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabulith.llm.common import strings
+
 SPACE = "▁"
 #: Most chunks whose counts a Python worker remembers; when full it starts afresh.
 CACHED = 1_000_000
@@ -158,9 +160,11 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n = [tokens(t) for t in texts]
-            made = [[len(t.encode()) for t in texts], n, [x > limit for x in n]]
+            sizes, n = [], []
+            for text in strings(batch.column("text")):
+                sizes.append(len(text.encode()))
+                n.append(tokens(text))
+            made = [sizes, n, [x > limit for x in n]]
             kinds = [pa.int64(), pa.int64(), pa.bool_()]
             columns = [batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(made, kinds))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import cut
+from tabulith.llm.common import cut, strings
 
 #: What Kneser-Ney takes from every count.
 DISCOUNT = 2
@@ -34,7 +34,7 @@ FITTED = 20_000
 #: Labels up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Most words whose odds a worker remembers.
-CACHED = 400_000
+CACHED = 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -73,12 +73,12 @@ def continuation_counts(labelled: DataFrame) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             parts = []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for text, toxic in zip(strings(batch.column("text")), batch.column("toxic").to_pylist()):
                 found = np.fromiter(map(hashes.__getitem__, words(text)), np.int64)
                 if len(found):
                     before = np.r_[0, found[:-1]] >> 31 << 1 | int(toxic == 1)
                     parts.append(np.stack([found, before], 1))
-                if sum(map(len, parts)) > 2_000_000:
+                if sum(map(len, parts)) > 500_000:
                     yield _unique(parts)
                     parts = []
             if parts:
@@ -158,7 +158,7 @@ def _with_features(rows: DataFrame, odds: Odds, kept: list[str]) -> DataFrame:
         model, known, hashes = shipped.value, {}, _Hashes()
         for batch in batches:
             made = []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 found = words(text)
                 if len(known) > CACHED:
                     known.clear()
