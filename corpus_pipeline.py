@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the fitted rates say."""
-    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"))
+    """Documents come as often as the fitted rates say; no domain is raised to its share by repeating what the stages before have left of it."""
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), repeat=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

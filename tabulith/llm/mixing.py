@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabulith.llm.common import cut, text_of
 
 #: The domains and the share of all tokens that each shall have. The first sets the total: it keeps its own tokens.
-TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
+TARGETS = {"good": 0.91, "low": 0.06, "toxic": 0.03}
 #: Buckets that words are hashed to: the classifier is a table of that many rows.
 BUCKETS = 1 << 14
 #: Buckets of the marks of style, which follow those of the words.
@@ -122,13 +122,14 @@ def _largest_eigenvalue(matrix: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float]) -> DataFrame:
+def fit_rates(members: DataFrame, targets: dict[str, float], repeat: bool = True) -> DataFrame:
     """``members`` with rate: the rates, starting from 1, whose domain totals match the targets.
 
     Minimises the sum over domains of (total - target)^2 / own tokens by projected gradient
     steps in the metric of the documents' tokens, until every total is within CLOSE of the
     tokens in all or after STEPS steps. A target for a domain without tokens can't be met
-    and is left out.
+    and is left out. Without ``repeat`` a domain that is short of its target keeps its own
+    tokens in place of having its documents repeated.
     """
     domains = list(targets)
     p = {d: F.col(f"p_{d}") for d in domains}
@@ -142,21 +143,32 @@ def fit_rates(members: DataFrame, targets: dict[str, float]) -> DataFrame:
     share = sum(targets[d] for d in domains)
     total = own[domains[0]] / (targets[domains[0]] / share) if targets[domains[0]] else sum(own.values())
     wanted = {d: targets[d] / share * total for d in domains}
-    step = 1.0 / _largest_eigenvalue([[gram[a, b] / math.sqrt(own[a] * own[b]) for b in domains] for a in domains])
-    table, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
+    if not repeat:
+        wanted = {d: min(w, own[d]) for d, w in wanted.items()}
+    least = 1.0 / _largest_eigenvalue([[gram[a, b] / math.sqrt(own[a] * own[b]) for b in domains] for a in domains])
+    table, rate, before = members.withColumn("rate", F.lit(1.0)).withColumn("_before", F.lit(1.0)), F.col("rate"), F.col("_before")
+    step, last = least, None
     for k in range(STEPS):
-        found = table.agg(*[F.sum(F.col("tokens") * p[d] * rate) for d in domains]).first()
-        excess = {d: (found[i] or 0.0) - wanted[d] for i, d in enumerate(domains)}
+        moved = F.sum(F.col("tokens") * (rate - before) * (rate - before))
+        found = table.agg(*[F.sum(F.col("tokens") * p[d] * rate) for d in domains], moved).first()
+        totals = {d: found[i] or 0.0 for i, d in enumerate(domains)}
+        excess = {d: totals[d] - wanted[d] for d in domains}
         if max(map(abs, excess.values())) <= CLOSE * sum(own.values()):
             break
+        if last is not None:
+            # Barzilai and Borwein's length: what the last step moved, over what it changed; documents at 0 let it grow
+            bent = sum((totals[d] - last[d]) ** 2 / own[d] for d in domains)
+            step = min(max((found[len(domains)] or 0.0) / bent, least), 1e4 * least) if bent > 0 else least
+        last = totals
         slope = sum((p[d] * F.lit(step * excess[d] / own[d]) for d in domains), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - slope)
-        if k % 12 == 11:  # before the expression grows too long
-            table, rate = cut(table.withColumn("rate", rate)), F.col("rate")
-    return table.withColumn("rate", rate)
+        rate, before = F.greatest(F.lit(0.0), rate - slope), rate
+        if k % 10 == 9:  # before the expression grows too long
+            table = cut(table.withColumn("_next", rate).withColumn("_before", before).drop("rate").withColumnRenamed("_next", "rate"))
+            rate, before = F.col("rate"), F.col("_before")
+    return table.withColumn("rate", rate).drop("_before")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeat: bool = True) -> DataFrame:
     """doc_id, tokens, p_<domain>, rate and copies of every row of ``docs``.
 
     ``copies`` is the rate rounded up or down with the probability of its fraction, by a
@@ -169,12 +181,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     model, priors = train(docs, labels, list(targets))
     members = cut(memberships(docs, model, priors))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return fit_rates(members, targets).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return fit_rates(members, targets, repeat).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeat: bool = True) -> DataFrame:
     """Each row of ``docs`` as often as mix() says (rows without doc_id once), all columns unchanged."""
-    rates = mix(docs, labels, targets).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("copies").alias("_copies"))
+    rates = mix(docs, labels, targets, repeat).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("copies").alias("_copies"))
     times = F.coalesce("_copies", F.lit(1).cast("long"))
     joined = docs.join(rates, "doc_id", "left").where(times > 0)
     repeated = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), times)))
