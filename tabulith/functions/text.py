@@ -29,7 +29,7 @@ def squeeze(text: Column) -> Column:
 
 def drop_mentions(text: Column) -> Column:
     """without anchor and reference tokens."""
-    return F.regexp_replace(text, "(xxtable-)?xxanchor-[^ ]*|xxref-[^ ]*", "")
+    return F.regexp_replace(text, "xxref-[^ ]*|(?:xxtable-)?xxanchor-[^ ]*", "")
 
 
 _HYPHENS = "[-_'`–’→]"
@@ -96,7 +96,7 @@ def strip_version(paper_id: Column) -> Column:
     return F.regexp_replace(paper_id, "v[0-9]+$", "")
 
 
-_ARXIV = "(?i)((?:arxiv|preprint|corr abs?)\\s*)*[:/]([12][0-9]{3}\\.[0-9]{4,5})(v[0-9]+)?"
+_ARXIV = "(?i)((?:preprint|arxiv|corr abs?)\\s*)*[:/]([12][0-9]{3}\\.[0-9]{4,5})(v[0-9]+)?"
 
 
 def arxiv_id(reference: Column) -> Column:
@@ -134,17 +134,17 @@ def until_first_sign(text: Column) -> Column:
 
 def strip_anchor(reference: Column) -> Column:
     """a leading '[key]' or 'Author (2019)' becomes '[1] '."""
-    return F.regexp_replace(F.concat(F.lit(" "), reference), "^((?:\\s+[^\\s]+){1,5}\\s*[(\\[][12][0-9]{3}[a-zA-Z]{0,3}[\\])] |\\s*\\[[a-zA-Z0-9_ .]{1,30}\\]\\s*)", "[1] ")
+    return F.regexp_replace(F.concat(F.lit(" "), reference), "^((?:\\s+[^\\s]+){1,5}\\s*[(\\[][12][0-9]{3}[A-Za-z]{0,3}[\\])] |\\s*\\[[\\w .]{1,30}\\]\\s*)", "[1] ")
 
 
-_ARTEFACTS = ("BBA", "BBCP", "BBCQ", "BBOP", "BBOQ", "BCAY", "Bem", "citename")
+_ARTEFACTS = ("citename", "Bem", "BCAY", "BBOQ", "BBCQ", "BBOP", "BBCP", "BBA")
 
 
 def strip_latex_artefacts(text: Column) -> Column:
     return F.regexp_replace(text, "|".join("\\\\" + a for a in _ARTEFACTS), "")
 
 
-VENUES = ("nips", "neurips", "emnlp", "acl", "corr", "ai magazine", "machine learning", "arxiv.org")
+VENUES = ("arxiv.org", "acl", "machine learning", "corr", "neurips", "ai magazine", "nips", "emnlp")
 
 
 def strip_conferences(title: Column) -> Column:
@@ -176,7 +176,7 @@ def best_title_part(title: Column, surnames: Column | None = None) -> Column:
     return F.rtrim(F.regexp_replace(F.when(F.size(parts) == 1, parts[0]).otherwise(F.array_max(scored)["part"]), "[ .]+$", ""))
 
 
-_PUNCTUATION = "".join("\\" + c for c in string.punctuation) + "“”¨«»®´·º½¾¿¡§£₤‘’"
+_PUNCTUATION = "".join("\\" + c for c in string.punctuation) + "¡¿«»‘’“”§®£₤½¾º·´¨"
 
 
 def tokenize(text: Column, keep_tags: bool = False) -> Column:
@@ -218,7 +218,7 @@ def fold_tokens(text: Column, mask: bool = False, split_tags: bool = False, numb
 
 def snake_case(name: Column) -> Column:
     """PF10."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "(.)([A-Z](?:[a-z]+))", "$1_$2"), "([0-9a-z])([A-Z])", "$1_$2"))
 
 
 def camel_case(name: Column) -> Column:
@@ -247,17 +247,17 @@ def clean_abstract(text: Column) -> Column:
 
 def clear_spaces(text: Column) -> Column:
     """TB12."""
-    return F.trim(F.regexp_replace(text, "[\\r\\n]+|\\s{2,}", " "))
+    return F.trim(F.regexp_replace(text, "[\\n\\r]+|\\s\\s+", " "))
 
 
 def clear_styles(text: Column) -> Column:
     """TB15: without style tags around white space and without closed and reopened ones."""
-    tags = "(bold|italic|red|green|blue)"
+    tags = "(red|green|blue|bold|italic)"
     out = F.regexp_replace(text, f"<{tags}>(\\s*)</\\1>", "$2")
     return F.trim(F.regexp_replace(out, f"</{tags}>(\\s*)<\\1>", "$2"))
 
 
-_REF = "<ref id='([^']*)'>(.*?)</ref>"
+_REF = "<ref id='([^']*+)'>(.*?)</ref>"
 
 
 def references_in(text: Column) -> Column:
@@ -278,7 +278,7 @@ def remove_references(text: Column) -> Column:
 
 def remove_styles(text: Column) -> Column:
     """TB22."""
-    return F.regexp_replace(text, "</?(bold|italic|red|green|blue)>", "")
+    return F.regexp_replace(text, "</?(red|green|blue|bold|italic)>", "")
 
 
 def cell_value(raw: Column) -> Column:
@@ -294,10 +294,10 @@ def match_key(text: Column) -> Column:
 
 def raw_to_html(raw: Column) -> Column:
     """SK9: style and reference markup as HTML."""
-    out = F.regexp_replace(raw, "</(bold|italic|red|green|blue)>", "</span>")
-    out = F.regexp_replace(out, "<(bold|italic|red|green|blue)>", "<span class=\"text-$1\">")
+    out = F.regexp_replace(raw, "</(red|green|blue|bold|italic)>", "</span>")
+    out = F.regexp_replace(out, "<(red|green|blue|bold|italic)>", "<span class=\"text-$1\">")
     out = F.replace(out, F.lit("</ref>"), F.lit("</a>"))
-    return F.regexp_replace(out, "<ref id='([^']*)'>", "<a title=\"$1\">")
+    return F.regexp_replace(out, "<ref id='([^']*+)'>", "<a title=\"$1\">")
 
 
 def is_alpha_cell(text: Column) -> Column:
@@ -312,7 +312,7 @@ def is_text_cell(text: Column) -> Column:
 
 def is_number_cell(text: Column) -> Column:
     """PF3."""
-    return F.trim(text).rlike("(^[± Ee/()^0-9.%,_+-]{2,}$)|(^\\s*[0-9]\\s*$)")
+    return F.trim(text).rlike("^[-+±0-9eE.,%^_/() ]{2,}$|^\\s*[0-9]\\s*$")
 
 
 def type_flags(original: Column, text: Column, query: Column) -> Column:
@@ -351,7 +351,7 @@ def shingles(words: Column, low: int = 1, high: int = 5, glue: str = " ") -> Col
 
 def taxonomy_words(text: Column) -> Column:
     """EV4: words split at case changes and digits, lower-cased."""
-    split = F.regexp_replace(F.regexp_replace(text, "'s\\b", ""), "([a-z])([A-Z])", "$1 $2")
+    split = F.regexp_replace(F.regexp_replace(text, "'s\\b", ""), "(\\p{Lower})([A-Z])", "$1 $2")
     split = F.regexp_replace(F.regexp_replace(split, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
     return F.filter(F.split(F.lower(split), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 

@@ -191,14 +191,14 @@ def label_cells(cells: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame
 def consume(cells: DataFrame, keys: list[str]) -> DataFrame:
     """TB33: cells as evidence needs them: content, first reference, layout, whether styled."""
     return cells.select(*keys, "row", "col", F.trim("value").alias("cell_content"), F.coalesce(F.get("refs", F.lit(0)), F.lit("")).alias("cell_reference"),
-                        F.col("layout").alias("cell_layout"), F.col("raw_value").rlike("</?(bold|italic|red|green|blue)>").alias("cell_styles"))
+                        F.col("layout").alias("cell_layout"), F.col("raw_value").rlike("</?(red|green|blue|bold|italic)>").alias("cell_styles"))
 
 
 def layout_features(cells: DataFrame, keys: list[str]) -> DataFrame:
     """ML7: sixteen features of 1 or -1: borders, reference, style, spans, place at an edge."""
     last_row, last_col = F.max("row").over(W.partitionBy(*keys)), F.max("col").over(W.partitionBy(*keys))
     tests = [F.col("cell_layout").contains(f"border-{x}") for x in "tblr"] + [F.col("cell_reference") != "", F.col("cell_styles")]
-    tests += [F.col("cell_layout").contains(f"span-{x}") for x in ("cb", "ci", "ce", "rb", "ri", "re")]
+    tests += [F.col("cell_layout").contains(f"span-{x}") for x in (kind + part for kind in "cr" for part in "bie")]
     tests += [F.col("row") == 0, F.col("row") == last_row, F.col("col") == 0, F.col("col") == last_col]
     return cells.withColumn("features", F.array(*[F.when(x, 1.0).otherwise(-1.0) for x in tests]))
 

@@ -16,8 +16,9 @@ AXES = ("task", "dataset", "metric")
 #: What an unexplained mention is worth on each axis, and how often one counts.
 BACKGROUND = {"task": 0.01, "dataset": 0.001, "metric": 0.01}
 REPEATS = {"task": 3, "dataset": 1, "metric": 1}
-#: The noise of the five contexts (paper, abstract, table mentions, caption, cell) on each axis.
-NOISE = {"dataset": (0.99, 1.0, 1.0, 0.25, 0.01), "metric": (0.99, 1.0, 1.0, 0.25, 0.01), "task": (0.1, 1.0, 1.0, 0.1, 0.1)}
+#: The noise of each context: for data sets and metrics, and for tasks.
+CONTEXTS = {"paper": (0.99, 0.1), "abstract": (1.0, 1.0), "mentions": (1.0, 1.0), "caption": (0.25, 0.1), "cell": (0.01, 0.1)}
+NOISE = {axis: tuple(pair[axis == "task"] for pair in CONTEXTS.values()) for axis in AXES}
 INDEPENDENT = 0.79
 
 

@@ -25,7 +25,7 @@ def bibliography(fragments: DataFrame) -> DataFrame:
 
 def reference_lines(lines: DataFrame) -> DataFrame:
     """ref_id and ref_str of bibliography lines; other lines are left out."""
-    pattern = "^\\s*(?:xxanchor-bib\\s)?xxanchor-([a-zA-Z0-9-]+)\\s(.+)$"
+    pattern = "^\\s*(?:xxanchor-bib\\s)?xxanchor-([-A-Za-z0-9]+)\\s(.+)$"
     rows = lines.withColumn("ref_id", F.regexp_extract("text", pattern, 1)).where("ref_id <> ''")
     return rows.withColumn("ref_str", F.trim(F.regexp_extract("text", pattern, 2))).drop("text")
 

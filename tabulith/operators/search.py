@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+STOP_WORDS = tuple(
+    "a be if of an in on no to or as is at it by and the are for was not but such with will then into this that they there these their".split()
+)
 
 
 def analyse(text: Column, stop_words: bool = False) -> Column:

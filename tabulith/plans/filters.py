@@ -139,7 +139,7 @@ def pf1_alpha_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", t.is_alpha_cell(F.col("p_name")).alias("alpha"), t.is_text_cell(F.col("p_type")).alias("texty"))
 
 
-@register("pf3_numeric_cells", "SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS w FROM documents) WHERE regexp_matches(trim(w), '(^[± Ee/()^0-9.%,_+-]{2,}$)|(^\\s*[0-9]\\s*$)')")
+@register("pf3_numeric_cells", "SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS w FROM documents) WHERE regexp_matches(trim(w), '^[-+±0-9eE.,%^_/() ]{2,}$|^\\s*[0-9]\\s*$')")
 def pf3_numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \\n]")).alias("w"))
     return words.where(t.is_number_cell(F.col("w"))).distinct()

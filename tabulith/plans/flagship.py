@@ -62,4 +62,4 @@ def sample_explained(spark: SparkSession) -> DataFrame:
 
 def sample_results(spark: SparkSession) -> DataFrame:
     """The results of the sample paper: dataset, metric, task, model, score."""
-    return filters.kept(_sample(spark)).select("dataset", "metric", "task", "model", F.col("parsed").alias("score"))
+    return filters.kept(_sample(spark)).select("task", "dataset", "metric", "model", F.col("parsed").alias("score"))

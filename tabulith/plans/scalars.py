@@ -26,7 +26,7 @@ def _ascii(column: str) -> Column:
 
 _SQL_ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"
 _DOC = "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS s FROM documents"
-_DROP = "regexp_replace(s, '(xxtable-)?xxanchor-[^ ]*|xxref-[^ ]*', '', 'g')"
+_DROP = "regexp_replace(s, 'xxref-[^ ]*|(?:xxtable-)?xxanchor-[^ ]*', '', 'g')"
 
 
 def _per_document(name: str, sql_expr: str, make) -> None:
@@ -99,7 +99,7 @@ def f11_extract_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "word", v.extract_value(F.col("word")).cast("double").alias("value"))
 
 
-_RAW = ["0.21", "0.21%", "21", "21%", "12.3 ± 0.4", "± 0.4", "1,234.5", "(93.1)", "21 %", "1e-3", "-5%", "1", ".5", "0", "100", "150", "-", ""]
+_RAW = ["21%", "0.21", "21", "0.21%", "12.3 ± 0.4", "± 0.4", "1,234.5", "(93.1)", "21 %", "1e-3", "-5%", "1", ".5", "0", "100", "150", "-", ""]
 _VALUE_SQL = f"""WITH s AS (SELECT * FROM {_sql_values(_RAW)}), r AS (SELECT * FROM (VALUES ('0-1'), ('1-100'), ('abs'), ('')) AS r(rng)),
 c AS (SELECT * FROM (VALUES (true), (false)) AS c(flip)),
 k AS (SELECT id, s, contains(s, '%') AS pct, trim(translate(replace(regexp_replace(s, '\\s+%', '%', 'g'), ',', ''), '()', '  ')) AS clean FROM s),
@@ -112,7 +112,7 @@ SELECT id, rng, flip, round(CASE rng WHEN '0-1' THEN q / 100 WHEN '1-100' THEN q
 @register("f12_metric_convert", _VALUE_SQL)
 def f12_metric_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw value in every range, plain and complemented."""
-    cases = _rows(spark, "s", _RAW).withColumn("rng", F.explode(F.array(*map(F.lit, ("0-1", "1-100", "abs", "")))))
+    cases = _rows(spark, "s", _RAW).withColumn("rng", F.explode(F.array(*map(F.lit, ("abs", "1-100", "0-1", "")))))
     cases = cases.withColumn("flip", F.explode(F.array(F.lit(True), F.lit(False))))
     return cases.select("id", "rng", "flip", F.round(v.convert_metric(F.col("s"), F.col("rng"), F.col("flip")).cast("double"), 8).alias("value"))
 
@@ -239,7 +239,7 @@ def f33_query_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAMEL = ["cellsSotaRecords", "goldTags", "arxivId", "tableSet", "plain"]
 
 
-@register("pf10_case_names", f"""SELECT id, lower(regexp_replace(regexp_replace(s, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake, s AS camel FROM {_sql_values(_CAMEL)}""")
+@register("pf10_case_names", f"""SELECT id, lower(regexp_replace(regexp_replace(s, '(.)([A-Z](?:[a-z]+))', '\\1_\\2', 'g'), '([0-9a-z])([A-Z])', '\\1_\\2', 'g')) AS snake, s AS camel FROM {_sql_values(_CAMEL)}""")
 def pf10_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, "s", _CAMEL).select("id", t.snake_case(F.col("s")).alias("snake"))
     return rows.select("id", "snake", t.camel_case(F.col("snake")).alias("camel"))
@@ -255,7 +255,7 @@ def tb15_clear_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("tb19_cell_build", f"""
 SELECT id, list_transform(regexp_extract_all(s, '<ref id=''([^'']*)''>(.*?)</ref>', 1), lambda r: replace(r, '-', '')) AS refs,
-  regexp_replace(regexp_replace(regexp_replace(s, '<ref id=''[^'']*''>\\s*([0-9]+)\\s*</ref>', '\\1', 'g'), '<ref id=''[^'']*''>\\s*(.*?)\\s*</ref>', '[\\1]', 'g'), '</?(bold|italic|red|green|blue)>', '', 'g') AS value,
+  regexp_replace(regexp_replace(regexp_replace(s, '<ref id=''[^'']*''>\\s*([0-9]+)\\s*</ref>', '\\1', 'g'), '<ref id=''[^'']*''>\\s*(.*?)\\s*</ref>', '[\\1]', 'g'), '</?(red|green|blue|bold|italic)>', '', 'g') AS value,
   regexp_replace(regexp_replace(s, '<ref id=''([^'']*)''>(.*?)</ref>', '', 'g'), '\\(\\s*\\)|\\[\\s*\\]', '', 'g') AS bare
 FROM {_sql_values(_CELLS)}""")
 def tb19_cell_build(spark: SparkSession, sf_dir: str) -> DataFrame:

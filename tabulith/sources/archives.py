@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _AUX = (
-    "rebuttal\\s+|instructions\\s+(for\\s+\\\\confname|.*proceedings)|(supplementary|supplemental)\\s+materials?"
-    "|appendix|author\\s+guidelines|ieeetran\\.cls|formatting\\s+instructions"
+    "appendix|supplement(?:ary|al)\\s+materials?|author\\s+guidelines|rebuttal\\s+|ieeetran\\.cls"
+    "|formatting\\s+instructions|instructions\\s+(?:.*proceedings|for\\s+\\\\confname)"
 )
 
 

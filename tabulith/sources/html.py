@@ -114,6 +114,9 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+_LINK = "#[0-9A-Za-z]+"
+
+
 def simple(identifier: str) -> str:
     return identifier.replace(".", "")
 
@@ -121,8 +124,8 @@ def simple(identifier: str) -> str:
 def flat(*nodes: Node | str) -> str:
     """TX4."""
     out = re.sub(r"[ \n\xa0]+", " ", " ".join(n if isinstance(n, str) else n.text() for n in nodes))
-    out = re.sub(r"[;,()]* (#[A-Za-z0-9]+) [;,()]*", r" \1 ", out)
-    return re.sub(r" (#[A-Za-z0-9]+) *\1 ", r" \1 ", out).strip()
+    out = re.sub(f"[(),;]* ({_LINK}) [(),;]*", r" \1 ", out)
+    return re.sub(rf" ({_LINK}) *\1 ", r" \1 ", out).strip()
 
 
 def mark_anchors(root: Node) -> None:
@@ -242,20 +245,25 @@ def fragments(pages: DataFrame, key: str = "paper_id", html: str = "html") -> Da
     return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, title string, authors string, abstract string, `order` int, header string, text string")
 
 
-_BOLD = re.compile(r"(^|;)\s*font-weight:\s*(bold|700|800|900)\s*(;|$)")
-_ITALIC = re.compile(r"(^|;)\s*font-style:\s*italic\s*(;|$)")
-_COLOUR = re.compile(r"(^|;)\s*color:\s*(#[0-9A-Fa-f]{3,6}|red|green|blue)\s*(;|$)")
+_SPACES = re.compile(r"[\n\r]+|\s\s+")
+_HEX = re.compile("#[0-9a-f]{3,6}")
+_HEAVY = frozenset(("bold", "700", "800", "900"))
 _SPAN_TABLES = {"ltx_tabular": "table", "ltx_tr": "tr", "ltx_th": "th", "ltx_tbody": "tbody", "ltx_thead": "thead", "ltx_td": "td", "ltx_tfoot": "tfoot"}
 
 
+def declared(style: str) -> dict[str, str]:
+    """The declarations of a style attribute."""
+    return {name.strip().lower(): value.strip() for name, _, value in (part.partition(":") for part in style.split(";"))}
+
+
 def colour_of(style: str) -> str | None:
     """TB8: red, green or blue if that channel is more than twice each other one."""
-    found = _COLOUR.search(style)
-    if not found:
+    value = declared(style).get("color", "").lower()
+    if value in ("red", "green", "blue"):
+        return value
+    if not _HEX.fullmatch(value):
         return None
-    if found[2][0] != "#":
-        return found[2]
-    digits = found[2][1:]
+    digits = value[1:]
     digits = digits if len(digits) == 6 else (digits * 2)[:6]
     channels = dict(zip(("red", "green", "blue"), (int(digits[k : k + 2], 16) for k in (0, 2, 4))))
     for name, value in channels.items():
@@ -280,7 +288,7 @@ def _prepare(root: Node) -> None:
             node.remove()
     for inner in root.having("ltx_tabular"):
         if inner.above(lambda n: "ltx_tabular" in n.classes) is not None:
-            for node in [inner, *inner.named("tr", "td", "th", "colgroup", "tbody", "thead", "tfoot", "col")]:
+            for node in [inner, *inner.named("col", "colgroup", "tbody", "td", "tfoot", "th", "thead", "tr")]:
                 node.name = "div"
 
 
@@ -292,10 +300,13 @@ def _mark_cells(table: Node) -> None:
     for node in nodes:
         if node.name == "a" and node.attrs.get("href", "").startswith("#"):
             node.wrap(f"<ref id='{node.attrs['href'][1:].replace('.', '-')}'>", "</ref>")
-    maths = [(node, [c for c in node.classes if c.startswith("MJXc-TeX-")]) for node in nodes]
-    for tag, own, style, ending in (("bold", "ltx_font_bold", _BOLD, r"^MJXc-TeX-\w*-BI?$"), ("italic", "ltx_font_italic", _ITALIC, r"^MJXc-TeX-\w*-B?I$")):
-        for node, fonts in maths:
-            if own in node.classes or style.search(node.attrs.get("style", "")) or any(re.match(ending, c) for c in fonts):
+    for tag, own, styled, ending in (
+        ("bold", "ltx_font_bold", lambda s: s.get("font-weight") in _HEAVY, ("-B", "-BI")),
+        ("italic", "ltx_font_italic", lambda s: s.get("font-style") == "italic", ("-I", "-BI")),
+    ):
+        for node in nodes:
+            fonts = [c for c in node.classes if c.startswith("MJXc-TeX-")]
+            if own in node.classes or styled(declared(node.attrs.get("style", ""))) or any(c.endswith(ending) for c in fonts):
                 node.wrap(f"<{tag}>", f"</{tag}>")
     for node in nodes:
         if "color" in node.attrs.get("style", "") and (colour := colour_of(node.attrs["style"])):
@@ -363,14 +374,14 @@ def table_rows(html: str) -> Iterator[tuple]:
                 continue
         _mark_cells(table)
         captions = figure.named("figcaption") if figure is not None else []
-        caption = re.sub(r"[\r\n]+|\s{2,}", " ", captions[0].text().strip()) if captions else None
+        caption = _SPACES.sub(" ", captions[0].text().strip()) if captions else None
         lines = grid(table)
         if not lines:
             continue
         width = max(map(len, lines))
         for r, line in enumerate(lines):
             for c, (cell, cs, rs) in enumerate(line + [(Node("td", {}, None), 1, 1)] * (width - len(line))):
-                value = re.sub(r"[\r\n]+|\s{2,}", " ", cell.text().strip())
+                value = _SPACES.sub(" ", cell.text().strip())
                 borders = [x[11:] for x in cell.classes if x.startswith("ltx_border_")]
                 align = [x[10:] for x in cell.classes if x.startswith("ltx_align_")]
                 yield index, caption, table.attrs.get("data-figure-id"), r, c, value, borders, align, "ltx_th" in cell.classes, cs, rs

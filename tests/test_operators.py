@@ -12,10 +12,9 @@ from tabulith.functions import values as v
 from tabulith.operators import cells, evaluation, filters, linking, search, sets
 from tabulith.sources import html
 
-RANGES = ("0-1", "1-100", "abs", "")
 PLAIN = {"0-1": (0.21, 0.0021, 0.21, 0.21), "1-100": (21, 0.21, 21, 21), "abs": (0.21, 0.0021, 21, 0.21), "": (0.21, 0.21, 21, 21)}
 TURNED = {"0-1": (0.79, 0.9979, 0.79, 0.79), "1-100": (79, 99.79, 79, 79), "": (0.79, 99.79, 79, 79)}
-RAW = ("0.21", "0.21%", "21", "21%")
+RAW = tuple(number + unit for number in ("0.21", "21") for unit in ("", "%"))
 
 
 def test_metric_conversion(spark):
