@@ -176,7 +176,7 @@ def pf14_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(part == 0, "test").when(part == 1, "valid").otherwise("train").alias("split"))
 
 
-@register("pf15_align", "SELECT region_rows.c_nationkey, count(*) - count(*) % 8 AS kept FROM customer region_rows GROUP BY c_nationkey")
+@register("pf15_align", "SELECT region_rows.c_nationkey, count(*) - count(*) % 8 AS kept FROM customer region_rows GROUP BY c_nationkey HAVING count(*) >= 8")
 def pf15_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF15: groups cut to a multiple of the batch."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
