@@ -28,11 +28,11 @@ SIMILAR = 0.8
 #: Members of a bucket that are compared with all its others in the second round.
 CENTRES = 8
 #: Characters of text whose shingles a worker holds while it compares.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Texts of up to so many pairs are found by a broadcast of their identifiers (16 MB at most), else by a shuffle.
 BROADCAST_IDS = 500_000
 #: Characters of text whose signatures are made at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 

@@ -10,7 +10,7 @@ import xxhash
 #: Words in a shingle.
 WORDS = 5
 #: Most words whose hashes a worker remembers.
-CACHED = 250_000
+CACHED = 100_000
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -35,7 +35,7 @@ FITTED = 20_000
 #: Labels up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Most words whose odds a worker remembers.
-CACHED = 200_000
+CACHED = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -79,7 +79,7 @@ def continuation_counts(labelled: DataFrame) -> DataFrame:
                 if len(found):
                     before = np.r_[0, found[:-1]] >> 31 << 1 | int(toxic == 1)
                     parts.append(np.stack([found, before], 1))
-                if sum(map(len, parts)) > 500_000:
+                if sum(map(len, parts)) > 250_000:
                     yield _unique(parts)
                     parts = []
             if parts:
