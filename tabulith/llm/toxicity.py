@@ -19,15 +19,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulith.llm.common import cut, strings
+from tabulith.llm.common import cut, strings, text_of
 
 #: What Kneser-Ney takes from every count.
 DISCOUNT = 2
-#: Cells of each of the two rows of the count sketch that the workers hold: 16 MB at most.
-CELLS = 1 << 20
+#: Most telling words whose counts the workers hold: 16 MB. Where there are more, the
+#: most frequent are held, and texts meet the counts of the others in a shuffled join.
+HELD = 1 << 20
 #: Words of the stretches whose likelihoods are compared besides the whole text's.
 STRETCHES = (1, 4)
 #: About the most labelled texts that the logistic curve is fitted on (three numbers each).
@@ -98,44 +101,60 @@ def _unique(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 class Odds:
-    """log P(word | toxic) - log P(word | ordinary), from counts in a sketch of fixed size.
+    """log P(word | toxic) - log P(word | ordinary), from exact counts.
 
-    Only words with more than the discount in a class are in it: the others have the odds
-    of the two back-off weights, as if they had never been seen.
+    ``held`` has the counts of telling words (more than the discount in a class) by their
+    hashes, all of them or the most frequent ones; what else is telling is in a table, and
+    comes with the rows. Other words have the odds of the two back-off weights, as if
+    they had never been seen.
     """
 
-    def __init__(self, cells: pa.Table, totals: dict[str, float]) -> None:
-        self.counts = np.zeros((2, 2, CELLS), np.float32)  # class, row, cell
-        if cells.num_rows:
-            row, cell = cells["row"].to_numpy(), cells["cell"].to_numpy()
-            self.counts[0, row, cell] = cells["ordinary"].to_numpy()
-            self.counts[1, row, cell] = cells["toxic"].to_numpy()
+    def __init__(self, held: pa.Table, totals: dict[str, float]) -> None:
+        order = np.argsort(held["word"].to_numpy())
+        self.words = held["word"].to_numpy()[order]
+        self.counts = np.stack([held[c].to_numpy()[order].astype(np.uint32) for c in ("ordinary", "toxic")])
         self.total = np.maximum(1.0, [totals["ordinary"], totals["toxic"]])
         taken = np.array([totals["taken_ordinary"], totals["taken_toxic"]])
         self.weight = np.maximum(taken, 1e-9) / self.total
         self.shared = max(1.0, taken.sum())
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        cells = hashes & (CELLS - 1), hashes >> 21 & (CELLS - 1)
-        found = np.minimum(self.counts[:, 0, cells[0]], self.counts[:, 1, cells[1]])
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words' counts are, and which of them are held."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return at, self.words[at] == hashes
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        """The odds of words with these counts, ordinary and toxic."""
         shared = np.maximum(np.minimum(found, DISCOUNT).sum(0), 1) / self.shared
         p = np.maximum(found - DISCOUNT, 0) / self.total[:, None] + self.weight[:, None] * shared
         return np.log(p[1]) - np.log(p[0])
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at, known = self.find(hashes)
+        found = np.zeros((2, len(hashes)))
+        found[:, known] = self.counts[:, at[known]]
+        return self.of(found)
+
 
-def train_odds(labelled: DataFrame) -> Odds:
-    """The odds of words, from all labelled texts of folds 1 to 3."""
+def train_odds(labelled: DataFrame) -> tuple[Odds, DataFrame | None]:
+    """The odds of words, from all labelled texts of folds 1 to 3, and the counts of the telling words that aren't held."""
     counts = cut(continuation_counts(labelled.where("fold < 4")))
     taken = [F.sum(F.least(F.lit(DISCOUNT), c)).alias(f"taken_{c}") for c in ("ordinary", "toxic")]
     totals = counts.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *taken).first().asDict()
-    telling = counts.where(F.greatest("ordinary", "toxic") > DISCOUNT)
-    places = F.array(
-        F.struct(F.lit(0).alias("row"), F.col("word").bitwiseAND(F.lit(CELLS - 1)).alias("cell")),
-        F.struct(F.lit(1).alias("row"), F.shiftright("word", 21).bitwiseAND(F.lit(CELLS - 1)).alias("cell")),
-    )
-    cells = telling.select(F.explode(places).alias("at"), "ordinary", "toxic").groupBy("at.row", "at.cell")
-    table = cells.agg(F.sum("ordinary").cast("float").alias("ordinary"), F.sum("toxic").cast("float").alias("toxic")).toArrow()
-    return Odds(table, {k: float(v or 0) for k, v in totals.items()})
+    telling = counts.where(F.greatest("ordinary", "toxic") > DISCOUNT).withColumn("level", F.floor(F.log2(F.col("ordinary") + F.col("toxic")) * 4))
+    # words by frequency, a few hundred levels at most: the lowest down to which all can be held
+    lowest, n = None, 0
+    levels = sorted(((r["level"], r["count"]) for r in telling.groupBy("level").count().collect()), reverse=True)
+    for level, size in levels:
+        n += size
+        if n > HELD:
+            break
+        lowest = level
+    held = telling.where(F.lit(False) if lowest is None else F.col("level") >= lowest).drop("level").toArrow()
+    rest = None if n <= HELD else telling.where(F.lit(True) if lowest is None else F.col("level") < lowest).drop("level")
+    return Odds(held, {k: float(v or 0) for k, v in totals.items()}), rest
 
 
 def features(odds: np.ndarray) -> list[float]:
@@ -151,27 +170,60 @@ def features(odds: np.ndarray) -> list[float]:
     return [float(sums[-1] / n), *best]
 
 
-def _with_features(rows: DataFrame, odds: Odds, kept: list[str]) -> DataFrame:
-    """The columns ``kept`` and the features of every row's text. One pass, no shuffle."""
-    shipped = rows.sparkSession.sparkContext.broadcast(odds)
+def _counts_of_rest(keyed: DataFrame, odds: Broadcast, rest: DataFrame) -> DataFrame:
+    """_text (digest of a text) and _more: the counts of its words that are in ``rest``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            texts, found = [], []
+            for key, text in zip(batch.column("_text"), strings(batch.column("text"))):
+                own = np.fromiter(map(hashes.__getitem__, set(words(text))), np.int64)
+                own = own[~odds.value.find(own)[1]]
+                texts += [key.as_py()] * len(own)
+                found.append(own)
+                if len(texts) > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(np.concatenate(found))], ["_text", "word"])
+                    texts, found = [], []
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(np.concatenate(found))], ["_text", "word"])
+
+    unheld = keyed.select("_text", "text").mapInArrow(run, "_text binary, word long").distinct()
+    met = unheld.join(rest, "word")
+    return met.groupBy("_text").agg(F.collect_list(F.struct("word", "ordinary", "toxic")).alias("_more"))
+
+
+def _with_features(rows: DataFrame, trained: tuple[Odds, DataFrame | None], kept: list[str]) -> DataFrame:
+    """The columns ``kept`` and the features (_features) of every row's text. One pass without a shuffle where all telling words are held."""
+    shipped, rest = rows.sparkSession.sparkContext.broadcast(trained[0]), trained[1]
+    rows = rows.select(*dict.fromkeys([*kept, "text"]))
+    more_counts = rest is not None
+    if more_counts:
+        rows = rows.withColumn("_text", F.unhex(F.md5(text_of().cast("binary"))))
+        rows = rows.join(_counts_of_rest(rows, shipped, rest), "_text", "left").drop("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, hashes = shipped.value, {}, _Hashes()
         for batch in batches:
             made = []
-            for text in strings(batch.column("text")):
+            for i, text in enumerate(strings(batch.column("text"))):
                 found = words(text)
                 if len(known) > CACHED:
                     known.clear()
                 new = [w for w in set(found) if w not in known]
                 if new:
                     known.update(zip(new, model(np.fromiter(map(hashes.__getitem__, new), np.int64)).tolist()))
-                made.append(features(np.fromiter(map(known.__getitem__, found), np.float64, len(found))))
+                odds = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
+                if more_counts and (more := batch.column("_more")[i].as_py()):
+                    counts = np.array([[r["ordinary"], r["toxic"]] for r in more], float).T
+                    own = dict(zip((r["word"] for r in more), model.of(counts).tolist()))
+                    odds = np.fromiter((own.get(hashes[w], o) for w, o in zip(found, odds)), np.float64, len(found))
+                made.append(features(odds))
             columns = [*(batch.column(k) for k in kept), pa.array(made, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "features"])
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "_features"])
 
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in kept)
-    return rows.select(*kept, "text").mapInArrow(run, f"{kinds}, features array<double>")
+    made = T.StructType([*(rows.schema[k] for k in kept), T.StructField("_features", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, made)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -200,21 +252,27 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts get the score of a text without evidence; without labels every text gets the
     same low score. Repeated rows are scored each.
     """
+    scored = _scored(docs, labels, ["doc_id"]).withColumnRenamed("_score", "score")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` and the score (_score) of every row of ``docs``."""
     labelled = _labelled(docs, labels)
-    odds = train_odds(labelled)
+    trained = train_odds(labelled)
     n = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) == 4).count()
     # about FITTED of more, by a hash of doc_id: no sort, and no texts in one place
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, FITTED / max(n, 1))))
     tried = labelled.where("fold = 4").where(drawn)
-    fitted = _with_features(tried, odds, ["doc_id", "toxic"]).select("toxic", "features").toArrow()
-    x = np.array(fitted["features"].to_pylist(), float).reshape(-1, 1 + len(STRETCHES))
+    fitted = _with_features(tried, trained, ["doc_id", "toxic"]).select("toxic", "_features").toArrow()
+    x = np.array(fitted["_features"].to_pylist(), float).reshape(-1, 1 + len(STRETCHES))
     y = pc.equal(fitted["toxic"], 1).to_numpy().astype(float)
     curve = [float(v) for v in fit_curve(x, y)]
     logit = F.lit(curve[-1])
     for k, weight in enumerate(curve[:-1]):
-        logit = logit + F.lit(weight) * F.col("features")[k]
-    scored = _with_features(docs, odds, ["doc_id"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        logit = logit + F.lit(weight) * F.col("_features")[k]
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    return _with_features(docs, trained, kept).select(*kept, score.alias("_score"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -340,6 +340,41 @@ def test_toxicity_edges(spark):
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in folds)
 
 
+def _labelled_words(spark):
+    """300 documents of words that stand in toxic or in ordinary ones only, and their labels."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        rows.append((i, " ".join(rng.choice([f"plain{rng.randrange(40)}", f"{'bad' if toxic else 'good'}{rng.randrange(40)}"]) for _ in range(60)), toxic))
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+
+
+def test_toxicity_of_an_unseen_word_is_no_strangers(spark):
+    docs, marks = _labelled_words(spark)
+    # a word that shares the low 20 bits of its hash with one toxic word, and bits 21 to 40 with another
+    hashes = toxicity._Hashes()
+    low = {hashes[f"bad{k}"] & 0xFFFFF for k in range(40)}
+    word = next(w for w in (f"w{i}" for i in itertools.count()) if hashes[w] & 0xFFFFF in low)
+    second = next(w for w in (f"v{i}" for i in itertools.count()) if hashes[w] >> 21 & 0xFFFFF == hashes[word] >> 21 & 0xFFFFF and w != word)
+    more = spark.createDataFrame([(1000 + i, " ".join(f"bad{k} {second}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    docs, marks = docs.union(more), marks.union(more.selectExpr("doc_id", "1"))
+    asked = spark.createDataFrame([(-1, word), (-2, "neverseen")], "doc_id long, text string")
+    scores = [r["score"] for r in toxicity.toxicity(docs.union(asked), marks).where("doc_id < 0").collect()]
+    assert len(scores) == 2 and scores[0] == scores[1]
+
+
+@pytest.mark.parametrize("held", [0, 30])
+def test_toxicity_beyond_what_is_held(spark, monkeypatch, held):
+    docs, marks = _labelled_words(spark)
+    docs = docs.union(spark.createDataFrame([(None, None), (None, "bad1 plain2"), (7, "bad3 bad3 good1")], docs.schema))
+    want = sorted((r["doc_id"] or -1, round(r["score"], 12)) for r in toxicity.toxicity(docs, marks).collect())
+    monkeypatch.setattr(toxicity, "HELD", held)
+    got = sorted((r["doc_id"] or -1, round(r["score"], 12)) for r in toxicity.toxicity(docs, marks).collect())
+    assert got == want and len({s for _, s in want}) > 10
+
+
 # 10: main text of pages
 
 PAGE = (
