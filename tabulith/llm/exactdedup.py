@@ -11,9 +11,9 @@ meet again by the text's SHA-256, as rows of a few dozen bytes.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulith.llm import common
 from tabulith.llm.common import cut, join_groups, text_of
 
 #: Parts into which a text's copies are spread before they are sorted.
@@ -80,16 +80,27 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, all their columns unchanged."""
-    names = docs.columns
-    kept = exact_dedup(docs).where("kept").select(
-        F.struct(F.col("doc_id").alias("id")).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")
+    """The rows of ``docs`` that exact_dedup keeps, all their columns unchanged.
+
+    A row is found by its text's digest, its length and its doc_id together (null is equal
+    to null); of rows that have all three in common one stays.
+    """
+    groups = cut(group_copies(docs))
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") >= max(1, -(-total // common.HOT_SHARE))
+    row = F.struct(
+        F.unhex(F.sha2(normalise(F.col("text")), 256)).alias("key"), (-F.length(text_of())).alias("minus_points"), F.col("doc_id").alias("doc_id")
     )
-    marked = docs.withColumn("_kept_id", F.struct(F.col("doc_id").alias("id")))
-    stay = marked.join(kept.select("_kept_id"), "_kept_id", "left_semi")
-    # a doc_id that several rows share: the one with most code points, as above
-    order = W.partitionBy("_kept_id").orderBy(F.length(text_of()).desc())
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*names)
+    marked = docs.withColumn("_row", row)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return some.select(F.struct(F.col("text_key").alias("key"), F.col("keep")["minus_points"].alias("minus_points"), F.col("keep")["doc_id"].alias("doc_id")).alias("_row"))
+
+    # hot groups never go over the network whole: their rows are found by a broadcast, and repeats combine before the shuffle
+    hot = marked.join(F.broadcast(rows_of(groups.where(is_hot))), "_row", "left_semi").dropDuplicates(["_row"])
+    hot_keys = F.broadcast(groups.where(is_hot).select(F.col("text_key").alias("_hot")))
+    cold = marked.join(hot_keys, F.col("_row")["key"] == F.col("_hot"), "left_anti").join(rows_of(groups.where(~is_hot)), "_row", "left_semi")
+    return hot.union(cold.dropDuplicates(["_row"])).select(*docs.columns)
 
 
 ORACLE_SQL = """

@@ -227,6 +227,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, all their columns unchanged."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of every class of near-duplicates the row with the least doc_id, all its columns unchanged.
+
+    Rows with a null doc_id stay, as near_duplicates() has it. Where rows share a doc_id,
+    each is placed by its own text, and of those in one class one stays.
+    """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # stored, so that a row has the same number whenever it is read
+    rows = cut(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    placed = cut(near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "class_id"))
+    first = placed.join(rows.select("_row", "doc_id"), "_row").groupBy("class_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    gone = placed.select("_row").join(first.select("_row"), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -413,6 +413,39 @@ def test_pages(spark):
 
 # the pipeline
 
+@pytest.mark.parametrize("share", [1, 1000])
+def test_first_copies_of_null_and_repeated_ids(spark, monkeypatch, share):
+    from tabulith.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = [(None, "x", 1), (None, "y", 2), (None, "y", 3), (5, "long unique text", 4), (5, "u", 5), (5, "long unique text", 6), (4, "b  c", 7), (5, "bc", 8), (6, None, 9), (6, "z", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    got = exactdedup.keep_first_copies(docs)
+    assert got.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert found == [(0, "x"), (0, "y"), (4, "b  c"), (5, "long unique text"), (5, "u"), (6, ""), (6, "z")]
+    assert len(found) == exactdedup.exact_dedup(docs).where("kept").count()
+
+
+def test_toxic_rows_of_null_and_repeated_ids(spark):
+    docs, marks = _labelled_words(spark)
+    bad, good = " ".join(["bad1 bad2 bad3"] * 9), " ".join(["good1 good2 good3"] * 9)
+    more = [(None, bad), (None, good), (9001, bad), (9001, good), (9002, good)]
+    every = docs.union(spark.createDataFrame(more, docs.schema)).withColumn("features", F.lit("own"))
+    left = toxicity.drop_toxic(every, marks)
+    assert left.columns == every.columns
+    kept = left.where("doc_id IS NULL OR doc_id > 9000").collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["features"]) for r in kept) == [(0, good, "own"), (9001, good, "own"), (9002, good, "own")]
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (5, one + " end"), (5, two), (7, three), (7, three + " end"), (None, one), (None, two)]
+    got = minhash.keep_one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {(1, one), (5, two), (None, one), (None, two)} <= set(map(tuple, got))
+    assert sum(r["doc_id"] == 7 for r in got) == 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
