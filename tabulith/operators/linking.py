@@ -48,18 +48,22 @@ def evidence_names(names: DataFrame, axis: str, abbreviations: DataFrame | None
     return out.distinct()
 
 
-def find_names(texts: DataFrame, names: DataFrame, longest: int = 5) -> DataFrame:
+def find_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """LK4: (text_id, name, n): how often each name stands in a text from a word's start to a word's end.
 
-    Spaces don't matter ('image net' is 'imagenet'). All runs of up to ``longest`` words are
-    joined without spaces and looked up by equality, so names may overlap each other.
+    Spaces don't matter ('image net' is 'imagenet'). All runs of words that aren't longer
+    than the longest name are joined without spaces and looked up by equality, so names may
+    overlap each other.
     """
     words = F.array_remove(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), "")
-    listed = texts.select("text_id", words.alias("w"))
-    starts = listed.where(F.size("w") > 0).select("text_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    sized = starts.select("text_id", "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i") + 1))).alias("n"))
-    runs = sized.select("text_id", F.array_join(F.slice("w", F.col("i"), F.col("n")), "").alias("key"))
     keyed = names.select("name", F.replace(F.lower("name"), F.lit(" "), F.lit("")).alias("key")).groupBy("key").agg(F.max("name").alias("name"))
+    longest = keyed.agg(F.coalesce(F.max(F.length("key")), F.lit(0)).alias("longest"))
+    # a run of n words has n characters at least
+    listed = texts.select("text_id", words.alias("w")).where(F.size("w") > 0).crossJoin(F.broadcast(longest)).where("longest > 0")
+    starts = listed.select("text_id", "w", "longest", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    near = starts.select("text_id", "longest", F.slice("w", F.col("i"), F.col("longest")).alias("w"))
+    sized = near.select("text_id", "longest", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    runs = sized.select("text_id", "longest", F.array_join(F.slice("w", F.lit(1), F.col("n")), "").alias("key")).where(F.length("key") <= F.col("longest"))
     # counted before the join, so that a frequent run goes over the network once a text
     return runs.groupBy("text_id", "key").agg(F.count(F.lit(1)).alias("n")).join(keyed, "key").select("text_id", "name", "n")
 

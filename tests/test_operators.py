@@ -109,6 +109,23 @@ def test_find_names(spark):
     assert got == [(1, "imagenet", 1), (1, "squad", 1), (2, "f1", 2), (2, "f1 score", 1), (3, "test", 1), (3, "test clean", 1)]
 
 
+def test_find_names_of_any_length(spark):
+    texts = ["on i m a g e n e t and imagenet", "a large scale data set of street view images", "in a large scale data set of street views"]
+    names = ["imagenet", "large scale data set of street view", "large scale", "large scale data set of street views and more"]
+    got = linking.find_names(spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+
+    def automaton(text: str, name: str) -> int:
+        """Matches in the text without spaces that begin where a word begins and end where one ends."""
+        split, joined = text.split(), text.replace(" ", "")
+        ends = [sum(map(len, split[: i + 1])) for i in range(len(split))]
+        begins, key = {0, *ends}, name.replace(" ", "")
+        return sum(joined.startswith(key, at) and at in begins and at + len(key) in ends for at in range(len(joined)))
+
+    want = {(i, n, automaton(x, n)) for i, x in enumerate(texts) for n in names if automaton(x, n)}
+    assert {(r["text_id"], r["name"], r["n"]) for r in got.collect()} == want
+    assert (0, "imagenet", 2) in want and (1, "large scale data set of street view", 1) in want and len(want) == 4
+
+
 def test_bags(spark):
     bag = lambda x: spark.createDataFrame(x, "w string, n long")
     got = sets.bag_difference(bag([("f1", 2), ("squad", 1)]), bag([("f1", 1)]), ["w"], "n").collect()
