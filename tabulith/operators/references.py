@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,14 +48,20 @@ def merge_references(references: DataFrame) -> DataFrame:
 def lookup(strings: DataFrame, references: DataFrame) -> DataFrame:
     """RF4: (ref_str, uid): the longest record whose identifier is part of the normalised string.
 
-    Candidates share the first three words of an identifier with the string, so that this
-    is an equi-join; the substring test follows.
+    Candidates share the first three words of an identifier with the string, or all words of
+    a shorter one, so that this is an equi-join; the substring test follows. Words are what
+    '-' parts, and also runs of letters and digits, as a title may end at a full stop.
     """
+    def kinds(key: str) -> list[Column]:
+        return [F.split(key, "-"), F.array_remove(F.split(key, "[^a-z0-9]+"), "")]
+
     asked = strings.select("ref_str", title_key(F.col("ref_str")).alias("key"))
-    words = F.split("key", "-")
-    starts = asked.select("ref_str", "key", F.explode(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))).alias("i"))
-    grams = starts.select("ref_str", "key", F.array_join(F.slice(words, F.col("i"), F.lit(3)), "-").alias("lead"))
-    known = references.select("uid", F.substring_index("uid", "-", 3).alias("lead"))
+    parted = asked.select("ref_str", "key", F.explode(F.array(*kinds("key"))).alias("w")).where(F.size("w") > 0)
+    starts = parted.select("ref_str", "key", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    sized = starts.select("ref_str", "key", "w", "i", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n"))
+    grams = sized.select("ref_str", "key", F.array_join(F.slice("w", F.col("i"), F.col("n")), "-").alias("lead")).distinct()
+    leads = references.select("uid", F.explode(F.array(*kinds("uid"))).alias("w")).where(F.size("w") > 0)
+    known = leads.select("uid", F.array_join(F.slice("w", 1, 3), "-").alias("lead")).distinct()
     met = grams.join(known, "lead").where(F.col("key").contains(F.col("uid")))
     return met.groupBy("ref_str").agg(F.max_by("uid", F.struct(F.length("uid"), "uid")).alias("uid"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import text as t
 from tabulith.functions import values as v
-from tabulith.operators import cells, evaluation, filters, linking, search, sets
+from tabulith.operators import cells, evaluation, filters, linking, references, search, sets
 from tabulith.sources import html
 
 PLAIN = {"0-1": (0.21, 0.0021, 0.21, 0.21), "1-100": (21, 0.21, 21, 21), "abs": (0.21, 0.0021, 21, 0.21), "": (0.21, 0.21, 21, 21)}
@@ -126,6 +126,13 @@ def test_find_names_of_any_length(spark):
     assert (0, "imagenet", 2) in want and (1, "large scale data set of street view", 1) in want and len(want) == 4
 
 
+def test_lookup_of_short_titles(spark):
+    strings = ["J. Doe. Deep learning. Nature, 2015", "A. Bee. Attention. 2017, in Proc.", "C. Dee. Deep sea learning, 2015", "Deep learning of long titles, 2015"]
+    known = spark.createDataFrame([("deep-learning",), ("attention",), ("deep-learning-of-long-titles",)], "uid string")
+    got = references.lookup(spark.createDataFrame([(x,) for x in strings], "ref_str string"), known).collect()
+    assert {r["ref_str"]: r["uid"] for r in got} == {strings[0]: "deep-learning", strings[1]: "attention", strings[3]: "deep-learning-of-long-titles"}
+
+
 def test_bags(spark):
     bag = lambda x: spark.createDataFrame(x, "w string, n long")
     got = sets.bag_difference(bag([("f1", 2), ("squad", 1)]), bag([("f1", 1)]), ["w"], "n").collect()
