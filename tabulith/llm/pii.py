@@ -16,16 +16,31 @@ from pyspark.sql import functions as F
 #: Rounds of the network; even, so that both halves end where they began.
 ROUNDS = 8
 _L, _R = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
+#: Characters of an IBAN -> its countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# of a country that isn't listed: as long as it goes
+_IBAN = "|".join(
+    f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{length // 4 - 1}}}" + (f" ?[A-Z0-9]{{{length % 4}}}" if length % 4 else "") + _R
+    for length, countries in IBAN_LENGTHS.items()
+) + "|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _R
+#: The country code of a phone number: what stands before a sign, or by the plan of codes where none follows.
+_CODE = "^(?:\\+[0-9]{1,3}(?![0-9])|\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))?"
 #: name -> pattern, in order of precedence at one place.
 PATTERNS = {
     "email": "[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "secret": "(?:token|secret|password|passwd|api[_-]?key|key)\\s{0,3}[=:]\\s{0,3}[\"']?[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "iban": _L + "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _R,
+    "iban": _L + "(?:" + _IBAN + ")",
     "phone": "\\+[0-9]{1,3}[ .-]?\\([0-9]{2,4}\\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}" + _R
-    + "|\\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}" + _R
+    + "|\\+[0-9]{1,3}(?:[ .-][0-9]{2,6}){2,5}" + _R
+    + "|(?<![\\p{L}\\p{N}_+])\\+[0-9]{1,3}[ -](?:[0-9]{2,5}[ -])?[0-9]{6,10}" + _R
+    + "|(?<![\\p{L}\\p{N}_+])\\+[1-9][0-9]{7,14}(?![\\p{L}\\p{N}_]|\\.[0-9])"
     + "|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}" + _R
     + "|(?<![\\p{L}\\p{N}_.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![\\p{L}\\p{N}_-]|\\.[0-9])",
-    "date": "(?<![\\p{L}\\p{N}_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9\\p{L}_/-]|\\.[0-9])",
+    "date": "(?<![\\p{L}\\p{N}_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?:(?=T[0-9])|(?![0-9\\p{L}_/-]|\\.[0-9]))",
     "ssn": "(?<![\\p{L}\\p{N}_.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\\p{L}\\p{N}_-]|\\.[0-9])",
     "ip": "(?<![\\p{L}\\p{N}_]|[0-9]\\.)(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![\\p{L}\\p{N}_]|\\.[0-9])",
     "card": _L + "(?:[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})" + _R,
@@ -256,7 +271,7 @@ def _handlers(key: str) -> dict:
         "email": (yes, lambda m: _email(m, key)),
         "secret": (yes, lambda m: _split_at(m, "^.*?[=:]\\s{0,3}[\"']?", lambda x: _permute_text(x, "secret", key, hexadecimal=True))),
         "iban": (_valid_iban, lambda m: _iban(m, key)),
-        "phone": (yes, lambda m: _split_at(m, "^(?:\\+[0-9]{1,3})?", lambda x: _permute_text(x, "phone", key))),
+        "phone": (yes, lambda m: _split_at(m, _CODE, lambda x: _permute_text(x, "phone", key))),
         "date": (lambda m: _date(m, key).isNotNull(), lambda m: _date(m, key)),
         "ssn": (_valid_ssn, lambda m: _ssn(m, key)),
         "ip": (_valid_ip, lambda m: _ip(m, key)),

@@ -315,6 +315,23 @@ def test_pseudonyms_are_permutations(spark):
     assert other != pii.pseudonymise(docs_of(spark, ["10.1.2.3"]), "key").first()["text"]
 
 
+def test_pseudonyms_beside_words_and_in_timestamps(spark):
+    values = [
+        ("ES91 2100 0418 4502 0005 1332", " BIC", r"ES[0-9]{2}( [0-9]{4}){5}"), ("BE68 5390 0754 7034", " EUR", r"BE[0-9]{2}( [0-9]{4}){3}"),
+        ("BE68539007547034", " EUR 1000", r"BE[0-9]{14}"), ("DE89 3704 0044 0532 0130 00", " BIC", r"DE[0-9]{2}( [0-9]{4}){4} [0-9]{2}"),
+        ("2021-03-04", "T10:15:00Z", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("+14155550123", ".", r"\+1[0-9]{10}"), ("+44 7911 123456", " or", r"\+44 [0-9]{4} [0-9]{6}"),
+        ("+44 20794 60958", ",", r"\+44 [0-9]{5} [0-9]{5}"), ("+49 30 12345678", ",", r"\+49 [0-9]{2} [0-9]{8}"),
+    ]
+    texts = [f"see {v}{after}" for v, after, _ in values] + [f"see {v}, then" for v, _, _ in values]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, texts), "key").collect()}
+    for i, (value, after, pattern) in enumerate(values):
+        made = re.fullmatch(f"see ({pattern}){re.escape(after)}", got[i]["text"])
+        alone = re.fullmatch(f"see ({pattern}), then", got[len(values) + i]["text"])
+        assert made and alone and made[1] == alone[1] != value and got[i]["n_found"] == 1, (value, got[i])
+    left = ["x+14155550123", "+1.41421356", "2021-03-04Tx", "+1234567"]
+    assert [r["text"] for r in pii.pseudonymise(docs_of(spark, left), "key").orderBy("doc_id").collect()] == left
+
+
 # 9: toxicity
 
 def test_toxicity_on_held_out_rows(spark):
