@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabulith.llm.common import strings
+from tabulith.llm.common import map_arrow, strings
 
 #: Most words that a Python worker remembers; when full it starts afresh.
 CACHED = 300_000
@@ -215,4 +215,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)

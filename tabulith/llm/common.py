@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 #: Groups that hold at least one row in so many are "hot"; there can be no more
 #: hot groups than this, which is what makes a table of them safe to broadcast.
 HOT_SHARE = 1000
+#: Bytes of rows that a Python worker is given at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder for checkpoints; a local one only where none is set."""
+    """Use the cluster's shared folder for checkpoints; one of this machine only where all executors are on it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabulith-checkpoints-")
-        sc.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabulith-checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +40,58 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` computed once and written as a table in the shared folder, and that folder's path, for forget()."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a folder through the file system that it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def fresh(stem: str) -> str:
+    """A column name that no table has."""
+    return f"_{stem}_{uuid.uuid4().hex}"
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the machine; else idle Python workers keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which has no such function
+        pass
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_arrow(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
+    """mapInArrow over batches of about BATCH_BYTES, so that long texts can't fill a worker, which gives its free memory back at the end."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit).rstrip("b") == str(64 << 20):  # Spark's own default: no one has set it
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(whole, schema)
+
+
 def strings(column: pa.Array, at_once: int = 200) -> Iterator[str]:
     """The texts of an Arrow column one by one, nulls as empty; few of them exist at a time."""
     for start in range(0, len(column), at_once):

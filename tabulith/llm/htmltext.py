@@ -16,7 +16,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabulith.llm.common import strings
+from tabulith.llm.common import map_arrow, strings
 
 #: Lines in a window, and the characters that a window must hold where text surges
 #: (less where no window of the page has as many).
@@ -234,4 +234,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_arrow(pages.select("page_id", "url", "html"), run, f"page_id {kind}, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import cut, join_groups, strings, text_of
+from tabulith.llm.common import cut, join_groups, map_arrow, strings, text_of
 
 #: Documents that must have a key for its lines to go.
 MIN_DOCS = 10
@@ -188,7 +188,7 @@ def _candidates(docs: DataFrame, filters: DataFrame) -> DataFrame:
                 [batch.column("doc_id").take(pa.array(np.asarray(rows)[at])), pa.array([keys[i] for i in at], pa.binary())], ["doc_id", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, key binary")
 
 
 def drop_frequent_lines(docs: DataFrame, state: tuple[DataFrame, DataFrame], min_docs: int = MIN_DOCS) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabulith.llm.common import strings
+from tabulith.llm.common import map_arrow, strings
 
 SPACE = "▁"
 #: Most chunks whose counts a Python worker remembers; when full it starts afresh.
@@ -170,4 +170,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
