@@ -1,11 +1,12 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised texts; within each range an
-external sort places equal texts side by side and an aggregation that compares
-each row's whole text with its neighbour's closes one group after another. The
-splitters are drawn over (first characters, hash, salt): samples stay small, and the
-copies of a very frequent text spread over several ranges; their partial groups
-meet again by the text's SHA-256, as rows of a few dozen bytes.
+Sampled splitters range-partition the normalised texts, by their first characters and,
+where these are equal, by a hash of the rest: samples stay small, and equal texts never
+part. In each range an external sort places equal texts side by side, and a sort-based
+aggregation compares each whole text with its neighbour's, closes one run of copies
+after the other and hands the run's identifiers on. Nothing else decides what is equal.
+A text with very many rows is cut into parts with ranges of their own; the few runs of
+such parts are put together by their whole texts.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm import common
-from tabulith.llm.common import cut, join_groups, text_of
+from tabulith.llm.common import cut, text_of
 
-#: Parts into which a text's copies are spread before they are sorted.
-SALTS = 32
 #: Characters of a text by which it is ranged and sorted first; all of them are compared.
 HEAD = 32
+#: A text with more rows than 1/HOT_SHARE of all is cut into parts of that many: never less, nor more, than these.
+LEAST_PART, MOST_PART = 10_000, 100_000
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -28,25 +29,32 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(text_of(text), WHITE, "")
 
 
-def group_copies(docs: DataFrame) -> DataFrame:
-    """One row per distinct normalised text: its SHA-256, the row that stays, the number of rows.
+def _ranged(rows: DataFrame, text: Column, column: Column, with_norm: bool) -> tuple[DataFrame, bool]:
+    """``column`` with head, hash, parts and salt of each row's normalised text (and that text, norm), in ranges of these, and whether any text has parts.
 
-    ``keep`` is struct(minus code points of the original, doc_id): the least is the row
-    with most code points, then the smallest doc_id (a null doc_id comes first).
+    Equal texts have equal heads and hashes, so a range has all rows of a text, or of one of its parts.
     """
-    rows = docs.select(
-        normalise(F.col("text")).alias("norm"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
-        F.struct((-F.length(text_of())).alias("minus_points"), F.col("doc_id").alias("doc_id")).alias("keep"),
-    )
-    # equal texts have equal heads and hashes, so a range holds all of a text's copies of one salt
-    rows = rows.select("*", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"))
-    ranged = rows.repartitionByRange("head", "hash", "salt")
-    runs = ranged.groupBy("head", "hash", "salt", "norm").agg(F.min("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
-    return (
-        runs.groupBy(F.unhex(F.sha2("norm", 256)).alias("text_key"))
-        .agg(F.min("keep").alias("keep"), F.sum("n").alias("group_size"))
-    )
+    hashed = rows.select(normalise(text).alias("norm"), F.monotonically_increasing_id().alias("nth"), column).withColumn("hash", F.xxhash64("norm"))
+    part = min(max(LEAST_PART, -(-rows.count() // common.HOT_SHARE)), MOST_PART)
+    sizes = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
+    # at most a row for every ``part`` rows of the table
+    hot = [(r["hash"], -(-r["n"] // part)) for r in sizes.collect()]
+    if hot:
+        parts = rows.sparkSession.createDataFrame(hot, "hash long, parts long")
+        hashed = hashed.join(F.broadcast(parts), "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    else:
+        hashed = hashed.withColumn("parts", F.lit(1).cast("long"))
+    names = [c for c in hashed.columns if c not in ("nth", "hash", "parts") and (c != "norm" or with_norm)]
+    keyed = hashed.select(*names, F.substring("norm", 1, HEAD).alias("head"), "hash", "parts", F.pmod("nth", "parts").alias("salt"))
+    return keyed.repartitionByRange("head", "hash", "salt"), bool(hot)
+
+
+_RUN = ["head", "hash", "parts", "salt", "norm"]
+
+
+def _rank(text: Column, doc_id: Column) -> Column:
+    """The least stays: most code points of the original text, then the smallest doc_id (a null one comes first)."""
+    return F.struct((-F.length(text_of(text))).alias("minus_points"), doc_id.alias("doc_id"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -54,53 +62,46 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Reads ``doc_id`` and ``text``; other columns are ignored, whatever their names.
     Returns doc_id, keep_id, group_size, kept, text_sha256. Null texts are equal to
-    empty ones. Rows that repeat both doc_id and text are copies of each other: all
-    are returned, exactly one of them can be kept. An empty table gives no rows.
+    empty ones; very long texts are compared whole. Of equal texts the row with the most
+    code points stays, then the one with the smallest doc_id (null before all others).
+    Rows that repeat both doc_id and text are copies of each other: all are returned,
+    exactly one of them can be kept. An empty table gives no rows.
     """
-    groups = cut(group_copies(docs))
-    rows = (
-        docs.select(
-            F.col("doc_id"),
-            F.unhex(F.sha2(normalise(F.col("text")), 256)).alias("text_key"),
-            F.length(text_of()).alias("points"),
-        )
-        .groupBy("doc_id", "text_key", "points")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    joined = join_groups(rows, groups, "text_key", "group_size", F.struct("doc_id", "points"))
-    first = (F.col("doc_id").eqNullSafe(F.col("keep")["doc_id"])) & (F.col("points") == -F.col("keep")["minus_points"])
-    return joined.select(
-        "doc_id",
-        F.col("keep")["doc_id"].alias("keep_id"),
-        "group_size",
-        first.alias("first"),
-        F.lower(F.hex("text_key")).alias("text_sha256"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"), "text_sha256")
+    text = F.col("text")
+    ranged, parted = _ranged(docs, text, _rank(text, F.col("doc_id")).alias("rank"), True)
+    runs = ranged.groupBy(*_RUN).agg(F.sort_array(F.collect_list("rank")).alias("members"))
+    runs = runs.withColumn("sha", F.sha2("norm", 256)).withColumn("first", F.col("members")[0])
+    size = F.size("members").cast("long")
+
+    def members(some: DataFrame, keep: Column, group_size: Column, has_first: Column) -> DataFrame:
+        each = some.select(keep.alias("keep_id"), group_size.alias("group_size"), has_first.alias("has_first"), "sha", F.posexplode("members").alias("at", "member"))
+        kept = F.col("has_first") & (F.col("at") == 0)
+        return each.select(F.col("member.doc_id").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+
+    if not parted:
+        return members(runs, F.col("first.doc_id"), size, F.lit(True))
+    # once for both branches; of texts only those of runs of parts
+    runs = cut(runs.select("parts", "salt", "sha", "members", "first", F.when(F.col("parts") > 1, F.col("norm")).alias("norm")))
+    cold = members(runs.where("parts = 1"), F.col("first.doc_id"), size, F.lit(True))
+    hot = runs.where("parts > 1")
+    whole = hot.groupBy("norm").agg(F.min(F.struct("first", "salt")).alias("best"), F.sum(size).alias("n"))
+    return cold.unionByName(members(hot.join(whole, "norm"), F.col("best.first.doc_id"), F.col("n"), F.col("salt") == F.col("best.salt")))
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, all their columns unchanged.
+    """The rows of ``docs`` that exact_dedup() keeps, all their columns unchanged: rows go through the sort whole.
 
-    A row is found by its text's digest, its length and its doc_id together (null is equal
-    to null); of rows that have all three in common one stays.
+    Null doc_ids and texts, ties, repeated rows and empty tables are as in exact_dedup();
+    columns may have any names.
     """
-    groups = cut(group_copies(docs))
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    is_hot = F.col("group_size") >= max(1, -(-total // common.HOT_SHARE))
-    row = F.struct(
-        F.unhex(F.sha2(normalise(F.col("text")), 256)).alias("key"), (-F.length(text_of())).alias("minus_points"), F.col("doc_id").alias("doc_id")
-    )
-    marked = docs.withColumn("_row", row)
-
-    def rows_of(some: DataFrame) -> DataFrame:
-        return some.select(F.struct(F.col("text_key").alias("key"), F.col("keep")["minus_points"].alias("minus_points"), F.col("keep")["doc_id"].alias("doc_id")).alias("_row"))
-
-    # hot groups never go over the network whole: their rows are found by a broadcast, and repeats combine before the shuffle
-    hot = marked.join(F.broadcast(rows_of(groups.where(is_hot))), "_row", "left_semi").dropDuplicates(["_row"])
-    hot_keys = F.broadcast(groups.where(is_hot).select(F.col("text_key").alias("_hot")))
-    cold = marked.join(hot_keys, F.col("_row")["key"] == F.col("_hot"), "left_anti").join(rows_of(groups.where(~is_hot)), "_row", "left_semi")
-    return hot.union(cold.dropDuplicates(["_row"])).select(*docs.columns)
+    rows = docs.select(F.struct(F.col("*")).alias("row"))
+    ranged, parted = _ranged(rows, F.col("row.text"), F.col("row"), False)
+    rank = _rank(F.col("row.text"), F.col("row.doc_id"))
+    runs = ranged.withColumn("norm", normalise(F.col("row.text"))).groupBy(*_RUN).agg(F.min_by("row", rank).alias("row"))
+    if parted:
+        hot = runs.where("parts > 1").groupBy("norm").agg(F.min_by("row", rank).alias("row"))
+        runs = runs.where("parts = 1").select("row").unionByName(hot.select("row"))
+    return runs.select("row.*")
 
 
 ORACLE_SQL = """
