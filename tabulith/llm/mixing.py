@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import cut, text_of
+from tabulith.llm.common import cut, fresh, quoted, text_of
 
 #: The domains and the share of all tokens that each shall have. The first sets the total: it keeps its own tokens.
 TARGETS = {"good": 0.91, "low": 0.06, "toxic": 0.03}
@@ -185,9 +185,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeat: bool = True) -> DataFrame:
-    """Each row of ``docs`` as often as mix() says (rows without doc_id once), all columns unchanged."""
-    rates = mix(docs, labels, targets, repeat).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("copies").alias("_copies"))
-    times = F.coalesce("_copies", F.lit(1).cast("long"))
-    joined = docs.join(rates, "doc_id", "left").where(times > 0)
-    repeated = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    return repeated.select(*docs.columns)
+    """Each row of ``docs`` as often as mix() says (rows without doc_id once), all columns unchanged.
+
+    Null, empty and wordless texts, missing labels and empty tables are as in mix(); rows
+    that repeat a doc_id are repeated alike; columns may have any names.
+    """
+    copies, nth, key = fresh("copies"), fresh("nth"), fresh("key")
+    rates = mix(docs, labels, targets, repeat).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.first("copies").alias(copies))
+    times = F.coalesce(copies, F.lit(1).cast("long"))
+    joined = docs.join(rates, F.col("doc_id") == F.col(key), "left").where(times > 0)
+    repeated = joined.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return repeated.select(*map(quoted, docs.columns))
