@@ -5,17 +5,23 @@ IBAN remainder, calendar, address range, number areas that are never issued) sta
 is. The rest is written as a vector of numbers with a radix each, permuted by a keyed
 Feistel network over that vector, and written back in the same format with its check
 digits made anew. Equal values get equal pseudonyms in all documents, and different
-values of one format get different ones.
+values of one kind get different ones: what isn't permuted stays in its place, so values
+that differ there differ still. All patterns are bounded, and none looks at a long word
+again from each of its characters.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds of the network; even, so that both halves end where they began.
 ROUNDS = 8
 _L, _R = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
+#: A part of a host's name; there are 127 at most.
+_LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 #: Characters of an IBAN -> its countries.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -31,7 +37,7 @@ _IBAN = "|".join(
 _CODE = "^(?:\\+[0-9]{1,3}(?![0-9])|\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))?"
 #: name -> pattern, in order of precedence at one place.
 PATTERNS = {
-    "email": "[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": "(?<![\\p{L}\\p{N}])[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]{0,63}+@" + _LABEL + "(?:\\." + _LABEL + "){1,126}",
     "secret": "(?:token|secret|password|passwd|api[_-]?key|key)\\s{0,3}[=:]\\s{0,3}[\"']?[0-9a-f]{32,128}(?![0-9A-Za-z])",
     "iban": _L + "(?:" + _IBAN + ")",
     "phone": "\\+[0-9]{1,3}[ .-]?\\([0-9]{2,4}\\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}" + _R
@@ -48,6 +54,15 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def _range(low: int, high: int, upper: bool) -> str:
+    """The letters between two code points that are upper case, or not."""
+    return "".join(c for c in map(chr, range(low, high + 1)) if c.isalpha() and c.isupper() == upper)
+
+
+#: Letters that may take each other's place: digits, ASCII, and by case Latin, Greek and Cyrillic ones beyond it.
+ALPHABETS = [_DIGIT, _UPPER, _LOWER] + [_range(low, high, upper) for low, high in ((0xC0, 0x17F), (0x386, 0x3CE), (0x400, 0x45F)) for upper in (True, False)]
 #: Dates are permuted among DAYS = 256 x 286 days from FIRST_DAY on (to June 2100).
 FIRST_DAY, YEARS, DAYS = "1900-01-01", 256, 286
 
@@ -92,41 +107,29 @@ def _characters(text: Column) -> Column:
 
 
 def _permute_text(text: Column, kind: str, key: str, hexadecimal: bool = False) -> Column:
-    """``text`` with digits and letters permuted among their like and all else in its place.
-
-    A letter outside ASCII counts as a lower-case one of ASCII.
-    """
+    """``text`` with digits and letters permuted among their like and all else in its place, letters of no alphabet too."""
     letters = F.filter(_characters(text), lambda c: c.rlike("[\\p{L}\\p{N}]"))
-    alphabets = [_DIGIT + "abcdef"] if hexadecimal else [_DIGIT, _UPPER, _LOWER]
-
-    def code(c: Column) -> Column:
-        expr = None
-        for alphabet in alphabets:
-            at = F.instr(F.lit(alphabet), c)
-            expr = F.when(at > 0, at - 1) if expr is None else expr.when(at > 0, at - 1)
-        return expr.otherwise(F.pmod(F.ascii(c), F.lit(len(alphabets[-1])))).cast("int")
-
-    def radix(c: Column) -> Column:
-        expr = None
-        for alphabet in alphabets:
-            test = F.instr(F.lit(alphabet), c) > 0
-            expr = F.when(test, F.lit(len(alphabet))) if expr is None else expr.when(test, F.lit(len(alphabet)))
-        return expr.otherwise(F.lit(len(alphabets[-1]))).cast("int")
-
-    def letter(c: Column, value: Column) -> Column:
-        expr = None
-        for alphabet in alphabets:
-            made = F.substr(F.lit(alphabet), value + 1, F.lit(1))
-            test = F.instr(F.lit(alphabet), c) > 0
-            expr = F.when(test, made) if expr is None else expr.when(test, made)
-        return expr.otherwise(F.substr(F.lit(alphabets[-1]), value + 1, F.lit(1)))
-
-    def rebuilt(old: Column) -> Column:
-        mask = F.array_join(F.transform(old, radix).cast("array<string>"), ",")
-        new = permute(F.transform(old, code), F.transform(old, radix), F.concat(F.lit(kind + "/"), mask), key)
-        return _let(new, lambda values: _refill(text, F.transform(old, lambda c, i: letter(c, F.get(values, i)))))
-
-    return _let(letters, rebuilt)
+    alphabets = [_DIGIT + "abcdef"] if hexadecimal else ALPHABETS
+    every, ends = F.lit("".join(alphabets)), list(accumulate(map(len, alphabets)))
+
+    def of_alphabet(place: Column, value: list[int], none: int) -> Column:
+        """The value of the alphabet that a place in ``every`` belongs to."""
+        expr = F.when(place == 0, F.lit(none))
+        for end, v in zip(ends[:-1], value):
+            expr = expr.when(place <= end, F.lit(v))
+        return expr.otherwise(F.lit(value[-1]))
+
+    def before(place: Column) -> Column:
+        return of_alphabet(place, [0, *ends[:-1]], -1)
+
+    def rebuilt(places: Column) -> Column:
+        radices = F.transform(places, lambda p: of_alphabet(p, list(map(len, alphabets)), 1))
+        codes = F.transform(places, lambda p: p - before(p) - 1)
+        new = permute(codes, radices, F.concat(F.lit(kind + "/"), F.array_join(radices.cast("array<string>"), ",")), key)
+        put = F.zip_with(places, new, lambda p, value: F.when(p > 0, F.substr(every, before(p) + 1 + value, F.lit(1))))
+        return _let(put, lambda chosen: _refill(text, chosen))
+
+    return _let(F.transform(letters, lambda c: F.instr(every, c)), rebuilt)
 
 
 def _refill(text: Column, letters: Column) -> Column:
@@ -222,7 +225,7 @@ def _ssn(text: Column, key: str) -> Column:
     ))
 
 
-#: pattern of a date -> its format; of days and months that could change places the first that is a date.
+#: Pattern of a date -> its formats; where two are possible the second is for dates that the first can't read.
 _FORMATS = {
     "^[0-9]{4}-": ["yyyy-MM-dd"],
     "^[0-9]{4}/": ["yyyy/MM/dd"],
@@ -232,25 +235,50 @@ _FORMATS = {
 }
 
 
-def _offset(text: Column, form: str) -> Column:
-    """Days from FIRST_DAY, null if it is no date or lies outside the range."""
-    day = F.date_diff(F.try_to_timestamp(text, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    return F.when(day.between(0, YEARS * DAYS - 1), day)
-
-
 def _date(text: Column, key: str) -> Column:
-    def made(day: Column, form: str) -> Column:
-        new = _vector([F.floor(day / DAYS), day % DAYS], [YEARS, DAYS], "date", key)
-        shifted = _let(new, lambda v: (F.get(v, F.lit(0)) * DAYS + F.get(v, F.lit(1))).cast("int"))
-        return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), shifted), form)
+    """The pseudonym of a date; null for what is no date, or out of range.
 
-    expr = None
+    A date that the first of its formats reads is permuted among all dates of the range.
+    Another, whose day is after the 12th, is permuted among such dates of 1900 to 2099, so
+    that the first format doesn't read its pseudonym either: to the 28th it changes year,
+    month and day; the 29th to 31st keep day and month, and a leap day goes to a leap year.
+    """
+    found = F
     for pattern, forms in _FORMATS.items():
-        for form in forms:
-            test = text.rlike(pattern) & _offset(text, form).isNotNull()
-            value = made(_offset(text, form), form)
-            expr = F.when(test, value) if expr is None else expr.when(test, value)
-    return expr
+        for late, form in enumerate(forms):
+            day = F.try_to_timestamp(text, F.lit(form)).cast("date")
+            found = found.when(text.rlike(pattern) & day.isNotNull(), F.struct(day.alias("day"), F.lit(form).alias("form"), F.lit(bool(late)).alias("late")))
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def permuted(x: Column) -> Column:
+        offset = F.date_diff(x["day"], first)
+        y, m, d = F.year(x["day"]), F.month(x["day"]), F.dayofmonth(x["day"])
+        kinds = [  # in this case, these numbers below these radices
+            (~x["late"], "date", [F.floor(offset / DAYS), offset % DAYS], [YEARS, DAYS]),
+            (d <= 28, "late date", [y - 1900, m - 1, d - 13], [200, 12, 16]),
+            ((m == 2) & (d == 29), "leap day", [F.floor((y - 1904) / 4)], [49]),
+            (F.lit(True), "last days", [y - 1900], [200]),
+        ]
+
+        def chosen(value) -> Column:
+            expr = F
+            for case, *rest in kinds:
+                expr = expr.when(case, value(*rest))
+            return expr
+
+        numbers = chosen(lambda tweak, values, radices: F.array(*[v.cast("int") for v in values]))
+        new = permute(numbers, chosen(lambda t, v, radices: F.array(*map(F.lit, radices))), chosen(lambda tweak, v, r: F.lit(tweak)), key)
+
+        def dated(v: Column) -> Column:
+            a, b, c = (F.get(v, F.lit(i)) for i in range(3))
+            on = lambda y, m, d: F.make_date(y.cast("int"), m.cast("int"), d.cast("int"))
+            day = F.when(~x["late"], F.date_add(first, (a * DAYS + b).cast("int"))).when(d <= 28, on(a + 1900, b + 1, c + 13))
+            return day.when((m == 2) & (d == 29), on(a * 4 + 1904, m, d)).otherwise(on(a + 1900, m, d))
+
+        inside = F.when(x["late"], y.between(1900, 2099)).otherwise(offset.between(0, YEARS * DAYS - 1))
+        return F.when(inside, F.call_function("date_format", _let(new, dated), x["form"]))
+
+    return _let(found, permuted)
 
 
 def _split_at(text: Column, pattern: str, change) -> Column:
@@ -265,17 +293,16 @@ def _email(text: Column, key: str) -> Column:
 
 
 def _handlers(key: str) -> dict:
-    """kind -> (check, pseudonym), both of a candidate's text."""
-    yes = lambda m: F.lit(True)
+    """kind -> the pseudonym of a candidate's text, null where the candidate fails its check."""
     return {
-        "email": (yes, lambda m: _email(m, key)),
-        "secret": (yes, lambda m: _split_at(m, "^.*?[=:]\\s{0,3}[\"']?", lambda x: _permute_text(x, "secret", key, hexadecimal=True))),
-        "iban": (_valid_iban, lambda m: _iban(m, key)),
-        "phone": (yes, lambda m: _split_at(m, _CODE, lambda x: _permute_text(x, "phone", key))),
-        "date": (lambda m: _date(m, key).isNotNull(), lambda m: _date(m, key)),
-        "ssn": (_valid_ssn, lambda m: _ssn(m, key)),
-        "ip": (_valid_ip, lambda m: _ip(m, key)),
-        "card": (lambda m: _luhn_sum(_digits(m), 1) % 10 == 0, lambda m: _card(m, key)),
+        "email": lambda m: _email(m, key),
+        "secret": lambda m: _split_at(m, "^.*?[=:]\\s{0,3}[\"']?", lambda x: _permute_text(x, "secret", key, hexadecimal=True)),
+        "iban": lambda m: F.when(_valid_iban(m), _iban(m, key)),
+        "phone": lambda m: _split_at(m, _CODE, lambda x: _permute_text(x, "phone", key)),
+        "date": lambda m: _date(m, key),
+        "ssn": lambda m: F.when(_valid_ssn(m), _ssn(m, key)),
+        "ip": lambda m: F.when(_valid_ip(m), _ip(m, key)),
+        "card": lambda m: F.when(_luhn_sum(_digits(m), 1) % 10 == 0, _card(m, key)),
     }
 
 
@@ -284,21 +311,26 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Reads ``doc_id`` and ``text``, whatever else is there. Null texts stay null with zero
     counts; texts without candidates come back unchanged; repeated rows are treated
-    alike. One pass, no shuffle, nothing outside the row is needed.
+    alike, and of candidates that begin at one place the first kind of PATTERNS counts.
+    An empty table gives no rows, a very long text is searched whole. One pass, no
+    shuffle, nothing outside the row is needed.
     """
     handlers = _handlers(key)
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
 
     def handled(m: Column) -> Column:
-        kind = value = None
+        # a candidate stands alone here: what must not be around it was seen to when it was found
+        kind = F
         for k in KINDS:
-            check, make = handlers[k]
-            # a candidate stands alone here: what must not be around it was seen to when it was found
-            test = m.rlike(whole[k])
-            name, made = F.when(check(m), F.lit(k)).otherwise(F.lit("")), F.when(check(m), make(m)).otherwise(m)
-            kind = F.when(test, name) if kind is None else kind.when(test, name)
-            value = F.when(test, made) if value is None else value.when(test, made)
-        return F.struct(kind.otherwise(F.lit("")).alias("kind"), F.coalesce(value, m).alias("value"))
+            kind = kind.when(m.rlike(whole[k]), F.lit(k))
+
+        def made(kind: Column) -> Column:
+            value = F
+            for k in KINDS:
+                value = value.when(kind == k, handlers[k](m))
+            return _let(value, lambda v: F.struct(F.when(v.isNull(), "").otherwise(kind).alias("kind"), F.coalesce(v, m).alias("value")))
+
+        return _let(kind, made)
 
     found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), handled)
     searched = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)).alias("_any"))

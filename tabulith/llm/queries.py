@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulith.llm import bitsearch, bpe, exactdedup, htmltext, linededup, minhash, mixing, pii, tokencount, toxicity
 from tabulith.llm.common import table
 
+_OWN_KEY = secrets.token_hex(32)
+
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = bitsearch.sign_codes(table(spark, sf_dir, "embeddings"))
@@ -41,8 +44,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key comes from the session, as it would in production."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.tabulith.pii.key", "example key"))
+    """The key comes from the session; where none is set there, it is a random one that no one knows, and lasts as long as this process."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.tabulith.pii.key", None) or _OWN_KEY)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
