@@ -4,11 +4,15 @@ The words that a batch of texts has not shown before lie in one flat array of
 symbol ids. A round looks up every adjacent pair by binary search over the sorted
 pair keys, takes each word's lowest rank and merges all its places at once; the
 rounds end when no word has a pair left. Texts are then put together from words.
+
+A very long word would need a round over all of it for every rank in it, so its rounds
+look only at the places of the rank that is next: symbols are linked, places wait by rank.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -23,6 +27,8 @@ from tabulith.llm.common import map_arrow, strings
 
 #: Most words that a Python worker remembers; when full it starts afresh.
 CACHED = 300_000
+#: Characters of a word whose rounds look only at the places that they merge, and of the longest word that is remembered.
+LONG, REMEMBERED = 500, 64
 #: Characters of text handled at once.
 CHUNK = 2_000_000
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -75,6 +81,10 @@ class WordBpe:
         self.keys = keys[order]
         self.ranks = order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        # a merge comes after those that make its two symbols, so no merge brings up a lower rank than its own
+        rank_of = {vocab[a + b]: rank for rank, (a, b) in enumerate(merges)}
+        if any(max(rank_of.get(vocab[a], -1), rank_of.get(vocab[b], -1)) >= rank for rank, (a, b) in enumerate(merges)):
+            raise ValueError("a merge comes before its parts; rounds could differ from single merges")
         special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         if any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in spec["added_tokens"]):
             raise ValueError("added tokens of another kind")
@@ -140,6 +150,56 @@ class WordBpe:
         bounds = np.searchsorted(all_owner[order], np.arange(1, len(raw)))
         return [x.tolist() for x in np.split(all_ids[order], bounds)]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of every pair of symbols, _NONE where they don't merge."""
+        pair = left * self.base + right
+        place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[place] == pair, self.ranks[place], _NONE)
+
+    def merge_long(self, word: str) -> list[int]:
+        """The ids of one word, in time that grows with its merges and not with their rounds."""
+        flat = np.frombuffer(word.encode("utf-8"), np.uint8)
+        n = len(flat)
+        # symbol by place, -1 where it has gone into the one before; the place after the last is a symbol that merges with none
+        ids = np.r_[self.inner[flat[:-1]], self.final[flat[-1:]], 0]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        waiting: dict[int, list[np.ndarray]] = {}
+        next_ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            ranks = self._ranks(ids[places], ids[after[places]])
+            ranks[after[places] == n] = _NONE
+            order = np.argsort(ranks, kind="stable")
+            order = order[: np.searchsorted(ranks[order], _NONE)]
+            found = ranks[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else []
+            for rank, part in zip(found[starts].tolist(), np.split(places[order], starts[1:])) if len(found) else ():
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(next_ranks, rank)
+                waiting[rank].append(part)
+
+        wait(np.arange(n - 1))
+        while next_ranks:
+            rank = heapq.heappop(next_ranks)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[ids[at] >= 0]
+            at = at[after[at] < n]
+            at = at[self._ranks(ids[at], ids[after[at]]) == rank]
+            if len(at) > 1 and (follows := after[at[:-1]] == at[1:]).any():
+                # in a run of overlapping places every second one is taken, from the left
+                first = np.maximum.accumulate(np.where(np.r_[True, ~follows], np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            ids[at], ids[gone] = self.made[rank], -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            wait(np.unique(np.r_[at, left[left >= 0]]))
+        return ids[:n][ids[:n] >= 0].tolist()
+
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens of ``ids`` joined by spaces: these files name no decoder."""
         return " ".join(map(self.token.__getitem__, ids))
@@ -147,7 +207,8 @@ class WordBpe:
     def _learn(self, pieces: Iterable[str]) -> None:
         new = sorted(p for p in pieces if p not in self.known)
         plain = [p for p in new if p[0] != "\0" or p[1:] not in self.special]
-        for word, ids in zip(plain, self.merge(plain) if plain else []):
+        short = [p for p in plain if len(p) <= LONG]
+        for word, ids in [*zip(short, self.merge(short) if short else []), *((p, self.merge_long(p)) for p in plain if len(p) > LONG)]:
             self.known[word] = len(ids), " ".join(map(str, ids)), self.decode(ids)
         for mark in set(new).difference(plain):
             token = self.special[mark[1:]]
@@ -162,6 +223,9 @@ class WordBpe:
         for pieces in split:
             found = [self.known[p] for p in pieces]
             yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        for piece in set().union(*split):
+            if len(piece) > REMEMBERED:
+                del self.known[piece]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in next(self.encode_batch([text]))[1].split()]
