@@ -4,13 +4,15 @@ The truth is a table of exact reference counts: for every line key the number of
 documents that have it. A key that reaches the threshold enters the cuckoo filter of its
 shard, and leaves it when deleted documents take its count below. Reading a corpus, the
 filters (a few bytes for each frequent key) tell which lines might be frequent; only
-those are looked up in the exact table.
+those are looked up in the exact table. Small filters go to the lines, others get the
+lines of their shard.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,12 @@ from tabulith.llm.common import cut, join_groups, map_arrow, strings, text_of
 
 #: Documents that must have a key for its lines to go.
 MIN_DOCS = 10
-#: Shards of the filters; more keep each shard's frequent keys within a task's memory.
-SHARDS = 64
-#: Filters of up to this many bytes together are broadcast; beyond, every line is looked up by a shuffle.
+#: Shards of the filters: so many at least, and one for so many documents, which keeps a shard's frequent keys within a task's memory.
+SHARDS, SHARD_DOCS = 64, 1_000_000
+#: Filters of up to this many bytes together are broadcast; beyond, lines go to the filter of their shard.
 BROADCAST_BYTES = 64 << 20
+#: Parts of a shard's lines there, each with a copy of its filter: a very frequent line is spread over them.
+SALTS = 32
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
@@ -66,27 +70,36 @@ class CuckooFilter:
         print_, first, second = self._places(hashes)
         return ((self.table[first] == print_[:, None]) | (self.table[second] == print_[:, None])).any(1)
 
+    def _fill(self, prints: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Puts fingerprints into free slots of their buckets; says which found one."""
+        order = np.argsort(buckets, kind="stable")
+        at = buckets[order]
+        begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+        free = self.table[at] == 0
+        slot = free & (free.cumsum(1) == (nth + 1)[:, None])
+        placed = slot.any(1)
+        self.table[at[placed], slot[placed].argmax(1)] = prints[order[placed]]
+        done = np.zeros(len(prints), bool)
+        done[order[placed]] = True
+        return done
+
     def insert(self, hashes: np.ndarray) -> bool:
         """False if there is no room left; then the filter must be built larger."""
         prints, firsts, seconds = self._places(hashes)
-        for print_, first, second in zip(prints.tolist(), firsts.tolist(), seconds.tolist()):
-            at = first
-            for bucket in (first, second):
-                free = np.flatnonzero(self.table[bucket] == 0)
+        left = np.flatnonzero(~self._fill(prints, firsts))
+        left = left[~self._fill(prints[left], seconds[left])]
+        for print_, at in zip(prints[left].tolist(), firsts[left].tolist()):
+            for kick in range(500):
+                slot = (print_ + kick) % _SLOTS
+                print_, self.table[at, slot] = int(self.table[at, slot]), print_
+                at ^= int(self._turn(np.array([print_], np.uint16))[0])
+                free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
-                    self.table[bucket, free[0]] = print_
+                    self.table[at, free[0]] = print_
                     break
             else:
-                for kick in range(500):
-                    slot = (print_ + kick) % _SLOTS
-                    print_, self.table[at, slot] = int(self.table[at, slot]), print_
-                    at ^= int(self._turn(np.array([print_], np.uint16))[0])
-                    free = np.flatnonzero(self.table[at] == 0)
-                    if len(free):
-                        self.table[at, free[0]] = print_
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, hashes: np.ndarray) -> None:
@@ -115,14 +128,22 @@ def key_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(keys).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def empty_state(spark) -> tuple[DataFrame, DataFrame]:
-    """Reference counts (key, n) and filters (shard, filter) of no documents."""
-    return spark.createDataFrame([], "key binary, n long"), spark.createDataFrame([], "shard int, filter binary")
+class State(NamedTuple):
+    """Reference counts (key, n), filters (shard, filter), and the number of shards."""
+
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def empty_state(spark, shards: int = SHARDS) -> State:
+    """The state of no documents."""
+    return State(spark.createDataFrame([], "key binary, n long"), spark.createDataFrame([], "shard int, filter binary"), shards)
 
 
-def _shard(key: Column) -> Column:
-    """The last byte of the digest, modulo SHARDS."""
-    return (F.conv(F.hex(F.substring(key, 16, 1)), 16, 10).cast("int") % SHARDS).cast("int")
+def _shard(key: Column, shards: int) -> Column:
+    """The last four bytes of the digest, modulo the number of shards."""
+    return (F.conv(F.hex(F.substring(key, 13, 4)), 16, 10).cast("long") % shards).cast("int")
 
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
@@ -144,81 +165,116 @@ def _update_filter(key: tuple, changes: pa.Table, filters: pa.Table) -> pa.Table
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([found.to_bytes()], pa.binary())})
 
 
-def change(state: tuple[DataFrame, DataFrame], docs: DataFrame, sign: int = 1, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def change(state: State, docs: DataFrame, sign: int = 1, min_docs: int = MIN_DOCS) -> State:
     """The state after ``docs`` have been inserted (sign 1) or deleted (sign -1).
 
     Deleting what was inserted gives back the state before. Both tables are stored in the
     shared folder; keys that no document has any more leave the counts.
     """
-    counts, filters = state
+    counts, filters, shards = state
     both = counts.select("key", "n", F.lit(0).cast("long").alias("d")).unionByName(
         key_counts(docs).select("key", F.lit(0).cast("long").alias("n"), (F.col("n") * sign).alias("d")))
     merged = cut(both.groupBy("key").agg(F.sum("n").alias("before"), F.sum(F.col("n") + F.col("d")).alias("n")))
     now, then = F.col("n") >= min_docs, F.col("before") >= min_docs
     changes = merged.where(now | then).select(
-        _shard(F.col("key")).alias("shard"), "key", (now.cast("int") - then.cast("int")).alias("change"))
+        _shard(F.col("key"), shards).alias("shard"), "key", (now.cast("int") - then.cast("int")).alias("change"))
     by_shard = changes.groupBy("shard").cogroup(filters.groupBy("shard"))
     new_filters = cut(by_shard.applyInArrow(_update_filter, "shard int, filter binary"))
-    return merged.where("n > 0").select("key", "n"), new_filters
+    return State(merged.where("n > 0").select("key", "n"), new_filters, shards)
 
 
-def _candidates(docs: DataFrame, filters: DataFrame) -> DataFrame:
-    """doc_id and key of the lines that the filters hold to be frequent. One pass, no shuffle."""
-    held = filters.select("shard", "filter").toArrow()
-    shipped = docs.sparkSession.sparkContext.broadcast(dict(zip(held["shard"].to_pylist(), held["filter"].to_pylist())))
+def _held_candidates(rows: DataFrame, state: State) -> DataFrame:
+    """doc_id, digest, key and place of the lines that the filters hold to be frequent. One pass, no shuffle."""
+    held, shards = state.filters.select("shard", "filter").toArrow(), state.shards
+    shipped = rows.sparkSession.sparkContext.broadcast(dict(zip(held["shard"].to_pylist(), held["filter"].to_pylist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {s: CuckooFilter.from_bytes(f) for s, f in shipped.value.items()}
         for batch in batches:
-            rows, keys = [], []
+            found, places, keys = [], [], []
             for i, text in enumerate(strings(batch.column("text"))):
-                own = {line.strip(_WHITE).translate(_FOLD) for line in text.split("\n")}
-                own.discard("")
-                rows += [i] * len(own)
-                keys += [hashlib.md5(k.encode()).digest() for k in own]
+                own = [line.strip(_WHITE).translate(_FOLD) for line in text.split("\n")]
+                digests = {k: hashlib.md5(k.encode()).digest() for k in set(own) if k}
+                at = [j for j, k in enumerate(own) if k]
+                found += [i] * len(at)
+                places += at
+                keys += [digests[own[j]] for j in at]
             if not keys:
                 continue
             hashes, maybe = _hashes(keys), np.zeros(len(keys), bool)
-            shard = np.frombuffer(b"".join(k[15:] for k in keys), np.uint8) % SHARDS
-            for number, table in tables.items():
-                mine = np.flatnonzero(shard == number)
-                maybe[mine] = table.contains(hashes[mine])
+            shard = np.frombuffer(b"".join(k[12:] for k in keys), ">u4") % shards
+            for number in np.unique(shard).tolist():
+                if number in tables:
+                    mine = np.flatnonzero(shard == number)
+                    maybe[mine] = tables[number].contains(hashes[mine])
             at = np.flatnonzero(maybe)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(np.asarray(rows)[at])), pa.array([keys[i] for i in at], pa.binary())], ["doc_id", "key"])
+            rows_ = pa.array(np.asarray(found)[at])
+            columns = [batch.column("doc_id").take(rows_), batch.column("digest").take(rows_), pa.array([keys[i] for i in at], pa.binary()), pa.array(np.asarray(places, np.int32)[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "place"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, key binary")
+    return map_arrow(rows, run, _candidate_schema(rows))
 
 
-def drop_frequent_lines(docs: DataFrame, state: tuple[DataFrame, DataFrame], min_docs: int = MIN_DOCS) -> DataFrame:
+def _candidate_schema(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, key binary, place int"
+
+
+def _sharded_candidates(rows: DataFrame, state: State) -> DataFrame:
+    """The same, where lines go to their shard's filter: a task holds one filter and a batch of lines at a time."""
+    lines = rows.select("doc_id", "digest", F.posexplode(F.transform(_lines(text_of()), _key)).alias("place", "key")).where("key IS NOT NULL")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
+    lines = lines.select(_shard(F.col("key"), state.shards).alias("shard"), salt.alias("salt"), F.lit(None).cast("binary").alias("filter"), "doc_id", "digest", "key", "place")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    filters = state.filters.select("shard", salts.alias("salt"), "filter", *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("doc_id", "digest", "key", "place")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = table = None
+        for batch in batches:
+            shards, filters = batch.column("shard").to_pylist(), batch.column("filter")
+            hit = np.zeros(len(shards), bool)
+            begins = [i for i in range(len(shards)) if i == 0 or shards[i] != shards[i - 1] or filters[i].is_valid]
+            for begin, end in zip(begins, [*begins[1:], len(shards)]):
+                if filters[begin].is_valid:
+                    here, table, begin = shards[begin], CuckooFilter.from_bytes(filters[begin].as_py()), begin + 1
+                if begin < end and here == shards[begin]:
+                    hit[begin:end] = table.contains(_hashes(batch.column("key").slice(begin, end - begin).to_pylist()))
+            at = pa.array(np.flatnonzero(hit))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc_id", "digest", "key", "place")], ["doc_id", "digest", "key", "place"])
+
+    # a shard's filter comes before its lines
+    sorted_ = lines.unionByName(filters).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+    return map_arrow(sorted_, run, _candidate_schema(rows))
+
+
+def drop_frequent_lines(docs: DataFrame, state: State, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and the kept text of every row of ``docs``.
 
     Lines whose key the state counts in ``min_docs`` documents or more are dropped. Null
-    and empty texts are one empty line; empty keys are never frequent. Repeated rows are
-    documents of their own in the counts and are returned each.
+    and empty texts are one empty line; empty keys are never frequent. Rows that repeat a
+    doc_id, whatever their texts, are documents of their own in the counts and are
+    returned each. Very long texts and lines are read whole; an empty table gives no rows.
+    Reads ``doc_id`` and ``text``, whatever else is there.
     """
-    counts, filters = state
-    frequent = cut(counts.where(F.col("n") >= min_docs))
-    size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        maybe = _candidates(docs, filters)
-    else:
-        maybe = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(text_of()), _key))).alias("key")).where("key IS NOT NULL")
-    hits = join_groups(maybe, frequent, "key", "n", F.coalesce(F.col("doc_id"), F.lit(-1)))
-    by_doc = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_keys"))
-    joined = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    frequent = cut(state.counts.where(F.col("n") >= min_docs))
+    size = state.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
+    rows = docs.select("doc_id", "text", F.unhex(F.md5(text_of().cast("binary"))).alias("digest"))
+    maybe = (_held_candidates if size <= BROADCAST_BYTES else _sharded_candidates)(rows, state)
+    hits = join_groups(maybe, frequent, "key", "n", F.struct("digest", "place"))
+    by_doc = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).agg(F.collect_set("place").alias("_places"))
+    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left")
     lines = _lines(text_of())
-    kept = F.when(F.col("_keys").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_keys", _key(x)), F.lit(False))))
-    cleaned = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
+    split = joined.select("doc_id", lines.alias("_lines"), "_places")
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_places"))
+    kept = F.when(F.col("_places").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get("_lines", i)))
+    cleaned = split.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
     text = F.array_join("_kept", "\n")
     return cleaned.select("doc_id", "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"), text.alias("kept"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """drop_frequent_lines() of a corpus by its own counts."""
-    state = change(empty_state(docs.sparkSession), docs, 1, min_docs)
+    shards = max(SHARDS, docs.count() // SHARD_DOCS)
+    state = change(empty_state(docs.sparkSession, shards), docs, 1, min_docs)
     return drop_frequent_lines(docs, state, min_docs)
 
 
