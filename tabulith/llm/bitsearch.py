@@ -61,8 +61,8 @@ def _spread(asked: DataFrame, index: DataFrame, sizes: DataFrame, total: int) ->
 
 
 def segments_for(rows: int) -> int:
-    """The number of segments whose width is nearest to log2 of the rows."""
-    return 16 if rows < 1 << 6 else 8 if rows < 1 << 12 else 4 if rows < 1 << 28 else 2
+    """The number of segments whose width is nearest to log2 of the rows; of 16 bits at most, which have 12,870 values at one distance at most."""
+    return 16 if rows < 1 << 6 else 8 if rows < 1 << 12 else 4
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None) -> DataFrame:
@@ -70,14 +70,17 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | Non
 
     ``codes`` and ``queries`` are (id, code). Distances are Hamming distances, ties go to
     the smaller id; a query isn't its own neighbour, a row that repeats its id and code
-    counts once. Fewer than k rows come back only where there are fewer other codes.
-    ``segments`` must divide 64; by default it follows the number of different codes.
+    counts once, one with a null id or code doesn't count. Fewer than k rows come back only
+    where there are fewer other codes; empty tables give none. Other columns are ignored,
+    whatever their names. ``segments`` must divide 64; by default it follows the number of
+    different codes.
 
     Equal codes are one index entry with their k + 1 smallest ids, which are all that k
     neighbours can need, and equal queries are asked once: copies fill no bucket.
     """
     wanted = k + 1
     nth = F.row_number().over(W.partitionBy("code").orderBy("id"))
+    codes, queries = (x.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code") for x in (codes, queries))
     few = codes.distinct().withColumn("nth", nth).where(F.col("nth") <= wanted)
     entries = cut(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     n_entries, n_ids = entries.agg(F.count(F.lit(1)), F.sum(F.size("ids"))).first()

@@ -10,6 +10,7 @@ so an iteration is one aggregation to a few numbers.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,8 +128,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], repeat: bool = True
 
     Minimises the sum over domains of (total - target)^2 / own tokens by projected gradient
     steps in the metric of the documents' tokens, until every total is within CLOSE of the
-    tokens in all or after STEPS steps. A target for a domain without tokens can't be met
-    and is left out. Without ``repeat`` a domain that is short of its target keeps its own
+    tokens in all or after STEPS steps; then a warning says by how much each is missed. A
+    target for a domain without tokens can't be met and is left out. Without ``repeat`` a domain that is short of its target keeps its own
     tokens in place of having its documents repeated.
     """
     domains = list(targets)
@@ -148,13 +149,16 @@ def fit_rates(members: DataFrame, targets: dict[str, float], repeat: bool = True
     least = 1.0 / _largest_eigenvalue([[gram[a, b] / math.sqrt(own[a] * own[b]) for b in domains] for a in domains])
     table, rate, before = members.withColumn("rate", F.lit(1.0)).withColumn("_before", F.lit(1.0)), F.col("rate"), F.col("_before")
     step, last = least, None
-    for k in range(STEPS):
+    for k in range(STEPS + 1):
         moved = F.sum(F.col("tokens") * (rate - before) * (rate - before))
         found = table.agg(*[F.sum(F.col("tokens") * p[d] * rate) for d in domains], moved).first()
         totals = {d: found[i] or 0.0 for i, d in enumerate(domains)}
         excess = {d: totals[d] - wanted[d] for d in domains}
         if max(map(abs, excess.values())) <= CLOSE * sum(own.values()):
             break
+        if k == STEPS:
+            warnings.warn(f"after {STEPS} steps the totals of tokens still miss their targets by " + ", ".join(f"{d}: {x:.0f}" for d, x in excess.items()), stacklevel=2)
+            break
         if last is not None:
             # Barzilai and Borwein's length: what the last step moved, over what it changed; documents at 0 let it grow
             bent = sum((totals[d] - last[d]) ** 2 / own[d] for d in domains)
