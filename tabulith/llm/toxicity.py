@@ -206,9 +206,10 @@ class Odds:
 
     def maybe_rest(self, keys: np.ndarray) -> np.ndarray:
         """Which keys may have an entry that isn't held."""
-        low = np.uint64((1 << FILTER_BITS) - 1)
+        bits = (64 * len(self.rest)).bit_length() - 1
+        low = np.uint64((1 << bits) - 1)
         hit = np.ones(len(keys), bool)
-        for place in (keys & low, (keys >> np.uint64(FILTER_BITS)) & low):
+        for place in (keys & low, (keys >> np.uint64(bits)) & low):
             hit &= (self.rest[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
         return hit
 
@@ -298,7 +299,9 @@ def _rest_of_texts(keyed: DataFrame, odds: Broadcast, rest: DataFrame, text_key:
 def _with_features(rows: DataFrame, trained: tuple[Odds, DataFrame | None], kept: list[str], made: str) -> DataFrame:
     """The columns ``kept`` and the features (``made``) of every row's text. One pass without a shuffle where all entries are held."""
     shipped, rest = rows.sparkSession.sparkContext.broadcast(trained[0]), trained[1]
-    rows = rows.select(*map(quoted, dict.fromkeys([*kept, "text"])))
+    # names that mapInArrow can read
+    safe = {k: "text" if k == "text" else f"c{i}" for i, k in enumerate(kept)}
+    rows = rows.select(*(quoted(k).alias(s) for k, s in ({"text": "text"} | safe).items()))
     more_of = None
     if rest is not None:
         text_key, more_of = fresh("text"), fresh("more")
@@ -321,10 +324,10 @@ def _with_features(rows: DataFrame, trained: tuple[Odds, DataFrame | None], kept
                 found = np.concatenate(parts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 2), pa.array(found.ravel()))
             here = batch.slice(at, len(texts))
-            yield pa.RecordBatch.from_arrays([*(here.column(k) for k in kept), lists], [*kept, made])
+            yield pa.RecordBatch.from_arrays([*(here.column(s) for s in safe.values()), lists], [*safe.values(), made])
 
-    schema = T.StructType([*(rows.schema[k] for k in kept), T.StructField(made, T.ArrayType(T.DoubleType()))])
-    return map_arrow(rows, run, schema)
+    schema = T.StructType([*(rows.schema[s] for s in safe.values()), T.StructField(made, T.ArrayType(T.DoubleType()))])
+    return map_arrow(rows, run, schema).select(*(F.col(s).alias(k) for k, s in safe.items()), made)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
