@@ -40,28 +40,43 @@ def indicator(predicted: DataFrame, gold: DataFrame, columns: list[str]) -> Data
     return merged.select(*columns, kind.alias("kind"))
 
 
-def scores(predicted: DataFrame, gold: DataFrame, columns: list[str], paper: str = "paper") -> DataFrame:
-    """AG1: micro and macro precision, recall and F1 of the distinct (paper, columns)."""
-    marked = indicator(predicted, gold, [paper, *columns])
-    counts = marked.groupBy(paper).agg(*[F.count_if(F.col("kind") == k).cast("double").alias(k) for k in ("TP", "FP", "FN")])
+def _averaged(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Micro and macro precision, recall and F1 from the TP, FP and FN of every paper, for each group."""
     p, r = _ratio(F.col("TP"), F.col("TP") + F.col("FP"), EPSILON), _ratio(F.col("TP"), F.col("TP") + F.col("FN"), EPSILON)
     each = counts.withColumn("p", p).withColumn("r", r).withColumn("f", _f1(F.col("p"), F.col("r"), EPSILON))
-    total = each.agg(*[F.sum(k).alias(k) for k in ("TP", "FP", "FN")], *[F.avg(k).alias("macro_" + n) for k, n in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
+    total = each.groupBy(*group).agg(*[F.sum(k).alias(k) for k in ("TP", "FP", "FN")], *[F.avg(k).alias("macro_" + n) for k, n in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
     total = total.withColumn("micro_precision", p).withColumn("micro_recall", r)
     return total.withColumn("micro_f1", _f1(F.col("micro_precision"), F.col("micro_recall"), EPSILON)).drop("TP", "FP", "FN")
 
 
+def scores(predicted: DataFrame, gold: DataFrame, columns: list[str], paper: str = "paper") -> DataFrame:
+    """AG1: micro and macro precision, recall and F1 of the distinct (paper, columns)."""
+    marked = indicator(predicted, gold, [paper, *columns])
+    counts = marked.groupBy(paper).agg(*[F.count_if(F.col("kind") == k).cast("double").alias(k) for k in ("TP", "FP", "FN")])
+    return _averaged(counts, [])
+
+
 def evaluate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """AG2: scores() on every axis; score strings normalised, versions of papers dropped.
 
-    The distinct rows differ from axis to axis, so this is a union, no grouping sets.
+    Both sides are read once: each row goes to every axis with the columns of the axis alone.
     """
-
-    def plain(df: DataFrame) -> DataFrame:
-        return df.withColumn("paper", strip_version(F.col("paper"))).withColumn("score", norm_score(F.col("score").cast("string")))
-
-    p, g = plain(predicted), plain(gold)
-    return reduce(DataFrame.unionByName, [scores(p, g, c).withColumn("axis", F.lit(a)) for a, c in AXES.items()])
+    all_columns = AXES["TDMS"]
+
+    def plain(df: DataFrame, is_gold: bool) -> DataFrame:
+        score = norm_score(F.col("score").cast("string"))
+        rows = df.select(strip_version(F.col("paper")).alias("paper"), *[c for c in all_columns if c != "score"], score.alias("score")).distinct()
+        return rows.withColumn("_g", F.lit(is_gold))
+
+    both = plain(predicted, False).unionByName(plain(gold, True))
+    kinds = {c: both.schema[c].dataType for c in all_columns}
+    keys = [F.struct(F.lit(a).alias("axis"), *[(F.col(x) if x in c else F.lit(None).cast(kinds[x])).alias(x) for x in all_columns]) for a, c in AXES.items()]
+    each = both.select("paper", "_g", F.inline(F.array(*keys)))
+    merged = each.groupBy("axis", "paper", *all_columns).agg(F.bool_or(~F.col("_g")).alias("_p"), F.bool_or("_g").alias("_g"))
+    count = lambda test: F.count_if(test).cast("double")
+    counts = merged.groupBy("axis", "paper").agg(
+        count(F.col("_p") & F.col("_g")).alias("TP"), count(F.col("_p") & ~F.col("_g")).alias("FP"), count(~F.col("_p") & F.col("_g")).alias("FN"))
+    return _averaged(counts, ["axis"])
 
 
 def binary_confusion(rows: DataFrame, equal: Column, predicted: Column, gold: Column) -> DataFrame:

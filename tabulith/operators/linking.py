@@ -20,6 +20,8 @@ REPEATS = {"task": 3, "dataset": 1, "metric": 1}
 CONTEXTS = {"paper": (0.99, 0.1), "abstract": (1.0, 1.0), "mentions": (1.0, 1.0), "caption": (0.25, 0.1), "cell": (0.01, 0.1)}
 NOISE = {axis: tuple(pair[axis == "task"] for pair in CONTEXTS.values()) for axis in AXES}
 INDEPENDENT = 0.79
+#: Characters of a dictionary's beginnings up to which it is broadcast.
+BROADCAST_CHARACTERS = 16_000_000
 
 
 def evidence_names(names: DataFrame, axis: str, abbreviations: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
@@ -48,38 +50,43 @@ def evidence_names(names: DataFrame, axis: str, abbreviations: DataFrame | None
     return out.distinct()
 
 
-def find_names(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """LK4: (text_id, name, n): how often each name stands in a text from a word's start to a word's end.
+def find_names(texts: DataFrame, names: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """LK4: (text_id, by, name, n): how often each name stands in a text from a word's start to a word's end.
 
-    Spaces don't matter ('image net' is 'imagenet'). All runs of words that aren't longer
-    than the longest name are joined without spaces and looked up by equality, so names may
-    overlap each other.
+    Spaces don't matter ('image net' is 'imagenet'). Runs of words that aren't longer than
+    the longest name are joined without spaces and looked up by equality, so names may
+    overlap each other. ``by`` are columns of ``names``, each value with names of its own:
+    all are found in one pass. A dictionary of up to BROADCAST_CHARACTERS goes to the texts,
+    where only words that begin a name begin a run; for a larger one runs are shuffled.
     """
     words = F.array_remove(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), "")
-    keyed = names.select("name", F.replace(F.lower("name"), F.lit(" "), F.lit("")).alias("key")).groupBy("key").agg(F.max("name").alias("name"))
-    longest = keyed.agg(F.coalesce(F.max(F.length("key")), F.lit(0)).alias("longest"))
+    keyed = names.select(*by, "name", F.replace(F.lower("name"), F.lit(" "), F.lit("")).alias("key")).where("key <> ''").groupBy("key", *by).agg(F.max("name").alias("name"))
+    longest, size = keyed.agg(F.coalesce(F.max(F.length("key")), F.lit(0)), F.coalesce(F.sum(F.length("key") + 16), F.lit(0))).first()
+    small = size * max(longest, 1) <= BROADCAST_CHARACTERS
     # a run of n words has n characters at least
-    listed = texts.select("text_id", words.alias("w")).where(F.size("w") > 0).crossJoin(F.broadcast(longest)).where("longest > 0")
-    starts = listed.select("text_id", "w", "longest", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    near = starts.select("text_id", "longest", F.slice("w", F.col("i"), F.col("longest")).alias("w"))
-    sized = near.select("text_id", "longest", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
-    runs = sized.select("text_id", "longest", F.array_join(F.slice("w", F.lit(1), F.col("n")), "").alias("key")).where(F.length("key") <= F.col("longest"))
+    starts = texts.select("text_id", words.alias("w")).where(F.size("w") > 0).select("text_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    if small:
+        begins = keyed.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substr("key", F.lit(1), n))).alias("first")).distinct()
+        starts = starts.withColumn("first", F.get("w", F.col("i") - 1)).join(F.broadcast(begins), "first", "left_semi")
+    near = starts.select("text_id", F.slice("w", F.col("i"), F.lit(longest)).alias("w"))
+    sized = near.select("text_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    runs = sized.select("text_id", F.array_join(F.slice("w", F.lit(1), F.col("n")), "").alias("key")).where(F.length("key") <= longest)
+    if small:
+        return runs.join(F.broadcast(keyed), "key").groupBy("text_id", *by, "name").agg(F.count(F.lit(1)).alias("n"))
     # counted before the join, so that a frequent run goes over the network once a text
-    return runs.groupBy("text_id", "key").agg(F.count(F.lit(1)).alias("n")).join(keyed, "key").select("text_id", "name", "n")
+    return runs.groupBy("text_id", "key").agg(F.count(F.lit(1)).alias("n")).join(keyed, "key").select("text_id", *by, "name", "n")
 
 
 def context_counts(texts: DataFrame, dictionaries: dict[str, DataFrame], subtract: bool = True) -> DataFrame:
     """LK5, LK6: (text_id, axis, evidence, n); datasets less what tasks and metrics explain (never below 0)."""
-    found = {axis: find_names(texts, d.select(F.col("evidence").alias("name")).distinct()) for axis, d in dictionaries.items()}
-    out = [found[a].withColumn("axis", F.lit(a)) for a in ("task", "metric") if a in found]
-    if "dataset" in found:
-        data = found["dataset"]
-        if subtract and out:
-            other = reduce(DataFrame.union, out).groupBy("text_id", "name").agg(F.sum("n").alias("_other"))
-            data = data.join(other, ["text_id", "name"], "left").withColumn("n", F.col("n") - F.coalesce("_other", F.lit(0))).where("n > 0").drop("_other")
-        out.append(data.withColumn("axis", F.lit("dataset")))
-    keyed = reduce(DataFrame.unionByName, out)
-    return keyed.select("text_id", "axis", norm_cell(F.col("name")).alias("evidence"), "n")
+    names = reduce(DataFrame.unionByName, [d.select(F.col("evidence").alias("name"), F.lit(axis).alias("axis")) for axis, d in dictionaries.items()])
+    found = find_names(texts, names.distinct(), ("axis",))
+    if subtract and "dataset" in dictionaries:
+        # one aggregation: what the other axes have of a name stands beside the data sets' own
+        is_data = F.col("axis") == "dataset"
+        other = F.sum(F.when(~is_data, F.col("n"))).over(W.partitionBy("text_id", "name"))
+        found = found.withColumn("n", F.when(is_data, F.col("n") - F.coalesce(other, F.lit(0))).otherwise(F.col("n"))).where("n > 0")
+    return found.select("text_id", "axis", norm_cell(F.col("name")).alias("evidence"), "n")
 
 
 def likelihoods(evidences: DataFrame) -> DataFrame:
@@ -89,23 +96,29 @@ def likelihoods(evidences: DataFrame) -> DataFrame:
     return reverse_probabilities(given_evidence, "evidence", "name", "p").select("name", "evidence", "p")
 
 
-def axis_scores(counts: DataFrame, names: DataFrame, likelihood: DataFrame, noise: Column, background: float, repeats: int) -> DataFrame:
-    """LK8: (query, name, logp) of every name for every query: the sum over its mentions of
-    min(n, repeats) ln(noise background + (1 - noise) P(mention given name)).
+def axis_gains(counts: DataFrame, likelihood: DataFrame, noise: Column, background: float, repeats: int) -> DataFrame:
+    """LK8: (query, name, gain): by how much a name's log-likelihood is above that of a name without evidence.
 
-    ``counts`` are (query, context, evidence, n) with the columns that ``noise`` needs. What a
-    mention gives names that it is no evidence for is the same for all of them: a query's
-    base. Only names with evidence differ from it, so no cross product of mentions and
-    names arises; every name gets the base.
+    A mention gives a name ln(noise background + (1 - noise) P(mention given name)), and one
+    that it is no evidence for ln(noise background), min(n, repeats) times each. So names
+    without evidence all have a query's base, and only the others have rows here: queries
+    and names are never crossed. ``counts`` are (query, context, evidence, n) with the
+    columns that ``noise`` needs.
     """
     times = F.least("n", F.lit(repeats))
-    base_part = times * F.log(noise * background)
     gain = times * (F.log(noise * background + (1 - noise) * F.col("p")) - F.log(noise * background))
-    base = counts.groupBy("query").agg(F.sum(base_part).alias("base"))
-    gains = counts.join(likelihood, "evidence").groupBy("query", "name").agg(F.sum(gain).alias("gain"))
-    # every query against every name of one axis: names are a taxonomy's axis
-    every = base.crossJoin(F.broadcast(names.select("name").distinct()))
-    return every.join(gains, ["query", "name"], "left").select("query", "name", (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("logp"))
+    return counts.join(likelihood, "evidence").groupBy("query", "name").agg(F.sum(gain).alias("gain"))
+
+
+def axis_scores(counts: DataFrame, names: DataFrame, likelihood: DataFrame, noise: Column, background: float, repeats: int) -> DataFrame:
+    """LK8: (query, name, logp) of every name for every query, for reports on an axis: as many rows as both have together."""
+    gains = axis_gains(counts, likelihood, noise, background, repeats)
+    base = counts.groupBy("query").agg(F.sum(F.least("n", F.lit(repeats)) * F.log(noise * background)).alias("base"))
+    own = gains.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("name", "gain"))).alias("gains"))
+    # the names of one axis of a taxonomy, as one list in every row
+    listed = names.agg(F.sort_array(F.collect_set("name")).alias("names"))
+    rows = base.join(own, "query", "left").join(F.broadcast(listed)).select("query", "base", "gains", F.explode("names").alias("name"))
+    return rows.select("query", "name", (F.col("base") + F.coalesce(F.try_element_at("gains", F.col("name")), F.lit(0.0))).alias("logp"))
 
 
 def softmax_by_query(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,22 +127,35 @@ def softmax_by_query(scores: DataFrame, keys: list[str]) -> DataFrame:
     return shifted.select("query", *keys, (F.col("_e") / F.sum("_e").over(group)).alias("confidence"))
 
 
-def link(scores: dict[str, DataFrame], taxonomy: DataFrame, top: int = 1, independent: bool = True) -> DataFrame:
-    """LK9 to LK11, TK1: (query, rank, task, dataset, metric, confidence).
+def link(queries: DataFrame, gains: dict[str, DataFrame], taxonomy: DataFrame, top: int = 1, independent: bool = True) -> DataFrame:
+    """LK9 to LK11, TK1: (query, rank, task, dataset, metric, confidence) of every query of ``queries``.
 
     A triple's log-probability is the sum of its axes'; confidences are a softmax over the
     triples of a query. The best of each axis by itself competes as a row of confidence
-    0.79; of equals the joint one goes first, then the smaller names.
+    0.79; of equals the joint one goes first, then the smaller names. Triples without a
+    gain on any axis are all equal, so of these only the first ``top`` are looked at, and
+    the softmax needs only their number.
     """
-    joint = taxonomy.select(*AXES).distinct()
+    triples = taxonomy.select(*AXES).distinct()
+    n_triples = triples.count()
+    asked = queries.select("query").distinct()
+    met = [triples.join(gains[a].select("query", F.col("name").alias(a)), a).select("query", *AXES) for a in AXES]
+    first = F.broadcast(triples.orderBy(*AXES).limit(top))
+    rows = reduce(DataFrame.unionByName, [*met, asked.join(first).select("query", *AXES)]).distinct()
     for axis in AXES:
-        joint = joint.join(scores[axis].select("query", F.col("name").alias(axis), F.col("logp").alias(f"_{axis}")), [axis] if axis == "task" else ["query", axis])
-    rows = softmax_by_query(joint.withColumn("logp", sum((F.col(f"_{a}") for a in AXES), F.lit(0.0))), list(AXES)).withColumn("lone", F.lit(0))
+        rows = rows.join(gains[axis].select("query", F.col("name").alias(axis), F.col("gain").alias(f"_{axis}")), ["query", axis], "left")
+    group = W.partitionBy("query")
+    rows = rows.select("query", *AXES, sum((F.coalesce(f"_{a}", F.lit(0.0)) for a in AXES), F.lit(0.0)).alias("g"))
+    rows = rows.withColumn("top", F.max("g").over(group)).withColumn("e", F.exp(F.col("g") - F.col("top")))
+    whole = F.sum("e").over(group) + (n_triples - F.count(F.lit(1)).over(group)) * F.exp(-F.col("top"))
+    rows = rows.select("query", *AXES, (F.col("e") / whole).alias("confidence"), F.lit(0).alias("lone"))
     if independent:
-        best = None
+        best = asked
         for axis in AXES:
-            one = scores[axis].groupBy("query").agg(F.max_by("name", F.struct(F.round("logp", 9), "name")).alias(axis))
-            best = one if best is None else best.join(one, "query")
+            # of names without a gain the last by name is as good as any
+            last = F.broadcast(triples.agg(F.max(axis).alias("name")).where("name IS NOT NULL"))
+            each = gains[axis].select("query", "name", "gain").unionByName(asked.join(last).withColumn("gain", F.lit(0.0)))
+            best = best.join(each.groupBy("query").agg(F.max_by("name", F.struct(F.round("gain", 9), "name")).alias(axis)), "query")
         rows = rows.unionByName(best.select("query", *AXES, F.lit(INDEPENDENT).alias("confidence"), F.lit(1).alias("lone")))
     order = W.partitionBy("query").orderBy(F.round("confidence", 9).desc(), "lone", *AXES)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", *AXES, "confidence")

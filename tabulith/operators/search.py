@@ -36,7 +36,8 @@ def phrase_matches(queries: DataFrame, fragments: DataFrame, slop: int) -> DataF
     asked = queries.select("query_id", analyse(F.col("text")).alias("words")).where(F.size("words") > 0)
     terms = asked.select("query_id", "words", F.posexplode("words").alias("offset", "token"))
     held = fragments.select("frag_id", analyse(F.col("text")).alias("tokens"))
-    places = held.select("frag_id", F.posexplode("tokens").alias("pos", "token"))
+    # only words that are asked for leave their fragment
+    places = held.select("frag_id", F.posexplode("tokens").alias("pos", "token")).join(terms.select("token").distinct(), "token", "left_semi")
     counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = terms.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     lead = ranked.groupBy("query_id").agg(F.min_by(F.struct("token", "offset", "words"), F.struct("df", "offset")).alias("lead"))
@@ -69,9 +70,10 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """EV6: (query_id, key, score) by BM25 over words; documents that share none have no row."""
     words = docs.select(key, analyse(F.col("text")).alias("w"))
     lengths = words.select(key, F.size("w").alias("len"))
-    tf = words.select(key, F.explode("w").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     asked = queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("token"))
-    needed = tf.join(asked.select("token").distinct(), "token", "left_semi")
+    # only words that are asked for leave their document
+    held = words.select(key, F.explode("w").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    needed = held.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     df = needed.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -30,19 +30,18 @@ def extract_results(cells: DataFrame, contexts: DataFrame, taxonomy: DataFrame,
     proposals = proposals.withColumn("cell_text", words).withColumn("query", F.sha1(F.concat_ws("\n", "paper_id", "table_name", words)))
     dictionaries = {a: k.evidence_names(taxonomy.select(F.col(a).alias("name")).distinct(), a) for a in k.AXES}
     queries = proposals.select("query", *keys, "cell_text").distinct()
-    texts = queries.join(contexts, keys).select("query", "context", "text").unionByName(queries.select("query", F.lit(4).alias("context"), F.col("cell_text").alias("text")))
-    texts = texts.withColumn("text_id", F.concat_ws("|", "query", F.col("context").cast("string")))
-    counts = k.context_counts(texts.select("text_id", "text"), dictionaries)
-    parts = F.split("text_id", "\\|")
-    counts = counts.select(parts[0].alias("query"), parts[1].cast("int").alias("context"), "axis", "evidence", "n")
-    lone = queries.select("query").withColumn("context", F.lit(1)).withColumn("evidence", F.lit("")).withColumn("n", F.lit(0).cast("long"))
-    scores = {}
+    said = contexts.select(*keys, "context", F.sha1("text").alias("text_id"), "text").where("text IS NOT NULL")
+    of_cells = queries.select("query", F.lit(4).alias("context"), F.sha1("cell_text").alias("text_id"))
+    # every different text is searched once, however many cells and tables it speaks of
+    texts = said.select("text_id", "text").unionByName(queries.select(F.sha1("cell_text").alias("text_id"), F.col("cell_text").alias("text"))).dropDuplicates(["text_id"])
+    found = k.context_counts(texts, dictionaries)
+    heard = queries.select("query", *keys).join(said.drop("text"), keys).select("query", "context", "text_id").unionByName(of_cells)
+    counts = heard.join(found, "text_id").select("query", "context", "axis", "evidence", "n")
+    gains = {}
     for axis in k.AXES:
-        # a query without any mention still has a score on every axis: that of nothing said
-        own = counts.where(F.col("axis") == axis).drop("axis").unionByName(lone)
         noise = F.array(*map(F.lit, k.NOISE[axis]))[F.col("context")]
-        scores[axis] = k.axis_scores(own, dictionaries[axis], k.likelihoods(dictionaries[axis]), noise, k.BACKGROUND[axis], k.REPEATS[axis])
-    links = k.link(scores, taxonomy, 1).where("rank = 1")
+        gains[axis] = k.axis_gains(counts.where(F.col("axis") == axis), k.likelihoods(dictionaries[axis]), noise, k.BACKGROUND[axis], k.REPEATS[axis])
+    links = k.link(queries, gains, taxonomy, 1)
     linked = proposals.select("query", "cell_ext_id").join(links, "query").withColumn("true_metric", F.col("metric"))
     rows = k.proposal_rows(proposals, linked.select("cell_ext_id", *k.AXES, "true_metric", "confidence"), metric_info)
     return filters.production_chain(votes)(rows)

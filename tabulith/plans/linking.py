@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.operators import linking as k
@@ -70,10 +70,13 @@ _AXIS = f"""{_COUNTS}, {_NAMES_SQL}, {_P}, m AS (SELECT DISTINCT name FROM e),
 s AS (SELECT query, m.name, sum(least(n, 3) * ln({_NOISE}::DOUBLE * 0.01::DOUBLE + (1::DOUBLE - {_NOISE}::DOUBLE) * coalesce(p.p, 0)::DOUBLE)) AS logp FROM c CROSS JOIN m LEFT JOIN p ON p.name = m.name AND p.evidence = c.evidence GROUP BY ALL)"""
 
 
+def _noise() -> Column:
+    return F.array(*map(F.lit, k.NOISE["dataset"]))[F.col("context")]
+
+
 def _axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidences = _evidences(spark)
-    noise = F.array(*map(F.lit, k.NOISE["dataset"]))[F.col("context")]
-    return k.axis_scores(_counts(spark, sf_dir), evidences, k.likelihoods(evidences), noise, 0.01, 3)
+    return k.axis_scores(_counts(spark, sf_dir), evidences, k.likelihoods(evidences), _noise(), 0.01, 3)
 
 
 @register("lk8_axis_loglik", f"WITH {_AXIS} SELECT query, name, round(logp, 6) AS logp FROM s")
@@ -99,13 +102,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(confidence,
 SELECT query, rank, task, dataset, metric, round(confidence, 6) AS confidence FROM r WHERE rank <= 3""")
 def lk11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LK9 to LK11, TK1: the three best taxonomy rows of every query, the independent one among them."""
-    scores = _axis(spark, sf_dir)
+    counts = _counts(spark, sf_dir)
+    gains = k.axis_gains(counts, k.likelihoods(_evidences(spark)), _noise(), 0.01, 3)
     taxonomy = spark.createDataFrame(_TAXONOMY, "task string, dataset string, metric string")
-    found = k.link({a: scores for a in k.AXES}, taxonomy, 3)
+    found = k.link(counts, {a: gains for a in k.AXES}, taxonomy, 3)
     return found.select("query", "rank", *k.AXES, F.round("confidence", 6).alias("confidence"))
 
 
-@register("lk5_contexts")
+_RUNS = """w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS l FROM documents),
+r AS (SELECT doc_id, array_to_string(l[i:i + m - 1], '') AS key FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(l))"""
+
+
+@register("lk5_contexts", f"""WITH n AS ({_PAIRS}), one AS (SELECT DISTINCT split_part(name, ' ', 1) AS name FROM n), {_RUNS},
+a AS (SELECT 'task' AS axis, name FROM one UNION ALL SELECT 'metric', name FROM n UNION ALL SELECT DISTINCT 'dataset', name FROM (SELECT name FROM n UNION SELECT name FROM one)),
+c AS (SELECT axis, replace(name, ' ', '') AS key, max(name) AS name FROM a GROUP BY 1, 2), f AS (SELECT doc_id, axis, name, count(*) AS n FROM r JOIN c USING (key) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN axis = 'dataset' THEN n - coalesce(sum(n) FILTER (WHERE axis <> 'dataset') OVER (PARTITION BY doc_id, name), 0) ELSE n END::BIGINT AS left_n FROM f)
+SELECT doc_id AS text_id, axis, replace(name, ' ', '') AS evidence, left_n AS n FROM o WHERE left_n > 0""")
 def lk5_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LK5, LK6: mentions in every document by axis, datasets less the rest."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
