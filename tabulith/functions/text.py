@@ -361,3 +361,8 @@ def highlight(text: Column, phrase: str) -> Column:
     import re
 
     return F.regexp_replace(text, f"(?i)\\b({re.escape(phrase)})\\b", "<b>$1</b>")
+
+
+def short_names(names: Column) -> Column:
+    """the initials of given names, each with a full stop."""
+    return F.array_join(F.transform(names, lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.lit("."))), " ")

@@ -10,13 +10,20 @@ from tabulith.functions import values as v
 from tabulith.registry import register, table
 
 
-def _rows(spark: SparkSession, name: str, items: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"id int, {name} string")
+def _rows(spark: SparkSession, sf_dir: str, items: list[str]) -> DataFrame:
+    """id and s for every order: one of ``items`` in turn, with numbers of the order in place of {} and its priority's name in place of @."""
+    chosen = F.element_at(F.array(*map(F.lit, items)), (F.col("o_orderkey") % len(items) + 1).cast("int"))
+    number = F.format_string("%d.%d", F.col("o_orderkey") % 97, F.col("o_custkey") % 10)
+    named = F.replace(F.replace(chosen, F.lit("{}"), number), F.lit("@"), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), named.alias("s"))
 
 
-def _sql_values(items: list[str]) -> str:
-    quoted = ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(items))
-    return f"(VALUES {quoted}) AS s(id, s)"
+def _sql_rows(items: list[str]) -> str:
+    listed = ", ".join("'{}'".format(x.replace("'", "''")) for x in items)
+    return (
+        f"(SELECT o_orderkey AS id, replace(replace([{listed}][(o_orderkey % {len(items)}) + 1], '{{}}', (o_orderkey % 97)::VARCHAR || '.' || (o_custkey % 10)::VARCHAR), "
+        "'@', lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g'))) AS s FROM orders) AS s"
+    )
 
 
 def _ascii(column: str) -> Column:
@@ -61,22 +68,22 @@ _per_document(
 )
 
 
-_REFS = ["see (?) for", "as in ? ? done", "what? no", "end ?", "(?)(?)", "plain"]
+_REFS = ["see (?) for {}", "as in ? ? done @", "what? no", "end {} ?", "(?)(?)@", "plain {}"]
 
 
 @register("f7_fix_refs", "SELECT id, {0} AS value FROM {1}".format(
-    "regexp_replace(regexp_replace(s, '\\(\\?\\)|\\s[?]+(\\s|$)', ' xref-unkown ', 'g'), '\\(\\?\\)|\\s[?]+(\\s|$)', ' xref-unkown ', 'g')", _sql_values(_REFS)))
+    "regexp_replace(regexp_replace(s, '\\(\\?\\)|\\s[?]+(\\s|$)', ' xref-unkown ', 'g'), '\\(\\?\\)|\\s[?]+(\\s|$)', ' xref-unkown ', 'g')", _sql_rows(_REFS)))
 def f7_fix_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _REFS).select("id", t.fix_refs(F.col("s")).alias("value"))
+    return _rows(spark, sf_dir, _REFS).select("id", t.fix_refs(F.col("s")).alias("value"))
 
 
-_LIGHTS = ["a <b>xxref</b>-bib1 b", "<b>xxref</b>-<b>bib</b>", "<b>model</b> here", "none"]
+_LIGHTS = ["a <b>xxref</b>-bib1 {} b", "<b>xxref</b>-<b>bib@</b>", "<b>model</b> @ here", "none {}"]
 
 
 @register("f8_fix_highlight", "SELECT id, replace(replace(replace(replace(s, '<b>xxref</b>-<b>', chr(1)), '<b>xxref</b>-', 'xxref-'), chr(1), '<b>xxref</b>-<b>'), chr(1), '') AS value,"
-          " regexp_replace(s, '</?b>', '', 'g') AS plain FROM " + _sql_values(_LIGHTS))
+          " regexp_replace(s, '</?b>', '', 'g') AS plain FROM " + _sql_rows(_LIGHTS))
 def f8_fix_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _LIGHTS).select("id", t.fix_highlight(F.col("s")).alias("value"), t.strip_highlight(F.col("s")).alias("plain"))
+    return _rows(spark, sf_dir, _LIGHTS).select("id", t.fix_highlight(F.col("s")).alias("value"), t.strip_highlight(F.col("s")).alias("plain"))
 
 
 _NUMBER_SQL = "[+-]?(?:(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
@@ -99,8 +106,8 @@ def f11_extract_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "word", v.extract_value(F.col("word")).cast("double").alias("value"))
 
 
-_RAW = ["21%", "0.21", "21", "0.21%", "12.3 ± 0.4", "± 0.4", "1,234.5", "(93.1)", "21 %", "1e-3", "-5%", "1", ".5", "0", "100", "150", "-", ""]
-_VALUE_SQL = f"""WITH s AS (SELECT * FROM {_sql_values(_RAW)}), r AS (SELECT * FROM (VALUES ('0-1'), ('1-100'), ('abs'), ('')) AS r(rng)),
+_RAW = ["{}%", "{}", "0{}", "{} %", "{} ± 0.4", "({})", "-{}", "1,{}", "@ {}", "21%", "0.21", "21", "0.21%", "12.3 ± 0.4", "± 0.4", "1,234.5", "(93.1)", "21 %", "1e-3", "-5%", "1", ".5", "0", "100", "150", "-", ""]
+_VALUE_SQL = f"""WITH s AS (SELECT * FROM {_sql_rows(_RAW)}), r AS (SELECT * FROM (VALUES ('0-1'), ('1-100'), ('abs'), ('')) AS r(rng)),
 c AS (SELECT * FROM (VALUES (true), (false)) AS c(flip)),
 k AS (SELECT id, s, contains(s, '%') AS pct, trim(translate(replace(regexp_replace(s, '\\s+%', '%', 'g'), ',', ''), '()', '  ')) AS clean FROM s),
 p AS (SELECT id, s, pct, TRY_CAST(nullif(regexp_extract(clean, '^({_NUMBER_SQL})' || CASE WHEN pct THEN '%' ELSE '' END, 1), '') AS DOUBLE) AS x FROM k),
@@ -112,26 +119,31 @@ SELECT id, rng, flip, round(CASE rng WHEN '0-1' THEN q / 100 WHEN '1-100' THEN q
 @register("f12_metric_convert", _VALUE_SQL)
 def f12_metric_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw value in every range, plain and complemented."""
-    cases = _rows(spark, "s", _RAW).withColumn("rng", F.explode(F.array(*map(F.lit, ("abs", "1-100", "0-1", "")))))
+    cases = _rows(spark, sf_dir, _RAW).withColumn("rng", F.explode(F.array(*map(F.lit, ("abs", "1-100", "0-1", "")))))
     cases = cases.withColumn("flip", F.explode(F.array(F.lit(True), F.lit(False))))
     return cases.select("id", "rng", "flip", F.round(v.convert_metric(F.col("s"), F.col("rng"), F.col("flip")).cast("double"), 8).alias("value"))
 
 
-_PM = ["91.2 ± 0.3", "12%", "3.5 ±1.2 %", "a 4 b 5%"]
+_PM = ["{} ± 0.3", "{}%", "3.5 ±{} %", "a 4 b {}%", "@ .5e1 {}"]
+_PM_SQL = "(±?)([+-]?\\s*(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\\s*(%?)"
 
 
-@register("f13_plus_minus", "SELECT * FROM (VALUES (0, [91.2::DOUBLE]), (1, [0.12::DOUBLE]), (2, [3.5::DOUBLE]), (3, [4::DOUBLE, 0.05::DOUBLE])) AS g(id, value)")
+@register("f13_plus_minus", f"""SELECT id, list_transform(list_filter(regexp_extract_all(s, '{_PM_SQL}'), lambda m: NOT starts_with(m, '±')),
+lambda m: regexp_replace(m, '[\\s%]', '', 'g')::DOUBLE / CASE WHEN contains(m, '%') THEN 100 ELSE 1 END) AS value FROM {_sql_rows(_PM)}""")
 def f13_plus_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _PM).select("id", v.plus_minus_values(F.col("s")).alias("value"))
+    return _rows(spark, sf_dir, _PM).select("id", v.plus_minus_values(F.col("s")).alias("value"))
 
 
-_SCORES = ["93.9999999", "0.8499999", "90.0", "-0.0", "12", "0.5", "99.99999", "-1.999999", "100", "0.100"]
+_SCORES = ["93.9999999", "0.8499999", "90.0", "-0.0", "12", "0.5", "99.99999", "-1.999999", "100", "0.100", "{}0", "{}", "{}399999"]
 
 
-@register("f14_score_norm", "SELECT * FROM (VALUES (0,'94'),(1,'0.85'),(2,'90'),(3,'0'),(4,'12'),(5,'0.5'),(6,'100'),(7,'-2'),(8,'100'),(9,'0.1')) AS g(id, value)")
+@register("f14_score_norm", f"""WITH r AS (SELECT * FROM {_sql_rows(_SCORES)}), w AS (SELECT id, CASE WHEN regexp_matches(s, '^[+-]?[0-9]+\\.9{{5,}}$') THEN
+  regexp_extract(s, '^([+-]?)', 1) || (regexp_extract(s, '^[+-]?([0-9]+)', 1)::BIGINT + 1)::VARCHAR
+  WHEN regexp_matches(s, '\\.[0-9]*[0-8]9{{5,}}$') THEN regexp_replace(s, '[0-8]9+$', '') || (regexp_extract(s, '([0-8])9+$', 1)::INTEGER + 1)::VARCHAR ELSE s END AS s FROM r),
+z AS (SELECT id, regexp_replace(CASE WHEN contains(s, '.') THEN regexp_replace(s, '0+$', '') ELSE s END, '\\.$', '') AS s FROM w) SELECT id, CASE WHEN s = '-0' THEN '0' ELSE s END AS value FROM z""")
 def f14_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The golden cases of score strings."""
-    return _rows(spark, "s", _SCORES).select("id", v.norm_score(F.col("s")).alias("value"))
+    """Score strings with what floating point leaves at their ends."""
+    return _rows(spark, sf_dir, _SCORES).select("id", v.norm_score(F.col("s")).alias("value"))
 
 
 @register("f14_prices", "SELECT o_orderkey, regexp_replace(regexp_replace(x, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS value FROM (SELECT o_orderkey, round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR AS x FROM orders)")
@@ -140,20 +152,20 @@ def f14_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", v.norm_score(price).alias("value"))
 
 
-_IDS = ["1602.01234v2", "1602.01234", "cs/0112017v11", "v1", ""]
+_IDS = ["1602.01234v2", "16{}", "cs/0112017v11", "v1", "", "16{}v3", "@v12"]
 
 
-@register("f15_version_strip", f"SELECT id, regexp_replace(s, 'v[0-9]+$', '') AS value FROM {_sql_values(_IDS)}")
+@register("f15_version_strip", f"SELECT id, regexp_replace(s, 'v[0-9]+$', '') AS value FROM {_sql_rows(_IDS)}")
 def f15_version_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _IDS).select("id", t.strip_version(F.col("s")).alias("value"))
+    return _rows(spark, sf_dir, _IDS).select("id", t.strip_version(F.col("s")).alias("value"))
 
 
-_CITES = ["J. Doe. A title. arXiv preprint arXiv:1602.01234v1, 2016.", "https://arxiv.org/abs:1701.00001", "CoRR abs/1503.02531", "no id here"]
+_CITES = ["J. Doe. A title. arXiv preprint arXiv:1602.01234v1, 2016.", "https://arxiv.org/abs:1701.00001", "CoRR abs/1503.02531", "no id here {}", "@: arXiv:1602.0{}", "abs/19{}12345v2 @"]
 
 
-@register("f16_arxiv_id", f"""SELECT id, nullif(regexp_extract(s, '[:/]([12][0-9]{{3}}\\.[0-9]{{4,5}})', 1), '') AS arxiv_id FROM {_sql_values(_CITES)}""")
+@register("f16_arxiv_id", f"""SELECT id, nullif(regexp_extract(s, '[:/]([12][0-9]{{3}}\\.[0-9]{{4,5}})', 1), '') AS arxiv_id FROM {_sql_rows(_CITES)}""")
 def f16_arxiv_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _CITES).select("id", t.arxiv_id(F.col("s")).alias("arxiv_id"))
+    return _rows(spark, sf_dir, _CITES).select("id", t.arxiv_id(F.col("s")).alias("arxiv_id"))
 
 
 @register("f17_title_key", "SELECT item_id, array_to_string(string_split_regex(lower(s), '[ !\"$%&''*+,\\n\\t;<=>@^_`{|}~-]+'), '-') AS value FROM"
@@ -168,17 +180,13 @@ _TITLES = ["Deep nets for all. In Proceedings of X, 2015", "A study. NIPS 2014.
 
 @register("f19_title_score", "SELECT * FROM (VALUES (0,'Deep nets for all'),(1,'Long title of the paper here'),(2,'Single part only')) AS g(id, value)")
 def f19_title_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _TITLES).select("id", t.best_title_part(F.col("s")).alias("value"))
+    return _rows(spark, sf_dir, _TITLES).select("id", t.best_title_part(F.col("s")).alias("value"))
 
 
-_NAMES = [["Ada", "Lovelace"], ["grace", "brewster"], []]
-
-
-@register("f21_short_names", "SELECT * FROM (VALUES (0,'A. L.'),(1,'G. B.'),(2,'')) AS g(id, value)")
+@register("f21_short_names", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda n: upper(n[1]) || '.'), ' ') AS value FROM part")
 def f21_short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Initials of given names."""
-    names = spark.createDataFrame(list(enumerate(_NAMES)), "id int, names array<string>")
-    return names.select("id", F.array_join(F.transform("names", lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.lit("."))), " ").alias("value"))
+    """Initials of the words of part names."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.short_names(F.split("p_name", " ")).alias("value"))
 
 
 @register("f22_nested_pop", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, [json_extract_string(props, '$.k')] AS listed FROM events")
@@ -187,13 +195,14 @@ def f22_nested_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.array(F.get_json_object("props", "$.k")).alias("listed"))
 
 
-_SAID = [("we use our model on squad", "squad"), ("dataset of xxref-" + "a" * 40, "nothing")]
+_SAID = ["we use our model on @", "dataset of xxref-" + "a" * 40, "the data set @ of {}", "@ model xxref-" + "0b" * 20, "plain {}"]
 
 
-@register("f27_type_flags", "SELECT * FROM (VALUES (0,'exact model model-best'),(1,'dataset external external?')) AS g(id, value)")
+@register("f27_type_flags", f"""SELECT id, array_to_string(list_filter([CASE WHEN contains(s, 'high') THEN 'exact' END, CASE WHEN contains(s, 'model') THEN 'model' END, CASE WHEN contains(s, 'our') THEN 'model-best' END,
+CASE WHEN contains(s, 'dataset') OR contains(s, 'data set') THEN 'dataset' END, CASE WHEN regexp_matches(s, 'xxref-[a-zA-Z0-9_]{{40}}') THEN 'external' END, CASE WHEN regexp_matches(s, 'xxref-[a-zA-Z0-9_]{{40}}') THEN 'external?' END], lambda f: f IS NOT NULL), ' ') AS value FROM {_sql_rows(_SAID)}""")
 def f27_type_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(_SAID)], "id int, s string, q string")
-    return rows.select("id", t.type_flags(F.col("s"), F.col("s"), F.col("q")).alias("value"))
+    s = F.col("s")
+    return _rows(spark, sf_dir, _SAID).select("id", t.type_flags(s, s, F.lit("high")).alias("value"))
 
 
 @register("f31_argmax", """
@@ -236,48 +245,49 @@ def f33_query_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("user_id").agg(joined.alias("key"))
 
 
-_CAMEL = ["cellsSotaRecords", "goldTags", "arxivId", "tableSet", "plain"]
+_CAMEL = ["cellsSotaRecords", "goldTags", "arxivId", "tableSet", "plain", "@Set", "my@Records"]
 
 
-@register("pf10_case_names", f"""SELECT id, lower(regexp_replace(regexp_replace(s, '(.)([A-Z](?:[a-z]+))', '\\1_\\2', 'g'), '([0-9a-z])([A-Z])', '\\1_\\2', 'g')) AS snake, s AS camel FROM {_sql_values(_CAMEL)}""")
+@register("pf10_case_names", f"""SELECT id, lower(regexp_replace(regexp_replace(s, '(.)([A-Z](?:[a-z]+))', '\\1_\\2', 'g'), '([0-9a-z])([A-Z])', '\\1_\\2', 'g')) AS snake, s AS camel FROM {_sql_rows(_CAMEL)}""")
 def pf10_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "s", _CAMEL).select("id", t.snake_case(F.col("s")).alias("snake"))
+    rows = _rows(spark, sf_dir, _CAMEL).select("id", t.snake_case(F.col("s")).alias("snake"))
     return rows.select("id", "snake", t.camel_case(F.col("snake")).alias("camel"))
 
 
-_CELLS = ["Ours <ref id='bib-bib7'>7</ref>", "<bold>93.1%</bold>", "<bold> </bold>x</bold><bold>y", "A <ref id='b-1'> Li et al </ref> (<ref id='b'>2</ref>)", "<red>1</red> ( )"]
+_CELLS = ["Ours <ref id='bib-bib7'>7</ref>", "<bold>93.1%</bold>", "<bold> </bold>x</bold><bold>y", "A <ref id='b-1'> Li et al </ref> (<ref id='b'>2</ref>)", "<red>1</red> ( )", "<bold>{}</bold> @", "@ <ref id='bib-@'> {} </ref>", "<bold>{}</bold> <bold>@</bold>"]
 
 
-@register("tb15_clear_styles", f"""SELECT id, trim(regexp_replace(regexp_replace(s, '<bold>(\\s*)</bold>', '\\1', 'g'), '</bold>(\\s*)<bold>', '\\1', 'g')) AS value FROM {_sql_values(_CELLS)}""")
+@register("tb15_clear_styles", f"""SELECT id, trim(regexp_replace(regexp_replace(s, '<bold>(\\s*)</bold>', '\\1', 'g'), '</bold>(\\s*)<bold>', '\\1', 'g')) AS value FROM {_sql_rows(_CELLS)}""")
 def tb15_clear_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _CELLS).select("id", t.clear_styles(F.col("s")).alias("value"))
+    return _rows(spark, sf_dir, _CELLS).select("id", t.clear_styles(F.col("s")).alias("value"))
 
 
 @register("tb19_cell_build", f"""
 SELECT id, list_transform(regexp_extract_all(s, '<ref id=''([^'']*)''>(.*?)</ref>', 1), lambda r: replace(r, '-', '')) AS refs,
   regexp_replace(regexp_replace(regexp_replace(s, '<ref id=''[^'']*''>\\s*([0-9]+)\\s*</ref>', '\\1', 'g'), '<ref id=''[^'']*''>\\s*(.*?)\\s*</ref>', '[\\1]', 'g'), '</?(red|green|blue|bold|italic)>', '', 'g') AS value,
   regexp_replace(regexp_replace(s, '<ref id=''([^'']*)''>(.*?)</ref>', '', 'g'), '\\(\\s*\\)|\\[\\s*\\]', '', 'g') AS bare
-FROM {_sql_values(_CELLS)}""")
+FROM {_sql_rows(_CELLS)}""")
 def tb19_cell_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB19 to TB22: references, value and text without references of raw cells."""
     s = F.col("s")
-    return _rows(spark, "s", _CELLS).select("id", t.references_in(s).alias("refs"), t.cell_value(s).alias("value"), t.remove_references(s).alias("bare"))
+    return _rows(spark, sf_dir, _CELLS).select("id", t.references_in(s).alias("refs"), t.cell_value(s).alias("value"), t.remove_references(s).alias("bare"))
 
 
-_KEYS = ["Table 3: Results on SQuAD", "figure 12 . Loss-curves", "No prefix, here!"]
+_KEYS = ["Table 3: Results on SQuAD @", "figure 12 . Loss-curves {}", "No prefix, here! @", " TABLE {}.1 @ table 2"]
 
 
-@register("tb30_match_key", "SELECT * FROM (VALUES (0,'resultsonsquad'),(1,'losscurves'),(2,'noprefixhere')) AS g(id, value)")
+@register("tb30_match_key", f"SELECT id, regexp_replace(regexp_replace(lower(s), '^\\s*(table|figure)\\s+[0-9]+(\\.[0-9]+)*\\s*[.:]?\\s*', ''), '[^a-z0-9]+', '', 'g') AS value FROM {_sql_rows(_KEYS)}")
 def tb30_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _KEYS).select("id", t.match_key(F.col("s")).alias("value"))
+    return _rows(spark, sf_dir, _KEYS).select("id", t.match_key(F.col("s")).alias("value"))
 
 
-_FLAT = ["see ( xxref-S1T1 )  now", "xxanchor-a xxanchor-a text", " many \n spaces\xa0here "]
+_FLAT = ["see ( xxref-S1T1 )  now {}", "xxanchor-@  text", " many \n spaces @ ", "[xxanchor-@] and (xxref-a-b) {}", "plain  {}"]
 
 
-@register("tx4_flat_text", "SELECT * FROM (VALUES (0,'see xxref-S1T1 now'),(1,'xxanchor-a text'),(2,'many spaces here')) AS g(id, value)")
+@register("tx4_flat_text", f"SELECT id, trim(regexp_replace(regexp_replace(s, '[ \\n]+', ' ', 'g'), '[(\\[]\\s*((?:xxref|xxanchor)-[a-zA-Z0-9_-]+)\\s*[)\\]]', '\\1', 'g')) AS value FROM {_sql_rows(_FLAT)}")
 def tx4_flat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "s", _FLAT).select("id", t.flat_text(F.col("s")).alias("value"))
+    """Texts of elements made flat (repeated anchors are in the tests: SQL has no back-references)."""
+    return _rows(spark, sf_dir, _FLAT).select("id", t.flat_text(F.col("s")).alias("value"))
 
 
 @register("sc3_nested_json", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -296,7 +306,12 @@ def ev5_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.where(F.length("s") >= F.col("n")).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1))).select("p_partkey", "n", "i", F.substr("s", F.col("i"), F.col("n")).alias("gram"))
 
 
-@register("ev4_taxonomy_words")
+_SPLIT_WORDS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(39) || 's\\b', '', 'g'), '(\\p{Ll})([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')"
+_TAXONOMY_WORDS = f"list_filter(string_split_regex(lower({_SPLIT_WORDS}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@register("ev4_taxonomy_words", f"""WITH w AS (SELECT item_id, {_TAXONOMY_WORDS} AS l FROM benchmark)
+SELECT item_id, {" || ".join(f"[array_to_string(l[i:i + {n - 1}], ' ') FOR i IN range(1, len(l) - {n - 2})]" for n in range(1, 6))} AS terms FROM w""")
 def ev4_taxonomy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV4: words and shingles of benchmark items as a taxonomy analyser makes them."""
     words = t.taxonomy_words(F.col("text"))
