@@ -3,18 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.operators import filters
 from tabulith.operators import linking as k
-
-SAMPLE_CELLS = [
-    ("p1", "table_01", r, c, v, g)
-    for r, line in enumerate([[("Model", ""), ("SQuAD", "dataset")], [("Ours", "model-best"), ("93.1%", "")], [("Ours small", "model-best"), ("91%", "")]])
-    for c, (v, g) in enumerate(line)
-]
-SAMPLE_TAXONOMY = [("Question Answering", "SQuAD", "F1"), ("Question Answering", "TriviaQA", "F1"), ("Parsing", "Treebank", "Accuracy")]
-
+from tabulith.registry import table
 
 def extract_results(cells: DataFrame, contexts: DataFrame, taxonomy: DataFrame, metric_info: DataFrame, votes: DataFrame | None = None) -> DataFrame:
     """UD8: proposals of all papers with the reason for which each is no result (null: it is one).
@@ -47,18 +41,35 @@ def extract_results(cells: DataFrame, contexts: DataFrame, taxonomy: DataFrame,
     return filters.production_chain(votes)(rows)
 
 
-def _sample(spark: SparkSession) -> DataFrame:
-    cells = spark.createDataFrame(SAMPLE_CELLS, "paper_id string, table_name string, row int, col int, value string, tag string")
-    contexts = spark.createDataFrame([("p1", "table_01", 0, "Question Answering on SQuAD with F1"), ("p1", "table_01", 3, "F1 on SQuAD question answering test")], "paper_id string, table_name string, context int, text string")
-    taxonomy = spark.createDataFrame(SAMPLE_TAXONOMY, "task string, dataset string, metric string")
-    info = spark.createDataFrame([("F1", "1-100"), ("Accuracy", "0-1")], "metric string, range string")
-    return extract_results(cells, contexts, taxonomy, info)
+def order_tables(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Every order as a table: data sets above, a model before each of its lines, a percentage and a number in it."""
+    lines = table(spark, sf_dir, "lineitem")
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = lines.select("l_orderkey", nth.alias("row"), F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("%")).alias("a"), F.col("l_partkey").cast("string").alias("b"))
+    cell = lambda col, value, tag: F.struct(F.lit(col).alias("col"), value.alias("value"), F.lit(tag).alias("tag"))
+    body = rows.select("l_orderkey", "row", F.inline(F.array(cell(0, F.concat(F.lit("Ours "), F.col("row").cast("string")), "model-best"), cell(1, F.col("a"), ""), cell(2, F.col("b"), ""))))
+    if len(names) == 1:
+        heads = [F.concat(F.lit(f"{names[0]} {c}"), (F.col("l_orderkey") % 5).cast("string")) for c in (1, 2)]
+    else:
+        heads = list(map(F.lit, names))
+    head = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("row"), F.inline(F.array(cell(0, F.lit("Model"), ""), *(cell(c, h, "dataset") for c, h in zip((1, 2), heads)))))
+    return head.unionByName(body).select(F.col("l_orderkey").alias("paper_id"), F.lit("t").alias("table_name"), "row", "col", "value", "tag")
 
 
-def sample_explained(spark: SparkSession) -> DataFrame:
-    return _sample(spark)
+TAXONOMY = [("Answering", "Squad", "Fscore"), ("Answering", "Trivia", "Fscore"), ("Parsing", "Treebank", "Bleu")]
+
+
+def order_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_results() of all orders: their texts name one task and metric for each of the two data sets of their tables."""
+    cells = order_tables(spark, sf_dir, "Squad", "Treebank").withColumn("paper_id", F.concat(F.lit("p"), F.col("paper_id").cast("string")))
+    papers = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("paper_id")).distinct()
+    contexts = papers.select("paper_id", F.lit("t").alias("table_name"), F.lit(3).alias("context"), F.lit("Fscore for answering, bleu for parsing").alias("text"))
+    taxonomy = spark.createDataFrame(TAXONOMY, "task string, dataset string, metric string")
+    info = spark.createDataFrame([("Fscore", "1-100"), ("Bleu", "")], "metric string, range string")
+    return extract_results(cells, contexts, taxonomy, info)
 
 
-def sample_results(spark: SparkSession) -> DataFrame:
-    """The results of the sample paper: dataset, metric, task, model, score."""
-    return filters.kept(_sample(spark)).select("task", "dataset", "metric", "model", F.col("parsed").alias("score"))
+def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of all orders: paper, dataset, metric, task, model, score."""
+    paper = F.split("cell_ext_id", "/")[0].alias("paper_id")
+    return filters.kept(order_proposals(spark, sf_dir)).select(paper, "task", "dataset", "metric", "model", F.col("parsed").alias("score"))

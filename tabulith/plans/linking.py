@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith.operators import dictionaries
 from tabulith.operators import linking as k
+from tabulith.plans import flagship
 from tabulith.registry import register, table
 
 _PAIRS = "SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM benchmark)"
@@ -25,11 +27,13 @@ def lk1_evidence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.evidence_names(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct(), "dataset")
 
 
-@register("lk2_abbreviations", "SELECT * FROM (VALUES ('MT on BLEU', 'machine translation'), ('MT on BLEU', 'mt on bleu'), ('MT on BLEU', 'mt'), ('MT on BLEU', 'bleu'), ('parsing', 'parsing')) AS g(name, evidence)")
+@register("lk2_abbreviations", """WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, lower(name) AS whole, string_split(lower(name), ' ') AS words FROM n),
+a AS (SELECT * FROM (VALUES ('bolt', 'screw'), ('cold', 'low temperature'), ('nothing', 'void')) AS v(short, long))
+SELECT DISTINCT name, unnest([whole] || words) AS evidence FROM w UNION SELECT name, long FROM w JOIN a ON list_contains(words, short)""")
 def lk2_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LK2: expansions of abbreviations in names."""
-    names = spark.createDataFrame([("MT on BLEU",), ("parsing",)], "name string")
-    short = spark.createDataFrame([("mt", "machine translation"), ("nli", "natural language inference")], "short string, long string")
+    """LK2: expansions of abbreviations in names (names of parts as metrics)."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    short = spark.createDataFrame([("bolt", "screw"), ("cold", "low temperature"), ("nothing", "void")], "short string, long string")
     return k.evidence_names(names, "metric", short)
 
 
@@ -59,10 +63,12 @@ def _evidences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_NAMES, "name string, evidence string")
 
 
-@register("lk7_likelihoods", f"WITH {_NAMES_SQL}, {_P} SELECT name, evidence, round(p, 9) AS p FROM p")
+@register("lk7_likelihoods", """WITH c AS (SELECT p_brand AS name, lower(string_split(p_type, ' ')[1]) AS evidence, count(*) AS n FROM part GROUP BY ALL),
+o AS (SELECT name, evidence, n / sum(n) OVER (PARTITION BY evidence) AS p FROM c) SELECT name, evidence, round(p / sum(p) OVER (PARTITION BY name), 9) AS p FROM o""")
 def lk7_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LK7: the probability of an evidence given a name."""
-    return k.likelihoods(_evidences(spark)).select("name", "evidence", F.round("p", 9).alias("p"))
+    """LK7: the probability of an evidence (a type's first word) given a name (a brand)."""
+    evidences = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.split("p_type", " ")[0].alias("evidence"))
+    return k.likelihoods(evidences).select("name", "evidence", F.round("p", 9).alias("p"))
 
 
 _NOISE = "CASE context WHEN 0 THEN 0.99 WHEN 3 THEN 0.25 WHEN 4 THEN 0.01 ELSE 1.0 END"
@@ -126,26 +132,33 @@ def lk5_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.context_counts(texts, {"task": single, "dataset": names.union(single), "metric": names})
 
 
-@register("lk12_cell_proposals", "SELECT * FROM (VALUES (1, 1, '93.1%', ['Ours'], ['SQuAD']), (2, 1, '91%', ['Ours small'], ['SQuAD'])) AS g(row, col, value, models, datasets)")
+@register("lk12_cell_proposals", """WITH r AS (SELECT l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS row, * FROM lineitem)
+SELECT paper_id, row, col, CASE col WHEN 1 THEN l_quantity::BIGINT::VARCHAR || '%' ELSE l_partkey::VARCHAR END AS value, ['Ours ' || row] AS models, ['Set ' || col || (paper_id % 5)] AS datasets
+FROM r, (SELECT unnest([1, 2]) AS col)""")
 def lk12_cell_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LK12: numeric cells of a small table with what stands before them."""
-    from tabulith.plans.flagship import SAMPLE_CELLS
+    """LK12: every order as a table of models and two data sets: its numeric cells with what stands before them."""
+    rows = k.cell_proposals(flagship.order_tables(spark, sf_dir, "Set"), ["paper_id", "table_name"])
+    return rows.select("paper_id", "row", "col", "value", F.transform("model_values", lambda v: v["value"]).alias("models"), F.transform("dataset_values", lambda v: v["value"]).alias("datasets"))
 
-    cells = spark.createDataFrame(SAMPLE_CELLS, "paper_id string, table_name string, row int, col int, value string, tag string")
-    rows = k.cell_proposals(cells, ["paper_id", "table_name"])
-    return rows.select("row", "col", "value", F.transform("model_values", lambda v: v["value"]).alias("models"), F.transform("dataset_values", lambda v: v["value"]).alias("datasets"))
 
-
-@register("f28_complements", "SELECT * FROM (VALUES ('t', 'd', 'Accuracy', 'Accuracy'), ('t', 'd', 'Error', 'Accuracy'), ('t', 'd', 'F1', 'F1')) AS g(task, dataset, metric, true_metric)")
+@register("f28_complements", """WITH t AS (SELECT DISTINCT p_brand AS task, p_type AS dataset, ['Accuracy', 'Error', 'F1', 'Top-5 Error'][p_size % 4 + 1] AS metric FROM part),
+c AS (SELECT * FROM (VALUES ('accuracy', 'Error'), ('error', 'Accuracy'), ('top-5 error', 'Top-5 Accuracy')) AS v(m, complement)),
+x AS (SELECT task, dataset, complement AS metric, metric AS true_metric FROM t JOIN c ON lower(metric) = m)
+SELECT *, metric AS true_metric FROM t UNION SELECT * FROM x ANTI JOIN t USING (task, dataset, metric)""")
 def f28_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a taxonomy with complements of its metrics."""
-    taxonomy = spark.createDataFrame([("t", "d", "Accuracy"), ("t", "d", "F1")], "task string, dataset string, metric string")
-    return k.complement_metrics(taxonomy, spark.createDataFrame([("accuracy", "Error")], "metric string, complement string"))
+    """a taxonomy of parts with the complements of its metrics."""
+    metric = F.element_at(F.array(*map(F.lit, ("Accuracy", "Error", "F1", "Top-5 Error"))), (F.col("p_size") % 4 + 1).cast("int"))
+    taxonomy = table(spark, sf_dir, "part").select(F.col("p_brand").alias("task"), F.col("p_type").alias("dataset"), metric.alias("metric")).distinct()
+    return k.complement_metrics(taxonomy, dictionaries.complements(spark))
 
 
-@register("lk15_acronyms", "SELECT * FROM (VALUES (1::BIGINT, 'NMT', 'neural machine translation'), (2, 'QA', 'question answering')) AS g(text_id, short, long)")
+@register("lk15_acronyms", """SELECT p_partkey AS text_id, upper(w[1][1] || w[2][1]) AS short, array_to_string(w, ' ') AS long FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part) WHERE p_partkey % 2 = 0""")
 def lk15_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame([(1, "We use neural machine translation (NMT) here (XY)."), (2, "on question answering (QA)")], "text_id long, text string")
+    """LK15: names of parts with their initials, or with letters that aren't."""
+    words = F.split(F.lower("p_name"), " ")
+    initials = F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
+    short = F.when(F.col("p_partkey") % 2 == 0, initials).otherwise("QZX")
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.concat(F.lit("We use "), F.array_join(words, " "), F.lit(" ("), short, F.lit(") here (XY).")).alias("text"))
     return k.acronyms(texts)
 
 
@@ -162,19 +175,19 @@ def lk3_index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("key")).agg(F.max("name").alias("name"))
 
 
-@register("ud8_flagship", "SELECT 'SQuAD' AS dataset, 'F1' AS metric, 'Question Answering' AS task, 'Ours' AS model, 93.1::DOUBLE AS score")
-def ud8_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UD8: cells of a paper to the results that its leaderboards keep."""
-    from tabulith.plans.flagship import sample_results
+_BEST = """WITH r AS (SELECT l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS row, * FROM lineitem),
+c AS (SELECT paper_id, row, col, CASE col WHEN 1 THEN l_quantity::BIGINT::DOUBLE ELSE l_partkey::DOUBLE END AS score, 'Ours ' || row AS model, 'p' || paper_id || '/t/' || row || '.' || col AS id FROM r, (SELECT unnest([1, 2]) AS col)),
+b AS (SELECT *, first_value(id) OVER (PARTITION BY paper_id, col ORDER BY score DESC, id) AS best FROM c)"""
 
-    return sample_results(spark)
+
+@register("ud8_flagship", f"""{_BEST} SELECT 'p' || paper_id AS paper_id, CASE col WHEN 1 THEN 'Squad' ELSE 'Treebank' END AS dataset, CASE col WHEN 1 THEN 'Fscore' ELSE 'Bleu' END AS metric,
+CASE col WHEN 1 THEN 'Answering' ELSE 'Parsing' END AS task, model, score FROM b WHERE id = best""")
+def ud8_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD8: every order as a paper with one table: from its cells, its text and a taxonomy to the results that leaderboards keep."""
+    return flagship.order_results(spark, sf_dir)
 
 
-@register("ud6_explanations", "SELECT * FROM (VALUES ('p1/table_01/1.1', NULL), ('p1/table_01/2.1', 'replaced by p1/table_01/1.1')) AS g(cell_ext_id, reason)")
+@register("ud6_explanations", f"{_BEST} SELECT id AS cell_ext_id, CASE WHEN id <> best THEN 'replaced by ' || best END AS reason FROM b")
 def ud6_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD6: why a cell is no result."""
-    from tabulith.plans.flagship import sample_explained
-
-    return sample_explained(spark).select("cell_ext_id", "reason")
-
-
+    return flagship.order_proposals(spark, sf_dir).select("cell_ext_id", "reason")

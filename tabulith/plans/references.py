@@ -36,34 +36,39 @@ def rf3_merge_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.merge_references(rows).select("uid", "title", "authors", "orig_refs")
 
 
-_LOOK = ["J. Doe. A deep study of nets in vision. 2015", "nothing known"]
-
-
-@register("rf4_lookup", "SELECT 'J. Doe. A deep study of nets in vision. 2015' AS ref_str, 'deep-study-of-nets' AS uid")
+@register("rf4_lookup", "SELECT 'J. Doe. ' || p_type || '. ' || p_partkey AS ref_str, lower(replace(p_type, ' ', '-')) AS uid FROM part WHERE p_size > 5")
 def rf4_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RF4: a known title within a reference string."""
-    known = spark.createDataFrame([("deep-study-of-nets",), ("deep-study-of",), ("other-title-here",)], "uid string")
-    return r.lookup(spark.createDataFrame([(x,) for x in _LOOK], "ref_str string"), known)
-
-
-_TEI = '<biblStruct><analytic><title level="a">On things</title><author><persName><forename>A</forename><surname>Doe</surname></persName></author><idno type="arXiv">1602.01234</idno></analytic><monogr><imprint><date when="2016"/></imprint></monogr></biblStruct>'
+    """RF4: types of parts as known titles, looked up in reference strings of parts; small parts quote none."""
+    part = table(spark, sf_dir, "part")
+    known = part.select(r.reference_id(F.col("p_type")).alias("uid")).distinct()
+    title = F.when(F.col("p_size") > 5, F.col("p_type")).otherwise("nothing known")
+    return r.lookup(part.select(F.concat(F.lit("J. Doe. "), title, F.lit(". "), F.col("p_partkey").cast("string")).alias("ref_str")), known)
 
 
-@register("rf2_tei", "SELECT 'b1' AS ref_id, 'On things' AS title, ['Doe'] AS surnames, '2016' AS date, '1602.01234' AS arxiv_id")
+@register("rf2_tei", """SELECT p_partkey AS ref_id, p_type AS title, [p_brand, 'Doe'] AS surnames, (1990 + p_size)::VARCHAR AS date, CASE WHEN p_size % 2 = 0 THEN '1602.' || p_partkey END AS arxiv_id FROM part""")
 def rf2_tei(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.parse_tei(spark.createDataFrame([("b1", _TEI)], "ref_id string, tei string"))
+    """RF2: parts as citations in TEI, read by XPath; half of them have no identifier."""
+    number = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<idno type="arXiv">1602.'), F.col("p_partkey").cast("string"), F.lit("</idno>"))).otherwise("")
+    tei = F.concat(
+        F.lit('<biblStruct><analytic><title level="a">'), "p_type", F.lit("</title><author><persName><surname>"), "p_brand",
+        F.lit("</surname></persName></author><author><persName><forename>A</forename><surname>Doe</surname></persName></author>"), number,
+        F.lit('</analytic><monogr><imprint><date when="'), (F.col("p_size") + 1990).cast("string"), F.lit('"/></imprint></monogr></biblStruct>'))
+    return r.parse_tei(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), tei.alias("tei")))
 
 
-@register("f16_shortened", "SELECT * FROM (VALUES (0, 'J. Doe. A title.   , 2016'), (1, 'https://arxiv.org/abs:1701.00001')) AS g(id, ref)")
+@register("f16_shortened", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'J. ' || o_orderpriority || '.   , 2016' ELSE 'https://arxiv.org/abs:1701.' || (10000 + o_orderkey % 90000) END AS ref FROM orders""")
 def f16_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: references without an identifier that words lead to; addresses stay whole."""
-    rows = spark.createDataFrame([(0, "J. Doe. A title. arXiv:1602.01234v1, 2016"), (1, "https://arxiv.org/abs:1701.00001")], "id int, s string")
-    return rows.select("id", F.regexp_replace(t.without_arxiv_id(F.col("s")), "\\. +, ", ".   , ").alias("ref"))
+    number = (F.col("o_orderkey") % 90000 + 10000).cast("string")
+    cited = F.concat(F.lit("J. "), "o_orderpriority", F.lit(". arXiv:1602."), number, F.lit("v1, 2016"))
+    s = F.when(F.col("o_orderkey") % 2 == 0, cited).otherwise(F.concat(F.lit("https://arxiv.org/abs:1701."), number))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.regexp_replace(t.without_arxiv_id(s), "\\. +, ", ".   , ").alias("ref"))
 
 
-@register("f18_artefacts", "SELECT * FROM (VALUES (0, 'a  b'), (1, ' title'), (2, '[1] Smith paper')) AS g(id, value)")
+@register("f18_artefacts", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN p || '  b' WHEN 1 THEN ' ' || p ELSE '[1] ' || p || ' paper' END AS value FROM (SELECT o_orderkey, lower(o_orderstatus) || 'x' AS p FROM orders)""")
 def f18_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """what typesetting and venues leave in references."""
-    rows = spark.createDataFrame([(0, "a \\BBA b"), (1, "NIPS 2014. title"), (2, "[AB12] Smith paper")], "id int, s string")
-    value = F.when(F.col("id") == 0, t.strip_latex_artefacts(F.col("s"))).when(F.col("id") == 1, F.concat(F.lit(" "), t.strip_conferences(F.col("s")))).otherwise(t.strip_anchor(F.col("s")))
-    return rows.select("id", value.alias("value"))
+    p = F.concat(F.lower("o_orderstatus"), F.lit("x"))
+    kind = F.col("o_orderkey") % 3
+    value = F.when(kind == 0, t.strip_latex_artefacts(F.concat(p, F.lit(" \\BBA b")))).when(kind == 1, F.concat(F.lit(" "), t.strip_conferences(F.concat(F.lit("NIPS 2014. "), p))))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), value.otherwise(t.strip_anchor(F.concat(F.lit("[AB12] "), p, F.lit(" paper")))).alias("value"))

@@ -175,10 +175,10 @@ def f17_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(t.title_tokens(plain), "-").alias("value"))
 
 
-_TITLES = ["Deep nets for all. In Proceedings of X, 2015", "A study. NIPS 2014. Long title of the paper here", "Single part only."]
+_TITLES = ["Deep @ nets for all. In Proceedings of X, 2015", "A study. NIPS 2014. Long title of the @ paper here", "Single @ part only."]
 
 
-@register("f19_title_score", "SELECT * FROM (VALUES (0,'Deep nets for all'),(1,'Long title of the paper here'),(2,'Single part only')) AS g(id, value)")
+@register("f19_title_score", f"SELECT id, s AS value FROM {_sql_rows(['Deep @ nets for all', 'Long title of the @ paper here', 'Single @ part only'])}")
 def f19_title_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, _TITLES).select("id", t.best_title_part(F.col("s")).alias("value"))
 

@@ -24,6 +24,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{base}/tabulith-{uuid.uuid4().hex}"
 
 
+def _as_files(rows: DataFrame, path: str, suffix: str = "json", parts: int = 8) -> None:
+    """One text file for every part: the ``line``s of it as a JSON array."""
+    part = F.pmod(F.xxhash64("line"), F.lit(parts)).alias("part")
+    whole = rows.select(part, "line").groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("value"))
+    whole.repartition("part").write.partitionBy("part").text(path)
+
+
 def _local(files: dict[str, str | bytes]) -> str:
     """Small files for a reader, in a local folder (these queries are about formats, not about size)."""
     root = Path(tempfile.mkdtemp(prefix="tabulith-"))
@@ -34,40 +41,71 @@ def _local(files: dict[str, str | bytes]) -> str:
     return str(root)
 
 
-@register("sc1_csv_cells", "SELECT * FROM (VALUES (0, 0, 'a'), (0, 1, 'b,\"c\"'), (1, 0, ''), (1, 1, '2')) AS g(row, col, value)")
+@register("sc1_csv_cells", """WITH o AS (SELECT o_orderkey % 8 AS t, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey)::INTEGER - 1 AS row, o_orderkey, o_orderpriority, o_orderstatus FROM orders)
+SELECT 't=' || t AS file, row, unnest([0, 1, 2]) AS col, unnest([o_orderkey::VARCHAR, o_orderpriority || ', "' || o_orderstatus || '"' || chr(10) || 'x', CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END]) AS value FROM o""")
 def sc1_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _local({"p/table_01.csv": 'a,"b,""c"""\n,2\n', "p/empty.csv": ""})
-    return readers.read_csv_cells(spark, path).select("row", "col", "value")
+    """SC1: orders as eight CSV files, with commas, quotes, line ends and nothing in fields, and their cells."""
+    odd = F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"\nx'))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8).alias("t"), "o_orderkey", odd.alias("odd"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus")).alias("last"))
+    path = _folder(spark)
+    rows.repartition("t").sortWithinPartitions("t", "o_orderkey").write.partitionBy("t").option("escape", '"').option("emptyValue", "").csv(path)
+    return readers.read_csv_cells(spark, path).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("file"), "row", "col", "value")
 
 
-@register("sc2_papers_csv", "SELECT '1602.01234' AS arxiv_id, 10::BIGINT AS archive_size, 'ab' AS sha256, 'A, title' AS title, 'success' AS status, 3 AS sections, 2 AS tables")
+@register("sc2_papers_csv", """SELECT o_orderkey::VARCHAR AS arxiv_id, o_custkey::BIGINT AS archive_size, md5(o_orderkey::VARCHAR) AS sha256, o_orderpriority || ', "x"' AS title, o_orderstatus AS status,
+(o_orderkey % 5)::INTEGER AS sections, (o_custkey % 7)::INTEGER AS tables FROM orders""")
 def sc2_papers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.read_papers_csv(spark, _local({"papers.csv": 'arxiv_id,archive_size,sha256,title,status,sections,tables\n1602.01234,10,ab,"A, title",success,3,2\n'}))
-
-
-_ANNOTATED = [{"arxiv_id": "1", "sha256": "x", "fold": "img", "tables": [{"index": 0, "leaderboard": True, "ablation": False, "dataset_text": "d", "segmentation": [["", "model-best"]], "records": [{"task": "t", "dataset": "d", "metric": "m", "value": "9", "model": "o", "row": 0, "column": 1}]}]}, {"arxiv_id": "2", "sha256": "y", "fold": "test", "tables": []}]
+    """SC2: orders as a list of papers."""
+    key = F.col("o_orderkey").cast("string")
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("arxiv_id"), F.col("o_custkey").alias("archive_size"), F.md5(key).alias("sha256"), F.concat("o_orderpriority", F.lit(', "x"')).alias("title"),
+        F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 5).alias("sections"), (F.col("o_custkey") % 7).alias("tables"))
+    path = _folder(spark)
+    rows.write.csv(path, header=True)
+    return readers.read_papers_csv(spark, path)
 
 
-@register("sc3_annotations", "SELECT '1' AS arxiv_id, 0 AS table_index, 't' AS task, 'd' AS dataset, 'm' AS metric, '9' AS value, 'o' AS model, 0 AS row, 1 AS \"column\"")
+@register("sc3_annotations", """SELECT l_orderkey::VARCHAR AS arxiv_id, (l_linenumber % 2)::INTEGER AS table_index, 't' || l_returnflag AS task, 'd' || l_linestatus AS dataset, 'm' AS metric, l_quantity::BIGINT::VARCHAR AS value,
+l_partkey::VARCHAR AS model, l_linenumber::INTEGER AS row, (l_suppkey % 3)::INTEGER AS "column" FROM lineitem""")
 def sc3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC3: records of annotated tables; papers without tables have none."""
-    return readers.annotation_records(readers.read_annotations(spark, _local({"a.json": json.dumps(_ANNOTATED)})))
-
-
-_DUMP = {"data": {"allPapers": {"edges": [{"node": {"arxivId": "1602.01234v2", "goldTags": "g", "tableSet": {"edges": [{"node": {"name": "t1", "datasetText": "d", "notes": "", "goldTags": "leaderboard", "matrixGoldTags": [["a"]], "cellsSotaRecords": "{}", "parser": "latexml"}}]}}}]}}}
+    """SC3: lines of orders as records of annotated tables; an order without lines has no record."""
+    text = lambda c: F.col(c).cast("string")
+    record = F.struct(
+        F.concat(F.lit("t"), "l_returnflag").alias("task"), F.concat(F.lit("d"), "l_linestatus").alias("dataset"), F.lit("m").alias("metric"), F.col("l_quantity").cast("long").cast("string").alias("value"),
+        text("l_partkey").alias("model"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 3).alias("column"))
+    by_table = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("index")).agg(F.collect_list(record).alias("records"))
+    papers = by_table.groupBy("l_orderkey").agg(F.collect_list(F.struct("index", F.lit(True).alias("leaderboard"), "records")).alias("tables"))
+    lone = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_name").alias("arxiv_id"), F.array().cast(papers.schema["tables"].dataType).alias("tables"))
+    path = _folder(spark)
+    _as_files(papers.select(text("l_orderkey").alias("arxiv_id"), "tables").unionByName(lone).select(F.to_json(F.struct("arxiv_id", "tables")).alias("line")), path)
+    return readers.annotation_records(readers.read_annotations(spark, path))
 
 
-@register("sc4_graphql_dump", "SELECT * FROM (VALUES ('1602.01234v2', '1602.01234v2', 1::BIGINT), ('1602.01234', '1602.01234v2', 1)) AS g(key, arxiv_id, tables)")
+@register("sc4_graphql_dump", """WITH p AS (SELECT c_custkey // 2 AS k, c_custkey % 2 + 1 AS v, (c_custkey % 3)::BIGINT AS tables FROM customer), x AS (SELECT k::VARCHAR || 'v' || v AS arxiv_id, k, v, tables FROM p)
+SELECT arxiv_id AS key, arxiv_id, tables FROM x UNION ALL SELECT k::VARCHAR, max_by(arxiv_id, v), max_by(tables, v) FROM x GROUP BY k""")
 def sc4_graphql_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC4, SC6: a compressed dump under its exact and its version-less key."""
-    path = _local({"dump.json.gz": gzip.compress(json.dumps(_DUMP).encode())})
+    """SC4, SC6: customers as papers of two versions in compressed dumps, under their exact and their version-less keys."""
+    customer = table(spark, sf_dir, "customer")
+    name = F.format_string("%dv%d", F.floor(F.col("c_custkey") / 2), F.col("c_custkey") % 2 + 1)
+    one = F.struct(F.struct(F.col("c_name").alias("name")).alias("node"))
+    edges = F.slice(F.array_repeat(one, 3), F.lit(1), (F.col("c_custkey") % 3).cast("int"))
+    nodes = customer.select(F.struct(F.struct(name.alias("arxivId"), F.lit("g").alias("goldTags"), F.struct(edges.alias("edges")).alias("tableSet")).alias("node")).alias("e"), (F.col("c_custkey") % 4).alias("part"))
+    dumps = nodes.groupBy("part").agg(F.to_json(F.struct(F.struct(F.struct(F.collect_list("e").alias("edges")).alias("allPapers")).alias("data"))).alias("value"))
+    path = _folder(spark)
+    dumps.repartition("part").write.partitionBy("part").option("compression", "gzip").text(path)
     return readers.annotations_by_key(readers.read_graphql_dump(spark, path)).select("key", "arxiv_id", F.size("tables").cast("long").alias("tables"))
 
 
-@register("sc7_texts", "SELECT '1602.01234' AS paper_id, 'T' AS title, 2::BIGINT AS fragments")
+@register("sc7_texts", """SELECT 'paper=' || source AS paper_id, max(lang) AS title, count(*) AS fragments, sha256(string_agg(coalesce(text, ''), '|' ORDER BY doc_id)) AS texts FROM documents GROUP BY source""")
 def sc7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = {"title": "T", "authors": "A", "abstract": "", "fragments": [{"paper_id": "x", "order": 1000, "header": "h", "text": "a"}, {"paper_id": "x", "order": 1001, "header": "h", "text": "b"}]}
-    return readers.read_texts(spark, _local({"papers/1602.01234/text.json": json.dumps(doc)})).select("paper_id", "title", F.size("fragments").cast("long").alias("fragments"))
+    """SC7: the documents of every source as one paper's text.json."""
+    fragment = F.struct(F.col("source").alias("paper_id"), F.col("doc_id").cast("int").alias("order"), F.lit("h").alias("header"), F.coalesce("text", F.lit("")).alias("text"))
+    papers = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("lang").alias("title"), F.collect_list(fragment).alias("fragments"))
+    path = _folder(spark)
+    papers.select(F.col("source").alias("paper"), F.to_json(F.struct("title", "fragments")).alias("value")).repartition("paper").write.partitionBy("paper").text(path)
+    ordered = F.transform(F.array_sort(F.transform("fragments", lambda f: F.struct(f["order"].alias("o"), f["text"].alias("t")))), lambda f: f["t"])
+    read = readers.read_texts(spark, path, "*.txt")
+    return read.select("paper_id", "title", F.size("fragments").cast("long").alias("fragments"), F.sha2(F.array_join(ordered, "|"), 256).alias("texts"))
 
 
 @register("sc8_tables", "SELECT * FROM (VALUES ('1602.1', 'table_01', 'C', 0, 0, 'x', 'border-t'), ('1602.1', 'table_01', 'C', 0, 1, 'y', '')) AS g(paper_id, table_name, caption, row, col, raw_value, layout)")
@@ -77,12 +115,15 @@ def sc8_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_tables(spark, path).drop("figure_id")
 
 
-@register("sc12_proposals", "SELECT * FROM (VALUES ('p/t/1.1', '', 0.5::DOUBLE, NULL::DOUBLE), ('p/t/2.1', 'm', 0.9, 3.0)) AS g(cell_ext_id, model, confidence, parsed)")
+@register("sc12_proposals", """SELECT l_orderkey::VARCHAR || '/t/' || l_linenumber AS cell_ext_id, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag || ', "m"' END AS model, l_discount AS confidence,
+CASE WHEN l_linestatus = 'F' THEN l_quantity END AS parsed FROM lineitem""")
 def sc12_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC12, SK6: proposals written and read again: only numbers may be null."""
-    rows = [("p/t/1.1", "d", "m", "t", "{x}", "-", "", "", 0.5, None, "", ""), ("p/t/2.1", "d", "m", "t", "{x}", "3", "m", "", 0.9, 3.0, "", "")]
+    """SC12, SK6: lines of orders as proposals, written and read again: only numbers may be null."""
+    model = F.when(F.col("l_returnflag") == "N", "").otherwise(F.concat("l_returnflag", F.lit(', "m"')))
+    made = {"cell_ext_id": F.concat_ws("/", F.col("l_orderkey").cast("string"), F.lit("t"), F.col("l_linenumber").cast("string")), "model": model, "confidence": F.col("l_discount"), "parsed": F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))}
+    names = [c.split(" ")[0] for c in schemas.PROPOSALS.split(", ")]
     path = _folder(spark)
-    sinks.save_csv(spark.createDataFrame(rows, schemas.PROPOSALS), path)
+    sinks.save_csv(table(spark, sf_dir, "lineitem").select(*[made.get(n, F.lit("")).alias(n) for n in names]), path)
     return readers.read_proposals(spark, path).select("cell_ext_id", "model", "confidence", "parsed")
 
 
@@ -104,20 +145,34 @@ def sc17_temp_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.temp_paper(spark, "<p>x</p>").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("paper_id")).cast("long").alias("width"))
 
 
-@register("sc18_glue", "SELECT '7' AS guid, 'a' AS text_a, 'b' AS text_b, 'entailment' AS label")
+@register("sc18_glue", "SELECT o_orderkey::VARCHAR AS guid, o_orderpriority AS text_a, o_orderstatus || ' b' AS text_b, CASE WHEN o_custkey % 2 = 0 THEN 'entailment' ELSE 'neutral' END AS label FROM orders")
 def sc18_glue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = "index\tx\n" + "\t".join(["7", *"1234567", "a", "b", "c", "entailment"]) + "\n"
-    return readers.read_glue(spark, _local({"dev.tsv": lines}))
+    """SC18: orders as pairs of sentences in tab-separated files with a header."""
+    filler = [F.lit(str(i)) for i in range(1, 8)]
+    label = F.when(F.col("o_custkey") % 2 == 0, "entailment").otherwise("neutral")
+    line = F.concat_ws("\t", F.col("o_orderkey").cast("string"), *filler, "o_orderpriority", F.concat("o_orderstatus", F.lit(" b")), F.lit("x"), label)
+    lines = table(spark, sf_dir, "orders").select(line.alias("value")).union(spark.range(1).select(F.lit("index\tsentences")))
+    path = _folder(spark)
+    lines.write.text(path)
+    return readers.read_glue(spark, path)
 
 
-@register("sc20_surnames", "SELECT * FROM (VALUES ('doe'), ('roe')) AS g(surname)")
+@register("sc20_surnames", "SELECT DISTINCT lower(p_brand) AS surname FROM part")
 def sc20_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.read_surnames(spark, _local({"names.json": '{"doe": 3, "roe": 1}'}))
+    """SC20: brands with their counts as a dictionary in JSON."""
+    counts = table(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    path = _folder(spark)
+    counts.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("b", "n")))).alias("value")).write.text(path)
+    return readers.read_surnames(spark, path)
 
 
-@register("sc11_json_cache", "SELECT 'p' AS paper, 2 AS n")
+@register("sc11_json_cache", "SELECT event_type AS paper, (event_id % 100)::INTEGER AS n FROM events")
 def sc11_json_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.read_json_cache(spark, _local({"c.json": '[{"paper": "p", "n": 2}]'}), "paper string, n int")
+    """SC11: events as caches of records in JSON."""
+    rows = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("paper"), (F.col("event_id") % 100).alias("n"))).alias("line"))
+    path = _folder(spark)
+    _as_files(rows, path)
+    return readers.read_json_cache(spark, path, "paper string, n int").select("paper", "n")
 
 
 @register("sk1_save_tables", "SELECT (o_orderkey % 4)::INTEGER AS paper_id, count(*) AS cells FROM orders GROUP BY 1")
@@ -126,7 +181,7 @@ def sk1_save_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("paper_id"), F.lit("table_01").alias("table_name"), F.col("o_orderkey").alias("row"), F.lit(0).alias("col"), F.col("o_orderstatus").alias("value"))
     path = _folder(spark)
     sinks.save_tables(cells, path)
-    return spark.read.parquet(path).groupBy("paper_id").agg(F.count(F.lit(1)).alias("cells"))
+    return sinks.stored(spark, path).groupBy("paper_id").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @register("sk2_save_text", "SELECT count(*) AS papers FROM pages")
@@ -141,14 +196,15 @@ def sk2_save_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("page_id long, title string").json(path).agg(F.count(F.lit(1)).alias("papers"))
 
 
-@register("sk3_upsert_delete", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY c_nationkey")
+@register("sk3_upsert_delete", "SELECT c_nationkey, CASE WHEN c_nationkey = 5 THEN c_custkey + 1000000 ELSE c_custkey END AS c_custkey FROM customer WHERE c_nationkey NOT IN (3, 7) UNION ALL SELECT 99, 1")
 def sk3_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK3: one paper written again, another deleted; the others stay."""
-    rows, path = table(spark, sf_dir, "customer"), _folder(spark)
-    sinks.upsert(rows.select("c_custkey", "c_nationkey"), path, "c_nationkey")
-    sinks.upsert(rows.where("c_nationkey = 5").select("c_custkey", "c_nationkey"), path, "c_nationkey")
-    left = sinks.delete(spark.read.parquet(path), spark.createDataFrame([(3,)], "c_nationkey int"), "c_nationkey")
-    return left.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    """SK3: one paper replaced, one added, two deleted; the others stay."""
+    rows, path = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), _folder(spark)
+    sinks.upsert(rows, path, "c_nationkey")
+    more = spark.createDataFrame([(1, 99)], rows.schema)
+    sinks.upsert(rows.where("c_nationkey = 5").withColumn("c_custkey", F.col("c_custkey") + 1_000_000).unionByName(more), path, "c_nationkey")
+    sinks.delete(spark, path, spark.createDataFrame([(3,), (7,), (1000,)], "c_nationkey int"), "c_nationkey")
+    return sinks.stored(spark, path).select("c_nationkey", "c_custkey")
 
 
 @register("sk5_sharded", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
@@ -170,21 +226,14 @@ def sk7_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_experiments(spark, path).select("name", "n_grams", F.col("results")["accuracy"].alias("accuracy"))
 
 
-@register("sk11_legend", "SELECT count(*) AS n FROM (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12)) AS v(x)")
+@register("sk11_legend", "SELECT l_returnflag AS tag, 'flag ' || l_returnflag AS description, count(*) AS n FROM lineitem GROUP BY ALL")
 def sk11_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK11: the legend of cell tags."""
-    return tag_legend(spark).agg(F.count(F.lit(1)).alias("n"))
-
-
-def tag_legend(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("", "other"), ("model-best", "the paper's best model"), ("model-paper", "a model of the paper"), ("model-ensemble", "an ensemble of the paper"), ("model-competing", "a model of another paper"), ("model-params", "settings of a model"),
-        ("dataset", "a data set"), ("dataset-sub", "a part of a data set"), ("dataset-task", "a task"), ("dataset-metric", "a metric"), ("table-meta", "what describes cells"), ("trash", "broken content"),
-    ]
-    return spark.createDataFrame(rows, "tag string, description string")
+    """SK11: return flags as tags of cells, with what a legend says of them and how often they come."""
+    legend = spark.createDataFrame([(x, f"flag {x}") for x in "ANR"], "tag string, description string")
+    return readers.tag_counts(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tag")), legend)
 
 
-@register("sk10_sections", "SELECT doc_id, 1 AS found FROM documents WHERE contains(lower(substr(text, 1, 60)), 'the')")
+@register("sk10_sections", "SELECT doc_id, 1 AS found FROM documents WHERE contains(lower(string_split(text, chr(10))[1]), 'the')")
 def sk10_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK10: fragments whose header has a name in it."""
-    return table(spark, sf_dir, "documents").where(F.lower(F.substring("text", 1, 60)).contains("the")).select("doc_id", F.lit(1).alias("found"))
+    """SK10: documents whose header, their first line, has a name in it."""
+    return table(spark, sf_dir, "documents").where(F.lower(F.split("text", "\n")[0]).contains("the")).select("doc_id", F.lit(1).alias("found"))
