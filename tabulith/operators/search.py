@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulith.functions.text import char_ngrams
+
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
+#: Fields of the taxonomy and what a match of their words counts.
+FIELDS = {"dataset": 3.0, "metric": 1.0, "task": 1.0}
 STOP_WORDS = tuple(
     "a be if of an in on no to or as is at it by and the are for was not but such with will then into this that they there these their".split()
 )
@@ -66,11 +73,11 @@ def top_hits(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """EV6: (query_id, key, score) by BM25 over words; documents that share none have no row."""
-    words = docs.select(key, analyse(F.col("text")).alias("w"))
+def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", terms: Callable[[Column], Column] = analyse) -> DataFrame:
+    """EV6: (query_id, key, score) by BM25 over words, or what ``terms`` makes of a text; documents that share none have no row."""
+    words = docs.select(key, terms(F.col("text")).alias("w"))
     lengths = words.select(key, F.size("w").alias("len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("token"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("token"))
     # only words that are asked for leave their document
     held = words.select(key, F.explode("w").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
     needed = held.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -83,6 +90,54 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return asked.join(parts, "token").groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
+def ngram_terms(text: Column) -> Column:
+    """EV5, EV6: the character n-grams (2 to 4) of all words."""
+    return F.flatten(F.transform(analyse(text), lambda w: char_ngrams(w, 2, 4)))
+
+
+def _length(text: Column) -> Column:
+    """Into how many parts a text falls at signs, the signs among them."""
+    return F.regexp_count(text, F.lit("[^a-zA-Z0-9]")) * 2 + 1
+
+
+def clean_query(text: Column) -> Column:
+    """EV6: a mention without the word 'dataset' and without signs around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "^[,\\- ]+|[,\\- ]+$", ""), "(?i)dataset", ""))
+
+
+def field_scores(queries: DataFrame, taxonomy: DataFrame, fields: dict[str, float] = FIELDS, grams: bool = True) -> DataFrame:
+    """EV6: (query_id, task, dataset, metric, score): of the fields of a taxonomy row the one that matches best, by boosted BM25.
+
+    A field is matched by its words, and with ``grams`` by its character n-grams too (not boosted).
+    """
+    rows = taxonomy.select(*fields).distinct()
+    keyed = rows.withColumn("row_id", F.sha1(F.concat_ws("\n", *fields)))
+    ways = [(analyse, boost, f) for f, boost in fields.items()] + [(ngram_terms, 1.0, f) for f in fields if grams]
+    each = [bm25(queries, keyed.select("row_id", F.col(f).alias("text")), "row_id", terms).withColumn("score", F.col("score") * boost) for terms, boost, f in ways]
+    best = reduce(DataFrame.unionByName, each).groupBy("query_id", "row_id").agg(F.max("score").alias("score"))
+    return best.join(keyed, "row_id").select("query_id", *sorted(fields), "score")
+
+
+def taxonomy_search(mentions: DataFrame, taxonomy: DataFrame, top: int = 3, grams: bool = True) -> DataFrame:
+    """EV6: (query_id, rank, task, dataset, metric, confidence): the taxonomy rows that a mention (query_id, text, caption) speaks of.
+
+    A score counts by the length of the query; it is then weighed by how far the search for
+    the found data set's own name sets its best hit apart from the second one (a name that
+    finds one row alone keeps its score). Of equals the smaller names go first.
+    """
+    text = F.concat_ws(" ", clean_query(F.col("text")), F.nullif(F.substring(clean_query(F.coalesce("caption", F.lit(""))), 1, 400), F.lit("")))
+    queries = mentions.select("query_id", text.alias("text"))
+    order = W.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "task", "dataset", "metric")
+    hits = field_scores(queries, taxonomy, grams=grams).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    names = hits.select(F.col("dataset").alias("query_id"), F.col("dataset").alias("text")).distinct()
+    apart = field_scores(names, taxonomy, grams=grams).withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    apart = apart.groupBy(F.col("query_id").alias("dataset")).agg(F.max("score").alias("ok"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("bad"))
+    found = hits.join(apart, "dataset").join(queries, "query_id")
+    plain = F.col("score") / _length(F.col("text"))
+    factor = F.coalesce((F.col("ok") - F.col("bad")) / F.col("bad") / (F.col("ok") / _length(F.col("dataset"))), F.lit(1.0))
+    return found.select("query_id", "rank", "task", "dataset", "metric", (plain * factor).alias("confidence"))
+
+
 def evidences(cells: DataFrame, fragments: DataFrame, own_limit: int = 30, corpus_limit: int = 10) -> DataFrame:
     """EV1, EV9: fragments that speak of each cell: of its own paper first, then of others.
 

@@ -64,10 +64,28 @@ def tx15_fragment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("header"), F.length("text").cast("long").alias("n"))
 
 
-@register("tx19_sentences", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE trim(s) <> '' GROUP BY doc_id")
+_CORPUS = """WITH f AS (SELECT source, doc_id, lang, coalesce(text, '') AS text, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS last FROM documents),
+t AS (SELECT source, 'Title' || chr(10) || source || chr(10) || chr(10) || 'Abstract' || chr(10) || 'of ' || max(lang) || chr(10) || chr(10) || 'Body' || chr(10)
+  || string_agg(CASE WHEN last IS NULL OR last <> lang THEN lang || chr(10) || chr(10) || text ELSE text END, chr(10) ORDER BY doc_id) AS text FROM f GROUP BY source)"""
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parts = docs.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("order"), F.col("lang").alias("header"), "text")
+    papers = docs.groupBy(F.col("source").alias("paper_id")).agg(F.first("source").alias("title"), F.concat(F.lit("of "), F.max("lang")).alias("abstract"))
+    return h.corpus_texts(papers, parts)
+
+
+@register("tx19_corpus", f"{_CORPUS} SELECT source AS paper_id, sha256(regexp_replace(regexp_replace(text, 'xxanchor-[^ ]*', '', 'g'), 'xxref-[^ ]*', 'xxref', 'g')) AS text FROM t")
+def tx19_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX19: every source as a paper: its text for a language model."""
+    return _corpus(spark, sf_dir).select("paper_id", F.sha2("text", 256).alias("text"))
+
+
+@register("tx19_sentences", f"{_CORPUS} SELECT source AS paper_id, count(*) AS n FROM (SELECT source, unnest(string_split(text, chr(10))) AS s FROM t) WHERE trim(s) <> '' GROUP BY 1")
 def tx19_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX19: the sentences of a language-model corpus."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("s")).where("trim(s) <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """TX19: the sentences of such a corpus."""
+    return h.corpus_sentences(_corpus(spark, sf_dir)).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("tb1_html_tables", """SELECT * FROM (VALUES (0,0,'Model','Model','','border-tt align-left'),(0,1,'SQuAD','SQuAD','','border-tt span-cb'),(0,2,'SQuAD','SQuAD','','border-tt span-ce'),

@@ -44,7 +44,17 @@ def ev1_phrase_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.phrase_matches(_phrases(spark, sf_dir, 3, 8), _fragments(spark, sf_dir).drop("source"), 0)
 
 
-@register("ev2_slop")
+_AT = "coalesce(CASE WHEN s + i {} d >= 0 THEN tokens[(s + i {} d + 1)::BIGINT] = words[(i + 1)::BIGINT] END, false)"
+_SLOP = f"""WITH g AS (SELECT item_id AS query_id, {_WORDS} AS l FROM benchmark), q AS (SELECT query_id, l[3:4] || l[6:8] AS words FROM g), d AS (SELECT doc_id, {_WORDS} AS tokens FROM documents),
+t AS (SELECT query_id, words, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS o FROM q), p AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM d),
+f AS (SELECT token, count(*) AS df FROM p GROUP BY token), l AS (SELECT query_id, any_value(words) AS words, arg_min(token, (coalesce(df, 0), o)) AS token, arg_min(o, (coalesce(df, 0), o)) AS o FROM t LEFT JOIN f USING (token) GROUP BY query_id),
+b AS (SELECT query_id, doc_id, list(pos - o) AS starts FROM l JOIN p USING (token) GROUP BY ALL),
+m AS (SELECT query_id, doc_id, starts, words, tokens FROM b JOIN l USING (query_id) JOIN d USING (doc_id))
+SELECT query_id, doc_id AS frag_id, len(list_filter(starts, lambda s: list_sum(list_transform(range(0, len(words)), lambda i: coalesce(list_min(list_filter([0, 1, 2], lambda d: {_AT.format('+', '+')} OR {_AT.format('-', '-')})), 3))) <= 2))::BIGINT AS score
+FROM m WHERE score > 0"""
+
+
+@register("ev2_slop", _SLOP)
 def ev2_slop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV2 with slop 2: five words with the third left out of the middle of six."""
     words = s.analyse(F.col("text"))
@@ -97,3 +107,41 @@ def ev10_query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     answers = asked.select("p_type").distinct().withColumn("answer", F.sha1("p_type"))
     return asked.join(answers, "p_type").groupBy("p_type").agg(F.count("answer").alias("asked"))
+
+
+_GRAMS = f"flatten(list_transform({_WORDS}, lambda w: flatten(list_transform([2, 3, 4], lambda n: CASE WHEN length(w) >= n THEN list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) ELSE [] END))))"
+
+
+def _scores_sql(name: str, queries: str, docs: str) -> str:
+    """CTEs of which the last, ``name``, has field_scores() of ``queries`` (query_id, text) over the taxonomy ``docs``."""
+    parts, each = [], []
+    for kind, terms in (("w", _WORDS), ("g", _GRAMS)):
+        parts.append(f"{name}_q{kind} AS (SELECT DISTINCT query_id, unnest({terms}) AS token FROM {queries})")
+        for field, boost in s.FIELDS.items():
+            x = f"{name}_{field}_{kind}"
+            parts.append(f"{x} AS (SELECT id, {terms} AS l FROM (SELECT id, {field} AS text FROM {docs}))")
+            parts.append(f"{x}_t AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(l) AS token FROM {x}) GROUP BY ALL)")
+            each.append(f"""SELECT query_id, t.id, {boost if kind == 'w' else 1.0}::DOUBLE * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.l) / a))) AS score
+            FROM {name}_q{kind} JOIN {x}_t t USING (token) JOIN (SELECT token, count(*) AS df FROM {x}_t GROUP BY token) USING (token) JOIN {x} d ON d.id = t.id CROSS JOIN (SELECT count(*) AS n, avg(len(l)) AS a FROM {x}) GROUP BY ALL""")
+    parts.append(f"{name} AS (SELECT query_id, id, max(score) AS score FROM ({' UNION ALL '.join(each)}) GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+@register("ev6_taxonomy_search", f"""WITH x AS (SELECT DISTINCT p_type AS task, p_name AS dataset, p_brand AS metric FROM part), tax AS (SELECT *, sha1(task || chr(10) || dataset || chr(10) || metric) AS id FROM x),
+q AS (SELECT DISTINCT 'the ' || p_name AS query_id, 'the ' || p_name || ' ' || p_brand AS text FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1), {_scores_sql("hit", "q", "tax")},
+h AS (SELECT query_id, score, task, dataset, metric, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, task, dataset, metric)::INTEGER AS rank FROM hit JOIN tax USING (id) QUALIFY rank <= 3),
+o AS (SELECT DISTINCT dataset AS query_id, dataset AS text FROM h), {_scores_sql("own", "o", "tax")},
+a AS (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, task, dataset, metric) AS nth FROM own JOIN tax USING (id)),
+b AS (SELECT query_id AS dataset, max(score) AS ok, max(score) FILTER (WHERE nth = 2) AS bad FROM a WHERE nth <= 2 GROUP BY 1)
+SELECT h.query_id, rank, task, h.dataset, metric, round(score / (2 * len(regexp_extract_all(q.text, '[^a-zA-Z0-9]')) + 1) * coalesce((ok - bad) / bad / (ok / (2 * len(regexp_extract_all(h.dataset, '[^a-zA-Z0-9]')) + 1)), 1), 6) AS confidence
+FROM h JOIN b ON b.dataset = h.dataset JOIN q ON q.query_id = h.query_id""")
+def ev6_taxonomy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV6: parts as a taxonomy; names with a brand of theirs as mentions, by boosted words and n-grams of three fields."""
+    part = table(spark, sf_dir, "part")
+    taxonomy = part.select(F.col("p_type").alias("task"), F.col("p_name").alias("dataset"), F.col("p_brand").alias("metric"))
+    # one brand for each name: the mentions are names, not parts
+    named = part.groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("p_brand"))
+    mentions = named.select(F.concat(F.lit("the "), "p_name").alias("query_id"), F.concat(F.lit("- the "), "p_name", F.lit(" Dataset"), "p_brand", F.lit(", ")).alias("text"), F.lit("").alias("caption"))
+    mentions = mentions.withColumn("text", F.regexp_replace("text", " Dataset", " dataset"))
+    found = s.taxonomy_search(mentions, taxonomy)
+    return found.select("query_id", "rank", "task", "dataset", "metric", F.round("confidence", 6).alias("confidence"))

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -413,3 +414,37 @@ def cells(pages: DataFrame, key: str = "paper_id", html: str = "html") -> DataFr
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """The number of links of every page, by an expression."""
     return pages.select(key, F.regexp_count(html, F.lit("<a ")).cast("long").alias("links"))
+
+
+def corpus_texts(papers: DataFrame, parts: DataFrame) -> DataFrame:
+    """TX19: (paper_id, text) for a language model: title, abstract and body, a section's header where it begins; no anchors, one word for all references.
+
+    ``papers`` are (paper_id, title, abstract), ``parts`` (paper_id, order, header, text). A
+    paper's parts meet in one row, as its text does.
+    """
+    new = F.lag("header").over(W.partitionBy("paper_id").orderBy("order")).eqNullSafe(F.col("header"))
+    said = F.when(new, F.coalesce("text", F.lit(""))).otherwise(F.concat("header", F.lit("\n\n"), F.coalesce("text", F.lit(""))))
+    body = parts.select("paper_id", F.struct("order", said.alias("said")).alias("part")).groupBy("paper_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    whole = F.concat(F.lit("Title\n"), F.coalesce("title", F.lit("")), F.lit("\n\nAbstract\n"), F.coalesce("abstract", F.lit("")), F.lit("\n\nBody\n"), F.array_join(F.transform("parts", lambda p: p["said"]), "\n"))
+    plain = F.regexp_replace(F.regexp_replace(whole, "xxanchor-[^ ]*", ""), "xxref-[^ ]*", "xxref")
+    return papers.join(body, "paper_id").select("paper_id", plain.alias("text"))
+
+
+def corpus_sentences(texts: DataFrame, most: int | None = None, seed: int = 12345) -> DataFrame:
+    """TX19: (paper_id, sentence): the lines of such texts that aren't blank; ``most`` of them drawn without replacement, if asked."""
+    lines = texts.select("paper_id", F.posexplode(F.split("text", "\n")).alias("at", "sentence")).where(F.trim("sentence") != "")
+    if most is not None:
+        lines = lines.orderBy(F.xxhash64(F.lit(seed), "paper_id", "at"), "paper_id", "at").limit(most)
+    return lines.select("paper_id", "sentence")
+
+
+def element_name(tag: Column) -> Column:
+    """TX11: the name of the element that an opening tag begins, in lower case."""
+    return F.lower(F.regexp_extract(tag, "^<\\s*([A-Za-z][^\\s/>]*)", 1))
+
+
+def element_classes(tag: Column) -> Column:
+    """TX11: the class names of an opening tag; none without the attribute."""
+    value = F.regexp_extract(tag, "(?i)\\sclass\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))", 0)
+    inner = F.regexp_replace(F.regexp_replace(value, "(?i)^\\sclass\\s*=\\s*", ""), "[\"']", "")
+    return F.array_remove(F.split(inner, "\\s+"), "")
