@@ -60,6 +60,7 @@ def evaluate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """AG2: scores() on every axis; score strings normalised, versions of papers dropped.
 
     Both sides are read once: each row goes to every axis with the columns of the axis alone.
+    Without any row on either side there is no axis.
     """
     all_columns = AXES["TDMS"]
 

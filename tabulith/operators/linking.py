@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import norm_cell, norm_dataset, norm_dataset_ws
 from tabulith.operators.evaluation import conditional_probabilities, reverse_probabilities
+from tabulith.schemas import PROPOSALS
 
 STOP_WORDS = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with", "by", "using")
 AXES = ("task", "dataset", "metric")
@@ -161,6 +164,26 @@ def link(queries: DataFrame, gains: dict[str, DataFrame], taxonomy: DataFrame, t
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", *AXES, "confidence")
 
 
+@dataclass(frozen=True)
+class Linker:
+    """UD2: a way to link proposals to a taxonomy, under a name; how it links and, if given, how it finds data sets in papers are functions."""
+
+    name: str
+    taxonomy_linking: Callable[[DataFrame, DataFrame | None], DataFrame]
+    dataset_extractor: Callable[[DataFrame], DataFrame] | None = None
+
+    def __call__(self, proposals: DataFrame, papers: DataFrame | None = None) -> DataFrame:
+        """LK14: the links of the proposals of all papers in one plan; ``papers`` are what the extractor reads."""
+        found = self.dataset_extractor(papers) if self.dataset_extractor and papers is not None else None
+        return self.taxonomy_linking(proposals, found)
+
+
+def no_proposals(spark: SparkSession, reason: str) -> DataFrame:
+    """LK16: one row in place of a table's proposals, which says why there are none."""
+    columns = ", ".join(c for c in PROPOSALS.split(", "))
+    return spark.createDataFrame([], columns).withColumn("reason", F.lit("")).unionByName(spark.range(1).select(F.lit(reason).alias("reason")), allowMissingColumns=True)
+
+
 def complement_metrics(taxonomy: DataFrame, pairs: DataFrame) -> DataFrame:
     """the taxonomy with the complements (metric, complement) of its metrics, and which metric is the true one."""
     own = taxonomy.select(*AXES, F.col("metric").alias("true_metric"))

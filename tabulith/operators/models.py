@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import HashingTF, IDF, ElementwiseProduct, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulith.operators.evaluation import class_metrics
+from tabulith.operators.experiments import Experiment
+
 #: Classes of the cell classifier, in the order of their numbers.
 CELL_TAGS = ("table-meta", "dataset", "model-paper", "model-competing", "dataset-metric", "")
 TABLE_TYPES = ("leaderboard", "ablation", "irrelevant")
@@ -26,8 +31,6 @@ def log_count_ratio(rows: DataFrame, features: str, label: str) -> list[float]:
 
     Summed by feature on the executors; at most FEATURES numbers come back.
     """
-    from pyspark.ml.functions import vector_to_array
-
     each = rows.select(label, F.posexplode(vector_to_array(F.col(features))).alias("i", "v")).where("v <> 0")
     counts = each.groupBy("i").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).toPandas()
     size = rows.schema[features].metadata.get("ml_attr", {}).get("num_attrs", FEATURES)
@@ -70,6 +73,38 @@ def feature_importance(model: PipelineModel) -> list[tuple[int, float]]:
     return [(i, float(weights[i] * ratio[i])) for i in order]
 
 
+def contributions(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
+    """ML10: (key, term, contribution) of an NB-SVM: what each term of a text adds to the odds that it is of class 1.
+
+    The contributions of a text and the model's intercept are its log-odds. Terms that share
+    a feature share what it adds. (Saliency of a neural net has no meaning here.)
+    """
+    front, weigh, last = PipelineModel(model.stages[:-2]), model.stages[-2], model.stages[-1]
+    # as many numbers as the model has features
+    worth = (last.coefficients.toArray() * weigh.getScalingVec().toArray()).tolist()
+    terms = front.transform(rows).select(key, F.explode(F.array_distinct("_terms")).alias("term"))
+    hashing = next(x for x in model.stages if isinstance(x, HashingTF))
+    placed = hashing.transform(terms.withColumn(hashing.getInputCol(), F.array("term")))
+    index = F.array_position(vector_to_array(F.col(hashing.getOutputCol())), F.lit(1.0)) - 1
+    each = placed.select(key, "term", index.cast("int").alias("feature"))
+    sharing = F.count(F.lit(1)).over(W.partitionBy(key, "feature"))
+    table = rows.sparkSession.createDataFrame([(i, v) for i, v in enumerate(worth) if v], "feature int, worth double")
+    return each.withColumn("n", sharing).join(F.broadcast(table), "feature").select(key, "term", (F.col("worth") / F.col("n")).alias("contribution"))
+
+
+def run_experiment(rows: DataFrame, experiment: Experiment, text: str = "text", label: str = "label") -> tuple[PipelineModel, dict[str, float]]:
+    """ML8: a classifier by the experiment's settings, trained where is_valid is false and scored where it is true."""
+    model = nbsvm(rows.where("NOT is_valid"), text, label, experiment.n_grams)
+    scored = model.transform(rows.where("is_valid")).withColumn("prediction", F.col("prediction").cast("int"))
+    return model, {k: float(v or 0.0) for k, v in class_metrics(scored, "prediction", label).first().asDict().items()}
+
+
+def run_schedule(rows: DataFrame, experiments: list[Experiment], text: str = "text", label: str = "label") -> list[tuple[Experiment, dict[str, float]]]:
+    """ML8: every experiment of a schedule in turn, best accuracy first; what save_experiments() takes."""
+    done = [(e, run_experiment(rows, e, text, label)[1]) for e in experiments]
+    return sorted(done, key=lambda x: -x[1]["accuracy"])
+
+
 def predicted_tags(predictions: DataFrame) -> DataFrame:
     """ML6: class numbers as tags; cells of no class and empty cells are left out."""
     names = F.create_map(*[x for i, tag in enumerate(CELL_TAGS) for x in (F.lit(i), F.lit(tag))])

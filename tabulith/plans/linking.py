@@ -191,3 +191,15 @@ def ud8_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ud6_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD6: why a cell is no result."""
     return flagship.order_proposals(spark, sf_dir).select("cell_ext_id", "reason")
+
+
+@register("ud2_linker", "SELECT o_orderkey AS cell_ext_id, upper(o_orderpriority) AS dataset, 'by name' AS linker FROM orders WHERE o_orderstatus <> 'P'")
+def ud2_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD2, LK14: a linker put together of an extractor (priorities of orders as data sets) and a linking function."""
+
+    def extract(papers: DataFrame) -> DataFrame:
+        return papers.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("cell_ext_id"), F.upper("o_orderpriority").alias("dataset"))
+
+    linker = k.Linker("by name", lambda proposals, found: proposals.join(found, "cell_ext_id"), extract)
+    orders = table(spark, sf_dir, "orders")
+    return linker(orders.select(F.col("o_orderkey").alias("cell_ext_id")), orders).withColumn("linker", F.lit(linker.name))

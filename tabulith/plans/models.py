@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,14 @@ def ml6_predicted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.struct("l_partkey", "l_suppkey").alias("table_name"), F.col("l_linenumber").alias("row"), F.lit(0).alias("col"), (F.col("l_partkey") % 6).cast("double").alias("prediction"))
     found = m.predicted_tags(lines)
     return found.select(F.col("paper_id").alias("l_orderkey"), F.col("row").alias("l_linenumber"), "table_name.l_partkey", "table_name.l_suppkey", "predicted_tags")
+
+
+@register("ml10_contributions")
+def ml10_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML10: the log-odds of every labelled document beside what its terms add up to."""
+    rows = _labelled(spark, sf_dir)
+    model = m.nbsvm(rows.where("NOT is_valid"))
+    odds = model.transform(rows).select("doc_id", vector_to_array("rawPrediction")[1].alias("log_odds"))
+    added = m.contributions(model, rows, "doc_id").groupBy("doc_id").agg(F.sum("contribution").alias("added"))
+    own = F.coalesce("added", F.lit(0.0)) + F.lit(float(model.stages[-1].intercept))
+    return odds.join(added, "doc_id", "left").select("doc_id", F.round("log_odds", 6).alias("log_odds"), F.round(own, 6).alias("of_terms"))

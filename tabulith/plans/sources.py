@@ -19,8 +19,12 @@ from tabulith.sources import archives, readers, sinks
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: beside the checkpoints, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder where all executors can write: beside the checkpoints; one of this machine only where all executors are on it."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base}/tabulith-{uuid.uuid4().hex}"
 
 

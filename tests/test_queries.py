@@ -45,10 +45,21 @@ def test_query_is_its_sql(spark, con, name):
     assert rows_of(found) == rows_of(wanted)
 
 
+#: What must hold of the queries that SQL can't express; their operators have brute-force tests besides.
+CHECKS = {
+    "ml1_nbsvm": lambda rows, count: len(rows) == 1 and 0.5 < rows[0]["accuracy"] <= 1,
+    "ml3_stored_model": lambda rows, count: len(rows) == 1 and 0.5 < rows[0]["accuracy"] <= 1,
+    "ml2_group_split": lambda rows, count: len(rows) == 2 and sum(r["rows"] for r in rows) == count("labels") and all(0 < r["contents"] <= r["rows"] for r in rows),
+    "ml10_contributions": lambda rows, count: len(rows) == count("labels") and all(abs(r["log_odds"] - r["of_terms"]) < 1e-4 for r in rows) and len({r["log_odds"] for r in rows}) > 10,
+    "tx13_page_fragments": lambda rows, count: len({r["page_id"] for r in rows}) == count("pages"),
+    "tb28_match_tables": lambda rows, count: len(rows) > 0 and all(r["hits"] > 0 for r in rows),
+    "ev9_evidences": lambda rows, count: len({r["ext_id"] for r in rows}) == count("benchmark"),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_runs(spark, name):
-    frame = QUERIES[name](spark, SMALL)
-    assert frame.columns and frame.count() >= 0
+def test_query_without_sql(spark, con, name):
+    assert CHECKS[name](QUERIES[name](spark, SMALL).collect(), lambda table: con.execute(f"SELECT count(*) FROM {table}").fetchone()[0])
 
 
 def test_entry(spark):
