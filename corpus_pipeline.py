@@ -1,6 +1,12 @@
 """A corpus from ``documents`` in five stages, each written as Parquet and read again.
 
 Counted as part of ``tabulith.llm``, without which it does not import.
+
+Every stage takes rows with null and repeated doc_ids, null, empty, wordless and very long
+texts, repeated rows, other columns of any names, and empty tables, and returns the
+columns that it was given (the last one its own). A row is judged by its own text: rows
+with a null doc_id are only dropped as toxic or as exact copies; of equal or nearly equal
+texts the row that the stage's operator names stays, ties going to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulith.llm import bpe, exactdedup, minhash, mixing, toxicity
-from tabulith.llm.common import ensure_checkpoint_dir, table
+from tabulith.llm.common import ensure_checkpoint_dir, forget, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``; what a stage returns is written to the shared
-    folder before the next one reads it, and goes when that has been written."""
+    folder before the next one reads it, and goes when that has been written. The last
+    stage's input stays, as its result is read from there whenever it is asked for."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -63,11 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            _forget(spark, f"{folder}/{k - 1}")
+            forget(spark, f"{folder}/{k - 1}")
     return docs
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Removes a folder through the file system that it is in."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
