@@ -66,13 +66,14 @@ def w12_unique_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unique_model(_tagged(_grid(spark, sf_dir)), ["l_orderkey"]).select("l_orderkey", "row", "col", F.col("model.tag").alias("model"))
 
 
-_BLANKS = [(1, 0, 0, "a"), (1, 0, 1, ""), (1, 0, 2, "b"), (1, 1, 0, ""), (1, 1, 1, " "), (1, 1, 2, ""), (1, 2, 0, ""), (1, 2, 1, ""), (1, 2, 2, "c"), (2, 0, 0, " ")]
-
-
-@register("tb17_drop_blank", "SELECT * FROM (VALUES (1, 0, 0, 'a'), (1, 0, 1, 'b'), (1, 1, 0, ''), (1, 1, 1, 'c')) AS g(t, row, col, raw_value)")
+@register("tb17_drop_blank", """WITH g AS (SELECT o_orderkey AS t, r, c, 'v' || r || c AS raw_value FROM orders, (SELECT unnest([0, 1, 2]) AS r), (SELECT unnest([0, 1, 2]) AS c) WHERE o_orderstatus <> 'P' AND (o_orderkey + r) % 3 <> 0 AND (o_orderkey + c) % 3 <> 1)
+SELECT t, (dense_rank() OVER (PARTITION BY t ORDER BY r) - 1)::INTEGER AS row, (dense_rank() OVER (PARTITION BY t ORDER BY c) - 1)::INTEGER AS col, raw_value FROM g""")
 def tb17_drop_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TB17, TB18: blank rows and columns, and a blank table, vanish."""
-    return c.drop_blank(spark.createDataFrame(_BLANKS, "t int, row int, col int, raw_value string"), ["t"])
+    """TB17, TB18: every order is a table with a blank row and a blank column, which vanish, or blank altogether."""
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), "o_orderstatus", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("col"))
+    blank = (F.col("o_orderstatus") == "P") | ((F.col("t") + F.col("row")) % 3 == 0) | ((F.col("t") + F.col("col")) % 3 == 1)
+    value = F.when(blank, F.when(F.col("col") == 0, " ").otherwise("")).otherwise(F.concat(F.lit("v"), F.col("row").cast("string"), F.col("col").cast("string")))
+    return c.drop_blank(cells.select("t", "row", "col", value.alias("raw_value")), ["t"])
 
 
 @register("tb23_matrix", f"""WITH {_GRID} SELECT l_orderkey, list(line ORDER BY row) AS matrix FROM (SELECT l_orderkey, row, list(value ORDER BY col) AS line FROM g GROUP BY ALL) GROUP BY l_orderkey""")
@@ -129,13 +130,12 @@ def j6_label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.label_cells(rows, tags, ["l_orderkey"]).select("l_orderkey", "row", "col", "tag")
 
 
-_LAYOUTS = ["tt t,left,True,2,1", ",,False,1,1", ""]
-
-
-@register("tb13_layout", "SELECT * FROM (VALUES (0, 'border-t border-tt align-left header', 2, 1), (1, '', 1, 1), (2, '', 1, 1)) AS g(id, layout, colspan, rowspan)")
+@register("tb13_layout", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'border-t border-tt align-left header' ELSE '' END AS layout, CASE o_orderkey % 3 WHEN 0 THEN o_custkey % 4 + 1 ELSE 1 END::INTEGER AS colspan, 1 AS rowspan FROM orders""")
 def tb13_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB13, TB16: encoded layouts parsed and written out."""
-    rows = spark.createDataFrame(list(enumerate(_LAYOUTS)), "id int, s string").withColumn("l", c.parse_layout(F.col("s")))
+    kind = F.col("o_orderkey") % 3
+    encoded = F.when(kind == 0, F.concat(F.lit("tt t,left,True,"), (F.col("o_custkey") % 4 + 1).cast("string"), F.lit(",1"))).when(kind == 1, ",,False,1,1").otherwise("")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), c.parse_layout(encoded).alias("l"))
     text = c.layout_text(F.col("l.borders"), F.col("l.align"), F.array().cast("array<string>"), F.col("l.header"))
     return rows.select("id", text.alias("layout"), "l.colspan", "l.rowspan")
 

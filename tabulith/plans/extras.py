@@ -13,16 +13,18 @@ from tabulith.operators import cells as c
 from tabulith.operators import evaluation as e
 from tabulith.operators import filters, linking, models
 from tabulith.plans.sources import _folder
-from tabulith.registry import register, table
+from tabulith.registry import order_papers, register, table
 from tabulith.sources import adapters, archives, html, sinks
 
 
-@register("tb14_spans", "SELECT * FROM (VALUES (0,0,'cb'),(0,1,'ci'),(0,2,'ce'),(0,3,''),(1,0,'rb'),(1,1,''),(1,2,''),(1,3,''),(2,0,'re'),(2,1,''),(2,2,''),(2,3,'')) AS g(row, col, span)")
+@register("tb14_spans", """SELECT o_orderkey AS t, row, col, CASE WHEN row = 0 AND col = 0 THEN 'cb' WHEN row = 0 AND col = o_orderkey % 2 + 1 THEN 'ce' WHEN row = 0 AND col < o_orderkey % 2 + 1 THEN 'ci' WHEN row = 1 AND col = 0 THEN 'rb' WHEN row = 2 AND col = 0 THEN 're' ELSE '' END AS span
+FROM orders, (SELECT unnest([0, 1, 2]) AS row), (SELECT unnest([0, 1, 2, 3]) AS col)""")
 def tb14_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TB14, W7: parts of wide and tall cells."""
-    rows = [(r, k, 3 if r == 0 and k < 3 else 1, 2 if r in (1, 2) and k == 0 else 1) for r in range(3) for k in range(4)]
-    cells = spark.createDataFrame([(0, *x) for x in rows], "t int, row int, col int, colspan int, rowspan int").withColumn("borders", F.array(F.lit("l"), F.lit("r")))
-    return c.label_spans(cells, ["t"]).select("row", "col", F.array_join("span", ",").alias("span"))
+    """TB14, W7: parts of wide and tall cells; every order is a table with a cell two or three columns wide."""
+    wide = F.col("t") % 2 + 2
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("row")).select("t", "row", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col"))
+    spans = cells.withColumn("colspan", F.when((F.col("row") == 0) & (F.col("col") < wide), wide).otherwise(1).cast("int")).withColumn("rowspan", F.when((F.col("row") > 0) & (F.col("col") == 0), 2).otherwise(1))
+    return c.label_spans(spans.withColumn("borders", F.array(F.lit("l"), F.lit("r"))), ["t"]).select("t", "row", "col", F.array_join("span", ",").alias("span"))
 
 
 _PAGE = (
@@ -31,24 +33,27 @@ _PAGE = (
 )
 
 
-@register("tb2_markup", "SELECT * FROM (VALUES (0, 0, 'h', true, 'S1.T1', 'C'), (0, 1, '1', false, 'S1.T1', 'C')) AS g(row, col, raw_value, header, figure_id, caption)")
+@register("tb2_markup", "SELECT o_orderkey AS paper_id, row, col, replace(raw_value, '@', o_custkey::VARCHAR) AS raw_value, header, 'S1.T1' AS figure_id, 'C ' || o_custkey AS caption FROM orders, (VALUES (0, 0, 'h', true), (0, 1, '@', false)) AS g(row, col, raw_value, header)")
 def tb2_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TB2 to TB9: span tables, headers, errors, notes, captions and colours of a page."""
-    rows = html.cells(spark.createDataFrame([("p", _PAGE)], "paper_id string, html string"))
-    return rows.select("row", "col", t.remove_styles(F.col("raw_value")).alias("raw_value"), "header", "figure_id", "caption")
+    """TB2 to TB9: span tables, headers, errors, notes, captions and colours of pages, one for each order."""
+    rows = html.cells(order_papers(spark, sf_dir, _PAGE.replace(">C<", ">C @<").replace(">1<", ">@<")))
+    return rows.select("paper_id", "row", "col", t.remove_styles(F.col("raw_value")).alias("raw_value"), "header", "figure_id", "caption")
 
 
-@register("tb11_grid", "SELECT * FROM (VALUES (0,0,'a'),(0,1,'b'),(0,2,'b'),(1,0,'a'),(1,1,'c'),(1,2,'d'),(2,0,'f'),(2,1,''),(2,2,'')) AS g(row, col, raw_value)")
+@register("tb11_grid", "SELECT o_orderkey AS paper_id, row, col, replace(raw_value, '@', o_custkey::VARCHAR) AS raw_value FROM orders, (VALUES (0,0,'a'),(0,1,'@'),(0,2,'@'),(1,0,'a'),(1,1,'c'),(1,2,'d'),(2,0,'f @'),(2,1,''),(2,2,'')) AS g(row, col, raw_value)")
 def tb11_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB11: spans expanded, the foot after the body, short rows filled."""
-    page = '<table class="ltx_tabular"><tfoot><tr><td>f</td></tr></tfoot><tbody><tr><td rowspan=2>a<td colspan=2>b</tr><tr><td>c<td>d</tr></tbody></table>'
-    return html.cells(spark.createDataFrame([("p", page)], "paper_id string, html string")).select("row", "col", "raw_value")
+    page = '<table class="ltx_tabular"><tfoot><tr><td>f @</td></tr></tfoot><tbody><tr><td rowspan=2>a<td colspan=2>@</tr><tr><td>c<td>d</tr></tbody></table>'
+    return html.cells(order_papers(spark, sf_dir, page)).select("paper_id", "row", "col", "raw_value")
 
 
-@register("tb33_consume", "SELECT * FROM (VALUES (0, 0, 'Ours', 'bib7', true), (0, 1, '93', '', false)) AS g(row, col, cell_content, cell_reference, cell_styles)")
+@register("tb33_consume", "SELECT o_orderkey AS p, o_orderpriority AS cell_content, CASE WHEN o_orderstatus = 'F' THEN 'bib' || o_custkey ELSE '' END AS cell_reference, o_orderstatus = 'O' AS cell_styles FROM orders")
 def tb33_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame([("p", 0, 0, "Ours ", ["bib7", "b"], "", "<bold>Ours</bold>"), ("p", 0, 1, "93", [], "border-t", "93")], "p string, row int, col int, value string, refs array<string>, layout string, raw_value string")
-    return c.consume(cells, ["p"]).select("row", "col", "cell_content", "cell_reference", "cell_styles")
+    """TB33: orders as cells with references and styles."""
+    refs = F.when(F.col("o_orderstatus") == "F", F.array(F.concat(F.lit("bib"), F.col("o_custkey").cast("string")), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    raw = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("<bold>"), "o_orderpriority", F.lit("</bold>"))).otherwise(F.col("o_orderpriority"))
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("p"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.concat("o_orderpriority", F.lit(" ")).alias("value"), refs.alias("refs"), F.lit("").alias("layout"), raw.alias("raw_value"))
+    return c.consume(cells, ["p"]).select("p", "cell_content", "cell_reference", "cell_styles")
 
 
 @register("pf2_split_cells", "SELECT regexp_matches(p_name, '^\\s*[a-zA-Z]|[a-zA-Z]{2}') AS alpha, count(*) AS n FROM part GROUP BY 1")
@@ -57,19 +62,18 @@ def pf2_split_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(t.is_text_cell(F.col("p_name")).alias("alpha")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("f10_formats", "SELECT * FROM (VALUES ('{x}', 12.5::DOUBLE), ('{100*x}', 1250.0), ('{x/100}', 0.125), ('{x} ( {} )', NULL)) AS g(format, value)")
+@register("f10_formats", """SELECT o_orderkey, format, (CASE format WHEN '{x}' THEN 1 WHEN '{100*x}' THEN 100 WHEN '{x/100}' THEN 0.01 END * ((o_custkey % 1000) || '.5')::DECIMAL(18,4))::DOUBLE AS value
+FROM orders, (SELECT unnest(['{x}', '{100*x}', '{x/100}', '{x} ( {} )']) AS format)""")
 def f10_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one raw value in several formats."""
-    parts = [spark.createDataFrame([("12.5",)], "raw string").select(F.lit(f).alias("format"), v.extract_value(F.col("raw"), f).cast("double").alias("value")) for f in ("{x}", "{100*x}", "{x/100}", "{x} ( {} )")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """a raw value of every order in several formats."""
+    raw = F.concat((F.col("o_custkey") % 1000).cast("string"), F.lit(".5"))
+    each = [F.struct(F.lit(f).alias("format"), v.extract_value(raw, f).cast("double").alias("value")) for f in ("{x}", "{100*x}", "{x/100}", "{x} ( {} )")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(*each)))
 
 
-@register("f24_limit_context", "SELECT 'b c <b>x</b> d e' AS value")
+@register("f24_limit_context", "SELECT o_orderkey AS paper_id, 'b c <b>' || o_custkey || '</b> d e' AS value FROM orders")
 def f24_limit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("a b c <b>x</b> d e f",)], "s string").select(t.limit_context(F.col("s"), 2).alias("value"))
+    return order_papers(spark, sf_dir, "a b c <b>@</b> d e f", "s").select("paper_id", t.limit_context(F.col("s"), 2).alias("value"))
 
 
 @register("f30_known_names", "SELECT o_orderpriority AS name, lower(replace(replace(o_orderpriority, '-', ' '), '  ', ' ')) AS normal FROM orders GROUP BY 1")
@@ -85,15 +89,17 @@ def j4_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey").join(known, "l_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("lk13_proposals", "SELECT * FROM (VALUES ('p/t/1.1', 'Accuracy', '{x}%', 0.931::DOUBLE, 'model-best'), ('p/t/2.1', 'Accuracy', '{x}%', 0.9, 'model-competing')) AS g(cell_ext_id, metric, format, parsed, model_type)")
+@register("lk13_proposals", """SELECT o_orderkey::VARCHAR AS cell_ext_id, 'Accuracy' AS metric, '{x}%' AS format, (CASE WHEN o_orderkey % 2 = 1 THEN 100 - o_custkey % 100 ELSE o_custkey % 100 END / 100.0)::DOUBLE AS parsed,
+CASE WHEN o_orderkey % 2 = 1 THEN 'model-competing' ELSE 'model-best' END AS model_type FROM orders""")
 def lk13_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LK13, LK14: values in the range of their metric, complements turned."""
-    value = "array<struct<tag:string,value:string>>"
-    rows = spark.createDataFrame(
-        [("p/t/1.1", "93.1%", [("model-best", "Ours")], [("dataset", "SQuAD")]), ("p/t/2.1", "10%", [("model-competing", "Theirs")], [])], f"cell_ext_id string, value string, model_values {value}, dataset_values {value}")
-    links = spark.createDataFrame([("p/t/1.1", "t", "d", "Accuracy", "Accuracy", 0.9), ("p/t/2.1", "t", "d", "Error", "Accuracy", 0.9)], "cell_ext_id string, task string, dataset string, metric string, true_metric string, confidence double")
+    """LK13, LK14: values in the range of their metric, complements turned: odd orders are of the error."""
+    odd = F.col("o_orderkey") % 2 == 1
+    tagged = F.struct(F.when(odd, "model-competing").otherwise("model-best").alias("tag"), F.lit("Ours").alias("value"))
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("cell_ext_id"), odd.alias("odd"), F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("%")).alias("value"), F.array(tagged).alias("model_values"))
+    rows = base.withColumn("dataset_values", F.slice("model_values", 1, 0))
+    links = base.select("cell_ext_id", F.lit("t").alias("task"), F.lit("d").alias("dataset"), F.when(F.col("odd"), "Error").otherwise("Accuracy").alias("metric"), F.lit("Accuracy").alias("true_metric"), F.lit(0.9).alias("confidence"))
     info = spark.createDataFrame([("Accuracy", "0-1")], "metric string, range string")
-    return linking.proposal_rows(rows, links, info).select("cell_ext_id", "metric", "format", "parsed", "model_type")
+    return linking.proposal_rows(rows.drop("odd"), links, info).select("cell_ext_id", "metric", "format", "parsed", "model_type")
 
 
 @register("tx10_take_while", "SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stops FROM events) WHERE stops = 0 GROUP BY user_id")
@@ -111,7 +117,7 @@ def tx8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("p", number).groupBy("conv_id").agg(F.max("p").alias("paragraphs"))
 
 
-@register("tx17_converter", "SELECT * FROM (VALUES ('a', 'success', '<p>x'), ('b', 'processing-error', NULL), ('c', 'empty', NULL)) AS g(paper_id, status, html)")
+@register("tx17_converter", """SELECT o_orderkey AS paper_id, CASE o_orderstatus WHEN 'F' THEN 'processing-error' WHEN 'P' THEN 'empty' ELSE 'success' END AS status, CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN '<p>' || o_orderpriority END AS html FROM orders""")
 def tx17_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX17: the seam of the converter, with a mock: a failure is a status, no crash."""
 
@@ -120,23 +126,27 @@ def tx17_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise RuntimeError("timeout")
         return "<p>" + source
 
-    return adapters.convert_papers(spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", None)], "paper_id string, source string"), mock)
+    source = F.when(F.col("o_orderstatus") == "F", "bad").when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    return adapters.convert_papers(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), source.alias("source")), mock)
 
 
-@register("tx18_paper_ids", "SELECT * FROM (VALUES ('1602.01234v2.tar.gz', '1602.01234v2'), ('notes.tex', 'notes.tex')) AS g(name, paper_id)")
+@register("tx18_paper_ids", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '1602.' || (10000 + o_custkey % 90000) || 'v2' ELSE 'notes' || o_custkey || '.tex' END AS paper_id FROM orders""")
 def tx18_paper_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("1602.01234v2.tar.gz",), ("notes.tex",)], "name string").select("name", archives.paper_id(F.col("name")).alias("paper_id"))
+    """TX18: the identifiers in the names of archives."""
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("1602."), (F.col("o_custkey") % 90000 + 10000).cast("string"), F.lit("v2.tar.gz"))).otherwise(F.concat(F.lit("notes"), F.col("o_custkey").cast("string"), F.lit(".tex")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", archives.paper_id(name).alias("paper_id"))
 
 
-@register("rf1_citations", "SELECT * FROM (VALUES (1, 'success', 'TEI A'), (2, 'success', 'TEI A')) AS g(ref_id, status, tei)")
+@register("rf1_citations", "SELECT o_orderkey AS ref_id, 'success' AS status, 'TEI ' || o_orderpriority AS tei FROM orders")
 def rf1_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RF1, RF5: equal reference strings are parsed once."""
-    return adapters.parse_citations(spark.createDataFrame([(1, "A"), (2, "A")], "ref_id int, ref_str string"), lambda s: "TEI " + s)
+    return adapters.parse_citations(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderpriority").alias("ref_str")), lambda s: "TEI " + s)
 
 
-@register("sc5_graphql", "SELECT '1602.01234' AS arxiv_id, 'success' AS status, '{}' AS json")
+@register("sc5_graphql", "SELECT o_orderkey::VARCHAR AS arxiv_id, 'success' AS status, '{\"id\": ' || o_orderkey || '}' AS json FROM orders")
 def sc5_graphql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.graphql(spark.createDataFrame([("1602.01234",)], "arxiv_id string"), lambda _: "{}")
+    """SC5: the seam of a live endpoint, with a mock."""
+    return adapters.graphql(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("arxiv_id")), lambda i: '{"id": ' + i + "}")
 
 
 @register("sc13_session", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")

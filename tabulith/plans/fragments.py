@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.operators import cells as cell_ops
-from tabulith.registry import register, table
+from tabulith.registry import order_papers, register, table
 from tabulith.sources import html as h
 
 FIXTURE = (
@@ -44,24 +44,22 @@ def tx13_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.fragments(table(spark, sf_dir, "pages"), "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("tx13_sections", "SELECT * FROM (VALUES (1000, 'xxanchor-S1 Intro', 'A'), (1001, 'xxanchor-S1 Intro', 'B xxref-S4T1'), (2000, 'xxanchor-S2 Empty', '')) AS g(\"order\", header, text)")
+@register("tx13_sections", "SELECT o_orderkey AS paper_id, \"order\", header, replace(text, '@', o_custkey::VARCHAR) AS text FROM orders, (VALUES (1000, 'xxanchor-S1 Intro', 'A @'), (1001, 'xxanchor-S1 Intro', 'B xxref-S4T1'), (2000, 'xxanchor-S2 Empty', '')) AS g(\"order\", header, text)")
 def tx13_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The golden fragments of a paper of two sections."""
-    return h.fragments(spark.createDataFrame([("p", SECTIONS)], "paper_id string, html string")).select("order", "header", "text")
+    """The fragments of papers of two sections, one for each order."""
+    return h.fragments(order_papers(spark, sf_dir, SECTIONS.replace(">A<", ">A @<"))).select("paper_id", "order", "header", "text")
 
 
-@register("tx14_toc", "SELECT * FROM (VALUES (1000, 'xxanchor-S1 Intro'), (2000, 'xxanchor-S2 Empty')) AS g(\"order\", header)")
+@register("tx14_toc", "SELECT o_orderkey AS paper_id, \"order\", replace(header, '@', o_custkey::VARCHAR) AS header FROM orders, (VALUES (1000, 'xxanchor-S1 Intro @'), (2000, 'xxanchor-S2 Empty')) AS g(\"order\", header)")
 def tx14_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX14: a header at each change."""
-    rows = h.fragments(spark.createDataFrame([("p", SECTIONS)], "paper_id string, html string"))
-    before = F.lag("header").over(W.partitionBy("paper_id").orderBy("order"))
-    return rows.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("header"))).select("order", "header")
+    return h.table_of_contents(h.fragments(order_papers(spark, sf_dir, SECTIONS.replace("Intro", "Intro @")))).select("paper_id", "order", "header")
 
 
-@register("tx15_fragment_frame", "SELECT doc_id, substr(text, 1, 20) AS header, length(text) AS n FROM documents")
+@register("tx15_fragment_frame", "SELECT doc_id, string_split(text, chr(10))[1] AS header, length(text) AS n FROM documents")
 def tx15_fragment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX15: header, text and length of fragments."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("header"), F.length("text").cast("long").alias("n"))
+    """TX15: header (the first line), text and length of fragments."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("header"), F.length("text").cast("long").alias("n"))
 
 
 _CORPUS = """WITH f AS (SELECT source, doc_id, lang, coalesce(text, '') AS text, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS last FROM documents),
@@ -88,13 +86,13 @@ def tx19_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.corpus_sentences(_corpus(spark, sf_dir)).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("tb1_html_tables", """SELECT * FROM (VALUES (0,0,'Model','Model','','border-tt align-left'),(0,1,'SQuAD','SQuAD','','border-tt span-cb'),(0,2,'SQuAD','SQuAD','','border-tt span-ce'),
-(1,0,'Ours <ref id=''bib-bib7''>7</ref>','Ours 7','bibbib7',''),(1,1,'<bold>93.1%</bold>','93.1%','',''),(1,2,'1,234','1,234','','')) AS g("row", col, raw_value, value, refs, layout)""")
+@register("tb1_html_tables", """SELECT o_orderkey AS paper_id, "row", col, replace(raw_value, '@', o_custkey::VARCHAR) AS raw_value, replace(value, '@', o_custkey::VARCHAR) AS value, refs, layout FROM orders,
+(VALUES (0,0,'Model','Model','','border-tt align-left'),(0,1,'Set@','Set@','','border-tt span-cb'),(0,2,'Set@','Set@','','border-tt span-ce'),
+(1,0,'Ours <ref id=''bib-bib7''>7</ref>','Ours 7','bibbib7',''),(1,1,'<bold>@%</bold>','@%','',''),(1,2,'1,234','1,234','','')) AS g("row", col, raw_value, value, refs, layout)""")
 def tb1_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TB1 to TB20: the golden cells of a table with a span, a reference and a style."""
-    raw = h.cells(spark.createDataFrame([("p", FIXTURE)], "paper_id string, html string"))
-    built = cell_ops.build(raw, ["paper_id"])
-    return built.select("row", "col", "raw_value", "value", F.array_join("refs", ",").alias("refs"), "layout")
+    """TB1 to TB20: the cells of a table with a span, a reference and a style, one for each order."""
+    built = cell_ops.build(h.cells(order_papers(spark, sf_dir, FIXTURE.replace("SQuAD", "Set@").replace("93.1%", "@%"))), ["paper_id"])
+    return built.select("paper_id", "row", "col", "raw_value", "value", F.array_join("refs", ",").alias("refs"), "layout")
 
 
 @register("tb1_pages", "SELECT page_id, 0::BIGINT AS cells FROM pages")
@@ -122,10 +120,9 @@ def j9_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.join(counted, "ref").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.sum("n").alias("mentions"))
 
 
-@register("j11_section_lookup", """SELECT b.item_id, count(*) AS sections FROM (SELECT item_id, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS ref FROM benchmark) b JOIN documents d ON contains(d.text, b.ref) GROUP BY b.item_id""")
+@register("j11_section_lookup", """SELECT b.item_id, count(*) AS sections FROM (SELECT item_id, string_split(text, ' ')[1] AS ref FROM benchmark) b JOIN documents d ON list_contains(string_split_regex(d.text, '\\s+'), b.ref) GROUP BY b.item_id""")
 def j11_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fragments that contain a table's reference (a substring join; references are few)."""
-    words = F.split("text", " ")
-    refs = table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", words[0], words[1]).alias("ref"))
-    docs = table(spark, sf_dir, "documents").select("text")
-    return docs.join(F.broadcast(refs), docs.text.contains(F.col("ref"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("sections"))
+    """How many fragments hold a table's reference (the first word of an item) as a word."""
+    refs = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ")[0].alias("ref"))
+    found = h.sections_with(refs, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frag_id"), "text"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("sections"))

@@ -9,21 +9,24 @@ from tabulith.functions import text as t
 from tabulith.operators import references as r
 from tabulith.registry import register, table
 
-_FRAGMENTS = [("p", 1, "Intro", "a"), ("p", 2, "xxanchor-bib X", "old"), ("p", 3, "Appendix", "b"), ("p", 4, "xxanchor-bib R", "xxanchor-bib1 A. Title one. "), ("p", 5, "xxanchor-bib R", "xxanchor-bib xxanchor-bib2 B. Title two"), ("p", 6, "Notes", "c")]
+_PARTS = [(1, "Intro", "a"), (2, "xxanchor-bib X", "old"), (3, "Appendix", "b"), (4, "xxanchor-bib R", "xxanchor-bib1 A. Title one @. "), (5, "xxanchor-bib R", "xxanchor-bib xxanchor-bib2 B. Title @"), (6, "Notes", "n")]
 
 
-def _bibliography(spark: SparkSession) -> DataFrame:
-    return r.bibliography(spark.createDataFrame(_FRAGMENTS, "paper_id string, `order` int, header string, text string"))
+def _bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(n).alias("order"), F.lit(header).alias("header"), F.lit(text).alias("part")) for n, header, text in _PARTS])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_custkey", F.inline(parts))
+    return r.bibliography(rows.select("paper_id", "order", "header", F.replace("part", F.lit("@"), F.col("o_custkey").cast("string")).alias("text")))
 
 
-@register("w8_bibliography", "SELECT * FROM (VALUES ('p', 0, 'xxanchor-bib xxanchor-bib2 B. Title two'), ('p', 1, 'xxanchor-bib1 A. Title one. ')) AS g(paper_id, nth, text)")
+@register("w8_bibliography", "SELECT o_orderkey AS paper_id, nth, replace(text, '@', o_custkey::VARCHAR) AS text FROM orders, (VALUES (0, 'xxanchor-bib xxanchor-bib2 B. Title @'), (1, 'xxanchor-bib1 A. Title one @. ')) AS g(nth, text)")
 def w8_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bibliography(spark)
+    """The bibliographies of orders as papers of six fragments."""
+    return _bibliography(spark, sf_dir)
 
 
-@register("f20_refs", "SELECT * FROM (VALUES ('p', 0, 'bib2', 'B. Title two'), ('p', 1, 'bib1', 'A. Title one.')) AS g(paper_id, nth, ref_id, ref_str)")
+@register("f20_refs", "SELECT o_orderkey AS paper_id, nth, ref_id, replace(ref_str, '@', o_custkey::VARCHAR) AS ref_str FROM orders, (VALUES (0, 'bib2', 'B. Title @'), (1, 'bib1', 'A. Title one @.')) AS g(nth, ref_id, ref_str)")
 def f20_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.reference_lines(_bibliography(spark))
+    return r.reference_lines(_bibliography(spark, sf_dir))
 
 
 @register("rf3_merge_refs", """WITH k AS (SELECT array_to_string(string_split_regex(lower(regexp_replace(p_type, '[^a-zA-Z0-9 ]', ' ', 'g')), ' +'), '-') AS uid, * FROM part)

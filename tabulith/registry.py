@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +29,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_papers(spark: SparkSession, sf_dir: str, text: str, name: str = "html") -> DataFrame:
+    """Every order as a paper (paper_id, ``name``): ``text`` with the customer's key in place of @."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.replace(F.lit(text), F.lit("@"), F.col("o_custkey").cast("string")).alias(name))

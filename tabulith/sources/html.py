@@ -448,3 +448,16 @@ def element_classes(tag: Column) -> Column:
     value = F.regexp_extract(tag, "(?i)\\sclass\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))", 0)
     inner = F.regexp_replace(F.regexp_replace(value, "(?i)^\\sclass\\s*=\\s*", ""), "[\"']", "")
     return F.array_remove(F.split(inner, "\\s+"), "")
+
+
+def table_of_contents(parts: DataFrame) -> DataFrame:
+    """TX14: (paper_id, order, header): a header at each change."""
+    before = F.lag("header").over(W.partitionBy("paper_id").orderBy("order"))
+    return parts.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("header"))).select("paper_id", "order", "header")
+
+
+def sections_with(refs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The columns of ``refs`` but ref, and frag_id, for every fragment (frag_id, text) that holds a ref as one of its words: an equi-join."""
+    words = parts.select("frag_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("ref"))
+    return words.join(refs, "ref").drop("ref")
+
