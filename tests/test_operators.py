@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabulith.config import Settings
 from tabulith.functions import text as t
 from tabulith.functions import values as v
-from tabulith.operators import cells, evaluation, filters, linking, references, search, sets
+from tabulith.operators import cells, dictionaries, evaluation, experiments, filters, linking, models, references, search, sets
 from tabulith.sources import html
 
 PLAIN = {"0-1": (0.21, 0.0021, 0.21, 0.21), "1-100": (21, 0.21, 21, 21), "abs": (0.21, 0.0021, 21, 0.21), "": (0.21, 0.21, 21, 21)}
@@ -246,3 +248,68 @@ def test_shingles_and_evidence(spark):
     asked = spark.createDataFrame([("p/t/0/0", "p", "big model", ""), ("p/t/0/1", "p", "12", ""), ("p/t/0/2", "p", "unseen words", "bib7")], "ext_id string, paper_id string, cell_content string, cell_reference string")
     got = sorted((r["ext_id"], r["this_paper"], r["frag_id"] or 0) for r in search.evidences(asked, frags).collect())
     assert got == [("p/t/0/0", False, 2), ("p/t/0/0", True, 1), ("p/t/0/1", True, 0), ("p/t/0/2", True, 3)]
+
+
+def test_flat_text_repeats_no_anchor(spark):
+    texts = spark.createDataFrame([("xxanchor-a xxanchor-a text",), ("xxref-b xxref-b xxref-b",), (None,)], "s string")
+    assert [r[0] for r in texts.select(t.flat_text(F.col("s"))).collect()] == ["xxanchor-a text", "xxref-b", None]
+
+
+def test_elements(spark):
+    tags = spark.createDataFrame([('<DIV id=x class="ltx_p  big">',), ("<td class=one>",), ("<p>",)], "s string")
+    got = tags.select(html.element_name(F.col("s")).alias("n"), html.element_classes(F.col("s")).alias("c")).collect()
+    assert [(r["n"], r["c"]) for r in got] == [("div", ["ltx_p", "big"]), ("td", ["one"]), ("p", [])]
+
+
+def test_no_proposals(spark):
+    row = linking.no_proposals(spark, "no model").first()
+    assert row["reason"] == "no model" and row["cell_ext_id"] is None and len(row) == 13
+
+
+def test_dictionaries(spark):
+    metrics = dictionaries.manual_evidence(spark, "metric")
+    assert metrics.select("name").distinct().count() == 37 and dictionaries.manual_evidence(spark, "dataset").select("name").distinct().count() == 81
+    assert dictionaries.manual_evidence(spark, "task").count() == 0
+    pairs = {r["metric"]: r["complement"] for r in dictionaries.complements(spark).collect()}
+    assert pairs["accuracy"] == "Error" and pairs["top-5 error rate"] == "Top-5 Accuracy" and pairs["word error rate"] == "Word Accuracy" and len(pairs) == 28
+    assert dictionaries.known_datasets(spark, spark.createDataFrame([("Our Set",)], "dataset string")).where("key = 'our set'").count() == 1
+
+
+def test_settings(spark):
+    spark.conf.set("spark.tabulith.own_evidences", "7")
+    assert (Settings.of(spark).own_evidences, Settings.of(spark).corpus_evidences) == (7, 10)
+    spark.conf.unset("spark.tabulith.own_evidences")
+
+
+def test_schedule_of_experiments(spark, tmp_path):
+    rows = spark.createDataFrame([(i, ("good fine text " if i % 2 else "bad poor words ") + str(i % 7), i % 2, i % 5 == 0) for i in range(120)], "id int, text string, label int, is_valid boolean")
+    runs = models.run_schedule(rows, experiments.experiments_grid(experiments.Experiment(), n_grams=[1, 2]))
+    assert len(runs) == 2 and all(scores["accuracy"] > 0.95 for _, scores in runs)
+    experiments.save_experiments(spark, runs, f"{tmp_path}/runs")
+    assert experiments.load_experiments(spark, f"{tmp_path}/runs").count() == 2
+
+
+def test_links_are_those_of_every_triple(spark):
+    """link() looks at few triples; the softmax over all of them, crossed with every query, is the same."""
+    random.seed(11)
+    triples = sorted({(f"t{random.randrange(3)}", f"d{random.randrange(5)}", f"m{random.randrange(3)}") for _ in range(20)})
+    gains = {a: {(q, f"{a[0]}{j}"): random.choice([0.0, 0.5, 3.0]) for q in range(4) for j in range(5) if random.random() < 0.4 and q and f"{a[0]}{j}" in {x[i] for x in triples}} for i, a in enumerate(linking.AXES)}
+    frames = {a: spark.createDataFrame([(q, n, g) for (q, n), g in x.items()], "query int, name string, gain double") for a, x in gains.items()}
+    taxonomy = spark.createDataFrame(triples, "task string, dataset string, metric string")
+    got = linking.link(spark.range(4).selectExpr("int(id) AS query"), frames, taxonomy, 3).collect()
+    for q in range(4):
+        g = {x: sum(gains[a].get((q, n), 0.0) for a, n in zip(linking.AXES, x)) for x in triples}
+        whole = sum(math.exp(v) for v in g.values())
+        rows = [(-round(math.exp(v) / whole, 9), 0, x) for x, v in g.items()]
+        alone = tuple(max({x[i] for x in triples}, key=lambda n, a=a: (gains[a].get((q, n), 0.0), n)) for i, a in enumerate(linking.AXES))
+        want = sorted([*rows, (-0.79, 1, alone)])[:3]
+        assert [(-round(r["confidence"], 9), (r["task"], r["dataset"], r["metric"])) for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [(c, x) for c, _, x in want]
+
+
+def test_names_of_a_large_dictionary(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "We use Image Net and imagenet32 on squad, squad"), (2, None)], "text_id int, text string")
+    names = spark.createDataFrame([("image net", "d"), ("squad", "d"), ("squad", "t")], "name string, axis string")
+    rows = lambda: sorted(map(tuple, linking.find_names(texts, names, ("axis",)).select("text_id", "axis", "name", "n").collect()))
+    small = rows()
+    monkeypatch.setattr(linking, "BROADCAST_CHARACTERS", -1)
+    assert rows() == small == [(1, "d", "image net", 1), (1, "d", "squad", 2), (1, "t", "squad", 2)]
