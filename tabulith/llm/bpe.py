@@ -204,7 +204,8 @@ class WordBpe:
         """The tokens of ``ids`` joined by spaces: these files name no decoder."""
         return " ".join(map(self.token.__getitem__, ids))
 
-    def _learn(self, pieces: Iterable[str]) -> None:
+    def _learn(self, pieces: Iterable[str]) -> list[str]:
+        """Makes all pieces known; those of them that are too long to be remembered."""
         new = sorted(p for p in pieces if p not in self.known)
         plain = [p for p in new if p[0] != "\0" or p[1:] not in self.special]
         short = [p for p in plain if len(p) <= LONG]
@@ -213,21 +214,21 @@ class WordBpe:
         for mark in set(new).difference(plain):
             token = self.special[mark[1:]]
             self.known[mark] = 1, str(token), self.token[token]
+        return [p for p in plain if len(p) > REMEMBERED]
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of ids, the ids as decimals joined by spaces, the decoded text."""
         if len(self.known) > CACHED:
             self.known.clear()
         split = [self.pieces(t) for t in texts]
-        self._learn(set().union(*split))
+        long = self._learn(set().union(*split))
         try:
             for pieces in split:
                 found = [self.known[p] for p in pieces]
                 yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
         finally:
-            for piece in set().union(*split):
-                if len(piece) > REMEMBERED:
-                    del self.known[piece]
+            for piece in long:
+                del self.known[piece]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in next(self.encode_batch([text]))[1].split()]
