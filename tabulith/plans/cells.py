@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.operators import cells as c
+from tabulith.operators import lookups
 from tabulith.registry import register, table
 
 
@@ -113,7 +114,7 @@ def tb29_match_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tb31_annotated_tables", "SELECT doc_id FROM documents WHERE lang = 'en' AND source <> '' AND source NOT LIKE '%src1%'")
 def tb31_annotated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB31: tables of one parser whose tags are neither empty nor trash."""
-    return table(spark, sf_dir, "documents").where((F.col("lang") == "en") & (F.col("source") != "") & ~F.col("source").contains("src1")).select("doc_id")
+    return lookups.annotated(table(spark, sf_dir, "documents"), F.col("lang") == "en", "source", "src1").select("doc_id")
 
 
 @register("tb32_table_by_name", "SELECT min(p_partkey) AS p_partkey FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
@@ -157,6 +158,5 @@ def sk9_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tb24_annotations", """SELECT user_id, event_id, json_extract(props, '$.k')::BIGINT AS value FROM events WHERE json_extract(props, '$.k')::BIGINT > 50""")
 def tb24_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB24: annotation records parsed from JSON, incomplete ones dropped."""
-    parsed = F.from_json("props", "map<string,bigint>")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.explode(parsed).alias("key", "value"))
-    return rows.where("key = 'k' AND value > 50").drop("key")
+    rows = lookups.records(table(spark, sf_dir, "events").select("user_id", "event_id", "props"), "props", 50)
+    return rows.where("key = 'k'").drop("key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.values import norm_score
 from tabulith.operators import evaluation as e
-from tabulith.operators import votes
+from tabulith.operators import lookups, votes
 from tabulith.registry import register, table
 
 
@@ -92,7 +92,7 @@ def ag4_metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ag5_confusion_pivot", """SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS "F", count(*) FILTER (WHERE l_linestatus = 'O') AS "O" FROM lineitem GROUP BY l_returnflag""")
 def ag5_confusion_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG5: a confusion matrix, classes given so that no pass looks for them."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
+    return lookups.confusion_table(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
 
 
 @register("ag6_class_metrics", """SELECT round(avg((quality = toxic)::INT), 8) AS accuracy, round(count(*) FILTER (WHERE toxic <> 0 AND quality = toxic) / nullif(count(*) FILTER (WHERE toxic <> 0 AND quality = toxic) + count(*) FILTER (WHERE quality <> 0 AND quality <> toxic), 0), 8) AS precision,
@@ -137,9 +137,7 @@ def ag10_vote_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ag12_merge_fragments", """SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text, count(*) AS n FROM conversations GROUP BY conv_id""")
 def ag12_merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG12: the fragments of a cell joined in order."""
-    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n"))
+    return lookups.merged_text(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"])
 
 
 @register("ag13_cond_probs", """WITH c AS (SELECT user_id % 10 AS x, event_type AS y, count(*) AS n FROM events GROUP BY ALL)
@@ -171,7 +169,7 @@ def ag14_direction_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ag15_dict_means", "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def ag15_dict_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return lookups.means(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"))
 
 
 _SWEEP = """x AS (SELECT round(l_discount, 2) AS lo, round(10 * l_tax, 2) AS hi, l_returnflag = 'N' AS eq, l_linestatus = 'O' AS pred, l_quantity > 20 AS gold FROM lineitem),
@@ -210,8 +208,7 @@ def ag18_nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG18: counts in nested arrays of tables."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("tables"))
     nested = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    tables = F.coalesce("tables", F.array().cast("array<struct<l_linenumber:int,l_returnflag:string>>"))
-    return nested.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("papers"), F.sum(F.size(tables)).alias("tables"), F.sum(F.size(F.filter(tables, lambda x: x["l_returnflag"] == "A"))).alias("leaderboards"))
+    return lookups.nested_counts(nested, "o_custkey", F.col("tables"), lambda x: x["l_returnflag"] == "A")
 
 
 @register("ag19_noise", """WITH b AS (SELECT o_custkey, list_distinct(list(o_orderstatus)) AS a, list_distinct(list(o_orderstatus) FILTER (WHERE o_totalprice > 150000)) AS g FROM orders GROUP BY o_custkey)
@@ -223,7 +220,7 @@ def ag19_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ag20_surnames", "SELECT lower(split_part(c_name, '#', 1)) AS surname, count(*) AS n FROM customer GROUP BY 1")
 def ag20_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(F.lower(F.split_part("c_name", F.lit("#"), F.lit(1))).alias("surname")).agg(F.count(F.lit(1)).alias("n"))
+    return lookups.word_counts(table(spark, sf_dir, "customer").select(F.split_part("c_name", F.lit("#"), F.lit(1)).alias("surname")), "surname")
 
 
 @register("ag21_best_experiment", """SELECT user_id AS experiment, round(value, 6) AS accuracy, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS setting FROM events ORDER BY round(value, 6) DESC, event_id LIMIT 1""")
@@ -238,7 +235,7 @@ def ag21_best_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ag22_drop_duplicates", "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1")
 def ag22_drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG22: the first of equal rows, by an aggregation rather than a window."""
-    return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return lookups.first_of_equals(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey")
 
 
 @register("ag23_distinct_papers", "SELECT DISTINCT o_custkey AS paper FROM orders WHERE o_orderstatus = 'F'")
@@ -249,7 +246,7 @@ def ag23_distinct_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ag24_latest_event", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, count(*) AS n FROM events GROUP BY user_id")
 def ag24_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG24: what was logged last for every paper."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.count(F.lit(1)).alias("n"))
+    return lookups.latest(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
 @register("j2_three_way_sql", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, c.c_name,
@@ -268,20 +265,17 @@ def j2_three_way_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("j3_annotation_lookup", """SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS owner FROM orders LEFT JOIN customer a ON a.c_custkey = o_orderkey LEFT JOIN customer b ON b.c_custkey = o_custkey""")
 def j3_annotation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the exact key, else by the shorter one."""
-    names = table(spark, sf_dir, "customer")
-    exact = names.select(F.col("c_custkey").alias("o_orderkey"), F.col("c_name").alias("a"))
-    short = names.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("b"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return rows.join(exact, "o_orderkey", "left").join(short, "o_custkey", "left").select("o_orderkey", F.coalesce("a", "b").alias("owner"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("owner"))
+    return lookups.by_either_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), names, "o_orderkey", "o_custkey", "owner").select("o_orderkey", "owner")
 
 
 @register("j5_texts_tables", """SELECT coalesce(d.doc_id, l.doc_id) AS paper_id, coalesce(d.lang, '') AS lang, coalesce(l.quality, -1) AS quality
 FROM (SELECT * FROM documents WHERE n_chars > 300) d FULL JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id""")
 def j5_texts_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers with texts, tables or both."""
-    texts = table(spark, sf_dir, "documents").where("n_chars > 300").select("doc_id", "lang")
-    tables = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", "quality")
-    return texts.join(tables, "doc_id", "full").select(F.col("doc_id").alias("paper_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+    texts = table(spark, sf_dir, "documents").where("n_chars > 300").select(F.col("doc_id").alias("paper_id"), "lang")
+    tables = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("paper_id"), "quality")
+    return lookups.texts_and_tables(texts, tables, "paper_id", {"lang": "", "quality": -1})
 
 
 @register("j8_gold_by_cell", """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag_gold FROM lineitem WHERE l_quantity > 10 GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag_pred FROM lineitem WHERE l_discount < 0.08 GROUP BY ALL)
@@ -289,16 +283,16 @@ SELECT l_orderkey, l_linenumber, flag_gold, flag_pred, flag_gold IS NOT DISTINCT
 def j8_gold_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold and predicted records of a cell side by side."""
     lines, cell = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
-    gold = lines.where("l_quantity > 10").groupBy(*cell).agg(F.min("l_returnflag").alias("flag_gold"))
-    found = lines.where("l_discount < 0.08D").groupBy(*cell).agg(F.max("l_returnflag").alias("flag_pred"))
-    return gold.join(found, cell, "full").withColumn("equal", F.col("flag_gold").eqNullSafe(F.col("flag_pred")))
+    gold = lines.where("l_quantity > 10").groupBy(*cell).agg(F.min("l_returnflag").alias("flag"))
+    found = lines.where("l_discount < 0.08D").groupBy(*cell).agg(F.max("l_returnflag").alias("flag"))
+    return lookups.side_by_side(gold, found, cell, "flag")
 
 
 @register("j12_gold_tag_zip", """WITH u AS (SELECT c_custkey, c_name FROM customer QUALIFY count(*) OVER (PARTITION BY c_name) = 1)
 SELECT o.o_orderkey, u.c_name AS title, o.o_orderstatus AS gold, CASE WHEN o.o_totalprice > 100000 THEN 'F' ELSE 'O' END AS pred FROM orders o JOIN u ON o.o_custkey = u.c_custkey""")
 def j12_gold_tag_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold and predicted tags of papers whose title is unique."""
-    names = table(spark, sf_dir, "customer").groupBy("c_name").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("o_custkey")).where("n = 1")
+    names = lookups.unique_titles(table(spark, sf_dir, "customer").select("c_name", F.col("c_custkey").alias("o_custkey")), "c_name", "o_custkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return rows.join(names, "o_custkey").select("o_orderkey", F.col("c_name").alias("title"), F.col("o_orderstatus").alias("gold"), F.when(F.col("o_totalprice") > 100000, "F").otherwise("O").alias("pred"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import text as t
 from tabulith.operators import filters as f
-from tabulith.operators import sets
+from tabulith.operators import lookups, sets
 from tabulith.registry import register, table
 
 
@@ -121,9 +121,8 @@ def tk5_sql_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("w4_change_points", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
 def w4_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4, TX14: where the header changes."""
-    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", before.alias("before"))
-    return rows.where(~F.col("before").eqNullSafe(F.col("event_type"))).drop("before")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return lookups.change_points(rows, ["user_id"], ["ts", "event_id"], "event_type").drop("ts")
 
 
 @register("w10_softmax", """WITH x AS (SELECT o_custkey, o_orderkey, o_totalprice / 100000 AS lp FROM orders), m AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY o_custkey)) AS e FROM x)
@@ -148,32 +147,33 @@ def pf3_numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pf8_paper_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE regexp_replace('p' || o_custkey || 'v2', 'v[0-9]+$', '') = 'p7'")
 def pf8_paper_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF8: a paper by its identifier without version."""
-    key = t.strip_version(F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("v2")))
-    return table(spark, sf_dir, "orders").where(key == "p7").select("o_orderkey", "o_custkey")
+    key = F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("v2"))
+    return lookups.papers_by_id(table(spark, sf_dir, "orders").withColumn("paper_id", key), "p7v1").select("o_orderkey", "o_custkey")
 
 
 @register("pf9_node_filter", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS n FROM orders GROUP BY o_custkey")
 def pf9_node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF9: nested nodes with all attributes equal."""
     nested = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderstatus", "o_orderpriority")).alias("nodes"))
-    return nested.select("o_custkey", F.size(F.filter("nodes", lambda n: (n["o_orderstatus"] == "F") & n["o_orderpriority"].startswith("1"))).cast("long").alias("n"))
+    found = lookups.matching_nodes(F.col("nodes"), o_orderstatus="F", o_orderpriority=lambda c: c.startswith("1"))
+    return nested.select("o_custkey", F.size(found).cast("long").alias("n"))
 
 
 @register("pf12_type_gate", "SELECT vec_id, CASE label % 3 WHEN 0 THEN 'leaderboard' ELSE 'ablation' END AS type FROM embeddings WHERE label % 3 <> 2")
 def pf12_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF12: tables that are no results are left out."""
-    return table(spark, sf_dir, "embeddings").where("label % 3 <> 2").select("vec_id", F.when(F.col("label") % 3 == 0, "leaderboard").otherwise("ablation").alias("type"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).cast("int").alias("label"))
+    return lookups.typed_tables(rows, {0: "leaderboard", 1: "ablation"}).select("vec_id", "type")
 
 
 @register("pf13_errors", "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT DISTINCT FROM toxic")
 def pf13_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where(F.col("quality").eqNullSafe(F.col("toxic"))).select("doc_id", "quality", "toxic")
+    return lookups.disagreements(table(spark, sf_dir, "labels"), "quality", "toxic", equal=True).select("doc_id", "quality", "toxic")
 
 
 @register("pf14_folds", "SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM documents")
 def pf14_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.col("doc_id") % 11
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(part == 0, "test").when(part == 1, "valid").otherwise("train").alias("split"))
+    return table(spark, sf_dir, "documents").select("doc_id", lookups.fold_split(F.col("doc_id") % 11).alias("split"))
 
 
 @register("pf15_align", "SELECT region_rows.c_nationkey, count(*) - count(*) % 8 AS kept FROM customer region_rows GROUP BY c_nationkey HAVING count(*) >= 8")
@@ -187,13 +187,13 @@ def pf15_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pf16_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF16, J4."""
     rich = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(rich, "o_custkey", "left_semi").select("o_orderkey")
+    return lookups.known_only(table(spark, sf_dir, "orders"), rich, ["o_custkey"]).select("o_orderkey")
 
 
 @register("pf17_type_labels", "SELECT doc_id, CASE WHEN quality = 1 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END AS label FROM labels")
 def pf17_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF17: 0 results, 1 ablation, 2 neither; results win."""
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("label"))
+    return table(spark, sf_dir, "labels").select("doc_id", lookups.type_label(F.col("quality") == 1, F.col("toxic") == 1).alias("label"))
 
 
 @register("se1_concat", "SELECT o_orderkey AS id, o_orderstatus AS a, NULL AS b FROM orders UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer")
@@ -228,7 +228,7 @@ def se4_bag_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("se5_intersection", "SELECT user_id, len(list_intersect(list_distinct(list(event_type)), ['click', 'view']))::BIGINT AS common FROM events GROUP BY user_id")
 def se5_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets_ = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
-    return sets_.select("user_id", F.size(F.array_intersect("s", F.array(F.lit("click"), F.lit("view")))).cast("long").alias("common"))
+    return sets_.select("user_id", lookups.shared(F.col("s"), ["click", "view"]).alias("common"))
 
 
 @register("se6_distinct_evidences", "SELECT DISTINCT p_brand, lower(split_part(p_name, ' ', 1)) AS evidence FROM part")
@@ -239,15 +239,14 @@ def se6_distinct_evidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("se7_ordered_dedupe", """SELECT user_id, string_agg(event_type, ',' ORDER BY first, event_type) AS types FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL) GROUP BY user_id""")
 def se7_ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SE7: types in the order of their first appearance."""
-    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    ordered = F.sort_array(F.collect_list(F.struct("first", "event_type")))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("types"))
+    found = lookups.ordered_distinct(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+    return found.select("user_id", F.array_join("event_type", ",").alias("types"))
 
 
 @register("se8_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def se8_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
+    return lookups.without(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
 @register("ml9_grid", "SELECT n, b, l FROM (SELECT unnest([1, 2, 3])::INTEGER AS n), (SELECT unnest([true, false]) AS b), (SELECT unnest(['tfidf', 'counts']) AS l)")

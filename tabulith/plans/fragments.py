@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.operators import cells as cell_ops
+from tabulith.operators import lookups
 from tabulith.registry import order_papers, register, table
 from tabulith.sources import html as h
 
@@ -112,7 +113,7 @@ def sc9_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey AS table_id, count(*) AS mentions FROM (SELECT DISTINCT l_orderkey, CASE l_linenumber WHEN 1 THEN 'the' WHEN 2 THEN 'that' WHEN 3 THEN 'this' ELSE 'none' END AS ref FROM lineitem) JOIN m USING (ref) GROUP BY l_orderkey""")
 def j9_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments that mention a table, by an equi-join on the mention."""
-    mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\b(th[a-z]+)\\b"), F.lit(1)))).alias("ref"))
+    mentions = lookups.mentions(table(spark, sf_dir, "documents"), "\\b(th[a-z]+)\\b", "doc_id")
     line = F.col("l_linenumber")
     ref = F.when(line == 1, "the").when(line == 2, "that").when(line == 3, "this").otherwise("none")
     tables = table(spark, sf_dir, "lineitem").select("l_orderkey", ref.alias("ref")).distinct()

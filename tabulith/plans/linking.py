@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.operators import dictionaries
+from tabulith.operators import dictionaries, lookups
 from tabulith.operators import linking as k
 from tabulith.plans import flagship
 from tabulith.registry import register, table
@@ -172,7 +172,7 @@ def f29_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lk3_index_keys", f"SELECT replace(name, ' ', '') AS key, max(name) AS name FROM ({_PAIRS}) GROUP BY 1")
 def lk3_index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LK3: names by their form without spaces; one name a key."""
-    return _names(spark, sf_dir).groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("key")).agg(F.max("name").alias("name"))
+    return lookups.index_keys(_names(spark, sf_dir))
 
 
 _BEST = """WITH r AS (SELECT l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS row, * FROM lineitem),

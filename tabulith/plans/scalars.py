@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import text as t
 from tabulith.functions import values as v
+from tabulith.operators import lookups
 from tabulith.registry import register, table
 
 
@@ -230,8 +231,7 @@ def f32_proposal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") == "A", "model-competing").otherwise("model-best").alias("tag")).alias("v"))
     tags = F.transform(F.sort_array(F.collect_list("v")), lambda x: x["tag"])
     listed = rows.groupBy("l_orderkey").agg(tags.alias("t"))
-    kind = F.when(F.array_contains("t", "model-competing"), "model-competing").otherwise(F.coalesce(F.get("t", F.lit(0)), F.lit("")))
-    return listed.select("l_orderkey", F.array_join("t", " ").alias("tags"), kind.alias("model_type"))
+    return listed.select("l_orderkey", F.array_join("t", " ").alias("tags"), lookups.model_type(F.col("t")).alias("model_type"))
 
 
 @register("f33_query_key", """
@@ -239,10 +239,7 @@ SELECT user_id, string_agg(event_type || ':' || n, ';' ORDER BY event_type) AS k
  (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
 def f33_query_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bag as one string, whatever the order of its items."""
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    items = F.sort_array(F.collect_list(F.struct("event_type", "n")))
-    joined = F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["event_type"], x["n"].cast("string"))), ";")
-    return counts.groupBy("user_id").agg(joined.alias("key"))
+    return lookups.bag_key(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
 _CAMEL = ["cellsSotaRecords", "goldTags", "arxivId", "tableSet", "plain", "@Set", "my@Records"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.functions import text as t
+from tabulith.operators import lookups
 from tabulith.operators import search as s
 from tabulith.registry import register, table
 
@@ -104,9 +105,8 @@ def ev9_evidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ev10_query_cache", "SELECT p_type, count(*) AS asked FROM part GROUP BY p_type")
 def ev10_query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV10: equal queries are asked once and their answers joined back."""
-    asked = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    answers = asked.select("p_type").distinct().withColumn("answer", F.sha1("p_type"))
-    return asked.join(answers, "p_type").groupBy("p_type").agg(F.count("answer").alias("asked"))
+    answered = lookups.answered_once(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", lambda keys: keys.withColumn("answer", F.sha1("p_type")))
+    return answered.groupBy("p_type").agg(F.count("answer").alias("asked"))
 
 
 _GRAMS = f"flatten(list_transform({_WORDS}, lambda w: flatten(list_transform([2, 3, 4], lambda n: CASE WHEN length(w) >= n THEN list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) ELSE [] END))))"
