@@ -1,9 +1,11 @@
 """Byte-pair encoding and decoding with batched numpy merge rounds.
 
-The words that a batch of texts has not shown before lie in one flat array of
-symbol ids. A round looks up every adjacent pair by binary search over the sorted
-pair keys, takes each word's lowest rank and merges all its places at once; the
-rounds end when no word has a pair left. Texts are then put together from words.
+Texts are cut at white space, which no word spans; what stands between is looked up
+whole, and cut into words only where it has not been seen before. The words that are new
+lie in one flat array of symbol ids. A round takes each word's lowest rank and merges all
+its places at once; ranks come from a binary search over the sorted pair keys, for all
+pairs at first and then for those that a merge has changed. The rounds end when no word
+has a pair left. Texts are then put together from what was looked up.
 
 A very long word would need a round over all of it for every rank in it, so its rounds
 look only at the places of the rank that is next: symbols are linked, places wait by rank.
@@ -20,18 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from tabulith.llm.common import map_arrow, strings
 
-#: Most words that a Python worker remembers; when full it starts afresh.
+#: Most words that a Python worker remembers, half of them as last used before the other half began.
 CACHED = 300_000
 #: Characters of a word whose rounds look only at the places that they merge, and of the longest word that is remembered.
 LONG, REMEMBERED = 500, 64
 #: Characters of text handled at once.
 CHUNK = 2_000_000
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_FAR_WHITE = "\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WHITE = f"\\t-\\r {_FAR_WHITE}"
 _NONE = np.iinfo(np.int64).max
 
 
@@ -68,7 +72,7 @@ class WordBpe:
         vocab: dict[str, int] = model["vocab"]
         suffix = model["end_of_word_suffix"] or ""
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", _WHITE))
-        self.white = regex.compile(f"[{_WHITE}]+")
+        self.white = regex.compile(f"[{_FAR_WHITE}]")
         alphabet = _byte_letters()
         self.inner = np.array([vocab[c] for c in alphabet], np.int64)
         self.final = np.array([vocab[c + suffix] for c in alphabet], np.int64)
@@ -91,27 +95,36 @@ class WordBpe:
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.names = [self.token.get(i, "") for i in range(max(self.token) + 1)]
+        self.decimals = list(map(str, range(len(self.names))))
+        #: Ids, and decoded text, of what has been seen, and of what was seen before that; no tuples, which the garbage collector would visit.
+        self.known: dict[str, str] = {}
+        self.shown: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+        #: Special tokens as texts show them, and nothing, which is all that an empty text has.
+        self.marks = {t.upper(): t for t in special}
+        if any(t.upper() == t.lower() or t.split() != [t] for t in special):
+            raise ValueError("a special token that can't be told from text")
 
     def normalise(self, text: str) -> str:
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
-        # character by character: a capital sigma at a word's end has no form of its own
-        return text.replace("Σ", "σ").lower()
-
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text and the special tokens in it, in order (specials after a NUL mark)."""
-        if not any(s in text for s in self.special):
-            return self.words.findall(self.normalise(text))
-        found: list[str] = []
-        for k, part in enumerate(self.cut.split(text)):
-            if k % 2:
-                found.append("\0" + part)
-            elif part:
-                found.extend(self.words.findall(self.normalise(part)))
-        return found
-
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
+        """Lower case, with no white space but that of ASCII where it can be elsewhere."""
+        if not text.isascii():
+            # character by character: a capital sigma at a word's end has no form of its own
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.white.search(text):
+                text = self.white.sub(" ", text)
+        return text.lower()
+
+    def prepare(self, text: str) -> str:
+        """The normalised text; special tokens stand in upper case, as nothing else does, between spaces."""
+        if any(s in text for s in self.special):
+            text = " ".join(part.upper() if k % 2 else self.normalise(part) for k, part in enumerate(self.cut.split(text)))
+        else:
+            text = self.normalise(text)
+        return text.strip(" \t\n\v\f\r")
+
+    def merge(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """The ids of each word, and its symbols, joined by spaces."""
         raw = [w.encode("utf-8") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -119,36 +132,40 @@ class WordBpe:
         ids = self.inner[flat]
         ids[ends - 1] = self.final[flat[ends - 1]]
         owner = np.repeat(np.arange(len(raw)), sizes)
+        # the rank of each symbol with the one after it
+        rank = np.append(self._ranks(ids[:-1], ids[1:]), _NONE)
+        rank[ends - 1] = _NONE
         done_ids, done_owner = [], []
-        while len(ids) > 1:
-            pair = ids[:-1] * self.base + ids[1:]
-            place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            hit = (self.keys[place] == pair) & (owner[:-1] == owner[1:])
-            rank = np.where(hit, self.ranks[place], _NONE)
+        while len(ids):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(np.r_[rank, _NONE], starts)
             counts = np.diff(np.r_[starts, len(ids)])
-            lowest = np.repeat(best, counts)
-            at = np.flatnonzero((rank != _NONE) & (rank == lowest[:-1]))
-            if len(at) > 1 and (np.diff(at) == 1).any():
-                # in a run of overlapping places every second one is taken, from the left
-                run_start = np.r_[True, np.diff(at) != 1]
-                first = np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), counts)
             live = lowest != _NONE
             if not live.all():
                 done_ids.append(ids[~live])
                 done_owner.append(owner[~live])
-            if not len(at):
-                ids, owner = ids[live], owner[live]
-                break
+                ids, owner, rank, lowest = ids[live], owner[live], rank[live], lowest[live]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == lowest)
+            if (follows := np.diff(at) == 1).any():
+                # in a run of overlapping places every second one is taken, from the left
+                first = np.maximum.accumulate(np.where(np.r_[True, ~follows], np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
             ids[at] = self.made[rank[at]]
-            live[at + 1] = False
-            ids, owner = ids[live], owner[live]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, owner, rank = ids[stays], owner[stays], rank[stays]
+            at -= np.arange(len(at))
+            changed = np.r_[at - (at > 0), at]
+            after = np.minimum(changed + 1, len(ids) - 1)
+            rank[changed] = np.where((owner[changed] == owner[after]) & (changed < after), self._ranks(ids[changed], ids[after]), _NONE)
         all_ids, all_owner = np.concatenate([*done_ids, ids]), np.concatenate([*done_owner, owner])
         order = np.argsort(all_owner, kind="stable")
-        bounds = np.searchsorted(all_owner[order], np.arange(1, len(raw)))
-        return [x.tolist() for x in np.split(all_ids[order], bounds)]
+        bounds = np.searchsorted(all_owner[order], np.arange(len(raw) + 1)).tolist()
+        found = all_ids[order].tolist()
+        decimals, names = list(map(self.decimals.__getitem__, found)), list(map(self.names.__getitem__, found))
+        return [" ".join(decimals[i:j]) for i, j in zip(bounds, bounds[1:])], [" ".join(names[i:j]) for i, j in zip(bounds, bounds[1:])]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of every pair of symbols, _NONE where they don't merge."""
@@ -204,31 +221,64 @@ class WordBpe:
         """The tokens of ``ids`` joined by spaces: these files name no decoder."""
         return " ".join(map(self.token.__getitem__, ids))
 
-    def _learn(self, pieces: Iterable[str]) -> list[str]:
-        """Makes all pieces known; those of them that are too long to be remembered."""
-        new = sorted(p for p in pieces if p not in self.known)
-        plain = [p for p in new if p[0] != "\0" or p[1:] not in self.special]
-        short = [p for p in plain if len(p) <= LONG]
-        for word, ids in [*zip(short, self.merge(short) if short else []), *((p, self.merge_long(p)) for p in plain if len(p) > LONG)]:
-            self.known[word] = len(ids), " ".join(map(str, ids)), self.decode(ids)
-        for mark in set(new).difference(plain):
-            token = self.special[mark[1:]]
-            self.known[mark] = 1, str(token), self.token[token]
-        return [p for p in plain if len(p) > REMEMBERED]
+    def _recall(self, runs: set[str]) -> None:
+        """Takes out of ``runs`` what is known, or was."""
+        runs.difference_update(self.known)
+        known, shown = self.older
+        for run in runs.intersection(known):
+            self.known[run], self.shown[run] = known[run], shown[run]
+            runs.remove(run)
+
+    def _learn(self, runs: set[str]) -> list[str]:
+        """Makes all runs known; those of them, and of their words, that are too long to be remembered."""
+        cut: list[tuple[str, list[str]]] = []
+        words: set[str] = set()
+        self._recall(runs)
+        for run in runs:
+            if run.isascii() and run.isalpha():
+                words.add(run)
+            elif run in self.marks:
+                self.known[run], self.shown[run] = str(self.special[self.marks[run]]), self.marks[run]
+            else:
+                cut.append((run, self.words.findall(run)))
+                words.update(cut[-1][1])
+        self._recall(words)
+        short = [w for w in words if len(w) <= LONG]
+        if short:
+            ids, decoded = self.merge(short)
+            self.known.update(zip(short, ids))
+            self.shown.update(zip(short, decoded))
+        for word in words:
+            if len(word) > LONG:
+                found = self.merge_long(word)
+                self.known[word], self.shown[word] = " ".join(map(self.decimals.__getitem__, found)), self.decode(found)
+        for run, parts in cut:
+            if len(parts) != 1:
+                self.known[run], self.shown[run] = " ".join(map(self.known.__getitem__, parts)), " ".join(map(self.shown.__getitem__, parts))
+        return [p for p in words.union(runs) if len(p) > REMEMBERED]
+
+    def encode_columns(self, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """For each text: the number of ids, the ids as decimals joined by spaces, the decoded text."""
+        if 2 * len(self.known) > CACHED:
+            self.known, self.shown, self.older = {}, {}, (self.known, self.shown)
+        whole = pa.array(list(map(self.prepare, texts)), pa.large_string())
+        # a mark after a letter, at a run's end, is a word of its own in any case: so "end," needs no look of its own
+        whole = pc.replace_substring_regex(whole, r"([a-z])([.,;:!?])([ \t-\r]|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(whole)
+        runs = split.values.dictionary_encode()
+        distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        long = self._learn(set(distinct))
+        found = [list(map(of.__getitem__, distinct)) for of in (self.known, self.shown)]
+        for run in long:
+            del self.known[run], self.shown[run]
+        ids, decoded = (
+            pc.binary_join(type(split).from_arrays(split.offsets, pa.array(x, pa.large_string()).take(runs.indices)), pa.scalar(" ", pa.large_string())) for x in found
+        )
+        return pc.if_else(pc.equal(ids, ""), 0, pc.add(pc.count_substring(ids, " "), 1)).cast(pa.int64()), ids, decoded
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """For each text: the number of ids, the ids as decimals joined by spaces, the decoded text."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        split = [self.pieces(t) for t in texts]
-        long = self._learn(set().union(*split))
-        try:
-            for pieces in split:
-                found = [self.known[p] for p in pieces]
-                yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
-        finally:
-            for piece in long:
-                del self.known[piece]
+        """encode_columns() by text."""
+        return zip(*(column.to_pylist() for column in self.encode_columns(texts)))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in next(self.encode_batch([text]))[1].split()]
@@ -254,6 +304,13 @@ def chunks(texts: Iterable[str], most: int = CHUNK) -> Iterator[list[str]]:
         yield part
 
 
+def ids_of(counts: pa.Array, ids: pa.Array) -> pa.Array:
+    """Ids as encode_columns() gives them, as lists of numbers."""
+    ends = np.cumsum(np.r_[0, counts.to_numpy()])
+    values = pc.split_pattern(ids, " ").values
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.filter(pc.not_equal(values, "")).cast(pa.int32()))
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, the SHA-256 of ids and decoded text of every row, and with
     ``with_ids`` the ids (array<int>) and the decoded text themselves.
@@ -267,15 +324,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True
         for batch in batches:
             at = 0
             for texts in chunks(strings(batch.column("text"))):
-                made = list(bpe.encode_batch(texts))
+                counts, ids, decoded = bpe.encode_columns(texts)
                 columns = [
                     batch.column("doc_id").slice(at, len(texts)),
-                    pa.array([m[0] for m in made], pa.int64()),
-                    pa.array([hashlib.sha256(m[1].encode()).hexdigest() for m in made], pa.string()),
-                    pa.array([hashlib.sha256(m[2].encode()).hexdigest() for m in made], pa.string()),
+                    counts,
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids.cast(pa.large_binary()).to_pylist()], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded.cast(pa.large_binary()).to_pylist()], pa.string()),
                 ]
                 if with_ids:
-                    columns += [pa.array([[int(x) for x in m[1].split()] for m in made], pa.list_(pa.int32())), pa.array([m[2] for m in made], pa.string())]
+                    columns += [ids_of(counts, ids), decoded.cast(pa.string())]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names)
 

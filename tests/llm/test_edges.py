@@ -6,6 +6,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,26 @@ def test_long_words(monkeypatch):
     assert all(same("".join(random.choice(letters) for _ in range(random.randrange(1, 50)))) for letters in ("aab", "aestlr", "éaß ") for _ in range(300))
 
 
+def test_bpe_work_does_not_grow_with_rounds_or_repeats(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.WordBpe(path)
+    random.seed(4)
+    words = ["".join(random.choice("aeorstinl") for _ in range(random.randrange(1, 30))) for _ in range(3000)]
+    text = " ".join(words) + ",\x1c .\u2003x\x85<|ENDOFTEXT|> \0<|endoftext|> a.\u0301 'S R' ;! ."
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda keys, pairs, *rest: (keys is own.keys and asked.append(len(pairs))) or search(keys, pairs, *rest))
+    first = list(own.encode_batch([text, "", " \t"]))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert first == [(len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False)), (0, "", ""), (0, "", "")]
+    # every pair is looked up once, and two for each merge: not all of them in each round
+    assert sum(asked) <= 3 * len(text.encode())
+    # what has been seen is neither cut nor merged again, not even when the worker remembers no more
+    monkeypatch.setattr(bpe, "CACHED", 1)
+    own.words = None
+    assert list(own.encode_batch([text, "", " \t"])) == first
+
+
 HOSTILE = {
     "quotes": '<a "' * 250_000, "tags": "<b>" * 150_000 + "</i>" * 150_000, "scopes": "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000,
     "paragraphs": "<b>" * 100_000 + "<p></p>" * 100_000, "pairs": '<a " > " ' * 100_000 + "'", "comments": "<!--" * 200_000, "deep": "<div>" * 150_000 + "x" + "</p>" * 100_000,
