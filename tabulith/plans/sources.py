@@ -11,9 +11,11 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith import schemas
+from tabulith.operators.tasks import TASK_BYTES, spread, tasks_for
 from tabulith.registry import register, table
 from tabulith.sources import archives, readers, sinks
 
@@ -28,11 +30,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{base}/tabulith-{uuid.uuid4().hex}"
 
 
-def _as_files(rows: DataFrame, path: str, suffix: str = "json", parts: int = 8) -> None:
-    """One text file for every part: the ``line``s of it as a JSON array."""
-    part = F.pmod(F.xxhash64("line"), F.lit(parts)).alias("part")
-    whole = rows.select(part, "line").groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("value"))
-    whole.repartition("part").write.partitionBy("part").text(path)
+def _as_files(rows: DataFrame, path: str, parts: int) -> None:
+    """Text files, each the ``line``s of one of ``parts`` parts as a JSON array; lines go to the file one by one."""
+    at = W.partitionBy("part").orderBy("part")
+    first, last = F.row_number().over(at) == 1, F.lead("line").over(at).isNull()
+    parted = rows.select(F.pmod(F.xxhash64("line"), F.lit(parts)).alias("part"), "line").repartition(parts, "part")
+    whole = parted.select("part", F.concat(F.when(first, "[").otherwise(""), "line", F.when(last, "]").otherwise(",")).alias("value"))
+    whole.write.partitionBy("part").text(path)
 
 
 def _local(files: dict[str, str | bytes]) -> str:
@@ -77,11 +81,12 @@ def sc3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(
         F.concat(F.lit("t"), "l_returnflag").alias("task"), F.concat(F.lit("d"), "l_linestatus").alias("dataset"), F.lit("m").alias("metric"), F.col("l_quantity").cast("long").cast("string").alias("value"),
         text("l_partkey").alias("model"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 3).alias("column"))
-    by_table = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("index")).agg(F.collect_list(record).alias("records"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+    by_table = spread(lines, "l_orderkey").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("index")).agg(F.collect_list(record).alias("records"))
     papers = by_table.groupBy("l_orderkey").agg(F.collect_list(F.struct("index", F.lit(True).alias("leaderboard"), "records")).alias("tables"))
     lone = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_name").alias("arxiv_id"), F.array().cast(papers.schema["tables"].dataType).alias("tables"))
     path = _folder(spark)
-    _as_files(papers.select(text("l_orderkey").alias("arxiv_id"), "tables").unionByName(lone).select(F.to_json(F.struct("arxiv_id", "tables")).alias("line")), path)
+    _as_files(papers.select(text("l_orderkey").alias("arxiv_id"), "tables").unionByName(lone).select(F.to_json(F.struct("arxiv_id", "tables")).alias("line")), path, max(8, tasks_for(lines, TASK_BYTES // 4)))
     return readers.annotation_records(readers.read_annotations(spark, path))
 
 
@@ -175,7 +180,7 @@ def sc11_json_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC11: events as caches of records in JSON."""
     rows = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("paper"), (F.col("event_id") % 100).alias("n"))).alias("line"))
     path = _folder(spark)
-    _as_files(rows, path)
+    _as_files(rows, path, max(8, tasks_for(rows)))
     return readers.read_json_cache(spark, path, "paper string, n int").select("paper", "n")
 
 
