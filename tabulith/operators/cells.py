@@ -110,37 +110,80 @@ def neighbourhoods(cells: DataFrame, keys: list[str], value: str = "value") -> D
     return rows.withColumn("box", box).withColumn("own", F.array(value))
 
 
+CONTEXTS = ("box", "row_context", "col_context", "own")
+
+
+def _two_tags(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The (keys, value) of tagged cells that have several tags: only there a context can say more than the value does.
+
+    Cells of equal contexts are of equal value. So where a value has one tag in a table each
+    of its contexts has that tag or none, and a value that isn't there has no context either.
+    """
+    return rows.groupBy(*keys, "value").agg(F.min("tag").alias("_low"), F.max("tag").alias("_high")).where("_low <> _high").select(*keys, "value")
+
+
+def _any(rows: DataFrame) -> bool:
+    return rows.limit(1).count() > 0
+
+
 def transfer(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """TB26, TB27: the tags of ``old`` cells (value, tag) for ``new`` ones (value): of the contexts box, row,
-    column and cell the first that has a single tag in the old table; else 'reannotate'."""
-    known, asked = neighbourhoods(old, keys), neighbourhoods(new, keys)
-    contexts = ("box", "row_context", "col_context", "own")
+    column and cell the first that has a single tag in the old table; else 'reannotate'.
+
+    Both stand together in windows of one table. Contexts are only made if some value has several tags.
+    """
+    told, asked = old.select(*keys, "row", "col", "value", "tag"), new.select(*keys, "row", "col", "value", F.lit(None).cast(old.schema["tag"].dataType).alias("tag"))
+    contexts = CONTEXTS if _any(_two_tags(told, keys)) else ("value",)
+    if len(contexts) > 1:
+        told, asked = neighbourhoods(told, keys), neighbourhoods(asked, keys)
+    both = told.withColumn("_new", F.lit(False)).unionByName(asked.withColumn("_new", F.lit(True)))
     for c in contexts:
-        tags = known.groupBy(*keys, c).agg(F.collect_set("tag").alias("_tags"))
-        single = tags.where(F.size("_tags") == 1).select(*keys, c, F.col("_tags")[0].alias(f"_{c}"))
-        asked = asked.join(single, [*keys, c], "left")
+        among = W.partitionBy(*keys, c)
+        low, high = F.min("tag").over(among), F.max("tag").over(among)
+        both = both.withColumn(f"_{c}", F.when(low == high, low))
+        # a context that has been asked goes no further
+        both = both.drop(c) if c != "value" else both
     found = F.coalesce(*[F.col(f"_{c}") for c in contexts])
-    return asked.select(*keys, "row", "col", "value", F.coalesce(found, F.lit(REANNOTATE)).alias("tag"), found.isNotNull().alias("matched"))
+    return both.where("_new").select(*keys, "row", "col", "value", F.coalesce(found, F.lit(REANNOTATE)).alias("tag"), found.isNotNull().alias("matched"))
 
 
 def match_tables(old: DataFrame, new: DataFrame, paper: str = "paper_id") -> DataFrame:
     """TB28: for every new table of a paper the old one that explains most of its cells, if more than half.
 
     Cells are matched by their contexts as in transfer(), for all pairs of tables of one
-    paper at once; of equals the old table with the smaller name wins.
+    paper at once; of equals the old table with the smaller name wins. Pairs are counted by
+    the values that both tables have, and by contexts only for values of several tags in an old table.
     """
-    keys = [paper, "table_name"]
-    known = neighbourhoods(old, keys).withColumnRenamed("table_name", "old_name")
-    asked = neighbourhoods(new, keys)
-    contexts = ("box", "row_context", "col_context", "own")
+    keys, old_keys = [paper, "table_name"], [paper, "old_name"]
+    known = old.select(paper, F.col("table_name").alias("old_name"), "row", "col", "value", "tag")
+    # a null among values is one like others
+    own = F.array("value").alias("own")
+    told = known.groupBy(*old_keys, own).agg(F.min("tag").alias("_low"), F.max("tag").alias("_high")).where("_low = _high")
+    held = told.groupBy(paper, "own").agg(F.collect_list("old_name").alias("names")).groupBy(paper).agg(F.map_from_entries(F.collect_list(F.struct("own", "names"))).alias("held"))
+    counted = new.groupBy(*keys, own).agg(F.count(F.lit(1)).alias("n"))
+    asked = counted.groupBy(*keys).agg(F.sum("n").alias("size"), F.collect_list(F.struct("own", "n")).alias("asked"))
+    each = asked.join(held, paper).select(*keys, "size", F.explode("asked").alias("a"), "held").select(*keys, "size", F.explode(F.try_element_at("held", F.col("a.own"))).alias("old_name"), F.col("a.n").alias("n"))
+    several = _two_tags(known, old_keys)
+    if _any(several):
+        more = _context_hits(known, new, several, paper).groupBy(*keys, "old_name").agg(F.count(F.lit(1)).alias("n"))
+        each = each.unionByName(more.join(asked.select(*keys, "size"), keys))
+    hits = each.groupBy(*keys, "size", "old_name").agg(F.sum("n").alias("hits")).where(F.col("hits") > F.col("size") / 2)
+    best = W.partitionBy(*keys).orderBy(F.desc("hits"), "old_name")
+    return hits.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").select(*keys, "old_name", "hits")
+
+
+def _context_hits(known: DataFrame, new: DataFrame, several: DataFrame, paper: str) -> DataFrame:
+    """(paper, table_name, old_name, row, col) of new cells with a context of a single tag in an old table where their value has several."""
+    keys, old_keys = [paper, "table_name"], [paper, "old_name"]
+    # the value is in the middle of the context of its row
+    value = F.col("row_context")[1]
+    told = neighbourhoods(known, old_keys).withColumn("_own", F.array(value)).join(several.select(*old_keys, F.array("value").alias("_own")), [*old_keys, "_own"], "left_semi")
+    asked = neighbourhoods(new.select(*keys, "row", "col", "value"), keys)
     hits = []
-    for c in contexts:
-        single = known.groupBy(paper, "old_name", c).agg(F.count_distinct("tag").alias("_n")).where("_n = 1").drop("_n")
-        hits.append(asked.join(single, [paper, c]).select(paper, "table_name", "old_name", "row", "col"))
-    per_pair = reduce(DataFrame.union, hits).distinct().groupBy(paper, "table_name", "old_name").agg(F.count(F.lit(1)).alias("hits"))
-    sizes = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    best = per_pair.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("hits"), "old_name"))).where("_nth = 1")
-    return best.join(sizes, keys).where(F.col("hits") > F.col("size") / 2).select(paper, "table_name", "old_name", "hits")
+    for c in CONTEXTS[:-1]:
+        single = told.groupBy(*old_keys, c).agg(F.min("tag").alias("_low"), F.max("tag").alias("_high")).where("_low = _high").drop("_low", "_high")
+        hits.append(asked.join(single, [paper, c]).select(*keys, "old_name", "row", "col"))
+    return reduce(DataFrame.union, hits).distinct()
 
 
 def match_by_caption(old: DataFrame, new: DataFrame, paper: str = "paper_id") -> DataFrame:

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 
 from tabulith.operators import cells as c
 from tabulith.operators import lookups
+from tabulith.operators.tasks import spread
 from tabulith.registry import register, table
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as tables: a line item a row, three of its attributes the columns."""
-    lines = table(spark, sf_dir, "lineitem")
-    rows = lines.withColumn("row", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1)
+def _grid(spark: SparkSession, sf_dir: str, paper: bool = False) -> DataFrame:
+    """Orders as tables: a line item a row, three of its attributes the columns. All lines of one (with ``paper``: of forty) are in one task."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    keys = ["l_orderkey"]
+    if paper:
+        lines, keys = lines.withColumn("paper_id", (F.col("l_orderkey") / 40).cast("long")), ["paper_id", "l_orderkey"]
+    rows = spread(lines, keys[0]).withColumn("row", F.row_number().over(W.partitionBy(*keys).orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1)
     values = F.array("l_returnflag", "l_linestatus", F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")))
-    return rows.select("l_orderkey", "row", F.posexplode(values).alias("col", "value"))
+    return rows.select(*keys, "row", F.posexplode(values).alias("col", "value"))
 
 
 _GRID = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS r FROM lineitem),
@@ -99,7 +103,7 @@ def tb27_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tb28_match_tables")
 def tb28_match_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TB28: tables of one paper matched to an earlier version by content."""
-    rows = _tagged(_grid(spark, sf_dir)).withColumn("paper_id", (F.col("l_orderkey") / 40).cast("long")).withColumn("table_name", F.col("l_orderkey").cast("string"))
+    rows = _tagged(_grid(spark, sf_dir, paper=True)).withColumn("table_name", F.col("l_orderkey").cast("string"))
     return c.match_tables(rows, rows.withColumn("table_name", F.concat(F.lit("new"), "table_name")))
 
 
