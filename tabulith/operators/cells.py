@@ -9,17 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions import text as t
+from tabulith.operators.tasks import TASK_BYTES, spread
 
 REANNOTATE = "reannotate"
 
 
+def _without_blank(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Cells of rows and columns that aren't blank, with their new numbers as _r and _c.
+
+    A row that stays has a column that stays, so rows are numbered before columns go. Windows
+    follow each other in the order in which they can share a sort.
+    """
+    some, table = (F.trim(value) != "").cast("int"), W.partitionBy(*keys)
+    rows = cells.withColumn("_some", F.max(some).over(W.partitionBy(*keys, "row"))).where("_some = 1").withColumn("_r", F.dense_rank().over(table.orderBy("row")) - 1)
+    down = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.withColumn("_some", F.max(some).over(down)).where("_some = 1").drop("_some").withColumn("_c", F.dense_rank().over(table.orderBy("col")) - 1)
+
+
+def _numbered(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("row", F.col("_r")).withColumn("col", F.col("_c")).drop("_r", "_c")
+
+
 def drop_blank(cells: DataFrame, keys: list[str], value: str = "raw_value") -> DataFrame:
     """TB17, TB18: without blank rows, then without blank columns; the rest numbered anew. A table of blanks vanishes."""
-    some = (F.trim(value) != "").cast("int")
-    rows = cells.withColumn("_some", F.max(some).over(W.partitionBy(*keys, "row"))).where("_some = 1")
-    cols = rows.withColumn("_some", F.max(some).over(W.partitionBy(*keys, "col"))).where("_some = 1").drop("_some")
-    row, col = F.dense_rank().over(W.partitionBy(*keys).orderBy("row")), F.dense_rank().over(W.partitionBy(*keys).orderBy("col"))
-    return cols.withColumn("_r", row - 1).withColumn("_c", col - 1).withColumn("row", F.col("_r")).withColumn("col", F.col("_c")).drop("_r", "_c")
+    return _numbered(_without_blank(cells, keys, value))
 
 
 def label_spans(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,17 +50,17 @@ def label_spans(cells: DataFrame, keys: list[str]) -> DataFrame:
         left = F.aggregate(ordered, F.lit(0), lambda a, x: F.when(a <= 1, x).otherwise(a - 1))
         return left
 
-    out = cells.withColumn("_c", place("colspan", "col", "row")).withColumn("_r", place("rowspan", "row", "col"))
+    out = cells.withColumn("_tall", place("rowspan", "row", "col")).withColumn("_wide", place("colspan", "col", "row"))
     wide, tall = F.col("colspan") > 1, F.col("rowspan") > 1
-    c = F.when(wide & (F.col("_c") == 1), "ce").when(wide & (F.col("_c") == F.col("colspan")), "cb").when(wide, "ci")
-    r = F.when(tall & (F.col("_r") == 1), "re").when(tall & (F.col("_r") == F.col("rowspan")), "rb").when(tall, "ri")
+    c = F.when(wide & (F.col("_wide") == 1), "ce").when(wide & (F.col("_wide") == F.col("colspan")), "cb").when(wide, "ci")
+    r = F.when(tall & (F.col("_tall") == 1), "re").when(tall & (F.col("_tall") == F.col("rowspan")), "rb").when(tall, "ri")
     out = out.withColumn("span", F.array_compact(F.array(c, r)))
 
     def gone(code: str, names: list[str]) -> Column:
         return F.when(F.exists("span", lambda s: s.isin(*code.split())), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
 
     inner = F.concat(gone("ce ci", ["l", "ll"]), gone("cb ci", ["r", "rr"]), gone("re ri", ["t", "tt"]), gone("rb ri", ["b", "bb"]))
-    return out.withColumn("borders", F.array_except("borders", inner)).drop("_c", "_r")
+    return out.withColumn("borders", F.array_except("borders", inner)).drop("_wide", "_tall")
 
 
 def layout_text(borders: Column, align: Column, span: Column, header: Column) -> Column:
@@ -74,12 +87,14 @@ def parse_layout(encoded: Column) -> Column:
 
 
 def build(raw: DataFrame, keys: list[str]) -> DataFrame:
-    """TB1 after parsing: cells of kept tables with table_name, value, refs and layout."""
-    spanned = label_spans(drop_blank(raw, [*keys, "table_index"]), [*keys, "table_index"])
+    """TB1 after parsing: cells of kept tables with table_name, value, refs and layout. The cells of a paper are in one task."""
+    tables = [*keys, "table_index"]
+    # spans need the order of rows and columns, not their numbers
+    spanned = label_spans(_without_blank(spread(raw, *keys, each=TASK_BYTES // 2), tables, "raw_value"), tables)
     number = F.dense_rank().over(W.partitionBy(*keys).orderBy("table_index"))
     cleaned = t.clear_styles(F.col("raw_value"))
     return spanned.select(
-        *keys, F.format_string("table_%02d", number).alias("table_name"), "caption", "figure_id", "row", "col", cleaned.alias("raw_value"),
+        *keys, F.format_string("table_%02d", number).alias("table_name"), "caption", "figure_id", F.col("_r").alias("row"), F.col("_c").alias("col"), cleaned.alias("raw_value"),
         t.cell_value(cleaned).alias("value"), t.references_in(cleaned).alias("refs"), layout_text(F.col("borders"), F.col("align"), F.col("span"), F.col("header")).alias("layout"))
 
 
@@ -162,7 +177,8 @@ def match_tables(old: DataFrame, new: DataFrame, paper: str = "paper_id") -> Dat
     held = told.groupBy(paper, "own").agg(F.collect_list("old_name").alias("names")).groupBy(paper).agg(F.map_from_entries(F.collect_list(F.struct("own", "names"))).alias("held"))
     counted = new.groupBy(*keys, own).agg(F.count(F.lit(1)).alias("n"))
     asked = counted.groupBy(*keys).agg(F.sum("n").alias("size"), F.collect_list(F.struct("own", "n")).alias("asked"))
-    each = asked.join(held, paper).select(*keys, "size", F.explode("asked").alias("a"), "held").select(*keys, "size", F.explode(F.try_element_at("held", F.col("a.own"))).alias("old_name"), F.col("a.n").alias("n"))
+    # both are where their paper is
+    each = asked.join(held.hint("merge"), paper).select(*keys, "size", F.explode("asked").alias("a"), "held").select(*keys, "size", F.explode(F.try_element_at("held", F.col("a.own"))).alias("old_name"), F.col("a.n").alias("n"))
     several = _two_tags(known, old_keys)
     if _any(several):
         more = _context_hits(known, new, several, paper).groupBy(*keys, "old_name").agg(F.count(F.lit(1)).alias("n"))
