@@ -127,7 +127,7 @@ def test_plain_pages_are_read_as_others(page):
     assert html._plain(fragments.FIXTURE, html._Tree())
 
 
-PAGES = ["tb1_html_tables", "tb11_grid", "tx14_toc", "tb2_markup"]
+PAGES = ["tb1_html_tables", "tb11_grid", "tx14_toc", "tb2_markup", "tx13_sections"]
 
 
 @pytest.mark.parametrize("name", PAGES)
