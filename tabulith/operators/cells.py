@@ -220,16 +220,19 @@ def row_contexts(cells: DataFrame, keys: list[str], value: str = "value") -> Dat
     return cells.join(joined("row", "col", "row_context"), [*keys, "row"]).join(joined("col", "row", "col_context"), [*keys, "col"])
 
 
-def preceding_tags(cells: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """For every cell the tagged values left of it in its row, then above it in its column.
+def preceding_tags(cells: DataFrame, keys: list[str], *kinds: str) -> DataFrame:
+    """For every cell and each of ``kinds`` the tagged values left of it in its row, then above it in its column.
 
-    A tag counts if it contains ``kind``. Tables are bounded in size, and each window holds
+    A tag counts if it contains the kind. Tables are bounded in size, and each window holds
     one row or column of one.
     """
-    found = F.when(F.col("tag").contains(kind), F.struct("tag", "value"))
     left = W.partitionBy(*keys, "row").orderBy("col").rowsBetween(W.unboundedPreceding, -1)
     above = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
-    return cells.withColumn(f"{kind}_values", F.concat(F.collect_list(found).over(left), F.collect_list(found).over(above)))
+    found = {kind: F.collect_list(F.when(F.col("tag").contains(kind), F.struct("tag", "value"))) for kind in kinds}
+    # one sort for all kinds
+    across = cells.select("*", *[values.over(left).alias(f"_{kind}_left") for kind, values in found.items()])
+    both = across.select("*", *[values.over(above).alias(f"_{kind}_above") for kind, values in found.items()])
+    return both.select(*cells.columns, *[F.concat(f"_{kind}_left", f"_{kind}_above").alias(f"{kind}_values") for kind in kinds])
 
 
 def unique_model(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -56,16 +56,20 @@ def with_directions(rows: DataFrame, info: DataFrame | None) -> DataFrame:
 
 
 def by_best_result(info: DataFrame | None = None, context: str = "paper") -> Filter:
-    """Of a paper's (or table's) own results on a leaderboard only the best stays, the first of equals."""
+    """Of a paper's (or table's) own results on a leaderboard only the best stays, the first of equals.
+
+    Rows that have their paper_id need not move if those of a paper are together.
+    """
 
     def run(rows: DataFrame) -> DataFrame:
         parts = F.split("cell_ext_id", "/")
-        place = parts[0] if context == "paper" else F.concat_ws("/", parts[0], parts[1])
+        own = "paper_id" in rows.columns
+        place = (F.col("paper_id") if own else parts[0]) if context == "paper" else F.concat_ws("/", parts[0], parts[1])
         marked = with_directions(rows, info).withColumn("_open", F.col("reason").isNull())
         marked = marked.withColumn("_runs", F.col("_open") & (F.col("model_type") == "model-best") & F.col("parsed").isNotNull() & ~F.isnan("parsed"))
         # rows that take no part get a group of their own, so that they don't gather in one task
         lone = F.when(~F.col("_runs"), F.col("cell_ext_id"))
-        order = W.partitionBy("task", "dataset", "metric", place, lone).orderBy((F.col("direction") * F.col("parsed")).desc(), "cell_ext_id")
+        order = W.partitionBy(place, "task", "dataset", "metric", lone).orderBy((F.col("direction") * F.col("parsed")).desc(), "cell_ext_id")
         best = marked.withColumn("_best", F.first("cell_ext_id").over(order))
         lost = F.concat(F.lit("replaced by "), F.col("_best"))
         reason = (

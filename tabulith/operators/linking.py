@@ -197,15 +197,16 @@ def cell_proposals(cells: DataFrame, keys: list[str]) -> DataFrame:
     from tabulith.functions.text import is_number_cell
     from tabulith.operators.cells import preceding_tags
 
-    tagged = preceding_tags(preceding_tags(cells, keys, "model"), keys, "dataset")
+    tagged = preceding_tags(cells, keys, "model", "dataset")
     return tagged.where((F.col("tag") == "") & is_number_cell(F.col("value")))
 
 
-def proposal_rows(proposals: DataFrame, links: DataFrame, metric_info: DataFrame) -> DataFrame:
+def proposal_rows(proposals: DataFrame, links: DataFrame, metric_info: DataFrame, by: str = "cell_ext_id", *also: str) -> DataFrame:
     """LK13: linked proposals with their value in the metric's range.
 
-    ``links`` have (cell_ext_id, task, dataset, metric, true_metric, confidence);
-    ``metric_info`` (metric, range). A metric that is not the true one is its complement.
+    ``links`` have (cell_ext_id, task, dataset, metric, true_metric, confidence), or ``by``, a
+    column of the proposals, in place of cell_ext_id; ``metric_info`` (metric, range). A metric
+    that is not the true one is its complement. ``also`` are columns of the proposals to keep.
     """
     from tabulith.functions.values import convert_metric
 
@@ -213,13 +214,13 @@ def proposal_rows(proposals: DataFrame, links: DataFrame, metric_info: DataFrame
     kinds = F.transform("model_values", lambda v: v["tag"])
     kind = F.when(F.array_contains(kinds, "model-competing"), "model-competing").otherwise(F.coalesce(F.get(kinds, F.lit(0)), F.lit("")))
     data = F.array_join(F.transform("dataset_values", lambda v: v["value"]), " ")
-    rows = proposals.select("cell_ext_id", F.col("value").alias("raw_value"), model.alias("model"), kind.alias("struct_model_type"), data.alias("struct_dataset"))
+    rows = proposals.select(*dict.fromkeys(("cell_ext_id", by, *also)), F.col("value").alias("raw_value"), model.alias("model"), kind.alias("struct_model_type"), data.alias("struct_dataset"))
     info = metric_info.select(F.col("metric").alias("true_metric"), "range")
-    met = rows.join(links, "cell_ext_id").join(info, "true_metric", "left")
+    met = rows.join(links, by).join(info, "true_metric", "left")
     met = met.withColumn("_range", F.coalesce("range", F.lit(""))).withColumn("_flip", F.col("metric") != F.col("true_metric"))
     parsed = convert_metric(F.col("raw_value"), F.col("_range"), F.col("_flip")).cast("double")
     form = F.when(F.col("raw_value").contains("%"), "{x}%").otherwise("{x}")
-    return met.select("cell_ext_id", "task", "dataset", F.col("true_metric").alias("metric"), form.alias("format"), "raw_value", "model", F.col("struct_model_type").alias("model_type"), "confidence", parsed.alias("parsed"), "struct_model_type", "struct_dataset")
+    return met.select("cell_ext_id", *also, "task", "dataset", F.col("true_metric").alias("metric"), form.alias("format"), "raw_value", "model", F.col("struct_model_type").alias("model_type"), "confidence", parsed.alias("parsed"), "struct_model_type", "struct_dataset")
 
 
 def acronyms(texts: DataFrame) -> DataFrame:

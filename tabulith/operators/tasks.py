@@ -16,11 +16,12 @@ def tasks_for(rows: DataFrame, each: int = TASK_BYTES) -> int:
     return -(-size // each) if 0 < size < UNKNOWN else 1
 
 
-def spread(rows: DataFrame, *keys: str, each: int = TASK_BYTES) -> DataFrame:
+def spread(rows: DataFrame, *keys: str, each: int = TASK_BYTES, like: DataFrame | None = None) -> DataFrame:
     """The rows over as many tasks as they need, those of equal ``keys`` in one; what follows within such keys needs no other shuffle.
 
     A number that is asked for stays, whatever the session says of partitions and of merging
-    small ones. What fits one task is left as it is.
+    small ones. What fits one task is left as it is. With ``like`` there are as many tasks as
+    those rows need, so that both sides of a join on the keys are already together.
     """
-    n = tasks_for(rows, each)
+    n = tasks_for(rows if like is None else like, each)
     return rows if n == 1 else rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism), *keys)
