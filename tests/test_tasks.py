@@ -138,7 +138,7 @@ def test_papers_are_made_in_many_tasks(spark, name):
     assert plan.count("Exchange") == 1 + plan.count("Exchange hashpartitioning(paper_id") <= 2
 
 
-RESULTS = ["ud6_explanations"]
+RESULTS = ["ud6_explanations", "ud8_flagship"]
 
 
 @pytest.mark.parametrize("name", RESULTS)
