@@ -25,6 +25,8 @@ NOISE = {axis: tuple(pair[axis == "task"] for pair in CONTEXTS.values()) for axi
 INDEPENDENT = 0.79
 #: Characters of a dictionary's beginnings up to which it is broadcast.
 BROADCAST_CHARACTERS = 16_000_000
+#: Metrics with a range up to which they are broadcast.
+BROADCAST_METRICS = 100_000
 
 
 def evidence_names(names: DataFrame, axis: str, abbreviations: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
@@ -216,7 +218,9 @@ def proposal_rows(proposals: DataFrame, links: DataFrame, metric_info: DataFrame
     data = F.array_join(F.transform("dataset_values", lambda v: v["value"]), " ")
     rows = proposals.select(*dict.fromkeys(("cell_ext_id", by, *also)), F.col("value").alias("raw_value"), model.alias("model"), kind.alias("struct_model_type"), data.alias("struct_dataset"))
     info = metric_info.select(F.col("metric").alias("true_metric"), "range")
-    met = rows.join(links, by).join(info, "true_metric", "left")
+    # two metrics would be two tasks in a shuffle
+    small = metric_info.limit(BROADCAST_METRICS + 1).count() <= BROADCAST_METRICS
+    met = rows.join(links, by).join(F.broadcast(info) if small else info, "true_metric", "left")
     met = met.withColumn("_range", F.coalesce("range", F.lit(""))).withColumn("_flip", F.col("metric") != F.col("true_metric"))
     parsed = convert_metric(F.col("raw_value"), F.col("_range"), F.col("_flip")).cast("double")
     form = F.when(F.col("raw_value").contains("%"), "{x}%").otherwise("{x}")
