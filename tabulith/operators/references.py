@@ -7,9 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import title_key
+from tabulith.operators.tasks import spread
 
 #: Longest identifier of a reference.
 ID_LIMIT = 480
+#: Characters of known records up to which they are broadcast.
+BROADCAST_CHARACTERS = 16_000_000
+#: Bytes of strings that one task looks up: each string has dozens of leads.
+STRING_BYTES = 1 << 17
 
 
 def bibliography(fragments: DataFrame) -> DataFrame:
@@ -50,19 +55,22 @@ def lookup(strings: DataFrame, references: DataFrame) -> DataFrame:
 
     Candidates share the first three words of an identifier with the string, or all words of
     a shorter one, so that this is an equi-join; the substring test follows. Words are what
-    '-' parts, and also runs of letters and digits, as a title may end at a full stop.
+    '-' parts, and also runs of letters and digits, as a title may end at a full stop. Known
+    leads of up to BROADCAST_CHARACTERS go to the strings, so that a lead that all strings
+    share gathers nowhere; for more of them leads of strings are shuffled.
     """
     def kinds(key: str) -> list[Column]:
         return [F.split(key, "-"), F.array_remove(F.split(key, "[^a-z0-9]+"), "")]
 
-    asked = strings.select("ref_str", title_key(F.col("ref_str")).alias("key"))
+    asked = spread(strings.select("ref_str"), "ref_str", each=STRING_BYTES).select("ref_str", title_key(F.col("ref_str")).alias("key"))
     parted = asked.select("ref_str", "key", F.explode(F.array(*kinds("key"))).alias("w")).where(F.size("w") > 0)
     starts = parted.select("ref_str", "key", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
     sized = starts.select("ref_str", "key", "w", "i", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n"))
-    grams = sized.select("ref_str", "key", F.array_join(F.slice("w", F.col("i"), F.col("n")), "-").alias("lead")).distinct()
+    grams = sized.select("ref_str", "key", F.array_join(F.slice("w", F.col("i"), F.col("n")), "-").alias("lead"))
     leads = references.select("uid", F.explode(F.array(*kinds("uid"))).alias("w")).where(F.size("w") > 0)
     known = leads.select("uid", F.array_join(F.slice("w", 1, 3), "-").alias("lead")).distinct()
-    met = grams.join(known, "lead").where(F.col("key").contains(F.col("uid")))
+    small = (known.agg(F.sum(F.length("uid") + F.length("lead") + 16)).first()[0] or 0) <= BROADCAST_CHARACTERS
+    met = (grams.join(F.broadcast(known), "lead") if small else grams.distinct().join(known, "lead")).where(F.col("key").contains(F.col("uid")))
     return met.groupBy("ref_str").agg(F.max_by("uid", F.struct(F.length("uid"), "uid")).alias("uid"))
 
 
