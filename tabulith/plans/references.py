@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import text as t
 from tabulith.operators import references as r
+from tabulith.operators.tasks import spread
 from tabulith.registry import register, table
 
+#: Bytes of parts whose records one task reads.
+RECORD_BYTES = 1 << 15
 _PARTS = [(1, "Intro", "a"), (2, "xxanchor-bib X", "old"), (3, "Appendix", "b"), (4, "xxanchor-bib R", "xxanchor-bib1 A. Title one @. "), (5, "xxanchor-bib R", "xxanchor-bib xxanchor-bib2 B. Title @"), (6, "Notes", "n")]
 
 
@@ -56,7 +59,9 @@ def rf2_tei(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<biblStruct><analytic><title level="a">'), "p_type", F.lit("</title><author><persName><surname>"), "p_brand",
         F.lit("</surname></persName></author><author><persName><forename>A</forename><surname>Doe</surname></persName></author>"), number,
         F.lit('</analytic><monogr><imprint><date when="'), (F.col("p_size") + 1990).cast("string"), F.lit('"/></imprint></monogr></biblStruct>'))
-    return r.parse_tei(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), tei.alias("tei")))
+    # a file of parts is small, and a record takes long
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size"), "p_partkey", each=RECORD_BYTES)
+    return r.parse_tei(part.select(F.col("p_partkey").alias("ref_id"), tei.alias("tei")))
 
 
 @register("f16_shortened", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'J. ' || o_orderpriority || '.   , 2016' ELSE 'https://arxiv.org/abs:1701.' || (10000 + o_orderkey % 90000) END AS ref FROM orders""")
