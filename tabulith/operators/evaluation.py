@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.text import strip_version
 from tabulith.functions.values import norm_score
+from tabulith.operators.tasks import spread
 
 #: What keeps denominators from being 0 in evaluate(); the sweep has its own.
 EPSILON, SWEEP_EPSILON = 1e-10, 1e-8
@@ -59,17 +60,18 @@ def scores(predicted: DataFrame, gold: DataFrame, columns: list[str], paper: str
 def evaluate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """AG2: scores() on every axis; score strings normalised, versions of papers dropped.
 
-    Both sides are read once: each row goes to every axis with the columns of the axis alone.
+    Both sides are read once: each row goes to every axis with the columns of the axis alone. All
+    that is counted is of one paper, so papers come together once, in as many tasks as they need.
     Without any row on either side there is no axis.
     """
     all_columns = AXES["TDMS"]
 
     def plain(df: DataFrame, is_gold: bool) -> DataFrame:
         score = norm_score(F.col("score").cast("string"))
-        rows = df.select(strip_version(F.col("paper")).alias("paper"), *[c for c in all_columns if c != "score"], score.alias("score")).distinct()
+        rows = df.select(strip_version(F.col("paper")).alias("paper"), *[c for c in all_columns if c != "score"], score.alias("score"))
         return rows.withColumn("_g", F.lit(is_gold))
 
-    both = plain(predicted, False).unionByName(plain(gold, True))
+    both = spread(plain(predicted, False).unionByName(plain(gold, True)), "paper").distinct()
     kinds = {c: both.schema[c].dataType for c in all_columns}
     keys = [F.struct(F.lit(a).alias("axis"), *[(F.col(x) if x in c else F.lit(None).cast(kinds[x])).alias(x) for x in all_columns]) for a, c in AXES.items()]
     each = both.select("paper", "_g", F.inline(F.array(*keys)))
