@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tabulith.operators import cells as cell_ops
 from tabulith.operators import lookups
+from tabulith.operators.tasks import spread
 from tabulith.registry import order_papers, register, table
 from tabulith.sources import html as h
 
+#: Counted words up to which they are broadcast.
+BROADCAST_WORDS = 100_000
 FIXTURE = (
     '<figure class="ltx_table" id="S4.T1"><figcaption class="ltx_caption">Table 1: Results.</figcaption><table class="ltx_tabular"><tr class="ltx_tr">'
     '<td class="ltx_td ltx_align_left ltx_border_tt">Model</td><td class="ltx_td ltx_border_tt" colspan="2">SQuAD</td></tr><tr class="ltx_tr">'
@@ -116,9 +119,10 @@ def j9_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = lookups.mentions(table(spark, sf_dir, "documents"), "\\b(th[a-z]+)\\b", "doc_id")
     line = F.col("l_linenumber")
     ref = F.when(line == 1, "the").when(line == 2, "that").when(line == 3, "this").otherwise("none")
-    tables = table(spark, sf_dir, "lineitem").select("l_orderkey", ref.alias("ref")).distinct()
-    counted = mentions.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
-    return tables.join(counted, "ref").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.sum("n").alias("mentions"))
+    tables = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", ref.alias("ref")), "l_orderkey").distinct()
+    # as many rows as there are words of that kind; computed once, so that their number is known
+    counted = mentions.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).localCheckpoint()
+    return tables.join(F.broadcast(counted) if counted.count() <= BROADCAST_WORDS else counted, "ref").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.sum("n").alias("mentions"))
 
 
 @register("j11_section_lookup", """SELECT b.item_id, count(*) AS sections FROM (SELECT item_id, string_split(text, ' ')[1] AS ref FROM benchmark) b JOIN documents d ON list_contains(string_split_regex(d.text, '\\s+'), b.ref) GROUP BY b.item_id""")
