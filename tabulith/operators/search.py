@@ -73,18 +73,21 @@ def top_hits(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", terms: Callable[[Column], Column] = analyse) -> DataFrame:
-    """EV6: (query_id, key, score) by BM25 over words, or what ``terms`` makes of a text; documents that share none have no row."""
-    words = docs.select(key, terms(F.col("text")).alias("w"))
-    lengths = words.select(key, F.size("w").alias("len"))
+def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", terms: Callable[[Column], Column] = analyse, within: Column | None = None) -> DataFrame:
+    """EV6: (query_id, key, score) by BM25 over words, or what ``terms`` makes of a text; documents that share none have no row.
+
+    With ``within`` only the documents for which it holds are scored; how frequent words are is still that of all.
+    """
+    words, mine = (d.select(key, terms(F.col("text")).alias("w")) for d in (docs, docs if within is None else docs.where(within)))
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("token"))
     # only words that are asked for leave their document
-    held = words.select(key, F.explode("w").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    needed = held.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = needed.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    tokens = asked.select("token").distinct()
+    held = mine.select(key, F.size("w").alias("len"), F.explode("w").alias("token")).join(tokens, "token", "left_semi")
+    needed = held.groupBy(key, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("token")).join(tokens, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = needed.join(df, "token").join(lengths, key).crossJoin(F.broadcast(stats))
+    weighted = needed.join(df, "token").crossJoin(F.broadcast(stats))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     parts = weighted.select("token", key, part.alias("part"))
     return asked.join(parts, "token").groupBy("query_id", key).agg(F.sum("part").alias("score"))

@@ -81,9 +81,8 @@ def ev6_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ev7_paper_query", f"""WITH {_BM25} SELECT s.query_id, s.doc_id AS frag_id, round(score, 6) AS score FROM s JOIN documents d ON d.doc_id = s.doc_id WHERE d.source = 'src0' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, s.doc_id) <= 3""")
 def ev7_paper_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV7: the same search within one paper (scores stay those of the whole corpus)."""
-    scored = s.bm25(_phrases(spark, sf_dir, 1, 6), table(spark, sf_dir, "documents"))
-    mine = table(spark, sf_dir, "documents").where("source = 'src0'").select("doc_id")
-    hits = scored.join(mine, "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("frag_id"), F.round("score", 6).alias("score"))
+    scored = s.bm25(_phrases(spark, sf_dir, 1, 6), table(spark, sf_dir, "documents"), within=F.col("source") == "src0")
+    hits = scored.select("query_id", F.col("doc_id").alias("frag_id"), F.round("score", 6).alias("score"))
     return s.top_hits(hits, 3).drop("rank")
 
 
