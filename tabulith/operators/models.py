@@ -19,6 +19,8 @@ CELL_TAGS = ("table-meta", "dataset", "model-paper", "model-competing", "dataset
 TABLE_TYPES = ("leaderboard", "ablation", "irrelevant")
 #: Features that words are hashed to: the size of a model, whatever the corpus.
 FEATURES = 1 << 16
+#: Different terms up to which their places are broadcast.
+BROADCAST_TERMS = 500_000
 
 
 def group_split(rows: DataFrame, content: str, share: int = 10, seed: int = 42) -> DataFrame:
@@ -77,16 +79,19 @@ def contributions(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
     """ML10: (key, term, contribution) of an NB-SVM: what each term of a text adds to the odds that it is of class 1.
 
     The contributions of a text and the model's intercept are its log-odds. Terms that share
-    a feature share what it adds. (Saliency of a neural net has no meaning here.)
+    a feature share what it adds. (Saliency of a neural net has no meaning here.) A term is
+    hashed once, however many texts have it.
     """
     front, weigh, last = PipelineModel(model.stages[:-2]), model.stages[-2], model.stages[-1]
     # as many numbers as the model has features
     worth = (last.coefficients.toArray() * weigh.getScalingVec().toArray()).tolist()
     terms = front.transform(rows).select(key, F.explode(F.array_distinct("_terms")).alias("term"))
     hashing = next(x for x in model.stages if isinstance(x, HashingTF))
-    placed = hashing.transform(terms.withColumn(hashing.getInputCol(), F.array("term")))
+    placed = hashing.transform(terms.select("term").distinct().withColumn(hashing.getInputCol(), F.array("term")))
     index = F.array_position(vector_to_array(F.col(hashing.getOutputCol())), F.lit(1.0)) - 1
-    each = placed.select(key, "term", index.cast("int").alias("feature"))
+    # computed once, so that their number is known
+    places = placed.select("term", index.cast("int").alias("feature")).localCheckpoint()
+    each = terms.join(F.broadcast(places) if places.count() <= BROADCAST_TERMS else places, "term").select(key, "term", "feature")
     sharing = F.count(F.lit(1)).over(W.partitionBy(key, "feature"))
     table = rows.sparkSession.createDataFrame([(i, v) for i, v in enumerate(worth) if v], "feature int, worth double")
     return each.withColumn("n", sharing).join(F.broadcast(table), "feature").select(key, "term", (F.col("worth") / F.col("n")).alias("contribution"))
