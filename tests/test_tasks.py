@@ -188,7 +188,7 @@ def test_terms_are_hashed_once(spark):
     assert {r["doc_id"] for r in found.collect()} == set(range(40))
 
 
-GRIDS = ["w12_unique_model", "tb25_boxes"]
+GRIDS = ["w12_unique_model", "tb25_boxes", "w6_neighbourhood"]
 
 
 @pytest.mark.parametrize("name", GRIDS)
