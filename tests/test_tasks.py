@@ -188,7 +188,7 @@ def test_terms_are_hashed_once(spark):
     assert {r["doc_id"] for r in found.collect()} == set(range(40))
 
 
-GRIDS = ["w12_unique_model", "tb25_boxes", "w6_neighbourhood", "w9_preceding_annotations", "ml7_layout_features"]
+GRIDS = ["w12_unique_model", "tb25_boxes", "w6_neighbourhood", "w9_preceding_annotations", "ml7_layout_features", "tb23_round_trip"]
 
 
 @pytest.mark.parametrize("name", GRIDS)
